@@ -97,9 +97,10 @@ def player_lines(players: DataFrame, ctx: Context | None = None,
     )
     fgm = F.col("sum_t2m") + F.col("sum_t3m")
     fga = F.col("sum_t2a") + F.col("sum_t3a")
+    team = [] if "team" in by else [F.col("_last.team").alias("team")]
     return agg.select(
         *keys, T.slug(F.col("player_name")).alias("slug"),
-        F.col("_last.team").alias("team"), F.col("_last.grp").alias("grp"),
+        *team, F.col("_last.grp").alias("grp"),
         F.col("_last.jersey").alias("jersey"),
         "games", *[c for c in agg.columns if c.startswith("avg_") or c.startswith("sum_")], "total_points",
         X.ratio("sum_t2m", "sum_t2a").alias("t2_pct"),

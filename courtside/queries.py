@@ -149,3 +149,555 @@ SELECT competition, season, count(*) AS leaders_total FROM agg
 WHERE games >= 6 AND avg_min >= 15 GROUP BY competition, season""")
 def a12_leaders_total(spark, sf_dir):
     return league.leaders_total(tables(spark, sf_dir).players)
+
+
+# --- silver and gold layers ------------------------------------------------
+
+from .functions import text as T  # noqa: E402
+from .operators import model  # noqa: E402
+from .plans import compare as C  # noqa: E402
+from .plans import explore as E  # noqa: E402
+from .plans import playbyplay as PBP  # noqa: E402
+from .plans import sheets as S  # noqa: E402
+
+SILVER_PLAYER_COLS = ["game_id", "competition", "season", "grp", "date", "home_team", "away_team",
+                      "is_home", "team", "jersey", "player_name", "minutes", "points", "t2m", "t2a",
+                      "t3m", "t3a", "ftm", "fta", "reb", "ast", "stl", "blk", "tov", "pf", "plus_minus",
+                      "val", "fgm", "fga", "two_point_pct", "three_point_pct", "free_throw_pct",
+                      "field_goal_pct", "effective_fg_pct", "true_shooting_pct", "points_per_36",
+                      "rebounds_per_36", "assists_per_36", "steals_per_36", "blocks_per_36",
+                      "turnovers_per_36", "fouls_per_36", "val_per_36", "val_per_minute",
+                      "double_digit_categories", "is_double_double", "is_triple_double"]
+
+SILVER_PLAYERS_SQL = W("lines") + """,
+sp AS (
+  SELECT *,
+    CASE WHEN t2a > 0 THEN t2m / t2a END AS two_point_pct,
+    CASE WHEN t3a > 0 THEN t3m / t3a END AS three_point_pct,
+    CASE WHEN fta > 0 THEN ftm / fta END AS free_throw_pct,
+    CASE WHEN fga > 0 THEN fgm / fga END AS field_goal_pct,
+    CASE WHEN fga > 0 THEN (fgm + CAST(0.5 AS DOUBLE) * t3m) / fga END AS effective_fg_pct,
+    CASE WHEN fga + fta > 0 THEN points / (2 * (fga + CAST(0.44 AS DOUBLE) * fta)) END AS true_shooting_pct,
+    CASE WHEN minutes > 0 THEN points / minutes * 36 END AS points_per_36,
+    CASE WHEN minutes > 0 THEN reb / minutes * 36 END AS rebounds_per_36,
+    CASE WHEN minutes > 0 THEN ast / minutes * 36 END AS assists_per_36,
+    CASE WHEN minutes > 0 THEN stl / minutes * 36 END AS steals_per_36,
+    CASE WHEN minutes > 0 THEN blk / minutes * 36 END AS blocks_per_36,
+    CASE WHEN minutes > 0 THEN tov / minutes * 36 END AS turnovers_per_36,
+    CASE WHEN minutes > 0 THEN pf / minutes * 36 END AS fouls_per_36,
+    CASE WHEN minutes > 0 THEN val / minutes * 36 END AS val_per_36,
+    CASE WHEN minutes > 0 THEN val / minutes * 1 END AS val_per_minute,
+    CAST(points >= 10 AS INTEGER) + CAST(reb >= 10 AS INTEGER) + CAST(ast >= 10 AS INTEGER)
+      + CAST(stl >= 10 AS INTEGER) + CAST(blk >= 10 AS INTEGER) AS double_digit_categories
+  FROM players)
+SELECT """ + ", ".join(SILVER_PLAYER_COLS[:-2]) + """,
+  double_digit_categories >= 2 AS is_double_double, double_digit_categories >= 3 AS is_triple_double
+FROM sp"""
+
+
+@register("b06_silver_players", SILVER_PLAYERS_SQL)
+def b06_silver_players(spark, sf_dir):
+    return tables(spark, sf_dir).players.select(*SILVER_PLAYER_COLS)
+
+
+@register("b13_fact_games", W("games") + """
+SELECT game_id, competition, season, grp, date, home_team, away_team, home_score, away_score,
+       home_score + away_score AS total_points,
+       CASE WHEN home_score > away_score THEN 'home' WHEN home_score < away_score THEN 'away' ELSE 'draw' END AS winner,
+       abs(home_score - away_score) AS margin
+FROM games""")
+def b13_fact_games(spark, sf_dir):
+    return tables(spark, sf_dir).games.drop("game_date")
+
+
+@register("b10_team_box", W("teams") + " SELECT * FROM teams")
+def b10_team_box(spark, sf_dir):
+    return tables(spark, sf_dir).teams
+
+
+@register("b14_fact_team_games", W("teams") + """,
+f AS (SELECT *, t2m + t3m AS fgm, t2a + t3a AS fga FROM teams),
+g AS (SELECT *, CASE WHEN fga > 0 THEN fgm / fga END AS fg_pct, CASE WHEN t2a > 0 THEN t2m / t2a END AS t2_pct,
+             CASE WHEN t3a > 0 THEN t3m / t3a END AS t3_pct, CASE WHEN fta > 0 THEN ftm / fta END AS ft_pct,
+             CASE WHEN fga > 0 THEN (fgm + CAST(0.5 AS DOUBLE) * t3m) / fga END AS effective_fg_pct,
+             fga - off_reb + tov + CAST(0.44 AS DOUBLE) * fta AS possessions FROM f)
+SELECT *, CASE WHEN possessions > 0 THEN points / possessions * 100 END AS offensive_rating FROM g""")
+def b14_fact_team_games(spark, sf_dir):
+    return model.fact_team_games(tables(spark, sf_dir).teams)
+
+
+@register("b15_fact_shots", W("shots") + """
+SELECT game_id, quarter, time, player, team, made, x, y, shot_distance_m, is_three, zone, shot_points
+FROM fshots""")
+def b15_fact_shots(spark, sf_dir):
+    return tables(spark, sf_dir).shots
+
+
+@register("b08_silver_plays", W("plays") + """
+SELECT game_id, num, quarter, time, text, team, action, scoreA, scoreB, player_id, team_id, event_id,
+       made, shot_value, foul_type, sub_direction, assisted_by_player_id, player_name, assisted_by_name
+FROM plays""")
+def b08_silver_plays(spark, sf_dir):
+    return tables(spark, sf_dir).plays
+
+
+@register("b11_dim_players", W("lines") + """
+SELECT competition, player_name, season, count(DISTINCT game_id) AS games, sum(minutes) AS total_minutes,
+  CAST(sum(points) AS BIGINT) AS total_points, CAST(sum(reb) AS BIGINT) AS total_rebounds,
+  CAST(sum(ast) AS BIGINT) AS total_assists, CAST(sum(stl) AS BIGINT) AS total_steals,
+  CAST(sum(blk) AS BIGINT) AS total_blocks, CAST(sum(tov) AS BIGINT) AS total_turnovers,
+  CAST(sum(pf) AS BIGINT) AS total_fouls, CAST(sum(val) AS BIGINT) AS total_val,
+  CAST(sum(t2m) AS BIGINT) AS total_2pm, CAST(sum(t2a) AS BIGINT) AS total_2pa,
+  CAST(sum(t3m) AS BIGINT) AS total_3pm, CAST(sum(t3a) AS BIGINT) AS total_3pa,
+  CAST(sum(ftm) AS BIGINT) AS total_ftm, CAST(sum(fta) AS BIGINT) AS total_fta,
+  CAST(sum(fgm) AS BIGINT) AS total_fgm, CAST(sum(fga) AS BIGINT) AS total_fga,
+  avg(points) AS ppg, avg(reb) AS rpg, avg(ast) AS apg, avg(minutes) AS mpg, avg(val) AS avg_val,
+  avg(plus_minus) AS avg_plus_minus,
+  avg(CASE WHEN minutes > 0 THEN points / minutes * 36 END) AS avg_points_per_36,
+  CAST(sum(CAST(CAST(points >= 10 AS INTEGER) + CAST(reb >= 10 AS INTEGER) + CAST(ast >= 10 AS INTEGER)
+      + CAST(stl >= 10 AS INTEGER) + CAST(blk >= 10 AS INTEGER) >= 2 AS INTEGER)) AS BIGINT) AS double_doubles,
+  CAST(sum(CAST(CAST(points >= 10 AS INTEGER) + CAST(reb >= 10 AS INTEGER) + CAST(ast >= 10 AS INTEGER)
+      + CAST(stl >= 10 AS INTEGER) + CAST(blk >= 10 AS INTEGER) >= 3 AS INTEGER)) AS BIGINT) AS triple_doubles,
+  max(points) AS best_points, max(val) AS best_val,
+  max({'d': game_date, 'g': game_id, 'team': team, 'grp': grp}).team AS team,
+  max({'d': game_date, 'g': game_id, 'team': team, 'grp': grp}).grp AS grp,
+  CASE WHEN sum(t2a) > 0 THEN sum(t2m) / sum(t2a) END AS two_point_pct,
+  CASE WHEN sum(t3a) > 0 THEN sum(t3m) / sum(t3a) END AS three_point_pct,
+  CASE WHEN sum(fta) > 0 THEN sum(ftm) / sum(fta) END AS free_throw_pct,
+  CASE WHEN sum(fga) > 0 THEN sum(fgm) / sum(fga) END AS field_goal_pct,
+  CASE WHEN sum(fga) > 0 THEN (sum(fgm) + CAST(0.5 AS DOUBLE) * sum(t3m)) / sum(fga) END AS effective_fg_pct,
+  CASE WHEN sum(fga) + sum(fta) > 0
+       THEN sum(points) / (2 * (sum(fga) + CAST(0.44 AS DOUBLE) * sum(fta))) END AS true_shooting_pct,
+  CASE WHEN sum(minutes) > 0 THEN sum(val) / sum(minutes) END AS val_per_minute
+FROM players GROUP BY competition, player_name, season""")
+def b11_dim_players(spark, sf_dir):
+    return model.dim_players(tables(spark, sf_dir).players)
+
+
+@register("b12_dim_teams", W("teams") + """
+SELECT competition, team_id, team_name, season, count(DISTINCT game_id) AS games,
+  CAST(sum(points) AS BIGINT) AS total_points, avg(points) AS ppg,
+  CAST(sum(tot_reb) AS BIGINT) AS total_rebounds, CAST(sum(ast) AS BIGINT) AS total_assists,
+  CAST(sum(t2m) AS BIGINT) AS total_2pm, CAST(sum(t2a) AS BIGINT) AS total_2pa,
+  CAST(sum(t3m) AS BIGINT) AS total_3pm, CAST(sum(t3a) AS BIGINT) AS total_3pa,
+  CAST(sum(ftm) AS BIGINT) AS total_ftm, CAST(sum(fta) AS BIGINT) AS total_fta,
+  CASE WHEN sum(t2a) > 0 THEN sum(t2m) / sum(t2a) END AS two_point_pct,
+  CASE WHEN sum(t3a) > 0 THEN sum(t3m) / sum(t3a) END AS three_point_pct,
+  CASE WHEN sum(fta) > 0 THEN sum(ftm) / sum(fta) END AS free_throw_pct
+FROM teams GROUP BY competition, team_id, team_name, season""")
+def b12_dim_teams(spark, sf_dir):
+    return model.dim_teams(tables(spark, sf_dir).teams)
+
+
+# --- sheets ------------------------------------------------------------------
+
+@register("a13_player_sheet", W("lines") + f"""
+SELECT competition, season, player_name, {slug_sql('player_name')} AS slug,
+  max({{'d': game_date, 'g': game_id, 'team': team, 'grp': grp, 'jersey': jersey}}).team AS team,
+  max({{'d': game_date, 'g': game_id, 'team': team, 'grp': grp, 'jersey': jersey}}).grp AS grp,
+  max({{'d': game_date, 'g': game_id, 'team': team, 'grp': grp, 'jersey': jersey}}).jersey AS jersey,
+  count(*) AS games, sum(minutes) AS sum_minutes,
+  CAST(sum(points) AS BIGINT) AS sum_points, CAST(sum(reb) AS BIGINT) AS sum_reb, CAST(sum(ast) AS BIGINT) AS sum_ast,
+  CAST(sum(stl) AS BIGINT) AS sum_stl, CAST(sum(blk) AS BIGINT) AS sum_blk, CAST(sum(tov) AS BIGINT) AS sum_tov,
+  CAST(sum(pf) AS BIGINT) AS sum_pf, CAST(sum(val) AS BIGINT) AS sum_val, CAST(sum(t2m) AS BIGINT) AS sum_t2m,
+  CAST(sum(t2a) AS BIGINT) AS sum_t2a, CAST(sum(t3m) AS BIGINT) AS sum_t3m, CAST(sum(t3a) AS BIGINT) AS sum_t3a,
+  CAST(sum(ftm) AS BIGINT) AS sum_ftm, CAST(sum(fta) AS BIGINT) AS sum_fta,
+  sum(minutes) / count(*) AS per_game_minutes, sum(points) / count(*) AS per_game_points,
+  sum(reb) / count(*) AS per_game_reb, sum(ast) / count(*) AS per_game_ast, sum(stl) / count(*) AS per_game_stl,
+  sum(blk) / count(*) AS per_game_blk, sum(tov) / count(*) AS per_game_tov, sum(val) / count(*) AS per_game_val,
+  avg(plus_minus) AS avg_plus_minus,
+  CASE WHEN sum(t2a) > 0 THEN sum(t2m) / sum(t2a) END AS t2_pct,
+  CASE WHEN sum(t3a) > 0 THEN sum(t3m) / sum(t3a) END AS t3_pct,
+  CASE WHEN sum(fta) > 0 THEN sum(ftm) / sum(fta) END AS ft_pct,
+  CASE WHEN sum(fga) > 0 THEN sum(fgm) / sum(fga) END AS fg_pct,
+  CASE WHEN sum(fga) > 0 THEN (sum(fgm) + CAST(0.5 AS DOUBLE) * sum(t3m)) / sum(fga) END AS efg_pct,
+  CASE WHEN sum(fga) + sum(fta) > 0 THEN sum(points) / (2 * (sum(fga) + CAST(0.44 AS DOUBLE) * sum(fta))) END AS ts_pct,
+  CASE WHEN sum(minutes) > 0 THEN sum(points) / sum(minutes) * 36 END AS per36_points,
+  CASE WHEN sum(minutes) > 0 THEN sum(reb) / sum(minutes) * 36 END AS per36_reb,
+  CASE WHEN sum(minutes) > 0 THEN sum(ast) / sum(minutes) * 36 END AS per36_ast,
+  max(points) AS best_points, max(reb) AS best_reb, max(ast) AS best_ast, max(val) AS best_val
+FROM players GROUP BY competition, season, player_name""")
+def a13_player_sheet(spark, sf_dir):
+    return S.player_sheet(tables(spark, sf_dir).players)
+
+
+@register("j06_game_log", W("games") + """,
+d AS (SELECT p.competition, p.season, p.player_name, p.game_id, g.date, p.is_home, p.minutes, p.points, p.reb,
+             p.ast, p.val, g.home_team AS ht, g.away_team AS awt, g.home_score AS hs, g.away_score AS as_
+      FROM players p JOIN games g ON p.game_id = g.game_id)
+SELECT competition, season, player_name, game_id, date, is_home,
+       CASE WHEN is_home THEN awt ELSE ht END AS opponent,
+       CAST(hs AS VARCHAR) || '-' || CAST(as_ AS VARCHAR) AS score,
+       CASE WHEN is_home THEN hs > as_ ELSE as_ > hs END AS won,
+       minutes, points, reb, ast, val,
+       points = max(points) OVER (PARTITION BY competition, season, player_name) AS is_best_points
+FROM d""")
+def j06_game_log(spark, sf_dir):
+    t = tables(spark, sf_dir)
+    return S.game_log(t.players, t.games)
+
+
+ZONES_SQL = W("shots") + """,
+ps AS (
+  SELECT p.competition, p.season, p.team, p.player_name, s.zone, s.made
+  FROM players p JOIN fshots s ON p.game_id = s.game_id AND p.jersey = s.player
+   AND s.team = CASE WHEN p.is_home THEN 0 ELSE 1 END)"""
+
+
+@register("a14_zones", ZONES_SQL + """
+SELECT competition, season, player_name, zone, count(*) FILTER (WHERE made = 1) AS made, count(*) AS att,
+       count(*) FILTER (WHERE made = 1) / count(*) AS pct
+FROM ps GROUP BY competition, season, player_name, zone""")
+def a14_zones(spark, sf_dir):
+    t = tables(spark, sf_dir)
+    return S.zones(t.players, t.shots)
+
+
+@register("j07_player_shots", W("shots") + """
+SELECT p.competition, p.season, p.game_id, p.player_name, p.team, p.jersey,
+       CASE WHEN p.is_home THEN 0 ELSE 1 END AS side, s.x, s.y, s.made, s.shot_distance_m, s.zone
+FROM players p JOIN fshots s ON p.game_id = s.game_id AND p.jersey = s.player
+ AND s.team = CASE WHEN p.is_home THEN 0 ELSE 1 END""")
+def j07_player_shots(spark, sf_dir):
+    t = tables(spark, sf_dir)
+    return S.player_shots(t.players, t.shots)
+
+
+ROSTER_COLS = ["competition", "season", "team", "player_name", "slug", "jersey", "games", "avg_min",
+               "avg_pts", "avg_reb", "avg_ast", "avg_val", "sum_t2m", "sum_t2a", "sum_t3m", "sum_t3a",
+               "total_points", "ts_pct", "pts_vs_best", "zone_att"]
+
+
+@register("a15_roster", W("shots") + f""",
+agg AS (
+  SELECT competition, season, team, player_name,
+    max({{'d': game_date, 'g': game_id, 'team': team, 'grp': grp, 'jersey': jersey}}).jersey AS jersey,
+    count(*) AS games, avg(minutes) AS avg_min, avg(points) AS avg_pts, avg(reb) AS avg_reb,
+    avg(ast) AS avg_ast, avg(val) AS avg_val,
+    CAST(sum(t2m) AS BIGINT) AS sum_t2m, CAST(sum(t2a) AS BIGINT) AS sum_t2a,
+    CAST(sum(t3m) AS BIGINT) AS sum_t3m, CAST(sum(t3a) AS BIGINT) AS sum_t3a,
+    CAST(sum(fta) AS BIGINT) AS sum_fta, CAST(sum(points) AS BIGINT) AS total_points
+  FROM players GROUP BY competition, season, team, player_name),
+ps AS (
+  SELECT p.competition, p.season, p.team, p.player_name, s.zone, s.made
+  FROM players p JOIN fshots s ON p.game_id = s.game_id AND p.jersey = s.player
+   AND s.team = CASE WHEN p.is_home THEN 0 ELSE 1 END),
+z AS (SELECT competition, season, team, player_name, count(*) AS zone_att FROM ps GROUP BY ALL),
+r AS (
+  SELECT a.*, coalesce(z.zone_att, 0) AS zone_att,
+         max(avg_pts) OVER (PARTITION BY a.competition, a.season, a.team) AS top
+  FROM agg a LEFT JOIN z ON a.competition = z.competition AND a.season = z.season AND a.team = z.team
+   AND a.player_name = z.player_name)
+SELECT competition, season, team, player_name, {slug_sql('player_name')} AS slug, jersey, games, avg_min,
+  avg_pts, avg_reb, avg_ast, avg_val, sum_t2m, sum_t2a, sum_t3m, sum_t3a, total_points,
+  CASE WHEN sum_t2a + sum_t3a + sum_fta > 0
+       THEN total_points / (2 * (sum_t2a + sum_t3a + CAST(0.44 AS DOUBLE) * sum_fta)) END AS ts_pct,
+  coalesce(CASE WHEN top > 0 THEN least(100.0::DOUBLE, greatest(0.0::DOUBLE, avg_pts / top * 100)) END, 0.0::DOUBLE) AS pts_vs_best,
+  zone_att
+FROM r""")
+def a15_roster(spark, sf_dir):
+    t = tables(spark, sf_dir)
+    r = S.roster(t.players, t.shots)
+    r = r.withColumn("zone_att", F.aggregate(F.map_values("zones"), F.lit(0).cast("long"),
+                                             lambda acc, v: acc + v["att"]))
+    return r.select(*ROSTER_COLS)
+
+
+PACE_SQL = W("games", "teams") + """,
+pg AS (
+  SELECT g.competition, g.season, g.grp, e.team_name AS team, e.game_id, g.date,
+         o.team_name AS opponent, e.points AS points_for, o.points AS points_against,
+         e.points > o.points AS won,
+         coalesce(e.t2a, 0) + coalesce(e.t3a, 0) - coalesce(e.off_reb, 0) + coalesce(e.tov, 0)
+           + CAST(0.44 AS DOUBLE) * coalesce(e.fta, 0) AS poss_for,
+         coalesce(o.t2a, 0) + coalesce(o.t3a, 0) - coalesce(o.off_reb, 0) + coalesce(o.tov, 0)
+           + CAST(0.44 AS DOUBLE) * coalesce(o.fta, 0) AS poss_against
+  FROM teams e JOIN teams o ON e.game_id = o.game_id AND e.team_name <> o.team_name
+  JOIN games g ON g.game_id = e.game_id),
+pace AS (
+  SELECT *, CASE WHEN poss_for <> 0 AND poss_against <> 0 THEN (poss_for + poss_against) / 2 END AS possessions,
+         CASE WHEN poss_for <> 0 THEN points_for / poss_for * 100 END AS ortg,
+         CASE WHEN poss_against <> 0 THEN points_against / poss_against * 100 END AS drtg
+  FROM pg)"""
+
+
+@register("j08_pace_log", PACE_SQL + " SELECT * FROM pace")
+def j08_pace_log(spark, sf_dir):
+    t = tables(spark, sf_dir)
+    return S.pace(t.teams, t.games)
+
+
+@register("a17_pace", PACE_SQL + """
+SELECT competition, season, team, count(*) AS games, avg(possessions) AS avg_possessions,
+       avg(ortg) AS avg_ortg, avg(drtg) AS avg_drtg, avg(ortg) - avg(drtg) AS avg_net_rtg
+FROM pace GROUP BY competition, season, team""")
+def a17_pace(spark, sf_dir):
+    t = tables(spark, sf_dir)
+    return S.pace_summary(t.teams, t.games)
+
+
+@register("j13_player_slugs", W("lines") + f"""
+SELECT DISTINCT player_name AS name, {slug_sql('player_name')} AS slug FROM players""")
+def j13_player_slugs(spark, sf_dir):
+    return S.player_lookup(tables(spark, sf_dir).players)
+
+
+@register("j13_team_slugs", W("lines") + f"""
+SELECT DISTINCT team AS name, {slug_sql('team')} AS slug FROM players""")
+def j13_team_slugs(spark, sf_dir):
+    return S.team_lookup(tables(spark, sf_dir).players)
+
+
+# --- play-by-play ------------------------------------------------------------
+
+SCORED_SQL = W("games", "plays") + """,
+pj AS (
+  SELECT p.*, g.competition, g.season, g.grp,
+         CASE WHEN p.team = 1 THEN g.home_team ELSE g.away_team END AS team_name,
+         coalesce(TRY_CAST(split_part(p.time, ':', 1) AS INTEGER), 0) * 60
+           + coalesce(TRY_CAST(split_part(p.time, ':', 2) AS INTEGER), 0) AS secs_left
+  FROM plays p JOIN games g ON p.game_id = g.game_id),
+scored AS (
+  SELECT *, max(scoreA) OVER w AS score_home, max(scoreB) OVER w AS score_away FROM pj
+  WINDOW w AS (PARTITION BY game_id ORDER BY quarter NULLS FIRST, 600 - secs_left, num
+               ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)),
+clutch AS (
+  SELECT * FROM scored WHERE player_name IS NOT NULL
+    AND (quarter > 4 OR (quarter = 4 AND secs_left <= 300)) AND abs(score_home - score_away) <= 5)"""
+
+
+@register("w03_running_score", SCORED_SQL + """
+SELECT game_id, num, quarter, time, secs_left, 600 - secs_left AS elapsed, score_home, score_away FROM scored""")
+def w03_running_score(spark, sf_dir):
+    t = tables(spark, sf_dir)
+    return PBP.running_score(PBP.with_games(t.plays, t.games)).select("game_id", "num", "quarter", "time", "secs_left", "elapsed",
+                                             "score_home", "score_away")
+
+
+@register("a18_clutch", SCORED_SQL + f""",
+agg AS (
+  SELECT competition, season, player_name, max({{'g': game_id, 't': team_name}}).t AS team,
+    count(DISTINCT game_id) AS games,
+    count(*) FILTER (WHERE action = 'shoot') AS fga,
+    count(*) FILTER (WHERE action = 'shoot' AND made = 1) AS fgm,
+    count(*) FILTER (WHERE action = 'shoot' AND shot_value = 3) AS fg3a,
+    count(*) FILTER (WHERE action = 'shoot' AND shot_value = 3 AND made = 1) AS fg3m,
+    count(*) FILTER (WHERE action = 'fthrow') AS fta,
+    count(*) FILTER (WHERE action = 'fthrow' AND made = 1) AS ftm,
+    CAST(coalesce(sum(CASE WHEN action = 'shoot' AND made = 1 THEN shot_value END), 0)
+      + count(*) FILTER (WHERE action = 'fthrow' AND made = 1) AS BIGINT) AS points,
+    count(*) FILTER (WHERE action = 'assist') AS ast, count(*) FILTER (WHERE action = 'lose') AS tov,
+    count(*) FILTER (WHERE action = 'recovery') AS stl, count(*) FILTER (WHERE action = 'blockshot') AS blk,
+    count(*) FILTER (WHERE action = 'foul') AS fouls
+  FROM clutch GROUP BY competition, season, player_name HAVING count(DISTINCT game_id) >= 2)
+SELECT competition, season,
+  CAST(row_number() OVER (PARTITION BY competition, season ORDER BY points DESC, player_name) AS INTEGER) AS position,
+  player_name, {slug_sql('player_name')} AS slug, team, games, points, ast, tov, stl, blk, fouls,
+  fgm, fga, CASE WHEN fga > 0 THEN fgm / fga END AS fg_pct, fg3m, fg3a,
+  CASE WHEN fg3a > 0 THEN fg3m / fg3a END AS fg3_pct, ftm, fta, CASE WHEN fta > 0 THEN ftm / fta END AS ft_pct
+FROM agg""")
+def a18_clutch(spark, sf_dir):
+    t = tables(spark, sf_dir)
+    return PBP.clutch(t.plays, t.games)
+
+
+EDGES_SQL = W("games", "plays") + """,
+e AS (
+  SELECT g.competition, g.season, p.assisted_by_name AS passer, p.player_name AS scorer,
+         CASE WHEN p.team = 1 THEN g.home_team ELSE g.away_team END AS team,
+         count(*) AS assists, CAST(coalesce(sum(p.shot_value), 0) AS BIGINT) AS points
+  FROM plays p JOIN games g ON p.game_id = g.game_id
+  WHERE p.action = 'shoot' AND p.made = 1 AND p.assisted_by_name IS NOT NULL AND p.player_name IS NOT NULL
+  GROUP BY ALL),
+edges AS (
+  SELECT * FROM (
+    SELECT *, CAST(row_number() OVER (PARTITION BY competition, season
+                   ORDER BY assists DESC, passer, scorer, team) AS INTEGER) AS edge_rank FROM e)
+  WHERE edge_rank <= 300)"""
+
+
+@register("a19_assist_edges", EDGES_SQL + " SELECT * FROM edges")
+def a19_assist_edges(spark, sf_dir):
+    t = tables(spark, sf_dir)
+    return PBP.assist_edges(t.plays, t.games)
+
+
+@register("a20_assist_nodes", EDGES_SQL + f""",
+roles AS (
+  SELECT competition, season, team, edge_rank, passer AS name, assists AS given, 0 AS received, 0 AS created FROM edges
+  UNION ALL
+  SELECT competition, season, team, edge_rank, scorer, 0, assists, points FROM edges),
+n AS (
+  SELECT competition, season, name, min({{'r': edge_rank, 't': team}}).t AS team,
+         CAST(sum(given) AS BIGINT) AS assists_given, CAST(sum(received) AS BIGINT) AS assists_received,
+         CAST(sum(created) AS BIGINT) AS points_created
+  FROM roles GROUP BY competition, season, name)
+SELECT competition, season, name, {slug_sql('name')} AS slug, team, assists_given, assists_received, points_created,
+  CAST(row_number() OVER (PARTITION BY competition, season
+       ORDER BY assists_given + assists_received DESC, name) AS INTEGER) AS node_rank
+FROM n""")
+def a20_assist_nodes(spark, sf_dir):
+    t = tables(spark, sf_dir)
+    return PBP.assist_nodes(PBP.assist_edges(t.plays, t.games))
+
+
+FOULS_SQL = W("games", "plays") + """,
+fg AS (
+  SELECT g.competition, g.season, p.player_name, p.game_id,
+         count(*) FILTER (WHERE foul_type = 'personal') AS personal,
+         count(*) FILTER (WHERE foul_type = 'technical') AS technical,
+         count(*) FILTER (WHERE foul_type = 'disqualifying') AS disqualifying
+  FROM plays p JOIN games g ON p.game_id = g.game_id
+  WHERE p.action = 'foul' AND p.player_name IS NOT NULL GROUP BY ALL),
+base AS (
+  SELECT competition, season, player_name,
+         max({'d': game_date, 'g': game_id, 'team': team, 'grp': grp}).team AS team,
+         max({'d': game_date, 'g': game_id, 'team': team, 'grp': grp}).grp AS grp,
+         count(*) AS games
+  FROM players GROUP BY competition, season, player_name)"""
+
+
+@register("a21_player_fouls", FOULS_SQL + f""",
+per AS (
+  SELECT competition, season, player_name, CAST(sum(personal) AS BIGINT) AS personal_fouls,
+         CAST(sum(technical) AS BIGINT) AS technical_fouls, CAST(sum(disqualifying) AS BIGINT) AS disqualifying_fouls,
+         count(*) AS games_with_foul, count(*) FILTER (WHERE personal >= 5) AS fouled_out_games
+  FROM fg GROUP BY ALL),
+d AS (
+  SELECT p.*, b.team, b.grp, b.games,
+         personal_fouls + technical_fouls + disqualifying_fouls AS total_fouls
+  FROM per p JOIN base b USING (competition, season, player_name) WHERE b.games >= 3)
+SELECT competition, season,
+  CAST(row_number() OVER (PARTITION BY competition, season ORDER BY total_fouls DESC, player_name) AS INTEGER) AS position,
+  player_name, {slug_sql('player_name')} AS slug, team, grp, games, personal_fouls, technical_fouls,
+  disqualifying_fouls, total_fouls, total_fouls / games AS fouls_per_game, games_with_foul, fouled_out_games
+FROM d""")
+def a21_player_fouls(spark, sf_dir):
+    t = tables(spark, sf_dir)
+    return PBP.player_fouls(t.plays, t.games, t.players)
+
+
+@register("a22_team_fouls", FOULS_SQL + f""",
+sides AS (
+  SELECT competition, season, home_team AS team FROM games UNION ALL
+  SELECT competition, season, away_team FROM games),
+st AS (SELECT competition, season, team, count(*) AS games FROM sides GROUP BY ALL),
+per AS (
+  SELECT f.competition, f.season, b.team, CAST(sum(personal) AS BIGINT) AS personal_fouls,
+         CAST(sum(technical) AS BIGINT) AS technical_fouls, CAST(sum(disqualifying) AS BIGINT) AS disqualifying_fouls
+  FROM fg f JOIN base b USING (competition, season, player_name) GROUP BY ALL),
+d AS (
+  SELECT p.*, s.games, personal_fouls + technical_fouls + disqualifying_fouls AS total_fouls
+  FROM per p JOIN st s USING (competition, season, team) WHERE s.games >= 3)
+SELECT competition, season,
+  CAST(row_number() OVER (PARTITION BY competition, season
+       ORDER BY coalesce(total_fouls / games, 0) DESC, team) AS INTEGER) AS position,
+  team, {slug_sql('team')} AS team_key, games, personal_fouls, technical_fouls, disqualifying_fouls,
+  total_fouls, total_fouls / games AS fouls_per_game
+FROM d""")
+def a22_team_fouls(spark, sf_dir):
+    t = tables(spark, sf_dir)
+    return PBP.team_fouls(t.plays, t.games, t.players)
+
+
+# --- compare, search, exploration ---------------------------------------------
+
+POOL_SQL = W("lines") + f""",
+agg AS ({LEADER_BODY.format(where='')}),
+pool AS (SELECT {LEADER_COLS} FROM agg WHERE games >= 6 AND avg_min >= 15)"""
+
+
+def _unpivot(rel: str, axes) -> str:
+    return " UNION ALL ".join(
+        f"SELECT competition, season, player_name, '{a}' AS axis, CAST({c} AS DOUBLE) AS value FROM {rel}"
+        for a, c in axes)
+
+
+@register("w05_percentiles", POOL_SQL + f""",
+l AS ({_unpivot('pool', C.AXES)}),
+nn AS (SELECT *, count(*) OVER (PARTITION BY competition, season, axis ORDER BY value
+                  RANGE BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS below,
+              count(*) OVER (PARTITION BY competition, season, axis) AS total
+       FROM l WHERE value IS NOT NULL)
+SELECT l.competition, l.season, l.player_name, l.axis, l.value,
+       CAST(round(nn.below / nn.total * 100) AS INTEGER) AS percentile
+FROM l LEFT JOIN nn ON l.competition = nn.competition AND l.season = nn.season
+ AND l.player_name = nn.player_name AND l.axis = nn.axis""")
+def w05_percentiles(spark, sf_dir):
+    pool = C.leader_pool(tables(spark, sf_dir).players)
+    return C.percentiles(pool)
+
+
+@register("a26_compare_best", POOL_SQL + f""",
+cmp AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY competition, season
+        ORDER BY avg_val DESC, player_name) AS position FROM pool) WHERE position <= 4),
+l AS ({_unpivot('cmp', C.BEST_ROWS).replace("AS axis", "AS metric")})
+SELECT competition, season, player_name, metric, value,
+       (count(*) OVER w > 1) AND value IS NOT NULL AND value = max(value) OVER w AS is_best
+FROM l WINDOW w AS (PARTITION BY competition, season, metric)""")
+def a26_compare_best(spark, sf_dir):
+    pool = C.leader_pool(tables(spark, sf_dir).players)
+    return C.best_of(C.compared(pool, 4))
+
+
+SEARCH_TEXT = "Ibáñez"
+
+
+def _fold_sql(x: str) -> str:
+    return f"lower(regexp_replace(strip_accents({x}), '[^\\x00-\\x7F]', '', 'g'))"
+
+
+@register("p14_search", POOL_SQL + f"""
+SELECT * FROM (
+  SELECT *, CAST(row_number() OVER (PARTITION BY competition, season
+                 ORDER BY avg_val DESC, player_name) AS INTEGER) AS position
+  FROM pool WHERE contains({_fold_sql('player_name')}, 'ibanez') OR contains({_fold_sql('team')}, 'ibanez'))
+WHERE position > 0 AND position <= 8""")
+def p14_search(spark, sf_dir):
+    pool = C.leader_pool(tables(spark, sf_dir).players)
+    return C.search(pool, SEARCH_TEXT)
+
+
+EXPLORE_SUMS = ", ".join(
+    f"CAST(sum({c}) AS BIGINT) AS {c}" if c != "minutes" else "sum(minutes) AS minutes" for c in E.SUMS)
+
+
+@register("a23_team_day", W("lines") + f""",
+d AS (SELECT team, date, {EXPLORE_SUMS} FROM players GROUP BY team, date),
+e AS (SELECT *, t2m + t3m AS fg_made, t2a + t3a AS fg_attempted, minutes / 40 AS pace FROM d)
+SELECT *, CASE WHEN fg_attempted > 0 THEN fg_made / fg_attempted ELSE 0.0::DOUBLE END AS fg_percentage,
+       CASE WHEN t3a > 0 THEN t3m / t3a ELSE 0.0::DOUBLE END AS three_p_percentage,
+       CASE WHEN fta > 0 THEN ftm / fta ELSE 0.0::DOUBLE END AS ft_percentage,
+       points / CASE WHEN pace = 0 THEN 1.0::DOUBLE ELSE pace END AS efficiency
+FROM e""")
+def a23_team_day(spark, sf_dir):
+    return E.team_day(tables(spark, sf_dir).players)
+
+
+CAREER_SQL = W("lines") + f""",
+d AS (SELECT player_name, {EXPLORE_SUMS}, avg(val) AS efficiency, count(game_id) AS games
+      FROM players GROUP BY player_name),
+career AS (
+  SELECT *, t2m + t3m AS fg_made, t2a + t3a AS fg_attempted,
+         CASE WHEN t2a + t3a > 0 THEN (t2m + t3m) / (t2a + t3a) ELSE 0.0::DOUBLE END AS fg_percentage,
+         CASE WHEN t3a > 0 THEN t3m / t3a ELSE 0.0::DOUBLE END AS three_p_percentage,
+         CASE WHEN fta > 0 THEN ftm / fta ELSE 0.0::DOUBLE END AS ft_percentage,
+         points / games AS ppg, reb / games AS rpg, ast / games AS apg, blk / games AS bpg, stl / games AS spg
+  FROM d)"""
+
+
+@register("a24_career", CAREER_SQL + " SELECT * FROM career")
+def a24_career(spark, sf_dir):
+    return E.career(tables(spark, sf_dir).players)
+
+
+@register("t05_top_scorers", CAREER_SQL + """
+SELECT player_name, games, points, ppg, fg_percentage, three_p_percentage, ft_percentage
+FROM career ORDER BY points DESC, player_name LIMIT 10""")
+def t05_top_scorers(spark, sf_dir):
+    return E.top_scorers(tables(spark, sf_dir).players)
+
+
+@register("a25_player_count", W("lines") + " SELECT count(DISTINCT player_name) AS players FROM players")
+def a25_player_count(spark, sf_dir):
+    return E.player_count(tables(spark, sf_dir).players)
