@@ -9,11 +9,12 @@ takes a subset, a prefix or a row cap unless the cap is the feature
 from __future__ import annotations
 
 from collections.abc import Callable
-from functools import lru_cache
+import hashlib
 
 from pyspark.sql import DataFrame, SparkSession
 
-from .plans.tables import Tables, from_driver
+from .plans.tables import Tables, build_layers
+from .session import checkpoint_dir
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -28,14 +29,43 @@ def register(name: str, sql: str | None = None):
     return deco
 
 
-@lru_cache(maxsize=8)
-def _tables(spark_id: int, sf_dir: str, spark: SparkSession) -> Tables:
-    return from_driver(spark, sf_dir)
+_BUILT: dict[tuple[str, str], Tables] = {}
+LAYERS = ("games", "players", "plays", "shots", "teams")
+
+
+def _fs_exists(spark: SparkSession, path: str) -> bool:
+    jvm = spark.sparkContext._jvm
+    p = jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p)
+
+
+def _fingerprint(spark: SparkSession, sf_dir: str) -> str:
+    """Identity of the inputs: path, size and change time of each table."""
+    jvm = spark.sparkContext._jvm
+    conf = spark.sparkContext._jsc.hadoopConfiguration()
+    parts = [sf_dir]
+    for name in ("orders", "lineitem", "events"):
+        p = jvm.org.apache.hadoop.fs.Path(f"{sf_dir}/{name}.parquet")
+        st = p.getFileSystem(conf).getFileStatus(p)
+        parts.append(f"{name}:{st.getLen()}:{st.getModificationTime()}")
+    return hashlib.sha1("|".join(parts).encode()).hexdigest()[:16]
 
 
 def tables(spark: SparkSession, sf_dir: str) -> Tables:
-    """Lazy bundle per (session, folder); plans only, nothing runs here."""
-    return _tables(id(spark), sf_dir, spark)
+    """The five layer tables for a driver folder, built once and written.
+
+    Like the reference's lakehouse, the silver/gold layers are written
+    tables that every question reads; they live under the shared folder
+    named by ``spark.checkpoint.dir`` (a written table, so an executor
+    loss never forces a rebuild from the raw tables). Only a local session
+    without that setting gets a scratch folder of its own.
+    """
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key in _BUILT:
+        return _BUILT[key]
+    root = f"{checkpoint_dir(spark)}/courtside-layers/{_fingerprint(spark, sf_dir)}"
+    _BUILT[key] = build_layers(spark, sf_dir, root, lambda p: _fs_exists(spark, p))
+    return _BUILT[key]
 
 
 def load_all() -> None:

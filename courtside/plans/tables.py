@@ -28,6 +28,26 @@ def from_driver(spark: SparkSession, sf_dir: str) -> Tables:
                   shots=shots, teams=teams)
 
 
+def build_layers(spark: SparkSession, sf_dir: str, root: str, exists) -> Tables:
+    """Bronze -> silver -> gold as written tables, each stage reading the
+    previous stage's output (no sub-plan is computed twice)."""
+
+    def stage(name: str, make) -> DataFrame:
+        path = f"{root}/{name}"
+        if not exists(f"{path}/_SUCCESS"):
+            make().write.mode("overwrite").parquet(path)
+        return spark.read.parquet(path)
+
+    lines = stage("bronze_lines", lambda: driver.lines(spark, sf_dir))
+    raw_plays = stage("bronze_plays", lambda: driver.plays(spark, sf_dir, lines=lines))
+    players = stage("players", lambda: clean.clean_players(lines.drop("_surnames", "_given", "player_id")))
+    games = stage("games", lambda: model.fact_games(players))
+    teams = stage("teams", lambda: clean.clean_teams(clean.team_box(players)))
+    plays = stage("plays", lambda: clean.clean_plays(raw_plays, players))
+    shots = stage("shots", lambda: model.fact_shots(clean.clean_shots(driver.shots(spark, sf_dir, raw_plays))))
+    return Tables(games=games, players=players, plays=plays, shots=shots, teams=teams)
+
+
 def from_silver(games: DataFrame, players: DataFrame, plays: DataFrame,
                 shots: DataFrame, teams: DataFrame) -> Tables:
     return Tables(games=games, players=players, plays=plays, shots=shots, teams=teams)

@@ -133,7 +133,8 @@ def box_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lines(spark, sf_dir).drop("_surnames", "_given", "player_id")
 
 
-def plays(spark: SparkSession, sf_dir: str, bucket_minutes: int = 60) -> DataFrame:
+def plays(spark: SparkSession, sf_dir: str, bucket_minutes: int = 60,
+          lines: DataFrame | None = None) -> DataFrame:
     """Bronze play-by-play from events (B03 shape).
 
     Position in a game comes from a bucketed sequence (time buckets of
@@ -164,7 +165,7 @@ def plays(spark: SparkSession, sf_dir: str, bucket_minutes: int = 60) -> DataFra
     ev = ev.select(
         "game_id", "event_id", "num", quarter.alias("quarter"), X.clock_text(left).alias("time"),
         F.when(home_side, 1).otherwise(2).alias("team"), line.alias("line"), action.alias("action"))
-    box = lines(spark, sf_dir).select(
+    box = (lines if lines is not None else globals()["lines"](spark, sf_dir)).select(
         "game_id", "line", "player_id", "team_id",
         F.concat(F.substring("_given", 1, 1), F.lit(". "), F.col("_surnames")).alias("label"))
     d = ev.join(box, ["game_id", "line"], "left")
