@@ -701,3 +701,132 @@ def t05_top_scorers(spark, sf_dir):
 @register("a25_player_count", W("lines") + " SELECT count(DISTINCT player_name) AS players FROM players")
 def a25_player_count(spark, sf_dir):
     return E.player_count(tables(spark, sf_dir).players)
+
+
+# --- pages, ingestion, quality -------------------------------------------------
+
+from .plans import ingest as I  # noqa: E402
+from .plans import quality as Q  # noqa: E402
+from .sources import driver as D  # noqa: E402
+from .sources import pages as PG  # noqa: E402
+
+
+@register("h01_page_links", """
+WITH l AS (
+  SELECT page_id, unnest(regexp_extract_all(html, 'href="([^"]*)"', 1)) AS link,
+         generate_subscripts(regexp_extract_all(html, 'href="([^"]*)"', 1), 1) AS i
+  FROM pages),
+f AS (SELECT page_id, link, min(i) AS first_i FROM l GROUP BY page_id, link)
+SELECT page_id, CAST(row_number() OVER (PARTITION BY page_id ORDER BY first_i) - 1 AS INTEGER) AS position, link
+FROM f""")
+def h01_page_links(spark, sf_dir):
+    return PG.page_links(D.read(spark, sf_dir, "pages"), PG.ANY_LINK)
+
+
+@register("h01_game_links")
+def h01_game_links(spark, sf_dir):
+    return PG.page_links(D.read(spark, sf_dir, "pages"), PG.GAME_LINK)
+
+
+@register("h02_page_options")
+def h02_page_options(spark, sf_dir):
+    return PG.page_options(D.read(spark, sf_dir, "pages"), "grupos")
+
+
+@register("h03_page_header")
+def h03_page_header(spark, sf_dir):
+    return PG.page_header(D.read(spark, sf_dir, "pages"))
+
+
+@register("h04_page_box_scores")
+def h04_page_box_scores(spark, sf_dir):
+    return PG.page_box_scores(D.read(spark, sf_dir, "pages"))
+
+
+@register("q00_quality")
+def q00_quality(spark, sf_dir):
+    return Q.check(tables(spark, sf_dir))
+
+
+PLAN_SQL = W("headers") + """,
+plan AS (
+  SELECT h.game_id, h.competition, h.grp AS group_name,
+         CASE WHEN s.game_id IS NOT NULL THEN 'skipped' WHEN p.game_id IS NOT NULL THEN 'new'
+              ELSE 'pending' END AS status
+  FROM hdr h
+  LEFT JOIN (SELECT DISTINCT user_id AS game_id FROM events) s ON h.game_id = s.game_id
+  LEFT JOIN (SELECT DISTINCT l_orderkey AS game_id FROM lineitem) p ON h.game_id = p.game_id)"""
+
+
+def _plan(spark, sf_dir):
+    h = D.headers(spark, sf_dir).select("game_id", "competition", F.col("grp").alias("group_name"))
+    stored = D.read(spark, sf_dir, "events").select(F.col("user_id").alias("game_id"))
+    played = D.read(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("game_id"))
+    return I.plan_ingest(h, stored, played)
+
+
+@register("h06_plan_ingest", PLAN_SQL + " SELECT * FROM plan")
+def h06_plan_ingest(spark, sf_dir):
+    return _plan(spark, sf_dir)
+
+
+@register("h08_ingest_summary", PLAN_SQL + """
+SELECT competition, count(*) FILTER (WHERE status = 'new') AS new,
+       count(*) FILTER (WHERE status = 'skipped') AS skipped,
+       count(*) FILTER (WHERE status = 'pending') AS pending,
+       count(*) FILTER (WHERE status = 'failed') AS failed
+FROM plan GROUP BY ROLLUP (competition)""")
+def h08_ingest_summary(spark, sf_dir):
+    return I.ingest_summary(_plan(spark, sf_dir))
+
+
+AUDIT_VALID = ["1-urgent", "2-high", "3-medium", "4-not-specified"]
+AUDIT_RENAMES = {"5-low": "low"}
+AUDIT_BAD_GROUPS = ["P"]
+
+
+def _audit(spark, sf_dir):
+    g = tables(spark, sf_dir).games
+    return I.audit_taxonomy(I.raw_paths(g, slug_col=T.slug(F.col("competition"))),
+                            AUDIT_VALID, AUDIT_RENAMES, AUDIT_BAD_GROUPS)
+
+
+AUDIT_SQL = W("games") + f""",
+paths AS (
+  SELECT 'raw/competition=' || {slug_sql('competition')} || '/year=' || CAST(season AS VARCHAR)
+         || '/group=' || grp || '/game_id=' || CAST(game_id AS VARCHAR) || '.json' AS path FROM games),
+p1 AS (
+  SELECT path,
+    regexp_extract(path, 'competition=([^/]+)/year=(\\d+)/group=([^/]+)/game_id=(\\d+)\\.json$', 1) AS competition,
+    regexp_extract(path, 'competition=([^/]+)/year=(\\d+)/group=([^/]+)/game_id=(\\d+)\\.json$', 2) AS season,
+    regexp_extract(path, 'competition=([^/]+)/year=(\\d+)/group=([^/]+)/game_id=(\\d+)\\.json$', 3) AS grp,
+    regexp_extract(path, 'competition=([^/]+)/year=(\\d+)/group=([^/]+)/game_id=(\\d+)\\.json$', 4) AS gid
+  FROM paths),
+audit AS (
+  SELECT path, competition, season, grp, TRY_CAST(NULLIF(gid, '') AS BIGINT) AS game_id,
+    CASE WHEN competition = '5-low' THEN 'low' ELSE competition END AS target,
+    CASE WHEN gid = '' THEN 'drop:not_a_game'
+         WHEN competition NOT IN ('1-urgent', '2-high', '3-medium', '4-not-specified', '5-low') THEN 'drop:competition'
+         WHEN grp IN ('P') THEN 'drop:group' WHEN competition IN ('5-low') THEN 'move' ELSE 'keep' END AS action
+  FROM p1)"""
+
+
+@register("h12_audit_taxonomy", AUDIT_SQL + """
+SELECT *, CASE WHEN action = 'move' THEN regexp_replace(path, 'competition=[^/]+/', 'competition=' || target || '/') END AS new_path
+FROM audit""")
+def h12_audit_taxonomy(spark, sf_dir):
+    return _audit(spark, sf_dir)
+
+
+@register("h15_move_summary", AUDIT_SQL + """
+SELECT competition AS "from", target AS "to", action, count(*) AS paths FROM audit GROUP BY ALL""")
+def h15_move_summary(spark, sf_dir):
+    return I.move_summary(_audit(spark, sf_dir))
+
+
+@register("h13_collisions", AUDIT_SQL + """
+SELECT DISTINCT m.game_id, m.target AS competition FROM audit m
+WHERE m.action = 'move' AND EXISTS (SELECT 1 FROM audit k WHERE k.action = 'keep'
+  AND k.game_id = m.game_id AND k.competition = m.target)""")
+def h13_collisions(spark, sf_dir):
+    return I.collisions(_audit(spark, sf_dir))
