@@ -104,7 +104,7 @@ def shot_side(is_home) -> Column:
 
 def parse_date(text) -> Column:
     """dd/MM/yyyy -> date, NULL when it does not parse."""
-    return F.try_to_date(_c(text), F.lit("dd/MM/yyyy"))
+    return F.try_to_date(_c(text), "dd/MM/yyyy")
 
 
 def format_date(d) -> Column:
