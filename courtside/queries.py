@@ -830,3 +830,47 @@ WHERE m.action = 'move' AND EXISTS (SELECT 1 FROM audit k WHERE k.action = 'keep
   AND k.game_id = m.game_id AND k.competition = m.target)""")
 def h13_collisions(spark, sf_dir):
     return I.collisions(_audit(spark, sf_dir))
+
+
+# --- presentation and nested forms (row checks only) ---------------------------
+
+from .sources import lake as LK  # noqa: E402
+
+
+@register("f05_display_names")
+def f05_display_names(spark, sf_dir):
+    p = tables(spark, sf_dir).players
+    names = p.select("player_name").distinct()
+    return names.select("player_name", T.slug(F.col("player_name")).alias("slug"),
+                        T.display_name(F.col("player_name")).alias("display_name"))
+
+
+@register("f06_team_display_names")
+def f06_team_display_names(spark, sf_dir):
+    p = tables(spark, sf_dir).players
+    return p.select("team").distinct().select("team", T.slug(F.col("team")).alias("team_key"),
+                                              T.team_display_name(F.col("team")).alias("display_name"))
+
+
+@register("a14_zone_map")
+def a14_zone_map(spark, sf_dir):
+    t = tables(spark, sf_dir)
+    return S.zone_map(t.players, t.shots)
+
+
+@register("j16_induced_nodes")
+def j16_induced_nodes(spark, sf_dir):
+    t = tables(spark, sf_dir)
+    return PBP.induced_nodes(PBP.assist_edges(t.plays, t.games), k=10)
+
+
+@register("s10_wide_box_score")
+def s10_wide_box_score(spark, sf_dir):
+    t = tables(spark, sf_dir)
+    return LK.wide_box_score(LK.docs_from_tables(t.players, t.games))
+
+
+@register("b02_bronze_players_from_documents")
+def b02_bronze_players_from_documents(spark, sf_dir):
+    t = tables(spark, sf_dir)
+    return LK.bronze_players(LK.docs_from_tables(t.players, t.games))

@@ -63,3 +63,12 @@ def test_incremental_stream(spark, t):
     q = incremental.load_bronze(spark, raw, out, ckpt, once=True)
     q.awaitTermination(300)
     assert incremental.read_bronze(spark, out, "players").count() == got
+
+
+def test_publish_marts(spark, t):
+    from courtside.plans.marts import publish_marts
+    path = tempfile.mkdtemp(prefix="cs-marts-")
+    publish_marts(t, path)
+    p = spark.read.json(f"{path}/players")
+    assert p.count() == t.players.select("competition", "season", "player_name").distinct().count()
+    assert "zones" in p.columns and "per_game" in p.columns
