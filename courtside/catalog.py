@@ -10,6 +10,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 import hashlib
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -51,7 +52,7 @@ def _fingerprint(spark: SparkSession, sf_dir: str) -> str:
     return hashlib.sha1("|".join(parts).encode()).hexdigest()[:16]
 
 
-def tables(spark: SparkSession, sf_dir: str) -> Tables:
+def tables(spark: SparkSession, sf_dir: str, fresh: bool = False) -> Tables:
     """The five layer tables for a driver folder, built once and written.
 
     Like the reference's lakehouse, the silver/gold layers are written
@@ -61,9 +62,11 @@ def tables(spark: SparkSession, sf_dir: str) -> Tables:
     without that setting gets a scratch folder of its own.
     """
     key = (spark.sparkContext.applicationId, sf_dir)
-    if key in _BUILT:
+    if key in _BUILT and not fresh:
         return _BUILT[key]
     root = f"{checkpoint_dir(spark)}/courtside-layers/{_fingerprint(spark, sf_dir)}"
+    if fresh:  # a new folder: measure (or redo) the whole build
+        root += "-" + uuid.uuid4().hex[:8]
     _BUILT[key] = build_layers(spark, sf_dir, root, lambda p: _fs_exists(spark, p))
     return _BUILT[key]
 

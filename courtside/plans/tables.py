@@ -1,6 +1,7 @@
 """The five serving tables as one bundle, from any source."""
 from __future__ import annotations
 
+import time
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
@@ -28,6 +29,9 @@ def from_driver(spark: SparkSession, sf_dir: str) -> Tables:
                   shots=shots, teams=teams)
 
 
+TIMINGS: dict[str, float] = {}
+
+
 def build_layers(spark: SparkSession, sf_dir: str, root: str, exists) -> Tables:
     """Bronze -> silver -> gold as written tables, each stage reading the
     previous stage's output (no sub-plan is computed twice)."""
@@ -35,7 +39,9 @@ def build_layers(spark: SparkSession, sf_dir: str, root: str, exists) -> Tables:
     def stage(name: str, make) -> DataFrame:
         path = f"{root}/{name}"
         if not exists(f"{path}/_SUCCESS"):
+            t0 = time.time()
             make().write.mode("overwrite").parquet(path)
+            TIMINGS[name] = round(time.time() - t0, 3)
         return spark.read.parquet(path)
 
     lines = stage("bronze_lines", lambda: driver.lines(spark, sf_dir))
