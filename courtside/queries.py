@@ -874,3 +874,89 @@ def s10_wide_box_score(spark, sf_dir):
 def b02_bronze_players_from_documents(spark, sf_dir):
     t = tables(spark, sf_dir)
     return LK.bronze_players(LK.docs_from_tables(t.players, t.games))
+
+
+# --- ad-hoc SQL over the serving tables, presentation --------------------------
+
+from .plans import present as PR  # noqa: E402
+
+
+def _views(spark, sf_dir):
+    t = tables(spark, sf_dir)
+    for name in ("games", "players", "plays", "shots", "teams"):
+        getattr(t, name).createOrReplaceTempView(f"cs_{name}")
+
+
+@register("s16_sql_top_rating", W("lines") + """
+SELECT * FROM (
+  SELECT competition, season, game_id, player_name, team, val,
+         CAST(row_number() OVER (PARTITION BY competition, season, game_id
+              ORDER BY val DESC, player_name) AS INTEGER) AS position
+  FROM players) WHERE position <= 5""")
+def s16_sql_top_rating(spark, sf_dir):
+    """Top 5 by rating in every game, as SQL over temp views."""
+    _views(spark, sf_dir)
+    return spark.sql("""
+      SELECT * FROM (
+        SELECT competition, season, game_id, player_name, team, val,
+               row_number() OVER (PARTITION BY competition, season, game_id
+                                  ORDER BY val DESC, player_name) AS position
+        FROM cs_players) WHERE position <= 5""")
+
+
+@register("s16_sql_team_shooting", W("teams") + """
+SELECT competition, season, team_name, CAST(sum(t2m + t3m) AS BIGINT) AS fgm, CAST(sum(t2a + t3a) AS BIGINT) AS fga,
+       CAST(sum(t2m + t3m) AS DOUBLE) / sum(t2a + t3a) AS fg_pct
+FROM teams GROUP BY competition, season, team_name""")
+def s16_sql_team_shooting(spark, sf_dir):
+    """Per-team shooting, as SQL over temp views."""
+    _views(spark, sf_dir)
+    return spark.sql("""
+      SELECT competition, season, team_name, sum(t2m + t3m) AS fgm, sum(t2a + t3a) AS fga,
+             CAST(sum(t2m + t3m) AS DOUBLE) / sum(t2a + t3a) AS fg_pct
+      FROM cs_teams GROUP BY competition, season, team_name""")
+
+
+@register("s16_sql_game_summary", W("games") + """
+SELECT competition, season, count(*) AS games, CAST(sum(home_score + away_score) AS BIGINT) AS points,
+       count(*) FILTER (WHERE home_score > away_score) AS home_wins
+FROM games GROUP BY competition, season""")
+def s16_sql_game_summary(spark, sf_dir):
+    """Game summary per context, as SQL over temp views."""
+    _views(spark, sf_dir)
+    return spark.sql("""
+      SELECT competition, season, count(*) AS games, sum(home_score + away_score) AS points,
+             count_if(home_score > away_score) AS home_wins
+      FROM cs_games GROUP BY competition, season""")
+
+
+@register("t02_leaders_page2", W("lines") + f""",
+agg AS ({LEADER_BODY.format(where='')}),
+pool AS (SELECT {LEADER_COLS} FROM agg WHERE games >= 6 AND avg_min >= 15)
+SELECT * FROM (
+  SELECT *, CAST(row_number() OVER (PARTITION BY competition, season
+              ORDER BY avg_val DESC, player_name) AS INTEGER) AS position FROM pool)
+WHERE position > 10 AND position <= 20""")
+def t02_leaders_page2(spark, sf_dir):
+    """Second page of 10 leaders per context (offset 10)."""
+    return league.leaders(tables(spark, sf_dir).players, limit=10, offset=10)
+
+
+@register("f29_leaders_presented")
+def f29_leaders_presented(spark, sf_dir):
+    """the leaders page rounded for display."""
+    return PR.present(league.leaders(tables(spark, sf_dir).players))
+
+
+@register("f30_player_sheet_json")
+def f30_player_sheet_json(spark, sf_dir):
+    """player sheets as one JSON answer per player."""
+    return PR.as_json(S.player_sheet(tables(spark, sf_dir).players), ["competition", "season", "slug"])
+
+
+@register("s11_wide_team_lines")
+def s11_wide_team_lines(spark, sf_dir):
+    """Team box lines with the game header repeated (from the silver
+    team rows joined to their game)."""
+    t = tables(spark, sf_dir)
+    return t.teams.join(t.games.drop("competition", "season"), "game_id")

@@ -72,3 +72,29 @@ def test_publish_marts(spark, t):
     p = spark.read.json(f"{path}/players")
     assert p.count() == t.players.select("competition", "season", "player_name").distinct().count()
     assert "zones" in p.columns and "per_game" in p.columns
+
+
+def test_export_and_schema_evolution(spark, t):
+    root = tempfile.mkdtemp(prefix="cs-export-")
+    lake.export_flat(t, root)
+    g = spark.read.parquet(f"{root}/games")
+    assert g.count() == t.games.count() and "season" in g.columns
+    # additive column on a new partition; old files read with mergeSchema
+    lake.write_table(t.games.limit(5), root, "serving", "g2")
+    last = t.games.agg(F.max("season")).first()[0]
+    newer = t.games.filter(F.col("season") == last).limit(3).withColumn("venue", F.lit("X"))
+    lake.write_table(newer, root, "serving", "g2")
+    merged = lake.read_table(spark, root, "serving", "g2", merge_schema=True)
+    assert "venue" in merged.columns
+
+
+def test_wide_lines_and_renames(spark, t):
+    from courtside.plans import ingest as I
+    docs = _docs(t)
+    wl = lake.wide_lines(docs, "plays")
+    assert wl.count() == 0 and "game_id" in wl.columns
+    renamed = I.apply_renames(docs, {t.games.select("competition").first()[0]: "renamed"})
+    assert renamed.filter(F.col("competition") == "renamed").count() > 0
+    audit = I.audit_taxonomy(
+        I.raw_paths(t.games), valid=[], renames={}, bad_groups=[])
+    assert audit.filter(F.col("action") == "drop:competition").count() == t.games.count()
