@@ -73,7 +73,7 @@ def display_name(raw) -> Column:
 
 def _is_acronym(word: Column) -> Column:
     letters = F.regexp_replace(word, r"[^\p{L}]", "")
-    vowels = "(?i)[" + VOWELS + "]"
+    vowels = "(?iu)[" + VOWELS + "]"
     return word.contains(".") | ((F.length(letters) > 0) & (F.length(letters) <= 4) & ~letters.rlike(vowels))
 
 

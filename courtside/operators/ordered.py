@@ -35,18 +35,20 @@ def bucket_of(seq: Column, size: int = 4096) -> Column:
 
 
 def sequence(df: DataFrame, keys: Sequence[str], order: Sequence, bucket: Column,
-             name: str = "seq") -> DataFrame:
+             name: str = "seq", total: str | None = None) -> DataFrame:
     """``row_number() over (partition by keys order by order)``, bucketed.
 
     ``bucket`` must not decrease along ``order`` within a key; ``order``
     must be a total order within the key (ties make any numbering valid,
-    as with row_number).
+    as with row_number). With ``total`` the key's row count comes along
+    (from the bucket counts, no second pass over the rows).
     """
     keys = list(keys)
     d = df.withColumn(_B, bucket)
     counts = d.groupBy(*keys, _B).agg(F.count(F.lit(1)).alias("__n"))
     before = Window.partitionBy(*keys).orderBy(_B).rowsBetween(Window.unboundedPreceding, -1)
-    offsets = counts.select(*keys, _B, F.coalesce(F.sum("__n").over(before), F.lit(0)).alias(_OFF))
+    extra = [F.sum("__n").over(Window.partitionBy(*keys)).alias(total)] if total else []
+    offsets = counts.select(*keys, _B, F.coalesce(F.sum("__n").over(before), F.lit(0)).alias(_OFF), *extra)
     d = d.join(offsets, keys + [_B], "inner")
     within = Window.partitionBy(*keys, _B).orderBy(*_cols(order))
     return d.withColumn(name, (F.col(_OFF) + F.row_number().over(within)).cast("long")).drop(_B, _OFF)

@@ -49,7 +49,8 @@ def build_layers(spark: SparkSession, sf_dir: str, root: str, exists) -> Tables:
     players = stage("players", lambda: clean.clean_players(lines.drop("_surnames", "_given", "player_id")))
     games = stage("games", lambda: model.fact_games(players))
     teams = stage("teams", lambda: clean.clean_teams(clean.team_box(players)))
-    plays = stage("plays", lambda: clean.clean_plays(raw_plays, players))
+    linked = stage("plays_linked", lambda: clean.link_assists(clean.classify_plays(raw_plays)))
+    plays = stage("plays", lambda: clean.resolve_names(linked, players))
     shots = stage("shots", lambda: model.fact_shots(clean.clean_shots(driver.shots(spark, sf_dir, raw_plays))))
     return Tables(games=games, players=players, plays=plays, shots=shots, teams=teams)
 

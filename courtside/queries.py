@@ -723,17 +723,60 @@ def h01_page_links(spark, sf_dir):
     return PG.page_links(D.read(spark, sf_dir, "pages"), PG.ANY_LINK)
 
 
-@register("h01_game_links")
+@register("h01_game_links", r"""
+WITH l AS (
+  SELECT page_id, unnest(regexp_extract_all(html, 'Partido\.aspx\?p=(\d+)', 1)) AS link,
+         generate_subscripts(regexp_extract_all(html, 'Partido\.aspx\?p=(\d+)', 1), 1) AS i
+  FROM pages),
+f AS (SELECT page_id, link, min(i) AS first_i FROM l GROUP BY page_id, link)
+SELECT page_id, CAST(row_number() OVER (PARTITION BY page_id ORDER BY first_i) - 1 AS INTEGER) AS position, link
+FROM f""")
 def h01_game_links(spark, sf_dir):
     return PG.page_links(D.read(spark, sf_dir, "pages"), PG.GAME_LINK)
 
 
-@register("h02_page_options")
+@register("h02_page_options", r"""
+WITH b AS (
+  SELECT page_id, regexp_extract(html, '(?is)<select[^>]*name="[^"]*grupos[^"]*"[^>]*>(.*?)</select>', 1) AS block
+  FROM pages),
+o AS (
+  SELECT page_id,
+         unnest(regexp_extract_all(block, '<option[^>]*value="([^"]*)"[^>]*>([^<]*)</option>', 1)) AS v,
+         unnest(regexp_extract_all(block, '<option[^>]*value="([^"]*)"[^>]*>([^<]*)</option>', 2)) AS l,
+         generate_subscripts(regexp_extract_all(block, '<option[^>]*value="([^"]*)"[^>]*>([^<]*)</option>', 1), 1) - 1 AS position
+  FROM b)
+SELECT page_id, CAST(position AS INTEGER) AS position, v AS value, trim(replace(replace(replace(replace(replace(replace(o.l, '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#39;', ''''), '&nbsp;', ' '), '&amp;', '&')) AS label
+FROM o WHERE v <> ''""")
 def h02_page_options(spark, sf_dir):
     return PG.page_options(D.read(spark, sf_dir, "pages"), "grupos")
 
 
-@register("h03_page_header")
+H03_SQL = r"""
+WITH p0 AS (
+  SELECT page_id, url, html,
+         regexp_replace(regexp_replace(regexp_replace(html, '(?is)<script[^>]*>.*?</script>', ' ', 'g'),
+                        '(?is)<style[^>]*>.*?</style>', ' ', 'g'), '<[^>]+>', ' ', 'g') AS t0
+  FROM pages),
+p AS (
+  SELECT page_id, url, trim(regexp_replace(replace(replace(replace(replace(replace(replace(t0, '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#39;', ''''), '&nbsp;', ' '), '&amp;', '&'), '\s+', ' ', 'g')) AS t,
+         regexp_extract_all(html, 'Equipo\.aspx\?i=[^"]*"[^>]*>([^<]+)<', 1) AS teams
+  FROM p0),
+q AS (SELECT *, coalesce(trim(teams[1]), '') AS home_team, coalesce(trim(teams[2]), '') AS away_team FROM p)
+SELECT TRY_CAST(NULLIF(regexp_extract(url, '(?:partido/|p=)(\d+)', 1), '') AS BIGINT) AS game_id, page_id,
+  regexp_extract(t, 'Fecha\s+(\d{2}/\d{2}/\d{4})', 1) AS date,
+  regexp_extract(t, 'Fecha\s+\d{2}/\d{2}/\d{4}\s*-\s*(\d{2}:\d{2})', 1) AS time,
+  trim(regexp_extract(t, 'Pista\s+(\S+(?:\s+\S+)*?)\s*%', 1)) AS venue,
+  home_team, away_team,
+  CASE WHEN home_team <> '' AND away_team <> '' THEN coalesce(TRY_CAST(NULLIF(regexp_extract(t,
+    '\Q' || home_team || '\E\s+(\d+)\s+p\s+(\d+)\s+\Q' || away_team || '\E', 1), '') AS INTEGER), 0)
+    ELSE 0 END AS home_score,
+  CASE WHEN home_team <> '' AND away_team <> '' THEN coalesce(TRY_CAST(NULLIF(regexp_extract(t,
+    '\Q' || home_team || '\E\s+(\d+)\s+p\s+(\d+)\s+\Q' || away_team || '\E', 2), '') AS INTEGER), 0)
+    ELSE 0 END AS away_score
+FROM q"""
+
+
+@register("h03_page_header", H03_SQL)
 def h03_page_header(spark, sf_dir):
     return PG.page_header(D.read(spark, sf_dir, "pages"))
 
@@ -837,7 +880,24 @@ def h13_collisions(spark, sf_dir):
 from .sources import lake as LK  # noqa: E402
 
 
-@register("f05_display_names")
+def _title_sql(x: str) -> str:
+    return (f"array_to_string(list_transform(regexp_extract_all({x}, '(\\p{{L}}+|[^\\p{{L}}]+)', 1), "
+            "lambda t: CASE WHEN regexp_matches(t, '^\\p{L}') THEN upper(t[1]) || lower(t[2:]) ELSE t END), '')")
+
+
+def _capseg_sql(x: str) -> str:
+    return (f"array_to_string(list_transform(regexp_extract_all({x}, '([-''’]|[^-''’]+)', 1), "
+            "lambda p: CASE WHEN regexp_matches(p, '^\\p{L}') THEN upper(p[1]) || p[2:] ELSE p END), '')")
+
+
+@register("f05_display_names", W("lines") + f""",
+m AS (SELECT player_name, trim(coalesce(player_name, '')) AS nm FROM (SELECT DISTINCT player_name FROM players))
+SELECT player_name, {slug_sql('player_name')} AS slug,
+  CASE WHEN nm = '' THEN ''
+       WHEN contains(nm, ',') THEN {_title_sql("trim(regexp_replace(nm, '^[^,]*,', ''))")} || ' '
+            || {_title_sql("trim(split_part(nm, ',', 1))")}
+       ELSE {_title_sql('nm')} END AS display_name
+FROM m""")
 def f05_display_names(spark, sf_dir):
     p = tables(spark, sf_dir).players
     names = p.select("player_name").distinct()
@@ -845,7 +905,15 @@ def f05_display_names(spark, sf_dir):
                         T.display_name(F.col("player_name")).alias("display_name"))
 
 
-@register("f06_team_display_names")
+@register("f06_team_display_names", W("lines") + f"""
+SELECT team, {slug_sql('team')} AS team_key,
+  CASE WHEN team IS NULL OR team = '' THEN '' ELSE array_to_string(list_transform(string_split_regex(team, '\\s+'),
+    lambda w, i: CASE
+      WHEN contains(w, '.') OR (length(regexp_replace(w, '[^\\p{{L}}]', '', 'g')) BETWEEN 1 AND 4
+           AND NOT regexp_matches(regexp_replace(w, '[^\\p{{L}}]', '', 'g'), '(?i)[aeiouyáéíóúàèìòùäëïöü]')) THEN upper(w)
+      WHEN i > 1 AND lower(w) IN ('de', 'del', 'y', 'i', 'da', 'do') THEN lower(w)
+      ELSE {_capseg_sql('lower(w)')} END), ' ') END AS display_name
+FROM (SELECT DISTINCT team FROM players)""")
 def f06_team_display_names(spark, sf_dir):
     p = tables(spark, sf_dir).players
     return p.select("team").distinct().select("team", T.slug(F.col("team")).alias("team_key"),

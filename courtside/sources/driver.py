@@ -145,9 +145,7 @@ def plays(spark: SparkSession, sf_dir: str, bucket_minutes: int = 60,
         F.col("user_id").alias("game_id"), "event_id", "ts", "event_type")
     ev = ordered.sequence(ev, ["game_id"], ["ts", "event_id"],
                           F.date_trunc("hour", F.col("ts")) if bucket_minutes >= 60
-                          else F.date_trunc("minute", F.col("ts")), name="num")
-    n = ev.groupBy("game_id").agg(F.count(F.lit(1)).alias("n_plays"))
-    ev = ev.join(n, "game_id")
+                          else F.date_trunc("minute", F.col("ts")), name="num", total="n_plays")
     g, e, num = F.col("game_id"), F.col("event_id"), F.col("num")
     periods = F.when(g % 5 == 0, 5).otherwise(4)
     pair = F.floor((num - 1) / 2)
