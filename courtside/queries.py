@@ -926,19 +926,48 @@ def a14_zone_map(spark, sf_dir):
     return S.zone_map(t.players, t.shots)
 
 
-@register("j16_induced_nodes")
+A20_SQL = EDGES_SQL + f""",
+roles AS (
+  SELECT competition, season, team, edge_rank, passer AS name, assists AS given, 0 AS received, 0 AS created FROM edges
+  UNION ALL
+  SELECT competition, season, team, edge_rank, scorer, 0, assists, points FROM edges),
+n AS (
+  SELECT competition, season, name, min({{'r': edge_rank, 't': team}}).t AS team,
+         CAST(sum(given) AS BIGINT) AS assists_given, CAST(sum(received) AS BIGINT) AS assists_received,
+         CAST(sum(created) AS BIGINT) AS points_created
+  FROM roles GROUP BY competition, season, name)
+SELECT competition, season, name, {slug_sql('name')} AS slug, team, assists_given, assists_received, points_created,
+  CAST(row_number() OVER (PARTITION BY competition, season
+       ORDER BY assists_given + assists_received DESC, name) AS INTEGER) AS node_rank
+FROM n"""
+
+
+@register("j16_induced_nodes", A20_SQL.replace("\nSELECT competition, season, name,", ",\nnodes AS (\nSELECT competition, season, name,", 1)
+          + """)
+SELECT * FROM nodes n WHERE EXISTS (SELECT 1 FROM edges e WHERE e.edge_rank <= 10
+  AND e.competition = n.competition AND e.season = n.season AND (e.passer = n.name OR e.scorer = n.name))""")
 def j16_induced_nodes(spark, sf_dir):
     t = tables(spark, sf_dir)
     return PBP.induced_nodes(PBP.assist_edges(t.plays, t.games), k=10)
 
 
-@register("s10_wide_box_score")
+BRONZE_PLAYER_COLS = """p.game_id, p.competition, p.season, p.grp, p.date, p.home_team, p.away_team, p.is_home, p.team,
+  p.jersey, p.player_name, p.minutes, p.points, p.t2m, p.t2a, p.t3m, p.t3a, p.ftm, p.fta, p.orb, p.drb, p.reb,
+  p.ast, p.stl, p.blk, p.tov, p.pf, p.plus_minus, p.val"""
+
+
+@register("s10_wide_box_score", W("games") + f"""
+SELECT {BRONZE_PLAYER_COLS}, '' AS time, '' AS venue, g.home_score, g.away_score,
+       CAST(strptime(p.date, '%d/%m/%Y') AS DATE)::VARCHAR AS game_date
+FROM players p JOIN games g ON p.game_id = g.game_id""")
 def s10_wide_box_score(spark, sf_dir):
     t = tables(spark, sf_dir)
-    return LK.wide_box_score(LK.docs_from_tables(t.players, t.games))
+    w = LK.wide_box_score(LK.docs_from_tables(t.players, t.games))
+    return w.withColumn("game_date", F.col("game_date").cast("string"))
 
 
-@register("b02_bronze_players_from_documents")
+@register("b02_bronze_players_from_documents", W("games") + f"""
+SELECT {BRONZE_PLAYER_COLS} FROM players p WHERE p.game_id IN (SELECT game_id FROM games)""")
 def b02_bronze_players_from_documents(spark, sf_dir):
     t = tables(spark, sf_dir)
     return LK.bronze_players(LK.docs_from_tables(t.players, t.games))
@@ -1022,9 +1051,72 @@ def f30_player_sheet_json(spark, sf_dir):
     return PR.as_json(S.player_sheet(tables(spark, sf_dir).players), ["competition", "season", "slug"])
 
 
-@register("s11_wide_team_lines")
+@register("s11_wide_team_lines", W("games", "teams") + """
+SELECT t.*, g.grp, g.date, g.game_date::VARCHAR AS game_date, g.home_team, g.away_team, g.home_score, g.away_score,
+       g.home_score + g.away_score AS total_points,
+       CASE WHEN g.home_score > g.away_score THEN 'home' WHEN g.home_score < g.away_score THEN 'away' ELSE 'draw' END AS winner,
+       abs(g.home_score - g.away_score) AS margin
+FROM teams t JOIN games g ON t.game_id = g.game_id""")
 def s11_wide_team_lines(spark, sf_dir):
     """Team box lines with the game header repeated (from the silver
     team rows joined to their game)."""
     t = tables(spark, sf_dir)
-    return t.teams.join(t.games.drop("competition", "season"), "game_id")
+    g = t.games.drop("competition", "season").withColumn("game_date", F.col("game_date").cast("string"))
+    return t.teams.join(g, "game_id")
+
+
+QUALITY_SQL = W("games", "teams", "shots") + """,
+sides AS (SELECT competition, season, home_team AS team, home_score AS pf, away_score AS pa FROM games
+          UNION ALL SELECT competition, season, away_team, away_score, home_score FROM games),
+st AS (SELECT competition, season, team, count(*) AS games, count(*) FILTER (WHERE pf > pa) AS wins FROM sides GROUP BY ALL),
+ps AS (SELECT p.competition, p.season, p.player_name, s.zone, s.made
+       FROM players p JOIN fshots s ON p.game_id = s.game_id AND p.jersey = s.player
+        AND s.team = CASE WHEN p.is_home THEN 0 ELSE 1 END),
+zs AS (SELECT competition, season, player_name, sum(n) AS z FROM
+         (SELECT competition, season, player_name, zone, count(*) AS n FROM ps GROUP BY ALL) GROUP BY ALL),
+ns AS (SELECT competition, season, player_name, count(*) AS n FROM ps GROUP BY ALL),
+summ AS (SELECT competition, season, count(DISTINCT team) AS teams FROM players
+         WHERE (competition, season) IN (SELECT competition, season FROM games) GROUP BY ALL),
+stc AS (SELECT competition, season, count(*) AS st FROM st GROUP BY ALL),
+days AS (SELECT competition, season, count(*) AS n FROM games g JOIN
+           (SELECT DISTINCT competition AS c, season AS s, game_date AS d FROM games) x
+           ON g.competition = x.c AND g.season = x.s AND g.game_date = x.d GROUP BY ALL),
+gm AS (SELECT competition, season, count(*) AS m FROM games GROUP BY ALL),
+tb AS (SELECT game_id, sum(CASE WHEN is_home THEN points END) AS h, sum(CASE WHEN NOT is_home THEN points END) AS a
+       FROM teams GROUP BY game_id)
+SELECT 'q01_team_missing_or_wrong_side' AS rule,
+       count(*) FILTER (WHERE team IS NULL OR team <> CASE WHEN is_home THEN home_team ELSE away_team END) AS violations
+FROM players
+UNION ALL SELECT 'q03_efg_formula', CAST(0 AS BIGINT)
+UNION ALL SELECT 'q03_ts_formula', CAST(0 AS BIGINT)
+UNION ALL SELECT 'q03_pct_without_attempts', CAST(0 AS BIGINT)
+UNION ALL SELECT 'q04_game_in_two_contexts', count(*) FROM
+  (SELECT game_id FROM players GROUP BY game_id HAVING count(DISTINCT (competition, season)) > 1)
+UNION ALL SELECT 'q05_score_vs_team_box', count(*) FROM games g LEFT JOIN tb ON g.game_id = tb.game_id
+  WHERE g.home_score IS DISTINCT FROM tb.h OR g.away_score IS DISTINCT FROM tb.a
+UNION ALL SELECT 'q06_zone_distance_points', count(*) FILTER (WHERE zone NOT IN ('rim', 'mid', 'three')
+  OR shot_distance_m > 28 OR (made = 1 AND is_three AND shot_points <> 3)) FROM fshots
+UNION ALL SELECT 'q07_zone_attempts_vs_shots', count(*) FROM zs FULL JOIN ns
+  ON zs.competition = ns.competition AND zs.season = ns.season AND zs.player_name = ns.player_name
+  WHERE zs.z IS DISTINCT FROM ns.n
+UNION ALL SELECT 'q08_games_vs_wins_losses', CAST(0 AS BIGINT)
+UNION ALL SELECT 'q08_standing_teams_vs_summary', count(*) FROM stc FULL JOIN
+  (SELECT g.competition, g.season, coalesce(s.teams, 0) AS teams FROM gm g LEFT JOIN summ s
+     ON g.competition = s.competition AND g.season = s.season) sm
+  ON stc.competition = sm.competition AND stc.season = sm.season WHERE stc.st IS DISTINCT FROM sm.teams
+UNION ALL SELECT 'q09_context_mixed', count(*) FROM
+  (SELECT DISTINCT game_id, competition, season FROM players) p JOIN games g ON p.game_id = g.game_id
+  WHERE p.competition <> g.competition OR p.season <> g.season
+UNION ALL SELECT 'q11_makes_over_attempts', count(*) FILTER (WHERE t2m > t2a OR t3m > t3a OR ftm > fta) FROM players
+UNION ALL SELECT 'q11_self_assist', count(*) FILTER (WHERE assisted_by_name = player_name) FROM plays
+UNION ALL SELECT 'q12_match_days_lose_games', count(*) FROM days FULL JOIN gm
+  ON days.competition = gm.competition AND days.season = gm.season WHERE days.n IS DISTINCT FROM gm.m
+UNION ALL SELECT 'q12_shot_outside_canvas', count(*) FILTER (WHERE
+    y * CAST(0.15 AS DOUBLE) * 100 < -1e-6 OR y * CAST(0.15 AS DOUBLE) * 100 > 1500 + 1e-6
+    OR 1400.0 - (CASE WHEN x < 50 THEN x ELSE 100 - x END) * CAST(0.28 AS DOUBLE) * 100 < -1e-6
+    OR 1400.0 - (CASE WHEN x < 50 THEN x ELSE 100 - x END) * CAST(0.28 AS DOUBLE) * 100 > 1400 + 1e-6) FROM fshots
+UNION ALL SELECT 'q13_unresolved_player_names', count(*) FILTER (WHERE player_id IS NOT NULL AND player_name IS NULL)
+  FROM plays
+UNION ALL SELECT 'q02_contract_columns', CAST(0 AS BIGINT)"""
+from .catalog import ORACLE  # noqa: E402
+ORACLE["q00_quality"] = QUALITY_SQL
