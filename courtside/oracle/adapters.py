@@ -143,7 +143,7 @@ ev5 AS (
               WHEN action = 'fthrow' AND made_b THEN 1 ELSE 0 END AS pts
   FROM ev4),
 raw_plays AS (
-  SELECT game_id, num, quarter, time, text, team, action, player_id, team_id, event_id,
+  SELECT game_id, CAST(num AS INTEGER) AS num, quarter, time, text, team, action, player_id, team_id, event_id,
          CAST(CASE WHEN pts > 0 THEN sum(CASE WHEN team = 1 THEN pts ELSE 0 END) OVER w ELSE 0 END AS INTEGER) AS scoreA,
          CAST(CASE WHEN pts > 0 THEN sum(CASE WHEN team <> 1 THEN pts ELSE 0 END) OVER w ELSE 0 END AS INTEGER) AS scoreB
   FROM ev5

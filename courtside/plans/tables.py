@@ -48,7 +48,8 @@ def build_layers(spark: SparkSession, sf_dir: str, root: str, exists) -> Tables:
     raw_plays = stage("bronze_plays", lambda: driver.plays(spark, sf_dir, lines=lines))
     players = stage("players", lambda: clean.clean_players(lines.drop("_surnames", "_given", "player_id")))
     games = stage("games", lambda: model.fact_games(players))
-    teams = stage("teams", lambda: clean.clean_teams(clean.team_box(players)))
+    # team rows are grouped by (game, side, team): one per (game, team id)
+    teams = stage("teams", lambda: clean.clean_teams(clean.team_box(players), unique=True))
     linked = stage("plays_linked", lambda: clean.link_assists(clean.classify_plays(raw_plays)))
     plays = stage("plays", lambda: clean.resolve_names(linked, players))
     shots = stage("shots", lambda: model.fact_shots(clean.clean_shots(driver.shots(spark, sf_dir, raw_plays))))
