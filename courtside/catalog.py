@@ -40,11 +40,26 @@ def _fs_exists(spark: SparkSession, path: str) -> bool:
     return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p)
 
 
+def _code_version() -> str:
+    """Hash of the modules that define the layer tables: a code change
+    gives new layer folders instead of reusing stale ones."""
+    import pathlib
+    here = pathlib.Path(__file__).parent
+    files = ["sources/driver.py", "operators/clean.py", "operators/model.py", "operators/dedupe.py",
+             "operators/ordered.py", "plans/tables.py", "functions/expr.py", "functions/text.py",
+             "functions/rules.py"]
+    h = hashlib.sha1()
+    for f in files:
+        h.update((here / f).read_bytes())
+    return h.hexdigest()[:8]
+
+
 def _fingerprint(spark: SparkSession, sf_dir: str) -> str:
-    """Identity of the inputs: path, size and change time of each table."""
+    """Identity of the inputs (path, size and change time of each table)
+    and of the code that builds the layers."""
     jvm = spark.sparkContext._jvm
     conf = spark.sparkContext._jsc.hadoopConfiguration()
-    parts = [sf_dir]
+    parts = [sf_dir, _code_version()]
     for name in ("orders", "lineitem", "events"):
         p = jvm.org.apache.hadoop.fs.Path(f"{sf_dir}/{name}.parquet")
         st = p.getFileSystem(conf).getFileStatus(p)
