@@ -208,10 +208,21 @@ def wide_lines(docs: DataFrame, kind: str) -> DataFrame:
     return d.select("*", "line.*").drop("line")
 
 
-def docs_from_tables(players: DataFrame, games: DataFrame) -> DataFrame:
+def docs_from_tables(players: DataFrame, games: DataFrame, max_rows: int = 64) -> DataFrame:
     """Nested documents from flat tables (header + both rosters), for
-    writing a raw store of known content. One document per game, as in
-    the source data model."""
+    writing a raw store of known content.
+
+    A game normally gives one document, as in the source data model; a
+    game with more than ``max_rows`` player rows is split into several
+    documents of at most ``max_rows`` rows (same header), so no single
+    group ever gathers an unbounded list. Readers are unaffected: bronze
+    explodes every document and de-duplicates headers by game id.
+    """
+    from ..operators import ordered
+    h = F.abs(F.xxhash64("player_name", "jersey", "is_home")) % 1024
+    players = ordered.sequence(players.withColumn("_h", h), ["game_id"],
+                               ["_h", "is_home", "player_name", "jersey"], F.col("_h"), "_pos")
+    players = players.withColumn("_chunk", F.floor((F.col("_pos") - 1) / max_rows))
     pcols = [F.col("jersey"), F.col("player_name").alias("name"), F.lit("").alias("player_id"),
              F.col("minutes"), F.col("points"),
              F.col("t2m").alias("two_points_made"), F.col("t2a").alias("two_points_attempted"),
@@ -221,7 +232,7 @@ def docs_from_tables(players: DataFrame, games: DataFrame) -> DataFrame:
              F.col("reb").alias("total_rebounds"), F.col("ast").alias("assists"), F.col("stl").alias("steals"),
              F.col("blk").alias("blocks"), F.col("tov").alias("turnovers"), F.col("pf").alias("fouls"),
              F.col("plus_minus"), F.col("val").alias("efficiency")]
-    rosters = players.groupBy("game_id").agg(
+    rosters = players.groupBy("game_id", "_chunk").agg(
         F.filter(F.collect_list(F.when(F.col("is_home"), F.struct(*pcols))), lambda x: x.isNotNull()).alias("players_home"),
         F.filter(F.collect_list(F.when(~F.col("is_home"), F.struct(*pcols))), lambda x: x.isNotNull()).alias("players_away"))
     meta = F.struct(F.col("game_id"), F.col("date"), F.lit("").alias("time"), F.lit("").alias("venue"),
