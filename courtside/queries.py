@@ -1003,14 +1003,15 @@ def s16_sql_top_rating(spark, sf_dir):
 
 @register("s16_sql_team_shooting", W("teams") + """
 SELECT competition, season, team_name, CAST(sum(t2m + t3m) AS BIGINT) AS fgm, CAST(sum(t2a + t3a) AS BIGINT) AS fga,
-       CAST(sum(t2m + t3m) AS DOUBLE) / sum(t2a + t3a) AS fg_pct
+       CASE WHEN sum(t2a + t3a) > 0 THEN CAST(sum(t2m + t3m) AS DOUBLE) / sum(t2a + t3a) END AS fg_pct
 FROM teams GROUP BY competition, season, team_name""")
 def s16_sql_team_shooting(spark, sf_dir):
     """Per-team shooting, as SQL over temp views."""
     _views(spark, sf_dir)
     return spark.sql("""
       SELECT competition, season, team_name, sum(t2m + t3m) AS fgm, sum(t2a + t3a) AS fga,
-             CAST(sum(t2m + t3m) AS DOUBLE) / sum(t2a + t3a) AS fg_pct
+             CASE WHEN sum(t2a + t3a) > 0
+                  THEN CAST(sum(t2m + t3m) AS DOUBLE) / sum(t2a + t3a) END AS fg_pct
       FROM cs_teams GROUP BY competition, season, team_name""")
 
 
