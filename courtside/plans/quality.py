@@ -29,19 +29,33 @@ def _count(name: str, df: DataFrame) -> DataFrame:
     return df.agg(F.count(F.lit(1)).alias("violations")).select(F.lit(name).alias("rule"), "violations")
 
 
+def _rules(df: DataFrame, named: dict) -> DataFrame:
+    """Several row rules over one table in a single pass: one aggregate of
+    ``count_if`` per rule, then one row per rule."""
+    agg = df.agg(*[F.count_if(bad).alias(f"r{i}") for i, bad in enumerate(named.values())])
+    rows = F.array(*[F.struct(F.lit(name).alias("rule"), F.col(f"r{i}").alias("violations"))
+                     for i, name in enumerate(named)])
+    return agg.select(F.inline(rows))
+
+
 def check(t, spark=None) -> DataFrame:
     p, g, pl, s, tm = t.players, t.games, t.plays, t.shots, t.teams
     eps = F.lit(1e-9)
+    canvas = X.half_court("x", "y")
     rules = [
-        _rule("q01_team_missing_or_wrong_side", p,
-              F.col("team").isNull() | (F.col("team") != F.when(F.col("is_home"), F.col("home_team"))
-                                         .otherwise(F.col("away_team")))),
-        _rule("q03_efg_formula", p, F.abs(F.col("effective_fg_pct") - X.efg("fgm", "t3m", "fga")) > eps),
-        _rule("q03_ts_formula", p, F.abs(F.col("true_shooting_pct") - X.ts("points", "fga", "fta")) > eps),
-        _rule("q03_pct_without_attempts", p,
-              (F.col("two_point_pct").isNotNull() & (F.col("t2a") == 0))
-              | (F.col("three_point_pct").isNotNull() & (F.col("t3a") == 0))
-              | (F.col("free_throw_pct").isNotNull() & (F.col("fta") == 0))),
+        _rules(p, {
+            "q01_team_missing_or_wrong_side":
+                F.col("team").isNull() | (F.col("team") != F.when(F.col("is_home"), F.col("home_team"))
+                                          .otherwise(F.col("away_team"))),
+            "q03_efg_formula": F.abs(F.col("effective_fg_pct") - X.efg("fgm", "t3m", "fga")) > eps,
+            "q03_ts_formula": F.abs(F.col("true_shooting_pct") - X.ts("points", "fga", "fta")) > eps,
+            "q03_pct_without_attempts":
+                (F.col("two_point_pct").isNotNull() & (F.col("t2a") == 0))
+                | (F.col("three_point_pct").isNotNull() & (F.col("t3a") == 0))
+                | (F.col("free_throw_pct").isNotNull() & (F.col("fta") == 0)),
+            "q11_makes_over_attempts":
+                (F.col("t2m") > F.col("t2a")) | (F.col("t3m") > F.col("t3a")) | (F.col("ftm") > F.col("fta")),
+        }),
         _count("q04_game_in_two_contexts",
                p.groupBy("game_id").agg(F.count_distinct(*CTX).alias("n")).filter(F.col("n") > 1)),
         _count("q05_score_vs_team_box",
@@ -49,9 +63,14 @@ def check(t, spark=None) -> DataFrame:
                    F.sum(F.when(F.col("is_home"), F.col("points"))).alias("h"),
                    F.sum(F.when(~F.col("is_home"), F.col("points"))).alias("a")), "game_id", "left")
                 .filter(~F.col("home_score").eqNullSafe(F.col("h")) | ~F.col("away_score").eqNullSafe(F.col("a")))),
-        _rule("q06_zone_distance_points", s,
-              ~F.col("zone").isin("rim", "mid", "three") | (F.col("shot_distance_m") > 28)
-              | ((F.col("made") == 1) & F.col("is_three") & (F.col("shot_points") != 3))),
+        _rules(s, {
+            "q06_zone_distance_points":
+                ~F.col("zone").isin("rim", "mid", "three") | (F.col("shot_distance_m") > 28)
+                | ((F.col("made") == 1) & F.col("is_three") & (F.col("shot_points") != 3)),
+            "q12_shot_outside_canvas":
+                (canvas["cx"] < -1e-6) | (canvas["cx"] > 1500 + 1e-6)
+                | (canvas["cy"] < -1e-6) | (canvas["cy"] > 1400 + 1e-6),
+        }),
         _count("q07_zone_attempts_vs_shots",
                zones(p, s).groupBy(*CTX, "player_name").agg(F.sum("att").alias("z"))
                .join(player_shots(p, s).groupBy(*CTX, "player_name").agg(F.count(F.lit(1)).alias("n")),
@@ -66,17 +85,14 @@ def check(t, spark=None) -> DataFrame:
                p.select("game_id", *[F.col(c).alias(f"p_{c}") for c in CTX]).distinct()
                .join(g.select("game_id", *CTX), "game_id")
                .filter((F.col("p_competition") != F.col("competition")) | (F.col("p_season") != F.col("season")))),
-        _rule("q11_makes_over_attempts", p,
-              (F.col("t2m") > F.col("t2a")) | (F.col("t3m") > F.col("t3a")) | (F.col("ftm") > F.col("fta"))),
-        _rule("q11_self_assist", pl, F.col("assisted_by_name") == F.col("player_name")),
+        _rules(pl, {
+            "q11_self_assist": F.col("assisted_by_name") == F.col("player_name"),
+            "q13_unresolved_player_names": F.col("player_id").isNotNull() & F.col("player_name").isNull(),
+        }),
         _count("q12_match_days_lose_games",
                game_list(g).groupBy(*CTX).agg(F.count(F.lit(1)).alias("n"))
                .join(g.groupBy(*CTX).agg(F.count(F.lit(1)).alias("m")), CTX, "full")
                .filter(~F.col("n").eqNullSafe(F.col("m")))),
-        _rule("q12_shot_outside_canvas", s.select(X.half_court("x", "y").alias("p")),
-              (F.col("p.cx") < -1e-6) | (F.col("p.cx") > 1500 + 1e-6)
-              | (F.col("p.cy") < -1e-6) | (F.col("p.cy") > 1400 + 1e-6)),
-        _rule("q13_unresolved_player_names", pl, F.col("player_id").isNotNull() & F.col("player_name").isNull()),
     ]
     missing = sum(1 for name, cols in CONTRACT.items() for c in cols
                   if c not in getattr(t, name).columns)
