@@ -43,6 +43,11 @@ def percentiles(pool: DataFrame, rows: DataFrame | None = None, axes=AXES) -> Da
     # not in the pool (players outside it): merged into the distinct pool
     # values and counted by a running sum, pool rows first on ties.
     exact = target.join(cum, [*CTX, "axis", "value"], "left")
+    pct_of = (lambda below: F.when(F.col("value").isNull() | F.col("total").isNull(), F.lit(None))
+              .otherwise(F.round(below / F.col("total") * 100, 0).cast("int")))
+    if rows is None:  # every non-null value is a pool value: the exact join finds it
+        d = exact.join(totals, [*CTX, "axis"], "left")
+        return d.select(*keys, "axis", "value", pct_of(F.col("below")).alias("percentile"))
     outside = exact.filter(F.col("below").isNull() & F.col("value").isNotNull()).drop("below")
     merged = (counts.select(*CTX, "axis", "value", "n", F.lit(0).alias("_t"), F.lit(None).cast("string").alias("player_name"))
               .unionByName(outside.select(*CTX, "axis", "value", F.lit(0).cast("long").alias("n"),
@@ -52,9 +57,7 @@ def percentiles(pool: DataFrame, rows: DataFrame | None = None, axes=AXES) -> Da
              .select(*keys, "axis", "value", "below2"))
     d = exact.join(lower, [*keys, "axis", "value"], "left").join(totals, [*CTX, "axis"], "left")
     below = F.coalesce(F.col("below"), F.col("below2"), F.lit(0))
-    pct = F.when(F.col("value").isNull() | F.col("total").isNull(), F.lit(None)).otherwise(
-        F.round(below / F.col("total") * 100, 0).cast("int"))
-    return d.select(*keys, "axis", "value", pct.alias("percentile"))
+    return d.select(*keys, "axis", "value", pct_of(below).alias("percentile"))
 
 
 def compared(pool: DataFrame, n: int = 4) -> DataFrame:
