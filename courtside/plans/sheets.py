@@ -168,5 +168,3 @@ def team_sheet(t, ctx: Context | None = None, slug: str | None = None) -> dict[s
         "shots": player_shots(t.players, t.shots, ctx).join(keys, CTX + ["team"], "left_semi"),
     }
 
-
-MIN_GAMES = LIMITS.leader_games
