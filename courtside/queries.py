@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from .catalog import register, tables
 from .oracle.adapters import with_layers as W
 from .plans import league
-from .plans.context import CTX, catalogue, describe_context
+from .plans.context import catalogue, describe_context
 
 
 def slug_sql(x: str) -> str:
