@@ -1127,3 +1127,25 @@ UNION ALL SELECT 'q13_unresolved_player_names', count(*) FILTER (WHERE player_id
 UNION ALL SELECT 'q02_contract_columns', CAST(0 AS BIGINT)"""
 from .catalog import ORACLE  # noqa: E402
 ORACLE["q00_quality"] = QUALITY_SQL
+
+
+# --- incremental load (Structured Streaming) ------------------------------------
+
+from .streaming import incremental as INC  # noqa: E402
+
+
+@register("s01_stream_bronze_players", W("games") + f"""
+SELECT {BRONZE_PLAYER_COLS} FROM players p WHERE p.game_id IN (SELECT game_id FROM games)""")
+def s01_stream_bronze_players(spark, sf_dir):
+    """S01/S12 + streaming: documents written under the raw layout, picked
+    up by the file stream (availableNow), turned into bronze player rows
+    per micro-batch; the answer is every batch read back."""
+    import uuid
+
+    from .session import checkpoint_dir
+    t = tables(spark, sf_dir)
+    root = f"{checkpoint_dir(spark)}/courtside-stream/{uuid.uuid4().hex[:12]}"
+    LK.write_documents(LK.docs_from_tables(t.players, t.games), f"{root}/raw")
+    q = INC.load_bronze(spark, f"{root}/raw", f"{root}/bronze", f"{root}/checkpoint", once=True)
+    q.awaitTermination()
+    return INC.read_bronze(spark, f"{root}/bronze", "players").drop("batch")
