@@ -253,7 +253,7 @@ SELECT competition, player_name, season, count(DISTINCT game_id) AS games, sum(m
   CAST(sum(fgm) AS BIGINT) AS total_fgm, CAST(sum(fga) AS BIGINT) AS total_fga,
   avg(points) AS ppg, avg(reb) AS rpg, avg(ast) AS apg, avg(minutes) AS mpg, avg(val) AS avg_val,
   avg(plus_minus) AS avg_plus_minus,
-  round(avg(CASE WHEN minutes > 0 THEN points / minutes * 36 END), 9) AS avg_points_per_36,
+  round(avg(CASE WHEN minutes > 0 THEN points / minutes * 36 END), 6) AS avg_points_per_36,
   CAST(sum(CAST(CAST(points >= 10 AS INTEGER) + CAST(reb >= 10 AS INTEGER) + CAST(ast >= 10 AS INTEGER)
       + CAST(stl >= 10 AS INTEGER) + CAST(blk >= 10 AS INTEGER) >= 2 AS INTEGER)) AS BIGINT) AS double_doubles,
   CAST(sum(CAST(CAST(points >= 10 AS INTEGER) + CAST(reb >= 10 AS INTEGER) + CAST(ast >= 10 AS INTEGER)
@@ -272,9 +272,9 @@ SELECT competition, player_name, season, count(DISTINCT game_id) AS games, sum(m
 FROM players GROUP BY competition, player_name, season""")
 def b11_dim_players(spark, sf_dir):
     # mean of non-integral per-game rates: summation order differs between
-    # engines in the last bit, so the checked column is rounded to 9 digits
+    # engines in the last bit, so the checked column is rounded to 6 digits
     d = model.dim_players(tables(spark, sf_dir).players)
-    return d.withColumn("avg_points_per_36", F.round("avg_points_per_36", 9))
+    return d.withColumn("avg_points_per_36", F.round("avg_points_per_36", 6))
 
 
 @register("b12_dim_teams", W("teams") + """
@@ -431,15 +431,15 @@ def j08_pace_log(spark, sf_dir):
 
 
 @register("a17_pace", PACE_SQL + """
-SELECT competition, season, team, count(*) AS games, round(avg(possessions), 9) AS avg_possessions,
-       round(avg(ortg), 9) AS avg_ortg, round(avg(drtg), 9) AS avg_drtg,
-       round(avg(ortg) - avg(drtg), 9) AS avg_net_rtg
+SELECT competition, season, team, count(*) AS games, round(avg(possessions), 6) AS avg_possessions,
+       round(avg(ortg), 6) AS avg_ortg, round(avg(drtg), 6) AS avg_drtg,
+       round(avg(ortg) - avg(drtg), 6) AS avg_net_rtg
 FROM pace GROUP BY competition, season, team""")
 def a17_pace(spark, sf_dir):
-    # means of non-integral ratings: rounded to 9 digits for the check
+    # means of non-integral ratings: rounded to 6 digits for the check
     t = tables(spark, sf_dir)
     d = S.pace_summary(t.teams, t.games)
-    return d.withColumns({c: F.round(c, 9) for c in ("avg_possessions", "avg_ortg", "avg_drtg", "avg_net_rtg")})
+    return d.withColumns({c: F.round(c, 6) for c in ("avg_possessions", "avg_ortg", "avg_drtg", "avg_net_rtg")})
 
 
 @register("j13_player_slugs", W("lines") + f"""
