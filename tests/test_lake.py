@@ -98,3 +98,26 @@ def test_wide_lines_and_renames(spark, t):
     audit = I.audit_taxonomy(
         I.raw_paths(t.games), valid=[], renames={}, bad_groups=[])
     assert audit.filter(F.col("action") == "drop:competition").count() == t.games.count()
+
+
+def test_declared_schema_handles_empty_sections(spark):
+    """Documents with team_stats = {} and no shots only: the declared
+    schema still resolves team_stats.TEAM and shot fields (an inferred
+    schema would drop them)."""
+    import json
+    root = tempfile.mkdtemp(prefix="cs-empty-")
+    d = os.path.join(root, "competition=liga/year=2019/group=ungrouped")
+    os.makedirs(d)
+    doc = {"meta": {"game_id": 7, "date": "05/10/2019", "home_team": "A", "away_team": "B"},
+           "players_home": [{"jersey": 4, "name": "X, Y", "points": 10}], "players_away": [],
+           "play_by_play": [{"num": "1", "text": None, "action": None}], "shots": [], "team_stats": {}}
+    with open(os.path.join(d, "game_id=7.json"), "w") as f:
+        f.write(json.dumps(doc))
+    docs = lake.read_games(spark, root)
+    assert lake.bronze_teams(docs).count() == 0
+    assert lake.bronze_shots(docs).count() == 0
+    assert lake.bronze_players(docs).count() == 1
+    from courtside.operators import clean
+    assert clean.classify_plays(lake.bronze_plays(docs)).count() == 0   # NULL text dropped
+    g = lake.bronze_games(docs).first()
+    assert (g.game_id, g.season, g.calendar_year) == (7, 2019, "2019")
