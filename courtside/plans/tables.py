@@ -32,9 +32,17 @@ def from_driver(spark: SparkSession, sf_dir: str) -> Tables:
 TIMINGS: dict[str, float] = {}
 
 
-def build_layers(spark: SparkSession, sf_dir: str, root: str, exists) -> Tables:
+def build_layers(spark: SparkSession, sf_dir: str, root: str, exists, parallel: bool = True) -> Tables:
     """Bronze -> silver -> gold as written tables, each stage reading the
-    previous stage's output (no sub-plan is computed twice)."""
+    previous stage's output (no sub-plan is computed twice).
+
+    Stages that do not depend on each other are submitted together from
+    threads, so their jobs share the executors (a small stage never leaves
+    the cluster idle while a neighbour waits):
+    lines -> {bronze plays, players} -> {games, teams, linked plays, shots}
+    -> plays.
+    """
+    from concurrent.futures import ThreadPoolExecutor
 
     def stage(name: str, make) -> DataFrame:
         path = f"{root}/{name}"
@@ -44,16 +52,26 @@ def build_layers(spark: SparkSession, sf_dir: str, root: str, exists) -> Tables:
             TIMINGS[name] = round(time.time() - t0, 3)
         return spark.read.parquet(path)
 
+    def together(**makers) -> dict:
+        if not parallel:
+            return {k: stage(k, m) for k, m in makers.items()}
+        with ThreadPoolExecutor(max_workers=len(makers)) as pool:
+            futures = {k: pool.submit(stage, k, m) for k, m in makers.items()}
+            return {k: f.result() for k, f in futures.items()}
+
     lines = stage("bronze_lines", lambda: driver.lines(spark, sf_dir))
-    raw_plays = stage("bronze_plays", lambda: driver.plays(spark, sf_dir, lines=lines))
-    players = stage("players", lambda: clean.clean_players(lines.drop("_surnames", "_given", "player_id")))
-    games = stage("games", lambda: model.fact_games(players))
-    # team rows are grouped by (game, side, team): one per (game, team id)
-    teams = stage("teams", lambda: clean.clean_teams(clean.team_box(players), unique=True))
-    linked = stage("plays_linked", lambda: clean.link_assists(clean.classify_plays(raw_plays)))
-    plays = stage("plays", lambda: clean.resolve_names(linked, players))
-    shots = stage("shots", lambda: model.fact_shots(clean.clean_shots(driver.shots(spark, sf_dir, raw_plays))))
-    return Tables(games=games, players=players, plays=plays, shots=shots, teams=teams)
+    lvl2 = together(
+        bronze_plays=lambda: driver.plays(spark, sf_dir, lines=lines),
+        players=lambda: clean.clean_players(lines.drop("_surnames", "_given", "player_id")))
+    raw_plays, players = lvl2["bronze_plays"], lvl2["players"]
+    lvl3 = together(
+        games=lambda: model.fact_games(players),
+        # team rows are grouped by (game, side, team): one per (game, team id)
+        teams=lambda: clean.clean_teams(clean.team_box(players), unique=True),
+        plays_linked=lambda: clean.link_assists(clean.classify_plays(raw_plays)),
+        shots=lambda: model.fact_shots(clean.clean_shots(driver.shots(spark, sf_dir, raw_plays))))
+    plays = stage("plays", lambda: clean.resolve_names(lvl3["plays_linked"], players))
+    return Tables(games=lvl3["games"], players=players, plays=plays, shots=lvl3["shots"], teams=lvl3["teams"])
 
 
 def from_silver(games: DataFrame, players: DataFrame, plays: DataFrame,
