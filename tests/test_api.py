@@ -39,3 +39,23 @@ def test_sheets_and_search(t):
     ts = api.team_sheet(t)
     assert ts["standing"].count() >= 1
     assert api.search(t, text="a").count() == 0  # under 2 characters
+
+
+def test_compare_network_and_pages(t):
+    pool = api.dashboard(t, limit=3)["leaders"].select("slug").collect()
+    slugs = [r.slug for r in pool]
+    cmp = api.compare(t, slugs=slugs)
+    assert cmp["players"].count() == len(slugs)
+    assert cmp["percentiles"].filter("percentile < 0 OR percentile > 100").count() == 0
+    if len(slugs) > 1:
+        assert cmp["best"].filter("is_best").count() > 0
+    net = api.assist_network(t)
+    team = net["edges"].select("team").first()
+    if team is not None:
+        from courtside.functions import text as T
+        slug = t.players.select(T.slug(F.lit(team[0])).alias("s")).first()[0]
+        assert api.assist_network(t, team=slug)["edges"].filter(F.col("team") != team[0]).count() == 0
+    f = api.fouls(t, limit=2)
+    assert f["players"].groupBy("competition", "season").count().filter("count > 2").count() == 0
+    c = api.clutch(t, limit=1)
+    assert c["players"].groupBy("competition", "season").count().filter("count > 1").count() == 0
