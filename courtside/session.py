@@ -19,9 +19,11 @@ DEFAULTS = {
 
 
 def get_session(master: str | None = None, shuffle_partitions: int = 8,
-                app: str = "courtside") -> SparkSession:
+                app: str = "courtside", extra: dict | None = None) -> SparkSession:
     """Create (or reuse) a session; only local runs set their own values."""
     builder = SparkSession.builder.appName(app)
+    for key, value in (extra or {}).items():
+        builder = builder.config(key, value)
     if master:
         builder = builder.master(master)
     builder = builder.config("spark.sql.shuffle.partitions", str(shuffle_partitions))
