@@ -7,8 +7,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, packing, simhash, warc
-from .common import table
+from . import bpe, packing, quotes, simhash, topk, vptree, warc
+from .common import table, written
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -23,6 +23,23 @@ def register(name: str, sql: str | None = None):
     return deco
 
 
+@register("op2_pivot_topk", sql="""
+WITH v AS (
+  SELECT vec_id, min(list_transform(embedding, lambda x: floor(256 * x::DOUBLE))) AS e FROM embeddings
+  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+  GROUP BY vec_id),
+s AS (
+  SELECT q.vec_id AS query_id, c.vec_id, list_dot_product(q.e, c.e)::BIGINT AS score
+  FROM v q JOIN v c ON q.vec_id % 50 = 0 AND c.vec_id <> q.vec_id AND len(q.e) = len(c.e))
+SELECT query_id, rank::INTEGER AS rank, vec_id, score
+FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s)
+WHERE rank <= 5""")
+def op2_pivot_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = written(topk.integer_vectors(table(spark, sf_dir, "embeddings")), "vectors")
+    return topk.top_products(vectors, vectors.where("vec_id % 50 = 0"), k=5, pivots=32)
+
+
 @register("op3_warc_archive", sql="""
 WITH p AS (
   SELECT page_id, octet_length(encode(coalesce(html, ''))) AS payload_bytes, sha1(coalesce(html, '')) AS payload_digest
@@ -50,6 +67,17 @@ def op5_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
                       public_tokenizers.PATTERN, digests=True)
 
 
+@register("op8_quotation_linking", sql=quotes.SQL)
+def op8_quotation_linking(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quotes.conversations(table(spark, sf_dir, "conversations"))
+
+
+@register("op9_vp_tree")
+def op9_vp_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = written(vptree.vectors(table(spark, sf_dir, "embeddings")), "vectors")
+    return vptree.nearest(vectors, vectors.where("vec_id % 100 = 0"), k=10, factor=2.0)
+
+
 @register("op10_simhash")
 def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"), width=3, radius=2, seed=42)
