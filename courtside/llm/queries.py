@@ -4,11 +4,10 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
+from pyspark.sql import Column, DataFrame, SparkSession
 
-from . import bpe, packing, quotes, simhash, topk, vptree, warc
-from .common import table, written
+from . import bpe, packing, quality, quotes, secrets, simhash, topk, toxicity, vptree, warc
+from .common import crc_mod, table, written
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -23,6 +22,21 @@ def register(name: str, sql: str | None = None):
     return deco
 
 
+# Labels are learned from these rows only (conditions on the labels table).
+def quality_train() -> Column:
+    return crc_mod("doc_id", 3) != 1
+
+
+def toxic_train() -> Column:
+    return crc_mod("doc_id", 5) != 0
+
+
+@register("op1_secret_scan")
+def op1_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return secrets.scan(docs, secrets.learn(docs, sample_windows=1000))
+
+
 @register("op2_pivot_topk", sql="""
 WITH v AS (
   SELECT vec_id, min(list_transform(embedding, lambda x: floor(256 * x::DOUBLE))) AS e FROM embeddings
@@ -67,6 +81,20 @@ def op5_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
                       public_tokenizers.PATTERN, digests=True)
 
 
+@register("op6_quality")
+def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    out = quality.classify(docs, labels, quality_train())
+    return out.select("doc_id", (crc_mod("doc_id", 3) == 1).alias("held_out"), "score", "predicted")
+
+
+@register("op7_toxicity")
+def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    out = toxicity.scored(docs, toxicity.learn(docs, labels, toxic_train(), sample_rows=10_000))
+    return out.select("doc_id", (crc_mod("doc_id", 5) == 0).alias("held_out"), "score", "predicted")
+
+
 @register("op8_quotation_linking", sql=quotes.SQL)
 def op8_quotation_linking(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quotes.conversations(table(spark, sf_dir, "conversations"))
