@@ -2,9 +2,9 @@
 
 ``dropDuplicates`` keeps any row; here the first row by ``order`` wins,
 so the answer is the same on every run and every partitioning. It is an
-aggregate (min of a struct), not a window: map-side partial aggregation
-collapses a hot group of copies before the shuffle, so a key that holds a
-third of all rows never lands whole in one task.
+aggregate, not a window: map-side partial aggregation collapses a hot group
+of copies before the shuffle, so a key that holds a third of all rows never
+lands whole in one task.
 """
 from __future__ import annotations
 

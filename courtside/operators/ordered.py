@@ -3,9 +3,11 @@
 A plain ``Window.partitionBy(game)`` puts a whole game in one task. If one
 game (or user, or source) holds a third of all rows, that task holds a
 third of the data. Every ordered step here is therefore split by a
-*bucket*: any column that is monotone in the sort order (a time bucket, or
-``num div B``). Work per task is then bounded by the bucket size, and only
-one row per bucket crosses the key-wide window:
+*bucket*: a whole number that does not fall along the sort order (a second, or
+``num div B``). Work per task is then bounded by the bucket's rows, and what
+crosses the key-wide step is one row per bucket. Those carry rows are summed
+in two levels themselves (blocks of ``CARRY`` buckets, then blocks), so a key
+of n rows costs about n / B / CARRY rows in its longest window.
 
 * ``sequence``    dense 1-based position in the order (row_number),
 * ``running``     running sum / max from the first row (rows frame),
@@ -13,6 +15,8 @@ one row per bucket crosses the key-wide window:
                   (key, position + 1) - no window at all.
 
 Each is exact: the same answer as the single window, on any partitioning.
+Rows with a NULL key or order value are kept: NULL keys are one group, a
+NULL bucket comes first.
 """
 from __future__ import annotations
 
@@ -23,6 +27,7 @@ from pyspark.sql import functions as F
 
 _B = "__bucket"
 _OFF = "__offset"
+CARRY = 4096
 
 
 def _cols(xs) -> list:
@@ -34,6 +39,39 @@ def bucket_of(seq: Column, size: int = 4096) -> Column:
     return F.floor(seq / F.lit(size)).cast("long")
 
 
+def _same(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "inner") -> DataFrame:
+    """Join on keys that may be NULL (NULL equals NULL); keeps the left keys."""
+    right = right.withColumnsRenamed({k: f"__r_{k}" for k in keys})
+    on = None
+    for k in keys:
+        c = F.col(k).eqNullSafe(F.col(f"__r_{k}"))
+        on = c if on is None else on & c
+    return left.join(right, on, how).drop(*[f"__r_{k}" for k in keys])
+
+
+def _before(per_bucket: DataFrame, keys: list[str], parts: dict[str, str], agg) -> DataFrame:
+    """Per (keys, bucket): ``agg`` of each part over all earlier buckets, NULL
+    where there is none. Buckets (whole numbers) are cut into blocks of
+    ``CARRY``; only blocks meet in a key-wide window."""
+    # A NULL bucket is the smallest.
+    block = F.coalesce(F.floor(F.col(_B) / CARRY).cast("long"), F.lit(-(1 << 62)))
+    d = per_bucket.withColumn("__block", block)
+    inner = Window.partitionBy(*keys, "__block").orderBy(_B).rowsBetween(Window.unboundedPreceding, -1)
+    d = d.select("*", *[agg(c).over(inner).alias(f"__in_{o}") for o, c in parts.items()])
+    blocks = per_bucket.withColumn("__block", block).groupBy(*keys, "__block").agg(
+        *[agg(c).alias(f"__p_{o}") for o, c in parts.items()])
+    outer = Window.partitionBy(*keys).orderBy("__block").rowsBetween(Window.unboundedPreceding, -1)
+    blocks = blocks.select(*keys, "__block", *[agg(f"__p_{o}").over(outer).alias(f"__out_{o}") for o in parts])
+    d = _same(d, blocks, [*keys, "__block"])
+    return d.select(*keys, _B, *[_merge(F.col(f"__out_{o}"), F.col(f"__in_{o}"), agg).alias(o) for o in parts])
+
+
+def _merge(a: Column, b: Column, agg) -> Column:
+    """Aggregate of two parts, either of which may be missing."""
+    both = F.greatest(a, b) if agg is F.max else a + b
+    return F.when(a.isNull(), b).when(b.isNull(), a).otherwise(both)
+
+
 def sequence(df: DataFrame, keys: Sequence[str], order: Sequence, bucket: Column,
              name: str = "seq", total: str | None = None) -> DataFrame:
     """``row_number() over (partition by keys order by order)``, bucketed.
@@ -46,12 +84,12 @@ def sequence(df: DataFrame, keys: Sequence[str], order: Sequence, bucket: Column
     keys = list(keys)
     d = df.withColumn(_B, bucket)
     counts = d.groupBy(*keys, _B).agg(F.count(F.lit(1)).alias("__n"))
-    before = Window.partitionBy(*keys).orderBy(_B).rowsBetween(Window.unboundedPreceding, -1)
-    extra = [F.sum("__n").over(Window.partitionBy(*keys)).alias(total)] if total else []
-    offsets = counts.select(*keys, _B, F.coalesce(F.sum("__n").over(before), F.lit(0)).alias(_OFF), *extra)
-    d = d.join(offsets, keys + [_B], "inner")
+    offsets = _before(counts, keys, {_OFF: "__n"}, F.sum)
+    d = _same(d, offsets, keys + [_B])
+    if total:
+        d = _same(d, counts.groupBy(*keys).agg(F.sum("__n").alias(total)), keys)
     within = Window.partitionBy(*keys, _B).orderBy(*_cols(order))
-    return d.withColumn(name, (F.col(_OFF) + F.row_number().over(within)).cast("long")).drop(_B, _OFF)
+    return d.withColumn(name, (F.coalesce(_OFF, F.lit(0)) + F.row_number().over(within)).cast("long")).drop(_B, _OFF)
 
 
 def running(df: DataFrame, keys: Sequence[str], order: Sequence, bucket: Column,
@@ -66,23 +104,14 @@ def running(df: DataFrame, keys: Sequence[str], order: Sequence, bucket: Column,
     for out, col in values.items():
         d = d.withColumn("__v_" + out, col)
     per_bucket = d.groupBy(*keys, _B).agg(*[agg("__v_" + o).alias("__b_" + o) for o in values])
-    before = Window.partitionBy(*keys).orderBy(_B).rowsBetween(Window.unboundedPreceding, -1)
-    carry = per_bucket.select(*keys, _B, *[agg("__b_" + o).over(before).alias("__c_" + o) for o in values])
-    d = d.join(carry, keys + [_B], "inner")
+    d = _same(d, _before(per_bucket, keys, {"__c_" + o: "__b_" + o for o in values}, agg), keys + [_B])
     within = Window.partitionBy(*keys, _B).orderBy(*_cols(order)).rowsBetween(
         Window.unboundedPreceding, Window.currentRow)
-    for out in values:
-        local = agg("__v_" + out).over(within)
-        c = F.col("__c_" + out)
-        if how == "max":
-            total = F.when(c.isNull(), local).when(local.isNull(), c).otherwise(F.greatest(c, local))
-        else:
-            total = F.when(c.isNull(), local).when(local.isNull(), c).otherwise(c + local)
-        d = d.withColumn(out, total)
+    d = d.withColumns({o: _merge(F.col("__c_" + o), agg("__v_" + o).over(within), agg) for o in values})
     return d.drop(_B, *[f"__v_{o}" for o in values], *[f"__c_{o}" for o in values])
 
 
-def with_next(df: DataFrame, keys: Sequence[str], seq: str, cols: dict[str, str]) -> DataFrame:
+def with_next(df: DataFrame, keys: Sequence[str], seq: str, cols: dict[str, str | Column]) -> DataFrame:
     """``lead(col, 1) over (partition by keys order by seq)`` for dense ``seq``.
 
     ``cols`` maps output name -> source column. An equi-join on
@@ -90,5 +119,6 @@ def with_next(df: DataFrame, keys: Sequence[str], seq: str, cols: dict[str, str]
     spread over all tasks.
     """
     keys = list(keys)
-    nxt = df.select(*keys, (F.col(seq) - 1).alias(seq), *[F.col(src).alias(out) for out, src in cols.items()])
-    return df.join(nxt, keys + [seq], "left")
+    nxt = df.select(*keys, (F.col(seq) - 1).alias(seq),
+                    *[(F.col(src) if isinstance(src, str) else src).alias(out) for out, src in cols.items()])
+    return _same(df, nxt, keys + [seq], "left")

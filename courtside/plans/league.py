@@ -4,8 +4,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions import expr as X
 from ..functions import text as T
+from ..functions.metrics import Line, aggregates, measures
 from ..functions.rules import LIMITS, Context
 from ..operators.model import latest
 from .context import CTX, in_context, page
@@ -81,35 +81,26 @@ def summary(games: DataFrame, players: DataFrame, shots: DataFrame,
                     F.coalesce("shots", F.lit(0)).alias("shots")))
 
 
+# FIXED VALUES: names of the averages that follow no rule (counter -> name).
+AVERAGE_NAMES = {"minutes": "min", "points": "pts", "tov": "to"}
+PLAYER_LINE = {
+    **measures("mean", ["ast", "blk", "minutes", "plus_minus", "points", "reb", "stl", "tov", "val"],
+               lambda c: f"avg_{AVERAGE_NAMES.get(c, c)}"),
+    **measures("sum", ["fta", "ftm", "t2a", "t2m", "t3a", "t3m"], "sum_{}".format),
+    "total_points": ("sum", "points"),
+}
+
+
 def player_lines(players: DataFrame, ctx: Context | None = None,
                  by: tuple[str, ...] = ()) -> DataFrame:
     """A11/A15 shared body: per player averages and shooting sums."""
-    d = in_context(players, ctx)
     keys = [*CTX, *by, "player_name"]
-    agg = d.groupBy(*keys).agg(
-        latest("team", "grp", "jersey").alias("_last"),
-        F.count(F.lit(1)).alias("games"),
-        *[F.avg(c).alias(f"avg_{a}") for c, a in [
-            ("minutes", "min"), ("points", "pts"), ("reb", "reb"), ("ast", "ast"), ("stl", "stl"),
-            ("blk", "blk"), ("tov", "to"), ("val", "val"), ("plus_minus", "plus_minus")]],
-        *[F.sum(c).alias(f"sum_{c}") for c in ("t2m", "t2a", "t3m", "t3a", "ftm", "fta")],
-        F.sum("points").alias("total_points"),
-    )
-    fgm = F.col("sum_t2m") + F.col("sum_t3m")
-    fga = F.col("sum_t2a") + F.col("sum_t3a")
-    team = [] if "team" in by else [F.col("_last.team").alias("team")]
-    return agg.select(
-        *keys, T.slug(F.col("player_name")).alias("slug"),
-        *team, F.col("_last.grp").alias("grp"),
-        F.col("_last.jersey").alias("jersey"),
-        "games", *[c for c in agg.columns if c.startswith("avg_") or c.startswith("sum_")], "total_points",
-        X.ratio("sum_t2m", "sum_t2a").alias("t2_pct"),
-        X.ratio("sum_t3m", "sum_t3a").alias("t3_pct"),
-        X.ratio("sum_ftm", "sum_fta").alias("ft_pct"),
-        X.ratio(fgm, fga).alias("fg_pct"),
-        X.efg(fgm, F.col("sum_t3m"), fga).alias("efg_pct"),
-        X.ts(F.col("total_points"), fga, F.col("sum_fta")).alias("ts_pct"),
-    )
+    last = [c for c in ("team", "grp", "jersey") if c not in by]
+    d = in_context(players, ctx).groupBy(*keys).agg(
+        latest(*last).alias("_last"), F.count(F.lit(1)).alias("games"), *aggregates(PLAYER_LINE))
+    line = Line(lambda c: "total_points" if c == "points" else f"sum_{c}", made_of=True)
+    return d.select(*keys, T.slug(F.col("player_name")).alias("slug"), *[F.col(f"_last.{c}").alias(c) for c in last],
+                    "games", *PLAYER_LINE, *[c.alias(n) for n, c in line.rates("sheet").items()])
 
 
 def eligible(players: DataFrame, ctx: Context | None = None,

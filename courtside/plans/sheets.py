@@ -1,61 +1,55 @@
 """Player and team sheets (A13-A17, J06-J08, J12-J14), for all keys at once."""
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import expr as X
 from ..functions import text as T
+from ..functions.metrics import Line, aggregates, measures
 from ..functions.rules import Context
 from ..operators.model import latest
 from .context import CTX, in_context
 from .league import player_lines, standings
 
 
+PER_GAME = ("minutes", "points", "reb", "ast", "stl", "blk", "tov", "val")
+BESTS = ("points", "reb", "ast", "val")
+SHEET = {
+    **measures("sum", [*PER_GAME, "pf", "fta", "ftm", "t2a", "t2m", "t3a", "t3m"], "sum_{}".format),
+    **measures("best", BESTS, "best_{}".format),
+    "avg_plus_minus": ("mean", "plus_minus"),
+}
+
+
 def player_sheet(players: DataFrame, ctx: Context | None = None, slug: str | None = None) -> DataFrame:
     """Totals, per game, shooting, per 36, bests; one row per player."""
     d = in_context(players, ctx)
     if slug is not None:
         d = d.filter(T.slug(F.col("player_name")) == slug)
-    sums = ["minutes", "points", "reb", "ast", "stl", "blk", "tov", "pf", "val",
-            "t2m", "t2a", "t3m", "t3a", "ftm", "fta"]
-    agg = d.groupBy(*CTX, "player_name").agg(
-        latest("team", "grp", "jersey").alias("_last"),
-        F.count(F.lit(1)).alias("games"),
-        *[F.sum(c).alias(f"sum_{c}") for c in sums],
-        F.avg("plus_minus").alias("avg_plus_minus"),
-        *[F.max(c).alias(f"best_{c}") for c in ("points", "reb", "ast", "val")],
-    )
-    g = F.col("games")
-    fgm = F.col("sum_t2m") + F.col("sum_t3m")
-    fga = F.col("sum_t2a") + F.col("sum_t3a")
-    return agg.select(
+    d = d.groupBy(*CTX, "player_name").agg(
+        latest("team", "grp", "jersey").alias("_last"), F.count(F.lit(1)).alias("games"), *aggregates(SHEET))
+    line = Line("sum_{}".format, made_of=True)
+    return d.select(
         *CTX, "player_name", T.slug(F.col("player_name")).alias("slug"),
-        F.col("_last.team").alias("team"), F.col("_last.grp").alias("grp"),
-        F.col("_last.jersey").alias("jersey"), "games",
-        *[F.col(f"sum_{c}") for c in sums],
-        *[(F.col(f"sum_{c}") / g).alias(f"per_game_{c}") for c in
-          ("minutes", "points", "reb", "ast", "stl", "blk", "tov", "val")],
-        "avg_plus_minus",
-        X.ratio("sum_t2m", "sum_t2a").alias("t2_pct"), X.ratio("sum_t3m", "sum_t3a").alias("t3_pct"),
-        X.ratio("sum_ftm", "sum_fta").alias("ft_pct"), X.ratio(fgm, fga).alias("fg_pct"),
-        X.efg(fgm, F.col("sum_t3m"), fga).alias("efg_pct"),
-        X.ts(F.col("sum_points"), fga, F.col("sum_fta")).alias("ts_pct"),
-        *[X.per_minutes(F.col(f"sum_{c}"), F.col("sum_minutes")).alias(f"per36_{c}")
-          for c in ("points", "reb", "ast")],
-        *[F.col(f"best_{c}") for c in ("points", "reb", "ast", "val")],
-    )
+        *[F.col(f"_last.{c}").alias(c) for c in ("team", "grp", "jersey")], "games", *SHEET,
+        *[(line[c] / F.col("games")).alias(f"per_game_{c}") for c in PER_GAME],
+        *[c.alias(n) for n, c in line.rates("sheet").items()],
+        *[line.per(c, 36).alias(f"per36_{c}") for c in ("points", "reb", "ast")])
 
 
 def game_log(players: DataFrame, games: DataFrame, ctx: Context | None = None) -> DataFrame:
     """Each player's games with rival, score, won flag, and
-    whether the game equals the player's best scoring game."""
+    whether the game equals the player's best scoring game.
+
+    A player's games in a context are bounded by the season's length, so the
+    best is a window over them instead of a second aggregate and a join.
+    """
     p = in_context(players, ctx).select(*CTX, "player_name", "game_id", "is_home", "minutes",
                                         "points", "reb", "ast", "val")
     g = games.select("game_id", "date", "game_date", "home_team", "away_team", "home_score", "away_score")
     d = p.join(g, "game_id")
-    best = d.groupBy(*CTX, "player_name").agg(F.max("points").alias("_best"))
-    d = d.join(best, CTX + ["player_name"])
+    best = F.max("points").over(Window.partitionBy(*CTX, "player_name"))
     home = F.col("is_home")
     return d.select(
         *CTX, "player_name", "game_id", "date", "is_home",
@@ -64,7 +58,7 @@ def game_log(players: DataFrame, games: DataFrame, ctx: Context | None = None) -
         F.when(home, F.col("home_score") > F.col("away_score"))
          .otherwise(F.col("away_score") > F.col("home_score")).alias("won"),
         "minutes", "points", "reb", "ast", "val",
-        (F.col("points") == F.col("_best")).alias("is_best_points"),
+        (F.col("points") == best).alias("is_best_points"),
     )
 
 
@@ -97,15 +91,15 @@ def zone_map(players: DataFrame, shots: DataFrame, ctx: Context | None = None,
 def roster(players: DataFrame, shots: DataFrame, ctx: Context | None = None) -> DataFrame:
     """Leader columns per team and player, no thresholds,
     zones attached (empty map when none), points relative to the team's
-    best scorer (0-100)."""
-    lines = player_lines(players, ctx, by=("team",)).drop("grp")
-    zm = zone_map(players, shots, ctx, by_team=True)
-    d = lines.join(zm, CTX + ["team", "player_name"], "left").withColumn(
-        "zones", F.coalesce("zones", F.create_map().cast("map<string,struct<made:bigint,att:bigint,pct:double>>")))
-    top = d.groupBy(*CTX, "team").agg(F.max("avg_pts").alias("_top"))
-    d = d.join(top, CTX + ["team"])
-    rel = F.when(F.col("_top") > 0, F.least(F.lit(100.0), F.greatest(F.lit(0.0), F.col("avg_pts") / F.col("_top") * 100)))
-    return d.withColumn("pts_vs_best", F.coalesce(rel, F.lit(0.0))).drop("_top")
+    best scorer (0-100), which is a window over the team's players."""
+    top = F.max("avg_pts").over(Window.partitionBy(*CTX, "team"))
+    lines = player_lines(players, ctx, by=("team",)).drop("grp").withColumn("_top", top)
+    d = lines.join(zone_map(players, shots, ctx, by_team=True), CTX + ["team", "player_name"], "left")
+    none = F.create_map().cast("map<string,struct<made:bigint,att:bigint,pct:double>>")
+    share = F.least(F.lit(100.0), F.greatest(F.lit(0.0), F.col("avg_pts") / F.col("_top") * 100))
+    return d.withColumns({
+        "zones": F.coalesce("zones", none),
+        "pts_vs_best": F.coalesce(F.when(F.col("_top") > 0, share), F.lit(0.0))}).drop("_top")
 
 
 def pace(teams: DataFrame, games: DataFrame, ctx: Context | None = None) -> DataFrame:

@@ -665,7 +665,7 @@ def p14_search(spark, sf_dir):
 
 
 EXPLORE_SUMS = ", ".join(
-    f"CAST(sum({c}) AS BIGINT) AS {c}" if c != "minutes" else "sum(minutes) AS minutes" for c in E.SUMS)
+    f"CAST(sum({c}) AS BIGINT) AS {c}" if c != "minutes" else "sum(minutes) AS minutes" for c in E.SUMMED)
 
 
 @register("a23_team_day", W("lines") + f""",

@@ -133,19 +133,16 @@ def box_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lines(spark, sf_dir).drop("_surnames", "_given", "player_id")
 
 
-def plays(spark: SparkSession, sf_dir: str, bucket_minutes: int = 60,
-          lines: DataFrame | None = None) -> DataFrame:
+def plays(spark: SparkSession, sf_dir: str, lines: DataFrame | None = None) -> DataFrame:
     """Bronze play-by-play from events (B03 shape).
 
-    Position in a game comes from a bucketed sequence (time buckets of
-    ``bucket_minutes``), so a user with a third of all events is numbered
-    by many tasks.
+    Position in a game comes from a sequence bucketed by second, so a user
+    with a third of all events is numbered by many tasks.
     """
     ev = read(spark, sf_dir, "events").select(
         F.col("user_id").alias("game_id"), "event_id", "ts", "event_type")
-    ev = ordered.sequence(ev, ["game_id"], ["ts", "event_id"],
-                          F.date_trunc("hour", F.col("ts")) if bucket_minutes >= 60
-                          else F.date_trunc("minute", F.col("ts")), name="num", total="n_plays")
+    second = F.floor(F.unix_micros(F.col("ts").cast("timestamp")) / 1_000_000)
+    ev = ordered.sequence(ev, ["game_id"], ["ts", "event_id"], second, name="num", total="n_plays")
     g, e, num = F.col("game_id"), F.col("event_id"), F.col("num")
     periods = F.when(g % 5 == 0, 5).otherwise(4)
     pair = F.floor((num - 1) / 2)
