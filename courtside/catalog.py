@@ -13,9 +13,12 @@ import hashlib
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from .plans.lakehouse import build_lake, open_lake
 from .plans.tables import Tables, build_layers
 from .session import checkpoint_dir
+from .sources.lake import docs_from_tables, read_table, stored_documents, write_documents
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -47,7 +50,7 @@ def _code_version() -> str:
     here = pathlib.Path(__file__).parent
     files = ["sources/driver.py", "operators/clean.py", "operators/model.py", "operators/dedupe.py",
              "operators/ordered.py", "plans/tables.py", "functions/expr.py", "functions/text.py",
-             "functions/rules.py"]
+             "functions/rules.py", "functions/metrics.py", "sources/lake.py", "sources/schema.py"]
     h = hashlib.sha1()
     for f in files:
         h.update((here / f).read_bytes())
@@ -62,8 +65,13 @@ def _fingerprint(spark: SparkSession, sf_dir: str) -> str:
     parts = [sf_dir, _code_version()]
     for name in ("orders", "lineitem", "events"):
         p = jvm.org.apache.hadoop.fs.Path(f"{sf_dir}/{name}.parquet")
-        st = p.getFileSystem(conf).getFileStatus(p)
-        parts.append(f"{name}:{st.getLen()}:{st.getModificationTime()}")
+        # every file of the table: a folder's own size and time do not follow its files
+        files = p.getFileSystem(conf).listFiles(p, True)
+        found = []
+        while files.hasNext():
+            st = files.next()
+            found.append(f"{st.getPath().getName()}:{st.getLen()}:{st.getModificationTime()}")
+        parts.append(f"{name}:" + ",".join(sorted(found)))
     return hashlib.sha1("|".join(parts).encode()).hexdigest()[:16]
 
 
@@ -86,6 +94,48 @@ def tables(spark: SparkSession, sf_dir: str, fresh: bool = False) -> Tables:
     return _BUILT[key]
 
 
+_LAKES: dict[tuple[str, str], str] = {}
+
+
+def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Game documents (rosters, plays, shots, team rows) of a driver folder."""
+    t = tables(spark, sf_dir)
+    return docs_from_tables(t.players, t.plays, t.shots, t.teams)
+
+
+def _lake_root(spark: SparkSession, sf_dir: str) -> str:
+    """Raw store and lake of a driver folder, written once per session."""
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _LAKES:
+        root = f"{checkpoint_dir(spark)}/courtside-lake/{_fingerprint(spark, sf_dir)}-{uuid.uuid4().hex[:8]}"
+        docs = documents(spark, sf_dir)
+        write_documents(docs, f"{root}/raw")
+        # A move begun earlier: some documents also lie under a new key.
+        moved = docs.where("competition = '5-LOW' AND group = 'F'").withColumn("competition", F.lit("LOW"))
+        write_documents(docs.unionByName(moved), f"{root}/audited")
+        build_lake(spark, f"{root}/raw", f"{root}/lake")
+        _LAKES[key] = root
+    return _LAKES[key]
+
+
+def raw_root(spark: SparkSession, sf_dir: str) -> str:
+    return f"{_lake_root(spark, sf_dir)}/raw"
+
+
+def raw_store(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Stored documents of the raw store that is to be audited."""
+    return stored_documents(spark, f"{_lake_root(spark, sf_dir)}/audited")
+
+
+def lake(spark: SparkSession, sf_dir: str, layer: str, name: str) -> DataFrame:
+    """A table of the lake built from the raw store."""
+    return read_table(spark, f"{_lake_root(spark, sf_dir)}/lake", layer, name)
+
+
+def lake_tables(spark: SparkSession, sf_dir: str) -> Tables:
+    return open_lake(spark, f"{_lake_root(spark, sf_dir)}/lake")
+
+
 def load_all() -> None:
     """Import the modules that register queries."""
     from . import queries  # noqa: F401

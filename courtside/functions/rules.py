@@ -25,7 +25,7 @@ source changes its templates):
 """
 from __future__ import annotations
 
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 
 
 @dataclass(frozen=True)
@@ -83,4 +83,11 @@ class Context:
     competition: str | None = None
     season: int | None = None
     group: str | None = None
-    extra: dict = field(default_factory=dict)
+
+
+@dataclass(frozen=True)
+class Scope:
+    """Part of the lake a run works on: lists of competitions and seasons,
+    empty for all of them."""
+    competitions: tuple[str, ...] = ()
+    seasons: tuple[int, ...] = ()

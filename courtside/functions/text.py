@@ -1,10 +1,12 @@
 """Names and slugs as Column expressions.
 
-No Python UDF: the accent fold is a ``translate`` table built once, by
-rule, from the Unicode decomposition of the Latin blocks.
+No Python UDF: the accent fold is a ``translate`` table and a map, built
+once, by rule, from the compatibility decomposition of all of Unicode.
 """
 from __future__ import annotations
 
+import json
+import sys
 import unicodedata
 
 from pyspark.sql import Column
@@ -13,31 +15,57 @@ from pyspark.sql import functions as F
 from .rules import LINK_WORDS, REGULAR_SEASON, UNGROUPED, VOWELS
 
 
-def _fold_table(first: int = 0x00C0, last: int = 0x024F) -> tuple[str, str]:
-    """Every Latin letter whose compatibility decomposition starts with one
-    ASCII letter maps to that letter (a letter that decomposes to nothing
-    ASCII is left for the non-ASCII drop that follows)."""
-    src, dst = [], []
-    for cp in range(first, last + 1):
+def _fold_tables() -> tuple[str, str, dict[str, str]]:
+    """From the compatibility decomposition (NFKD) of every character: those
+    that fold to one ASCII character (two strings for ``translate``) and those
+    that fold to several (a map). What folds to nothing is dropped later."""
+    one: dict[str, str] = {}
+    many: dict[str, str] = {}
+    for cp in range(0x80, sys.maxunicode + 1):
         ch = chr(cp)
-        base = unicodedata.normalize("NFKD", ch).encode("ascii", "ignore").decode("ascii")
-        if len(base) == 1 and base.isalpha():
-            src.append(ch)
-            dst.append(base)
-    return "".join(src), "".join(dst)
+        if unicodedata.decomposition(ch):
+            base = unicodedata.normalize("NFKD", ch).encode("ascii", "ignore").decode("ascii")
+            if len(base) == 1:
+                one[ch] = base
+            elif base:
+                many[ch] = base
+    return "".join(one), "".join(one.values()), many
 
 
-FOLD_FROM, FOLD_TO = _fold_table()
+FOLD_FROM, FOLD_TO, FOLD_MANY = _fold_tables()
 
 
 def _c(x) -> Column:
     return F.col(x) if isinstance(x, str) else x
 
 
+def _ranges(chars) -> str:
+    """Character class of a set of characters, as code point ranges."""
+    out, start, last = [], None, None
+    for cp in [*sorted(map(ord, chars)), None]:
+        if start is not None and cp != last + 1:
+            out.append(f"\\x{{{start:X}}}-\\x{{{last:X}}}")
+            start = None
+        start, last = (cp if start is None else start), cp
+    return "".join(out)
+
+
+_MANY_CLASS = _ranges(FOLD_MANY)
+_MANY_JSON = json.dumps(FOLD_MANY)
+
+
+def _expand(t: Column) -> Column:
+    """Characters that fold to several letters (ligatures, squared units),
+    looked up one by one; only texts that hold one come here."""
+    table = F.from_json(F.lit(_MANY_JSON), "map<string,string>")  # folded to one literal
+    return F.array_join(F.transform(F.split(t, ""), lambda c: F.coalesce(F.try_element_at(table, c), c)), "")
+
+
 def fold(text) -> Column:
-    """Accent-free ASCII: fold Latin letters, then drop what is left."""
-    t = F.translate(F.coalesce(_c(text), F.lit("")), FOLD_FROM, FOLD_TO)
-    return F.regexp_replace(t, r"[^\x00-\x7F]", "")
+    """ASCII of the compatibility decomposition; what has none is dropped."""
+    t = F.coalesce(_c(text), F.lit(""))
+    t = F.when(t.rlike(f"[{_MANY_CLASS}]"), _expand(t)).otherwise(t)
+    return F.regexp_replace(F.translate(t, FOLD_FROM, FOLD_TO), r"[^\x00-\x7F]", "")
 
 
 def slug(text) -> Column:
@@ -56,7 +84,7 @@ def _title(text: Column) -> Column:
     upper case, every other letter lower case."""
     tokens = F.regexp_extract_all(text, F.lit(r"(\p{L}+|[^\p{L}]+)"), 1)
     fixed = F.transform(tokens, lambda t: F.when(
-        t.rlike(r"^\p{L}"), F.concat(F.upper(F.substring(t, 1, 1)), F.lower(F.substring(t, 2, 1 << 20)))
+        t.rlike(r"^\p{L}"), F.concat(F.upper(F.substring(t, 1, 1)), F.lower(F.substring(t, F.lit(2), F.length(t))))
     ).otherwise(t))
     return F.array_join(fixed, "")
 
@@ -81,7 +109,7 @@ def _cap_segments(word: Column) -> Column:
     """Capitalise the first letter of the word and of each part after - or '."""
     parts = F.regexp_extract_all(word, F.lit(r"([-'’]|[^-'’]+)"), 1)
     fixed = F.transform(parts, lambda p: F.when(
-        p.rlike(r"^\p{L}"), F.concat(F.upper(F.substring(p, 1, 1)), F.substring(p, 2, 1 << 20))
+        p.rlike(r"^\p{L}"), F.concat(F.upper(F.substring(p, 1, 1)), F.substring(p, F.lit(2), F.length(p)))
     ).otherwise(p))
     return F.array_join(fixed, "")
 

@@ -11,21 +11,15 @@ from pyspark.sql import functions as F
 
 from ..functions import expr as X
 from ..functions.rules import Context
+from ..sources.lake import narrow
 
 CTX = ["competition", "season"]
 
 
 def in_context(df: DataFrame, ctx: Context | None) -> DataFrame:
-    """Optional filters, each only when given."""
-    if ctx is None:
-        return df
-    if ctx.competition is not None:
-        df = df.filter(F.col("competition") == ctx.competition)
-    if ctx.season is not None:
-        df = df.filter(F.col("season") == int(ctx.season))
-    if ctx.group is not None and "grp" in df.columns:
-        df = df.filter(F.col("grp") == ctx.group)
-    return df
+    """Optional filters, each only when given; on partition columns they
+    prune folders."""
+    return narrow(df, ctx)
 
 
 def resolve_context(games: DataFrame, ctx: Context | None = None) -> DataFrame:

@@ -1,102 +1,135 @@
 """Data-quality rules (Q01-Q13) as one operator: rows ``(rule, violations)``.
 
-Each rule is one aggregate (``count_if(bad)``) over a layer table; the
-rules are stacked with ``unionByName``. Nothing is collected.
+Row rules over one table share a single aggregate pass (one ``count_if`` per
+rule); rules on groups are one count each. Ratios are recomputed from raw
+counters by another route than the one that made them, and a missing value
+where one belongs is a violation. Nothing is collected.
 """
 from __future__ import annotations
 
 from functools import reduce
+from operator import or_
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import expr as X
 from .context import CTX
-from .league import game_list, standings, summary
-from .sheets import player_shots, zones
+from .league import both_sides, game_list, leaders, standings
+from .playbyplay import foul_games, player_fouls
+from .sheets import player_shots
 
 CONTRACT = {"players": ["game_id", "player_name", "team", "is_home", "minutes", "points", "t2m", "t2a",
                         "t3m", "t3a", "ftm", "fta", "reb", "ast", "stl", "blk", "tov", "pf", "val"],
             "games": ["game_id", "competition", "season", "home_team", "away_team", "home_score", "away_score"]}
-LEGACY = ["minutes_played", "puntos"]
 
 
-def _rule(name: str, df: DataFrame, bad) -> DataFrame:
-    return df.agg(F.count_if(bad).alias("violations")).select(F.lit(name).alias("rule"), "violations")
+def _rules(df: DataFrame, named: dict[str, Column]) -> DataFrame:
+    """Several row rules over one table in a single pass; a rule that is
+    neither true nor false counts as a violation."""
+    agg = df.agg(*[F.count_if(F.coalesce(bad, F.lit(True))).alias(f"r{i}") for i, bad in enumerate(named.values())])
+    rows = F.array(*[F.struct(F.lit(name).alias("rule"), F.col(f"r{i}").alias("violations"))
+                     for i, name in enumerate(named)])
+    return agg.select(F.inline(rows))
 
 
 def _count(name: str, df: DataFrame) -> DataFrame:
-    return df.agg(F.count(F.lit(1)).alias("violations")).select(F.lit(name).alias("rule"), "violations")
+    return _rules(df, {name: F.lit(True)})
 
 
-def _rules(df: DataFrame, named: dict) -> DataFrame:
-    """Several row rules over one table in a single pass: one aggregate of
-    ``count_if`` per rule, then one row per rule."""
-    agg = df.agg(*[F.count_if(bad).alias(f"r{i}") for i, bad in enumerate(named.values())])
-    rows = F.array(*[F.struct(F.lit(name).alias("rule"), F.col(f"r{i}").alias("violations"))
-                     for i, name in enumerate(named)])
-    return agg.select(F.inline(rows))
+def _missing(columns: list[str]) -> Column:
+    return reduce(or_, [F.col(c).isNull() for c in columns])
+
+
+def _differs(a: Column, b: Column) -> Column:
+    return ~F.round(a, 9).eqNullSafe(F.round(b, 9))
 
 
-def check(t, spark=None) -> DataFrame:
+def _counted(df: DataFrame, keys: list[str], name: str) -> DataFrame:
+    return df.groupBy(*keys).agg(F.count(F.lit(1)).alias(name))
+
+
+def _unequal(name: str, a: DataFrame, b: DataFrame, keys: list[str], left: str, right: str) -> DataFrame:
+    """Keys whose two counts differ, or that only one side has."""
+    return _count(name, a.join(b, keys, "full").filter(~F.col(left).eqNullSafe(F.col(right))))
+
+
+def _player_rules() -> dict[str, Column]:
+    tries = F.col("t2a") + F.col("t3a")
+    points = 2 * F.col("t2m") + 3 * F.col("t3m") + F.col("ftm")
+    alone = lambda pct, n: F.col(pct).isNull() != (F.col(n) == 0)
+    return {
+        "q01_team_missing_or_wrong_side":
+            ~F.col("team").eqNullSafe(F.when(F.col("is_home"), F.col("home_team")).otherwise(F.col("away_team")))
+            | F.col("team").isNull(),
+        "q03_efg_formula": _differs(F.col("effective_fg_pct"),
+                                    F.when(tries > 0, (F.col("t2m") + F.lit(1.5) * F.col("t3m")) / tries)),
+        "q03_ts_formula": _differs(F.col("true_shooting_pct"),
+                                   F.when(tries + F.col("fta") > 0, points / (2 * tries + F.lit(0.88) * F.col("fta")))),
+        "q03_pct_without_attempts": alone("two_point_pct", "t2a") | alone("three_point_pct", "t3a") | alone("free_throw_pct", "fta"),
+        "q11_makes_over_attempts":
+            (F.col("t2m") > F.col("t2a")) | (F.col("t3m") > F.col("t3a")) | (F.col("ftm") > F.col("fta")),
+        "_required": _missing(CONTRACT["players"]),
+    }
+
+
+def check(t) -> DataFrame:
     p, g, pl, s, tm = t.players, t.games, t.plays, t.shots, t.teams
-    eps = F.lit(1e-9)
+    table = standings(g)
+    box = tm.groupBy("game_id").agg(F.sum(F.when(F.col("is_home"), F.col("points"))).alias("h"),
+                                    F.sum(F.when(~F.col("is_home"), F.col("points"))).alias("a"))
     canvas = X.half_court("x", "y")
+    lost = both_sides(g).groupBy(*CTX, "team").agg(F.count_if(F.col("pf") <= F.col("pa")).alias("not_won"))
+    # Shots per player and zone: one join of players and shots for both zone rules.
+    hit = player_shots(p, s).groupBy(*CTX, "player_name", "zone").agg(F.count(F.lit(1)).alias("att"), F.count("made").alias("made"))
+    pages = leaders(p, limit=10).unionByName(leaders(p, limit=10, offset=10))
+    fouls = player_fouls(pl, g, p)
+    counted = foul_games(pl, g, every=True).groupBy(*CTX, "player_name").agg(F.sum("fouls").alias("fouls"))
+    days = game_list(g)
+    in_group = _counted(g, [*CTX, "grp"], "n")
+    whole = in_group.groupBy(*CTX).agg(F.sum("n").alias("whole"), F.count(F.lit(1)).alias("groups"))
     rules = [
-        _rules(p, {
-            "q01_team_missing_or_wrong_side":
-                F.col("team").isNull() | (F.col("team") != F.when(F.col("is_home"), F.col("home_team"))
-                                          .otherwise(F.col("away_team"))),
-            "q03_efg_formula": F.abs(F.col("effective_fg_pct") - X.efg("fgm", "t3m", "fga")) > eps,
-            "q03_ts_formula": F.abs(F.col("true_shooting_pct") - X.ts("points", "fga", "fta")) > eps,
-            "q03_pct_without_attempts":
-                (F.col("two_point_pct").isNotNull() & (F.col("t2a") == 0))
-                | (F.col("three_point_pct").isNotNull() & (F.col("t3a") == 0))
-                | (F.col("free_throw_pct").isNotNull() & (F.col("fta") == 0)),
-            "q11_makes_over_attempts":
-                (F.col("t2m") > F.col("t2a")) | (F.col("t3m") > F.col("t3a")) | (F.col("ftm") > F.col("fta")),
-        }),
+        _rules(p, _player_rules()),
+        _rules(g, {"_required": _missing(CONTRACT["games"])}),
         _count("q04_game_in_two_contexts",
                p.groupBy("game_id").agg(F.count_distinct(*CTX).alias("n")).filter(F.col("n") > 1)),
         _count("q05_score_vs_team_box",
-               g.join(tm.groupBy("game_id").agg(
-                   F.sum(F.when(F.col("is_home"), F.col("points"))).alias("h"),
-                   F.sum(F.when(~F.col("is_home"), F.col("points"))).alias("a")), "game_id", "left")
-                .filter(~F.col("home_score").eqNullSafe(F.col("h")) | ~F.col("away_score").eqNullSafe(F.col("a")))),
+               g.join(box, "game_id", "left").filter(
+                   ~F.col("home_score").eqNullSafe(F.col("h")) | ~F.col("away_score").eqNullSafe(F.col("a")))),
         _rules(s, {
             "q06_zone_distance_points":
                 ~F.col("zone").isin("rim", "mid", "three") | (F.col("shot_distance_m") > 28)
-                | ((F.col("made") == 1) & F.col("is_three") & (F.col("shot_points") != 3)),
+                | (F.col("made").eqNullSafe(F.lit(1)) & F.col("is_three") & (F.col("shot_points") != 3)),
             "q12_shot_outside_canvas":
                 (canvas["cx"] < -1e-6) | (canvas["cx"] > 1500 + 1e-6)
                 | (canvas["cy"] < -1e-6) | (canvas["cy"] > 1400 + 1e-6),
         }),
-        _count("q07_zone_attempts_vs_shots",
-               zones(p, s).groupBy(*CTX, "player_name").agg(F.sum("att").alias("z"))
-               .join(player_shots(p, s).groupBy(*CTX, "player_name").agg(F.count(F.lit(1)).alias("n")),
-                     CTX + ["player_name"], "full")
-               .filter(~F.col("z").eqNullSafe(F.col("n")))),
-        _rule("q08_games_vs_wins_losses", standings(g),
-              F.col("games") != F.col("wins") + F.col("losses")),
-        _count("q08_standing_teams_vs_summary",
-               standings(g).groupBy(*CTX).agg(F.count(F.lit(1)).alias("st"))
-               .join(summary(g, p, s), CTX, "full").filter(~F.col("st").eqNullSafe(F.col("teams")))),
+        _unequal("q07_zone_attempts_vs_shots", hit.groupBy(*CTX, "player_name").agg(F.sum("att").alias("z")),
+                 _counted(player_shots(p, s), [*CTX, "player_name"], "n"), [*CTX, "player_name"], "z", "n"),
+        _rules(table.join(lost, [*CTX, "team"], "left"),
+               {"q08_games_vs_wins_losses": F.col("games") != F.col("wins") + F.col("not_won")}),
+        _unequal("q08_standing_teams_vs_summary", _counted(table, CTX, "st"),
+                 p.join(g.select(*CTX).distinct(), CTX, "left_semi").groupBy(*CTX).agg(F.count_distinct("team").alias("teams")),
+                 CTX, "st", "teams"),
         _count("q09_context_mixed",
                p.select("game_id", *[F.col(c).alias(f"p_{c}") for c in CTX]).distinct()
                .join(g.select("game_id", *CTX), "game_id")
                .filter((F.col("p_competition") != F.col("competition")) | (F.col("p_season") != F.col("season")))),
+        _count("q09_group_does_not_shrink",
+               in_group.join(whole, CTX).filter((F.col("groups") > 1) & (F.col("n") >= F.col("whole")))),
+        _count("q10_pages_overlap", _counted(pages, [*CTX, "player_name"], "n").filter("n > 1")),
         _rules(pl, {
-            "q11_self_assist": F.col("assisted_by_name") == F.col("player_name"),
+            "q11_self_assist": F.coalesce(F.col("assisted_by_name") == F.col("player_name"), F.lit(False)),
             "q13_unresolved_player_names": F.col("player_id").isNotNull() & F.col("player_name").isNull(),
         }),
-        _count("q12_match_days_lose_games",
-               game_list(g).groupBy(*CTX).agg(F.count(F.lit(1)).alias("n"))
-               .join(g.groupBy(*CTX).agg(F.count(F.lit(1)).alias("m")), CTX, "full")
-               .filter(~F.col("n").eqNullSafe(F.col("m")))),
+        _count("q11_foul_types_and_games",
+               fouls.join(counted, [*CTX, "player_name"], "left").filter(
+                   ~F.col("total_fouls").eqNullSafe(F.col("fouls")) | (F.col("fouled_out_games") > F.col("games")))),
+        _unequal("q12_match_days_lose_games", _counted(days, CTX, "n"), _counted(g, CTX, "m"), CTX, "n", "m"),
+        _count("q12_match_day_mixes_dates",
+               days.groupBy(*CTX, "match_day").agg(F.count_distinct("date").alias("n")).filter("n > 1")),
     ]
-    missing = sum(1 for name, cols in CONTRACT.items() for c in cols
-                  if c not in getattr(t, name).columns)
-    legacy = sum(1 for c in LEGACY if c in p.columns)
-    rules.append(g.limit(1).agg(F.lit(missing + legacy).cast("long").alias("violations"))
-                 .select(F.lit("q02_contract_columns").alias("rule"), "violations"))
-    return reduce(DataFrame.unionByName, rules)
+    every = reduce(DataFrame.unionByName, rules)
+    # The two tables' required values are one rule.
+    return every.withColumn("rule", F.when(F.col("rule") == "_required", "q02_required_values").otherwise(F.col("rule"))).groupBy(
+        "rule").agg(F.sum("violations").alias("violations"))

@@ -19,16 +19,6 @@ class Tables:
     teams: DataFrame      # silver team box score (B10)
 
 
-def from_driver(spark: SparkSession, sf_dir: str) -> Tables:
-    players = clean.clean_players(driver.box_scores(spark, sf_dir))
-    raw_plays = driver.plays(spark, sf_dir)
-    plays = clean.clean_plays(raw_plays, players)
-    shots = model.fact_shots(clean.clean_shots(driver.shots(spark, sf_dir, raw_plays)))
-    teams = clean.clean_teams(clean.team_box(players))
-    return Tables(games=model.fact_games(players), players=players, plays=plays,
-                  shots=shots, teams=teams)
-
-
 TIMINGS: dict[str, float] = {}
 
 
@@ -72,8 +62,3 @@ def build_layers(spark: SparkSession, sf_dir: str, root: str, exists, parallel:
         shots=lambda: model.fact_shots(clean.clean_shots(driver.shots(spark, sf_dir, raw_plays))))
     plays = stage("plays", lambda: clean.resolve_names(lvl3["plays_linked"], players))
     return Tables(games=lvl3["games"], players=players, plays=plays, shots=lvl3["shots"], teams=lvl3["teams"])
-
-
-def from_silver(games: DataFrame, players: DataFrame, plays: DataFrame,
-                shots: DataFrame, teams: DataFrame) -> Tables:
-    return Tables(games=games, players=players, plays=plays, shots=shots, teams=teams)

@@ -3,9 +3,12 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from .catalog import register, tables
+from . import catalog
+from .catalog import lake, register, tables
 from .oracle.adapters import with_layers as W
 from .plans import league
+from .functions import expr as X
+from .functions.rules import Context
 from .plans.context import catalogue, describe_context
 
 
@@ -729,32 +732,46 @@ def h01_page_links(spark, sf_dir):
     return PG.page_links(D.read(spark, sf_dir, "pages"), PG.ANY_LINK)
 
 
-@register("h01_game_links", r"""
-WITH l AS (
-  SELECT page_id, unnest(regexp_extract_all(html, 'Partido\.aspx\?p=(\d+)', 1)) AS link,
-         generate_subscripts(regexp_extract_all(html, 'Partido\.aspx\?p=(\d+)', 1), 1) AS i
-  FROM pages),
-f AS (SELECT page_id, link, min(i) AS first_i FROM l GROUP BY page_id, link)
-SELECT page_id, CAST(row_number() OVER (PARTITION BY page_id ORDER BY first_i) - 1 AS INTEGER) AS position, link
-FROM f""")
+from .sources import site as SITE  # noqa: E402
+
+DAYS_SQL = W("games") + """,
+days AS (SELECT competition, season, game_date, min(game_id) AS page_id FROM games GROUP BY ALL),"""
+
+
+def _day_pages(spark, sf_dir):
+    return SITE.day_pages(tables(spark, sf_dir).games)
+
+
+def _game_pages(spark, sf_dir):
+    t = tables(spark, sf_dir)
+    return SITE.game_pages(t.players, t.games)
+
+
+@register("h01_game_links", DAYS_SQL + """
+l AS (SELECT d.page_id, g.game_id, row_number() OVER (PARTITION BY d.page_id ORDER BY g.game_id) AS i
+      FROM days d JOIN games g ON g.competition = d.competition AND g.season = d.season AND g.game_date = d.game_date)
+SELECT page_id, CAST(i - 1 AS INTEGER) AS position, CAST(game_id AS VARCHAR) AS link FROM l""")
 def h01_game_links(spark, sf_dir):
-    return PG.page_links(D.read(spark, sf_dir, "pages"), PG.GAME_LINK)
+    """H01 on match-day pages written from the games table."""
+    return PG.page_links(_day_pages(spark, sf_dir), PG.GAME_LINK)
 
 
-@register("h02_page_options", r"""
-WITH b AS (
-  SELECT page_id, regexp_extract(html, '(?is)<select[^>]*name="[^"]*grupos[^"]*"[^>]*>(.*?)</select>', 1) AS block
-  FROM pages),
-o AS (
-  SELECT page_id,
-         unnest(regexp_extract_all(block, '<option[^>]*value="([^"]*)"[^>]*>([^<]*)</option>', 1)) AS v,
-         unnest(regexp_extract_all(block, '<option[^>]*value="([^"]*)"[^>]*>([^<]*)</option>', 2)) AS l,
-         generate_subscripts(regexp_extract_all(block, '<option[^>]*value="([^"]*)"[^>]*>([^<]*)</option>', 1), 1) - 1 AS position
-  FROM b)
-SELECT page_id, CAST(position AS INTEGER) AS position, v AS value, trim(replace(replace(replace(replace(replace(replace(o.l, '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#39;', ''''), '&nbsp;', ' '), '&amp;', '&')) AS label
-FROM o WHERE v <> ''""")
+@register("h02_page_options", DAYS_SQL + """
+o AS (SELECT DISTINCT d.page_id, g.grp
+      FROM days d JOIN games g ON g.competition = d.competition AND g.season = d.season AND g.game_date = d.game_date)
+SELECT page_id, CAST(row_number() OVER (PARTITION BY page_id ORDER BY grp) AS INTEGER) AS position, grp AS value,
+       'Liga Regular "' || grp || '"' AS label FROM o""")
 def h02_page_options(spark, sf_dir):
-    return PG.page_options(D.read(spark, sf_dir, "pages"), "grupos")
+    """H02 on match-day pages: the menu of groups (its first option is blank)."""
+    return PG.page_options(_day_pages(spark, sf_dir), "grupos")
+
+
+@register("h03_game_page_header", W("games") + """
+SELECT game_id, game_id AS page_id, date, '18:30' AS time, 'Pabellón Norte' AS venue, home_team, away_team,
+       home_score, away_score FROM games""")
+def h03_game_page_header(spark, sf_dir):
+    """H03 on game pages written from the games and player tables."""
+    return PG.page_header(_game_pages(spark, sf_dir))
 
 
 H03_SQL = r"""
@@ -787,9 +804,15 @@ def h03_page_header(spark, sf_dir):
     return PG.page_header(D.read(spark, sf_dir, "pages"))
 
 
-@register("h04_page_box_scores")
+@register("h04_page_box_scores", W("games") + """
+SELECT p.game_id AS page_id, is_home, CAST(row_number() OVER (
+         PARTITION BY p.game_id, is_home ORDER BY jersey, player_name) - 1 AS INTEGER) AS row_index, jersey,
+       player_name AS name, CAST(jersey AS VARCHAR) AS player_ref, minutes, points, t2m, t2a, t3m, t3a, ftm, fta,
+       orb, drb, reb, ast, stl, blk, tov, pf, plus_minus, val
+FROM players p JOIN games g ON p.game_id = g.game_id""")
 def h04_page_box_scores(spark, sf_dir):
-    return PG.page_box_scores(D.read(spark, sf_dir, "pages"))
+    """H04/H05 on game pages written from the games and player tables."""
+    return PG.page_box_scores(_game_pages(spark, sf_dir))
 
 
 @register("q00_quality")
@@ -823,48 +846,42 @@ def h06_plan_ingest(spark, sf_dir):
 SELECT competition, count(*) FILTER (WHERE status = 'new') AS new,
        count(*) FILTER (WHERE status = 'skipped') AS skipped,
        count(*) FILTER (WHERE status = 'pending') AS pending,
-       count(*) FILTER (WHERE status = 'failed') AS failed
+       count(*) FILTER (WHERE status = 'failed') AS failed,
+       count(*) FILTER (WHERE status = 'deferred') AS deferred
 FROM plan GROUP BY ROLLUP (competition)""")
 def h08_ingest_summary(spark, sf_dir):
     return I.ingest_summary(_plan(spark, sf_dir))
 
 
-AUDIT_VALID = ["1-urgent", "2-high", "3-medium", "4-not-specified"]
-AUDIT_RENAMES = {"5-low": "low"}
+AUDIT_RENAMES = {"5-LOW": "LOW"}
+AUDIT_INVALID = ["3-MEDIUM"]
 AUDIT_BAD_GROUPS = ["P"]
 
 
 def _audit(spark, sf_dir):
-    g = tables(spark, sf_dir).games
-    return I.audit_taxonomy(I.raw_paths(g, slug_col=T.slug(F.col("competition"))),
-                            AUDIT_VALID, AUDIT_RENAMES, AUDIT_BAD_GROUPS)
-
-
-AUDIT_SQL = W("games") + f""",
-paths AS (
-  SELECT 'raw/competition=' || {slug_sql('competition')} || '/year=' || CAST(season AS VARCHAR)
-         || '/group=' || grp || '/game_id=' || CAST(game_id AS VARCHAR) || '.json' AS path FROM games),
-p1 AS (
-  SELECT path,
-    regexp_extract(path, 'competition=([^/]+)/year=(\\d+)/group=([^/]+)/game_id=(\\d+)\\.json$', 1) AS competition,
-    regexp_extract(path, 'competition=([^/]+)/year=(\\d+)/group=([^/]+)/game_id=(\\d+)\\.json$', 2) AS season,
-    regexp_extract(path, 'competition=([^/]+)/year=(\\d+)/group=([^/]+)/game_id=(\\d+)\\.json$', 3) AS grp,
-    regexp_extract(path, 'competition=([^/]+)/year=(\\d+)/group=([^/]+)/game_id=(\\d+)\\.json$', 4) AS gid
-  FROM paths),
+    """Audit of a written raw store: every game's document, and a second
+    copy of the group F games of a renamed competition under its new key (a
+    move begun earlier)."""
+    return I.audit_taxonomy(catalog.raw_store(spark, sf_dir), AUDIT_RENAMES, AUDIT_INVALID, AUDIT_BAD_GROUPS)
+
+
+AUDIT_SQL = W("lines") + """,
+stored AS (
+  SELECT DISTINCT competition, season, grp, game_id FROM players
+  UNION ALL SELECT DISTINCT 'LOW', season, grp, game_id FROM players WHERE competition = '5-LOW' AND grp = 'F'),
 audit AS (
-  SELECT path, competition, season, grp, TRY_CAST(NULLIF(gid, '') AS BIGINT) AS game_id,
-    CASE WHEN competition = '5-low' THEN 'low' ELSE competition END AS target,
-    CASE WHEN gid = '' THEN 'drop:not_a_game'
-         WHEN competition NOT IN ('1-urgent', '2-high', '3-medium', '4-not-specified', '5-low') THEN 'drop:competition'
-         WHEN grp IN ('P') THEN 'drop:group' WHEN competition IN ('5-low') THEN 'move' ELSE 'keep' END AS action
-  FROM p1)"""
+  SELECT competition, CAST(season AS VARCHAR) AS season, grp, game_id,
+    CASE WHEN competition = '5-LOW' THEN 'LOW' ELSE competition END AS target,
+    CASE WHEN competition = '3-MEDIUM' THEN 'drop:competition' WHEN grp = 'P' THEN 'drop:group'
+         WHEN competition = '5-LOW' THEN 'move' ELSE 'keep' END AS action
+  FROM stored)"""
 
 
 @register("h12_audit_taxonomy", AUDIT_SQL + """
-SELECT *, CASE WHEN action = 'move' THEN regexp_replace(path, 'competition=[^/]+/', 'competition=' || target || '/') END AS new_path
-FROM audit""")
+SELECT *, CASE WHEN action = 'move' THEN 'competition=LOW/year=' || season || '/group=' || grp END AS new_folder FROM audit""")
 def h12_audit_taxonomy(spark, sf_dir):
-    return _audit(spark, sf_dir)
+    folder = F.nullif(F.regexp_extract("new_path", "(competition=[^/]+/year=[^/]+/group=[^/]+)/", 1), F.lit(""))
+    return _audit(spark, sf_dir).withColumn("new_folder", folder).drop("path", "new_path")
 
 
 @register("h15_move_summary", AUDIT_SQL + """
@@ -875,13 +892,21 @@ def h15_move_summary(spark, sf_dir):
 
 @register("h13_collisions", AUDIT_SQL + """
 SELECT DISTINCT m.game_id, m.target AS competition FROM audit m
-WHERE m.action = 'move' AND EXISTS (SELECT 1 FROM audit k WHERE k.action = 'keep'
-  AND k.game_id = m.game_id AND k.competition = m.target)""")
+WHERE m.action = 'move' AND EXISTS (SELECT 1 FROM audit k WHERE k.game_id = m.game_id AND k.competition = m.target)""")
 def h13_collisions(spark, sf_dir):
     return I.collisions(_audit(spark, sf_dir))
 
 
-# --- presentation and nested forms (row checks only) ---------------------------
+@register("h14_backup_needed", AUDIT_SQL + """
+SELECT competition, season, grp, game_id, action FROM audit WHERE action LIKE 'drop%'""")
+def h14_backup_needed(spark, sf_dir):
+    """Documents to drop that hold players (all stored ones do)."""
+    return I.backup_needed(_audit(spark, sf_dir), catalog.raw_store(spark, sf_dir)).select(
+        "competition", "season", "grp", "game_id", "action")
+
+
+# --- presentation and nested forms ----------------------------------------------
+
 
 from .sources import lake as LK  # noqa: E402
 
@@ -926,10 +951,16 @@ def f06_team_display_names(spark, sf_dir):
                                               T.team_display_name(F.col("team")).alias("display_name"))
 
 
-@register("a14_zone_map")
+@register("a14_zone_map", ZONES_SQL + """
+SELECT competition, season, player_name, zone, count(*) FILTER (WHERE made = 1) AS made, count(*) AS att,
+       count(*) FILTER (WHERE made = 1) / count(*) AS pct
+FROM ps GROUP BY competition, season, player_name, zone""")
 def a14_zone_map(spark, sf_dir):
+    """A14 nested, its map opened again: one row per entry."""
     t = tables(spark, sf_dir)
-    return S.zone_map(t.players, t.shots)
+    z = S.zone_map(t.players, t.shots)
+    return z.select("competition", "season", "player_name", F.explode("zones").alias("zone", "v")).select(
+        "competition", "season", "player_name", "zone", "v.*")
 
 
 A20_SQL = EDGES_SQL + f""",
@@ -962,25 +993,192 @@ BRONZE_PLAYER_COLS = """p.game_id, p.competition, p.season, p.grp, p.date, p.hom
   p.ast, p.stl, p.blk, p.tov, p.pf, p.plus_minus, p.val"""
 
 
-@register("s10_wide_box_score", W("games") + f"""
+HDR_SQL = W("lines", "teams", "shots") + """,
+head AS (
+  SELECT game_id, competition, season, grp, date, game_date, home_team, away_team,
+         CAST(sum(CASE WHEN is_home THEN points END) AS INTEGER) AS home_score,
+         CAST(sum(CASE WHEN NOT is_home THEN points END) AS INTEGER) AS away_score
+  FROM players GROUP BY ALL)"""
+
+
+@register("s10_wide_box_score", HDR_SQL + f"""
 SELECT {BRONZE_PLAYER_COLS}, '' AS time, '' AS venue, g.home_score, g.away_score,
        CAST(strptime(p.date, '%d/%m/%Y') AS DATE)::VARCHAR AS game_date
-FROM players p JOIN games g ON p.game_id = g.game_id""")
+FROM players p JOIN head g ON p.game_id = g.game_id""")
 def s10_wide_box_score(spark, sf_dir):
-    t = tables(spark, sf_dir)
-    w = LK.wide_box_score(LK.docs_from_tables(t.players, t.games))
+    w = LK.wide_box_score(catalog.documents(spark, sf_dir))
     return w.withColumn("game_date", F.col("game_date").cast("string"))
 
 
-@register("b02_bronze_players_from_documents", W("games") + f"""
-SELECT {BRONZE_PLAYER_COLS} FROM players p WHERE p.game_id IN (SELECT game_id FROM games)""")
+@register("b02_bronze_players_from_documents", W("lines") + f" SELECT {BRONZE_PLAYER_COLS} FROM players p")
 def b02_bronze_players_from_documents(spark, sf_dir):
+    return lake(spark, sf_dir, "bronze", "players")
+
+
+@register("b01_bronze_games", HDR_SQL + """
+SELECT game_id, competition, season, grp, date, '' AS time, '' AS venue, home_team, away_team, home_score, away_score,
+       substr(date, 7, 4) AS calendar_year FROM head""")
+def b01_bronze_games(spark, sf_dir):
+    return lake(spark, sf_dir, "bronze", "games")
+
+
+@register("b03_bronze_plays", HDR_SQL + """
+SELECT r.game_id, h.competition, h.season, CAST(num AS VARCHAR) AS num, CAST(quarter AS VARCHAR) AS quarter, time, text,
+       CAST(team AS VARCHAR) AS team, action, CAST(scoreA AS VARCHAR) AS "scoreA", CAST(scoreB AS VARCHAR) AS "scoreB",
+       CAST(player_id AS VARCHAR) AS player_id, CAST(team_id AS VARCHAR) AS team_id
+FROM raw_plays r JOIN head h ON r.game_id = h.game_id""")
+def b03_bronze_plays(spark, sf_dir):
+    return lake(spark, sf_dir, "bronze", "plays")
+
+
+@register("b04_bronze_shots", HDR_SQL + """
+SELECT s.game_id, h.competition, h.season, CAST(quarter AS VARCHAR) AS quarter, time, CAST(player AS VARCHAR) AS player,
+       CAST(team AS VARCHAR) AS team, CAST(made AS VARCHAR) AS made, CAST(x AS VARCHAR) AS x, CAST(y AS VARCHAR) AS y
+FROM shots1 s JOIN head h ON s.game_id = h.game_id""")
+def b04_bronze_shots(spark, sf_dir):
+    return lake(spark, sf_dir, "bronze", "shots")
+
+
+TEAM_TEXT = ", ".join(f"CAST({c} AS VARCHAR) AS {c}" for c in (
+    "team_id", "points", "t2m", "t2a", "t3m", "t3a", "ftm", "fta", "off_reb", "def_reb", "tot_reb", "ast", "stl", "tov",
+    "blk", "pf"))
+
+
+@register("b05_bronze_teams", W("teams") + f" SELECT game_id, competition, season, is_home, team_name, {TEAM_TEXT} FROM teams")
+def b05_bronze_teams(spark, sf_dir):
+    return lake(spark, sf_dir, "bronze", "teams")
+
+
+@register("b07_silver_games", HDR_SQL + """
+SELECT game_id, competition, season, grp, date, '' AS time, '' AS venue, home_team, away_team, home_score, away_score,
+       substr(date, 7, 4) AS calendar_year, game_date::VARCHAR AS game_date FROM head""")
+def b07_silver_games(spark, sf_dir):
+    return lake(spark, sf_dir, "silver", "games").withColumn("game_date", F.col("game_date").cast("string"))
+
+
+META_SQL = """h.game_id, h.date, '' AS time, '' AS venue, h.home_team, h.away_team, h.home_score, h.away_score,
+  '' AS scraped_at, 'driver' AS source, h.competition, h.season AS year, h.grp"""
+
+
+@register("s11_wide_plays", HDR_SQL + f"""
+SELECT {META_SQL}, CAST(num AS VARCHAR) AS num, CAST(quarter AS VARCHAR) AS quarter, r.time AS line_time, text,
+       CAST(team AS VARCHAR) AS team, action, CAST(scoreA AS VARCHAR) AS "scoreA", CAST(scoreB AS VARCHAR) AS "scoreB",
+       CAST(player_id AS VARCHAR) AS "idPlayer", CAST(team_id AS VARCHAR) AS "idTeam"
+FROM raw_plays r JOIN head h ON r.game_id = h.game_id""")
+def s11_wide_plays(spark, sf_dir):
+    return LK.wide_lines(catalog.documents(spark, sf_dir), "plays")
+
+
+@register("s11_wide_shots", HDR_SQL + f"""
+SELECT {META_SQL}, CAST(quarter AS VARCHAR) AS quarter, s.time AS t, CAST(player AS VARCHAR) AS player,
+       CAST(team AS VARCHAR) AS team, CAST(made AS VARCHAR) AS m, CAST(x AS VARCHAR) AS x, CAST(y AS VARCHAR) AS y
+FROM shots1 s JOIN head h ON s.game_id = h.game_id""")
+def s11_wide_shots(spark, sf_dir):
+    return LK.wide_lines(catalog.documents(spark, sf_dir), "shots")
+
+
+TEAM_KEYS = {"id": "team_id", "pts": "points", "p2m": "t2m", "p2a": "t2a", "p3m": "t3m", "p3a": "t3a", "p1m": "ftm",
+             "p1a": "fta", "ro": "off_reb", "rd": "def_reb", "rt": "tot_reb", "assist": "ast", "st": "stl", "to": "tov",
+             "bs": "blk", "pf": "pf"}
+
+
+@register("s11_wide_team_lines", HDR_SQL + f"""
+SELECT {META_SQL}, team_name AS name, {", ".join(f'CAST(t.{c} AS VARCHAR) AS "{k}"' for k, c in TEAM_KEYS.items())}
+FROM teams t JOIN head h ON t.game_id = h.game_id""")
+def s11_wide_team_lines(spark, sf_dir):
+    return LK.wide_lines(catalog.documents(spark, sf_dir), "teams")
+
+
+@register("s13_inventory", W("lines") + """
+SELECT competition, season AS year, grp AS "group", count(DISTINCT game_id) AS games FROM players GROUP BY ALL""")
+def s13_inventory(spark, sf_dir):
+    """S13 over the written raw store."""
+    return LK.inventory(spark, catalog.raw_root(spark, sf_dir)).drop("documents")
+
+
+# The serving tables, read back from the lake, types as declared.
+from .sources.schema import SERVING  # noqa: E402
+
+DUCK = {"bigint": "BIGINT", "int": "INTEGER", "smallint": "SMALLINT", "string": "VARCHAR", "boolean": "BOOLEAN",
+        "float": "FLOAT", "double": "DOUBLE", "date": "DATE"}
+SERVING_FROM = {
+    "games": "(SELECT *, home_score + away_score AS total_points, CASE WHEN home_score > away_score THEN 'home' "
+             "WHEN home_score < away_score THEN 'away' ELSE 'draw' END AS winner FROM games)",
+    "players": "players",
+    "plays": "(SELECT p.*, h.competition, h.season FROM plays p JOIN head h ON p.game_id = h.game_id)",
+    "shots": "(SELECT s.*, h.competition, h.season FROM fshots s JOIN head h ON s.game_id = h.game_id)",
+    "teams": "teams",
+}
+
+
+def _serving(name):
+    columns, zero, _ = SERVING[name]
+    cols = ", ".join((f"CAST(coalesce({c}, 0) AS {DUCK[t]})" if c in zero else f"CAST({c} AS {DUCK[t]})") + f' AS "{c}"'
+                     for c, t in columns.items()).replace("CAST(game_date AS DATE)", "CAST(game_date AS VARCHAR)")
+    games = W("games", "teams", "shots") + HDR_SQL[len(W("lines", "teams", "shots")):]
+
+    @register(f"b16_serving_{name}", games + f" SELECT {cols} FROM {SERVING_FROM[name]}")
+    def query(spark, sf_dir):
+        d = lake(spark, sf_dir, "serving", name)
+        return d.withColumn("game_date", F.col("game_date").cast("string")) if "game_date" in columns else d
+
+
+for _name in SERVING:
+    _serving(_name)
+
+
+# Questions over one season of the lake (its folders only are read).
+@register("p08_clutch_one_season", SCORED_SQL.replace("clutch AS (", "clutch0 AS (") + """,
+clutch AS (SELECT * FROM clutch0 WHERE season = 1995)
+SELECT competition, season, player_name, count(DISTINCT game_id) AS games, count(*) FILTER (WHERE action = 'shoot') AS fga
+FROM clutch GROUP BY competition, season, player_name""")
+def p08_clutch_one_season(spark, sf_dir):
+    t = catalog.lake_tables(spark, sf_dir)
+    return PBP.clutch(t.plays, t.games, Context(season=1995), min_games=1).select(
+        "competition", "season", "player_name", "games", "fga")
+
+
+@register("p08_standings_one_context", STANDINGS_SQL.rstrip() + " WHERE competition = '1-URGENT' AND season = 1996")
+def p08_standings_one_context(spark, sf_dir):
+    return league.standings(catalog.lake_tables(spark, sf_dir).games, Context("1-URGENT", 1996))
+
+
+@register("j14_team_standing", f"SELECT * FROM ({STANDINGS_SQL}) WHERE team_key = 'cb-almenara'")
+def j14_team_standing(spark, sf_dir):
+    """One team's row of every standings table."""
+    return S.team_sheet(tables(spark, sf_dir), slug="cb-almenara")["standing"]
+
+
+@register("p16_team_assist_edges", EDGES_SQL.replace("edges AS (", "edges0 AS (").replace(
+    "FROM e)", "FROM e WHERE team = 'CB ALMENARA')") + " SELECT * FROM edges0")
+def p16_team_assist_edges(spark, sf_dir):
+    """The network of one team, by its slug."""
     t = tables(spark, sf_dir)
-    return LK.bronze_players(LK.docs_from_tables(t.players, t.games))
+    return PBP.assist_edges(t.plays, t.games, team_slug="cb-almenara")
+
+
+@register("f07_group_labels", W("headers") + """
+SELECT DISTINCT team AS name, regexp_replace(regexp_replace(regexp_replace(strip_accents(team), '[^\\x00-\\x7F]', '', 'g'),
+       '[^A-Za-z0-9]+', '-', 'g'), '^-+|-+$', '', 'g') AS label
+FROM (SELECT home_team AS team FROM hdr UNION ALL SELECT away_team FROM hdr)""")
+def f07_group_labels(spark, sf_dir):
+    """F07 on group names of the source's form, one per team."""
+    h = D.headers(spark, sf_dir)
+    names = h.select(F.explode(F.array("home_team", "away_team")).alias("name")).distinct()
+    return names.select("name", T.group_slug(F.concat(F.lit('Liga Regular "'), F.col("name"), F.lit('"'))).alias("label"))
+
+
+@register("f24_half_court", W("shots") + """
+SELECT game_id, quarter, time, player, x, y, y * CAST(0.15 AS DOUBLE) * 100 AS cx,
+       1400.0::DOUBLE - (CASE WHEN x < 50 THEN x ELSE 100 - x END) * CAST(0.28 AS DOUBLE) * 100 AS cy FROM fshots""")
+def f24_half_court(spark, sf_dir):
+    s = tables(spark, sf_dir).shots
+    return s.select("game_id", "quarter", "time", "player", "x", "y", X.half_court("x", "y").alias("c")).select("*", "c.*").drop("c")
 
 
 # --- ad-hoc SQL over the serving tables, presentation --------------------------
 
+from .catalog import ORACLE as ORACLE_OF  # noqa: E402
 from .plans import present as PR  # noqa: E402
 
 
@@ -1046,36 +1244,32 @@ def t02_leaders_page2(spark, sf_dir):
     return league.leaders(tables(spark, sf_dir).players, limit=10, offset=10)
 
 
-@register("f29_leaders_presented")
+LEADERS_PAGE_SQL = ORACLE_OF["a11_leaders"]
+LEADER_DOUBLES = {c: 1 for c in ("avg_min", "avg_pts", "avg_reb", "avg_ast", "avg_stl", "avg_blk", "avg_to", "avg_val",
+                                 "avg_plus_minus")} | {c: 4 for c in ("t2_pct", "t3_pct", "ft_pct", "fg_pct", "efg_pct", "ts_pct")}
+
+
+@register("f29_leaders_presented", "SELECT * REPLACE (" + ", ".join(
+    f"round({c}, {n}) AS {c}" for c, n in LEADER_DOUBLES.items()) + f") FROM ({LEADERS_PAGE_SQL})")
 def f29_leaders_presented(spark, sf_dir):
     """the leaders page rounded for display."""
     return PR.present(league.leaders(tables(spark, sf_dir).players))
 
 
-@register("f30_player_sheet_json")
+@register("f30_player_sheet_json", ORACLE_OF["a13_player_sheet"])
 def f30_player_sheet_json(spark, sf_dir):
-    """player sheets as one JSON answer per player."""
-    return PR.as_json(S.player_sheet(tables(spark, sf_dir).players), ["competition", "season", "slug"])
-
-
-@register("s11_wide_team_lines", W("games", "teams") + """
-SELECT t.*, g.grp, g.date, g.game_date::VARCHAR AS game_date, g.home_team, g.away_team, g.home_score, g.away_score,
-       g.home_score + g.away_score AS total_points,
-       CASE WHEN g.home_score > g.away_score THEN 'home' WHEN g.home_score < g.away_score THEN 'away' ELSE 'draw' END AS winner,
-       abs(g.home_score - g.away_score) AS margin
-FROM teams t JOIN games g ON t.game_id = g.game_id""")
-def s11_wide_team_lines(spark, sf_dir):
-    """Team box lines with the game header repeated (from the silver
-    team rows joined to their game)."""
-    t = tables(spark, sf_dir)
-    g = t.games.drop("competition", "season").withColumn("game_date", F.col("game_date").cast("string"))
-    return t.teams.join(g, "game_id")
+    """player sheets as one JSON answer per player, opened again."""
+    sheet = S.player_sheet(tables(spark, sf_dir).players)
+    keys = ["competition", "season", "slug"]
+    return PR.as_json(sheet, keys).select(*keys, F.from_json("answer", sheet.drop(*keys).schema).alias("a")).select(
+        *keys, "a.*")
 
 
 QUALITY_SQL = W("games", "teams", "shots") + """,
 sides AS (SELECT competition, season, home_team AS team, home_score AS pf, away_score AS pa FROM games
           UNION ALL SELECT competition, season, away_team, away_score, home_score FROM games),
-st AS (SELECT competition, season, team, count(*) AS games, count(*) FILTER (WHERE pf > pa) AS wins FROM sides GROUP BY ALL),
+st AS (SELECT competition, season, team, count(*) AS games, count(*) FILTER (WHERE pf > pa) AS wins,
+         count(*) FILTER (WHERE pf <= pa) AS not_won FROM sides GROUP BY ALL),
 ps AS (SELECT p.competition, p.season, p.player_name, s.zone, s.made
        FROM players p JOIN fshots s ON p.game_id = s.game_id AND p.jersey = s.player
         AND s.team = CASE WHEN p.is_home THEN 0 ELSE 1 END),
@@ -1089,14 +1283,34 @@ days AS (SELECT competition, season, count(*) AS n FROM games g JOIN
            (SELECT DISTINCT competition AS c, season AS s, game_date AS d FROM games) x
            ON g.competition = x.c AND g.season = x.s AND g.game_date = x.d GROUP BY ALL),
 gm AS (SELECT competition, season, count(*) AS m FROM games GROUP BY ALL),
+rated AS (SELECT *, CASE WHEN fga > 0 THEN round((fgm + 0.5::DOUBLE * t3m) / fga, 9) END AS efg,
+                 CASE WHEN fga + fta > 0 THEN round(points / (2 * (fga + 0.44::DOUBLE * fta)), 9) END AS ts,
+                 CASE WHEN t2a > 0 THEN t2m / t2a END AS t2, CASE WHEN t3a > 0 THEN t3m / t3a END AS t3,
+                 CASE WHEN fta > 0 THEN ftm / fta END AS ft FROM players),
+lead2 AS (SELECT competition, season, player_name, row_number() OVER (PARTITION BY competition, season
+            ORDER BY avg(val) DESC, player_name) AS position FROM players GROUP BY competition, season, player_name
+          HAVING count(*) >= 6 AND avg(minutes) >= 15),
+foulgames AS (SELECT g.competition, g.season, p.player_name, p.game_id, count(*) AS fouls,
+                count(*) FILTER (WHERE foul_type = 'personal') AS pers, count(*) FILTER (WHERE foul_type = 'technical') AS tech,
+                count(*) FILTER (WHERE foul_type = 'disqualifying') AS disq
+              FROM plays p JOIN games g ON p.game_id = g.game_id
+              WHERE p.action = 'foul' AND p.player_name IS NOT NULL GROUP BY ALL),
+played AS (SELECT competition, season, player_name, count(*) AS games FROM players GROUP BY ALL),
+foulrows AS (SELECT f.competition, f.season, f.player_name, sum(fouls) AS fouls, sum(pers + tech + disq) AS total,
+               count(*) FILTER (WHERE pers >= 5) AS out_games, any_value(p.games) AS games
+             FROM foulgames f JOIN played p ON p.competition = f.competition AND p.season = f.season
+              AND p.player_name = f.player_name GROUP BY f.competition, f.season, f.player_name HAVING any_value(p.games) >= 3),
 tb AS (SELECT game_id, sum(CASE WHEN is_home THEN points END) AS h, sum(CASE WHEN NOT is_home THEN points END) AS a
        FROM teams GROUP BY game_id)
 SELECT 'q01_team_missing_or_wrong_side' AS rule,
        count(*) FILTER (WHERE team IS NULL OR team <> CASE WHEN is_home THEN home_team ELSE away_team END) AS violations
 FROM players
-UNION ALL SELECT 'q03_efg_formula', CAST(0 AS BIGINT)
-UNION ALL SELECT 'q03_ts_formula', CAST(0 AS BIGINT)
-UNION ALL SELECT 'q03_pct_without_attempts', CAST(0 AS BIGINT)
+UNION ALL SELECT 'q03_efg_formula', count(*) FILTER (WHERE efg IS DISTINCT FROM
+  CASE WHEN t2a + t3a > 0 THEN round((t2m + 1.5::DOUBLE * t3m) / (t2a + t3a), 9) END) FROM rated
+UNION ALL SELECT 'q03_ts_formula', count(*) FILTER (WHERE ts IS DISTINCT FROM
+  CASE WHEN t2a + t3a + fta > 0 THEN round((2 * t2m + 3 * t3m + ftm) / (2 * (t2a + t3a) + 0.88::DOUBLE * fta), 9) END) FROM rated
+UNION ALL SELECT 'q03_pct_without_attempts', count(*) FILTER (WHERE (t2 IS NULL) <> (t2a = 0) OR (t3 IS NULL) <> (t3a = 0)
+  OR (ft IS NULL) <> (fta = 0)) FROM rated
 UNION ALL SELECT 'q04_game_in_two_contexts', count(*) FROM
   (SELECT game_id FROM players GROUP BY game_id HAVING count(DISTINCT (competition, season)) > 1)
 UNION ALL SELECT 'q05_score_vs_team_box', count(*) FROM games g LEFT JOIN tb ON g.game_id = tb.game_id
@@ -1106,7 +1320,7 @@ UNION ALL SELECT 'q06_zone_distance_points', count(*) FILTER (WHERE zone NOT IN
 UNION ALL SELECT 'q07_zone_attempts_vs_shots', count(*) FROM zs FULL JOIN ns
   ON zs.competition = ns.competition AND zs.season = ns.season AND zs.player_name = ns.player_name
   WHERE zs.z IS DISTINCT FROM ns.n
-UNION ALL SELECT 'q08_games_vs_wins_losses', CAST(0 AS BIGINT)
+UNION ALL SELECT 'q08_games_vs_wins_losses', count(*) FILTER (WHERE games IS DISTINCT FROM wins + not_won) FROM st
 UNION ALL SELECT 'q08_standing_teams_vs_summary', count(*) FROM stc FULL JOIN
   (SELECT g.competition, g.season, coalesce(s.teams, 0) AS teams FROM gm g LEFT JOIN summ s
      ON g.competition = s.competition AND g.season = s.season) sm
@@ -1124,7 +1338,24 @@ UNION ALL SELECT 'q12_shot_outside_canvas', count(*) FILTER (WHERE
     OR 1400.0 - (CASE WHEN x < 50 THEN x ELSE 100 - x END) * CAST(0.28 AS DOUBLE) * 100 > 1400 + 1e-6) FROM fshots
 UNION ALL SELECT 'q13_unresolved_player_names', count(*) FILTER (WHERE player_id IS NOT NULL AND player_name IS NULL)
   FROM plays
-UNION ALL SELECT 'q02_contract_columns', CAST(0 AS BIGINT)"""
+UNION ALL SELECT 'q02_required_values', (SELECT count(*) FROM players WHERE game_id IS NULL OR player_name IS NULL OR team IS NULL
+    OR is_home IS NULL OR minutes IS NULL OR points IS NULL OR t2m IS NULL OR t2a IS NULL OR t3m IS NULL OR t3a IS NULL
+    OR ftm IS NULL OR fta IS NULL OR reb IS NULL OR ast IS NULL OR stl IS NULL OR blk IS NULL OR tov IS NULL OR pf IS NULL
+    OR val IS NULL)
+  + (SELECT count(*) FROM games WHERE game_id IS NULL OR competition IS NULL OR season IS NULL OR home_team IS NULL
+    OR away_team IS NULL OR home_score IS NULL OR away_score IS NULL)
+UNION ALL SELECT 'q09_group_does_not_shrink', count(*) FROM (
+  SELECT competition, season, grp, count(*) AS n, sum(count(*)) OVER c AS whole, count(*) OVER c AS groups
+  FROM games GROUP BY competition, season, grp WINDOW c AS (PARTITION BY competition, season))
+  WHERE groups > 1 AND n >= whole
+UNION ALL SELECT 'q10_pages_overlap', count(*) FROM (
+  SELECT competition, season, player_name FROM lead2 WHERE position BETWEEN 1 AND 20
+  GROUP BY competition, season, player_name HAVING count(*) > 1)
+UNION ALL SELECT 'q11_foul_types_and_games', count(*) FROM foulrows WHERE total <> fouls OR out_games > games
+UNION ALL SELECT 'q12_match_day_mixes_dates', count(*) FROM (
+  SELECT competition, season, match_day FROM (
+    SELECT competition, season, game_date, dense_rank() OVER (PARTITION BY competition, season ORDER BY game_date DESC) AS match_day
+    FROM games) GROUP BY ALL HAVING count(DISTINCT game_date) > 1)"""
 from .catalog import ORACLE  # noqa: E402
 ORACLE["q00_quality"] = QUALITY_SQL
 
@@ -1134,18 +1365,15 @@ ORACLE["q00_quality"] = QUALITY_SQL
 from .streaming import incremental as INC  # noqa: E402
 
 
-@register("s01_stream_bronze_players", W("games") + f"""
-SELECT {BRONZE_PLAYER_COLS} FROM players p WHERE p.game_id IN (SELECT game_id FROM games)""")
+@register("s01_stream_bronze_players", W("lines") + f" SELECT {BRONZE_PLAYER_COLS} FROM players p")
 def s01_stream_bronze_players(spark, sf_dir):
-    """S01/S12 + streaming: documents written under the raw layout, picked
-    up by the file stream (availableNow), turned into bronze player rows
-    per micro-batch; the answer is every batch read back."""
+    """S01/S12 + streaming: the written raw store picked up by the file
+    stream (availableNow), turned into bronze player rows per micro-batch;
+    the answer is the latest delivery of every game."""
     import uuid
 
     from .session import checkpoint_dir
-    t = tables(spark, sf_dir)
     root = f"{checkpoint_dir(spark)}/courtside-stream/{uuid.uuid4().hex[:12]}"
-    LK.write_documents(LK.docs_from_tables(t.players, t.games), f"{root}/raw")
-    q = INC.load_bronze(spark, f"{root}/raw", f"{root}/bronze", f"{root}/checkpoint", once=True)
+    q = INC.load_bronze(spark, catalog.raw_root(spark, sf_dir), f"{root}/bronze", f"{root}/checkpoint", once=True)
     q.awaitTermination()
     return INC.read_bronze(spark, f"{root}/bronze", "players").drop("batch")

@@ -9,45 +9,45 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import expr as X
-from ..functions.rules import Context
-from .schema import GAME
+from ..functions.rules import Context, Scope
+from .schema import GAME, SERVING
 
 RAW_GLOB = "competition=*/year=*/group=*/*.json"
 
 
 # --- S01/S02/S14: scans ----------------------------------------------------
 
-def read_games(spark: SparkSession, root: str, scope: Context | None = None) -> DataFrame:
+def narrow(df: DataFrame, scope: Scope | Context | None, season: str = "season", group: str = "grp") -> DataFrame:
+    """The scope's rows; lists or single values, each only when given."""
+    if scope is None:
+        return df
+    if isinstance(scope, Context):
+        one = {"competition": scope.competition, season: scope.season, group: scope.group}
+        wanted = {c: [v] for c, v in one.items() if v is not None and c in df.columns}
+    else:
+        wanted = {c: list(v) for c, v in (("competition", scope.competitions), (season, scope.seasons)) if v}
+    for c, values in wanted.items():
+        df = df.filter(F.col(c).isin([int(v) for v in values] if c == season else values))
+    return df
+
+
+def read_games(spark: SparkSession, root: str, scope: Scope | Context | None = None) -> DataFrame:
     """Partitioned JSON scan with a declared schema; stray files
     outside the pattern are ignored by the glob; scope filters sit on the
-    partition columns, so unscoped folders are never listed."""
+    partition columns, so unscoped folders are never read."""
     df = (spark.read.schema(GAME).option("basePath", root).option("mode", "PERMISSIVE")
           .json(f"{root}/{RAW_GLOB}"))
-    df = df.withColumn("year", F.col("year").cast("int"))
-    if scope is not None:
-        if scope.competition is not None:
-            df = df.filter(F.col("competition") == scope.competition)
-        if scope.season is not None:
-            df = df.filter(F.col("year") == int(scope.season))
-        if scope.group is not None:
-            df = df.filter(F.col("group") == scope.group)
-    return df
+    return narrow(df.withColumn("year", F.col("year").cast("int")), scope, "year", "group")
 
 
-def read_table(spark: SparkSession, root: str, layer: str, name: str, scope: Context | None = None,
+def read_table(spark: SparkSession, root: str, layer: str, name: str, scope: Scope | Context | None = None,
                fmt: str = "parquet", merge_schema: bool = False) -> DataFrame:
     """A layer table in a configurable format; ``merge_schema``
     reads files written before an additive column change."""
     reader = spark.read.format(fmt)
     if merge_schema:
         reader = reader.option("mergeSchema", "true")
-    df = reader.load(f"{root}/{layer}/{name}")
-    if scope is not None:
-        if scope.competition is not None:
-            df = df.filter(F.col("competition") == scope.competition)
-        if scope.season is not None:
-            df = df.filter(F.col("season") == int(scope.season))
-    return df
+    return narrow(reader.load(f"{root}/{layer}/{name}"), scope)
 
 
 # --- S04/S05/S08: writes ------------------------------------------------------
@@ -58,15 +58,20 @@ def write_table(df: DataFrame, root: str, layer: str, name: str, partition_by=("
     ``df`` are replaced); S05: ``rebuild`` replaces the whole table;
     S08: rows sorted inside each file by ``sort_by`` for min/max skipping.
 
+    With ``sort_by`` rows are first dealt by ranges of (partition, keys): a
+    partition gets a few files whatever the number of tasks, and a hot
+    partition is cut into several.
+
     Note: a scope with zero rows replaces nothing under dynamic overwrite.
     """
     if sort_by:
-        df = df.sortWithinPartitions(*partition_by, *sort_by)
+        keys = [*partition_by, *sort_by]
+        df = df.repartitionByRange(*keys).sortWithinPartitions(*keys)
     w = df.write.format(fmt).mode("overwrite").option(
         "partitionOverwriteMode", "static" if rebuild else "dynamic")
     if partition_by:
         w = w.partitionBy(*partition_by)
-    w.save(f"{root}/{layer}/{name}")
+    w.save("/".join(filter(None, (root, layer, name))))
 
 
 def write_documents(docs: DataFrame, root: str) -> None:
@@ -76,14 +81,22 @@ def write_documents(docs: DataFrame, root: str) -> None:
      .partitionBy("competition", "year", "group").json(root))
 
 
+def stored_documents(spark: SparkSession, root: str) -> DataFrame:
+    """Every stored document with where it lies: ``path, competition, year,
+    group, game_id`` and both rosters. A file may hold many documents, so the
+    id comes from the document; other columns of it are not parsed unless used."""
+    df = spark.read.schema(GAME).option("basePath", root).json(f"{root}/competition=*/year=*/group=*")
+    # The metadata column holds the path as a URI: %20 stands for a space.
+    path = F.url_decode(F.replace("_metadata.file_path", F.lit("+"), F.lit("%2B")))
+    return df.select(path.alias("path"), "competition", F.col("year").cast("int").alias("year"),
+                     "group", F.col("meta.game_id").alias("game_id"), "players_home", "players_away")
+
+
 def inventory(spark: SparkSession, root: str) -> DataFrame:
-    """What is stored: game ids per competition, season and group,
-    from the file paths and document ids (no document body is parsed)."""
-    df = (spark.read.schema(GAME).option("basePath", root).json(f"{root}/competition=*/year=*/group=*")
-          .select(F.col("meta.game_id").alias("game_id"), "competition", F.col("year").cast("int").alias("year"),
-                  "group", F.col("_metadata.file_path").alias("path")))
-    return df.groupBy("competition", "year", "group").agg(
-        F.count(F.lit(1)).alias("games"), F.count_distinct("game_id").alias("ids"))
+    """What is stored per competition, season and group: ``games``
+    (different ids) and ``documents``."""
+    return stored_documents(spark, root).groupBy("competition", "year", "group").agg(
+        F.count_distinct("game_id").alias("games"), F.count(F.lit(1)).alias("documents"))
 
 
 # --- B01-B05: bronze from documents -----------------------------------------
@@ -101,12 +114,13 @@ def bronze_games(docs: DataFrame) -> DataFrame:
     return first_by(d, ["game_id"], [c for c in d.columns if c != "game_id"])
 
 
-def bronze_players(docs: DataFrame) -> DataFrame:
+def bronze_players(docs: DataFrame, more: tuple[str, ...] = ()) -> DataFrame:
     """Both sides exploded from one scan (empty arrays
-    vanish), side flag and side team name."""
+    vanish), side flag and side team name; ``more`` header fields repeated."""
     header = [F.col("meta.game_id").alias("game_id"), "competition", F.col("year").alias("season"),
               F.col("group").alias("grp"), F.col("meta.date").alias("date"),
-              F.col("meta.home_team").alias("home_team"), F.col("meta.away_team").alias("away_team")]
+              F.col("meta.home_team").alias("home_team"), F.col("meta.away_team").alias("away_team"),
+              *[F.col(f"meta.{c}").alias(c) for c in more]]
     sides = F.array(
         F.struct(F.lit(True).alias("is_home"), F.col("players_home").alias("rows")),
         F.struct(F.lit(False).alias("is_home"), F.col("players_away").alias("rows")))
@@ -114,7 +128,7 @@ def bronze_players(docs: DataFrame) -> DataFrame:
     d = d.select("*", F.col("side.is_home").alias("is_home"), F.explode("side.rows").alias("p")).drop("side")
     p = "p."
     return d.select(
-        "game_id", "competition", "season", "grp", "date", "home_team", "away_team", "is_home",
+        "game_id", "competition", "season", "grp", "date", "home_team", "away_team", *more, "is_home",
         F.when(F.col("is_home"), F.col("home_team")).otherwise(F.col("away_team")).alias("team"),
         F.col(p + "jersey").alias("jersey"), F.col(p + "name").alias("player_name"),
         F.col(p + "minutes").alias("minutes"), F.col(p + "points").alias("points"),
@@ -164,87 +178,118 @@ def bronze_teams(docs: DataFrame) -> DataFrame:
 # --- S06/S07/S10/S11: exports ---------------------------------------------------
 
 def to_serving(df: DataFrame, name: str) -> DataFrame:
-    """Typed serving columns; three play fields NULL -> 0."""
-    if name == "plays":
-        return df.withColumns({c: F.coalesce(F.col(c).cast("int"), F.lit(0)) for c in
-                               ("quarter", "scoreA", "scoreB") if c in df.columns})
-    if name == "shots":
-        return df.withColumn("is_three", F.col("is_three").cast("boolean"))
-    return df
+    """Exactly the serving table's columns and types; a value that
+    does not fit its type is NULL, the contract's NULLs become 0."""
+    columns, zero, _ = SERVING[name]
+    cast = {c: F.col(c).try_cast(t) for c, t in columns.items()}
+    return df.select(*[(F.coalesce(x, F.lit(0).cast(columns[c])) if c in zero else x).alias(c) for c, x in cast.items()])
 
 
 def export_flat(tables, root: str) -> None:
     """The five serving tables as Parquet under ``root`` (full
     overwrite), partitioned by season and sorted by their keys."""
-    layout = {"games": (("season",), ("competition", "game_id")),
-              "players": (("season",), ("competition", "player_name", "game_id")),
-              "teams": (("season",), ("competition", "team_name", "game_id")),
-              "plays": ((), ("game_id", "num")),
-              "shots": ((), ("game_id", "quarter"))}
-    for name, (parts, keys) in layout.items():
-        df = to_serving(getattr(tables, name), name)
-        df = df.sortWithinPartitions(*parts, *keys)
-        w = df.write.mode("overwrite").option("partitionOverwriteMode", "static")
-        if parts:
-            w = w.partitionBy(*parts)
-        w.parquet(f"{root}/{name}")
+    for name, (_, _, keys) in SERVING.items():
+        df = getattr(tables, name)
+        for c in ("competition", "season"):
+            if c not in df.columns:  # plays and shots of flat sources: from their game
+                df = df.join(tables.games.select("game_id", c), "game_id", "left")
+        write_table(to_serving(df, name), root, "", name, ("season",), rebuild=True, sort_by=keys)
 
 
 def wide_box_score(docs: DataFrame) -> DataFrame:
-    """One row per player and game with the game header repeated;
+    """One row per player and game with the game header repeated (taken
+    along in the same explode, whatever number of documents a game has);
     the text date parsed with its known format (never guessed)."""
-    p = bronze_players(docs)
-    h = docs.select(F.col("meta.game_id").alias("game_id"), F.col("meta.time").alias("time"),
-                    F.col("meta.venue").alias("venue"), F.col("meta.home_score").alias("home_score"),
-                    F.col("meta.away_score").alias("away_score"))
-    return p.join(h, "game_id").withColumn("game_date", X.parse_date(F.col("date")))
+    return bronze_players(docs, ("time", "venue", "home_score", "away_score")).withColumn(
+        "game_date", X.parse_date(F.col("date")))
+
+
+LINES = {"plays": "play_by_play", "shots": "shots", "teams": "team_stats.TEAM"}
 
 
 def wide_lines(docs: DataFrame, kind: str) -> DataFrame:
     """Play-by-play / shots / team lines with the header repeated and
-    every line key kept."""
-    col = {"plays": "play_by_play", "shots": "shots", "teams": "team_stats.TEAM"}[kind]
-    d = docs.select("meta.*", "competition", "year", "group", F.explode(F.col(col)).alias("line"))
-    return d.select("*", "line.*").drop("line")
+    every line key kept (a key the header has too gets the prefix ``line_``)."""
+    d = docs.select("meta.*", "competition", "year", docs["group"].alias("grp"), F.explode(F.col(LINES[kind])).alias("line"))
+    line = [f.name for f in d.schema["line"].dataType.fields]
+    head = [c for c in d.columns if c != "line"]
+    return d.drop("group").select(*[c for c in head if c != "group"],
+                                  *[F.col(f"line.{c}").alias(f"line_{c}" if c in head else c) for c in line])
+
+
+# --- documents from flat tables ------------------------------------------------
+
+def game_headers(players: DataFrame) -> DataFrame:
+    """Header per game from its player rows; a game with one side keeps a
+    NULL score on the other."""
+    side = lambda c: F.sum(F.when(c, F.col("points"))).cast("int")
+    return players.groupBy("game_id", "competition", "season", "grp", "date", "home_team", "away_team").agg(
+        side(F.col("is_home")).alias("home_score"), side(~F.col("is_home")).alias("away_score"))
+
+
+# Field of the document -> column it is taken from.
+PLAYER_FIELDS = {"jersey": "jersey", "name": "player_name", "player_id": None, "minutes": "minutes", "points": "points",
+                 "two_points_made": "t2m", "two_points_attempted": "t2a", "three_points_made": "t3m",
+                 "three_points_attempted": "t3a", "free_throws_made": "ftm", "free_throws_attempted": "fta",
+                 "offensive_rebounds": "orb", "defensive_rebounds": "drb", "total_rebounds": "reb", "assists": "ast",
+                 "steals": "stl", "blocks": "blk", "turnovers": "tov", "fouls": "pf", "plus_minus": "plus_minus",
+                 "efficiency": "val"}
+PLAY_FIELDS = {"num": "num", "quarter": "quarter", "time": "time", "text": "text", "team": "team", "action": "action",
+               "scoreA": "scoreA", "scoreB": "scoreB", "idPlayer": "player_id", "idTeam": "team_id"}
+SHOT_FIELDS = {"quarter": "quarter", "t": "time", "player": "player", "team": "team", "m": "made", "x": "x", "y": "y"}
+TEAM_FIELDS = {"id": "team_id", "name": "team_name", "pts": "points", "p2m": "t2m", "p2a": "t2a", "p3m": "t3m",
+               "p3a": "t3a", "p1m": "ftm", "p1a": "fta", "ro": "off_reb", "rd": "def_reb", "rt": "tot_reb",
+               "assist": "ast", "st": "stl", "to": "tov", "bs": "blk", "pf": "pf"}
+
+
+def _parts(df: DataFrame, fields: dict, out: str, schema, max_rows: int) -> DataFrame:
+    """``game_id, part, out`` (one struct per row, NULL-free): rows numbered in
+    their game (by hash, then all values, so a game of any size is dealt to
+    many tasks) and cut into parts of ``max_rows``."""
+    from ..operators import ordered
 
+    value = F.struct(*[(F.lit("") if src is None else F.col(src)).cast(schema[f].dataType).alias(f)
+                       for f, src in fields.items()])
+    d = df.select("game_id", value.alias(out)).withColumn("_h", F.pmod(F.xxhash64(out), F.lit(1024)))
+    d = ordered.sequence(d, ["game_id"], ["_h", out], F.col("_h"), "_pos")
+    return d.select("game_id", F.floor((F.col("_pos") - 1) / max_rows).alias("part"), "_pos", out)
 
-def docs_from_tables(players: DataFrame, games: DataFrame, max_rows: int = 64) -> DataFrame:
-    """Nested documents from flat tables (header + both rosters), for
-    writing a raw store of known content.
 
-    A game normally gives one document, as in the source data model; a
-    game with more than ``max_rows`` player rows is split into several
-    documents of at most ``max_rows`` rows (same header), so no single
-    group ever gathers an unbounded list. Readers are unaffected: bronze
-    explodes every document and de-duplicates headers by game id.
+def _field(name: str):
+    return lambda x: x[name]
+
+
+def docs_from_tables(players: DataFrame, plays: DataFrame | None = None, shots: DataFrame | None = None,
+                     teams: DataFrame | None = None, max_rows: int = 4096) -> DataFrame:
+    """Nested documents from flat tables, for writing a raw store of known content.
+
+    A document holds at most ``max_rows`` rows of each list; a larger game
+    has several documents with the same header. Readers make no difference
+    between one document and many.
     """
-    from ..operators import ordered
-    h = F.abs(F.xxhash64("player_name", "jersey", "is_home")) % 1024
-    players = ordered.sequence(players.withColumn("_h", h), ["game_id"],
-                               ["_h", "is_home", "player_name", "jersey"], F.col("_h"), "_pos")
-    players = players.withColumn("_chunk", F.floor((F.col("_pos") - 1) / max_rows))
-    pcols = [F.col("jersey"), F.col("player_name").alias("name"), F.lit("").alias("player_id"),
-             F.col("minutes"), F.col("points"),
-             F.col("t2m").alias("two_points_made"), F.col("t2a").alias("two_points_attempted"),
-             F.col("t3m").alias("three_points_made"), F.col("t3a").alias("three_points_attempted"),
-             F.col("ftm").alias("free_throws_made"), F.col("fta").alias("free_throws_attempted"),
-             F.col("orb").alias("offensive_rebounds"), F.col("drb").alias("defensive_rebounds"),
-             F.col("reb").alias("total_rebounds"), F.col("ast").alias("assists"), F.col("stl").alias("steals"),
-             F.col("blk").alias("blocks"), F.col("tov").alias("turnovers"), F.col("pf").alias("fouls"),
-             F.col("plus_minus"), F.col("val").alias("efficiency")]
-    rosters = players.groupBy("game_id", "_chunk").agg(
-        F.filter(F.collect_list(F.when(F.col("is_home"), F.struct(*pcols))), lambda x: x.isNotNull()).alias("players_home"),
-        F.filter(F.collect_list(F.when(~F.col("is_home"), F.struct(*pcols))), lambda x: x.isNotNull()).alias("players_away"))
-    meta = F.struct(F.col("game_id"), F.col("date"), F.lit("").alias("time"), F.lit("").alias("venue"),
-                    F.col("home_team"), F.col("away_team"), F.col("home_score"), F.col("away_score"),
-                    F.lit("").alias("scraped_at"), F.lit("driver").alias("source"), F.col("grp").alias("group"))
-    g = games.select("game_id", meta.alias("meta"), "competition", F.col("season").alias("year"),
-                     F.col("grp").alias("group"))
-    return g.join(rosters, "game_id").select(
-        "meta", "players_home", "players_away",
-        F.array().cast("array<struct<num:string,quarter:string,time:string,text:string,team:string,action:string,"
-                       "scoreA:string,scoreB:string,idPlayer:string,idTeam:string>>").alias("play_by_play"),
-        F.array().cast("array<struct<quarter:string,t:string,player:string,team:string,m:string,x:string,y:string>>")
-        .alias("shots"),
-        F.struct(F.array().cast(GAME["team_stats"].dataType["TEAM"].dataType).alias("TEAM")).alias("team_stats"),
-        "competition", "year", "group")
+    player, line = GAME["players_home"].dataType.elementType, GAME["play_by_play"].dataType.elementType
+    shot, team = GAME["shots"].dataType.elementType, GAME["team_stats"].dataType["TEAM"].dataType.elementType
+    lists = {"players_home": (players.where("is_home"), PLAYER_FIELDS, player),
+             "players_away": (players.where("NOT is_home"), PLAYER_FIELDS, player),
+             "play_by_play": (plays, PLAY_FIELDS, line), "shots": (shots, SHOT_FIELDS, shot),
+             "team": (teams, TEAM_FIELDS, team)}
+    stacked = None
+    for name, (df, fields, schema) in lists.items():
+        if df is not None:
+            p = _parts(df, fields, name, schema, max_rows)
+            stacked = p if stacked is None else stacked.unionByName(p, allowMissingColumns=True)
+    gathered = {}
+    for name, (df, _, schema) in lists.items():
+        kept = F.collect_list(F.when(F.col(name).isNotNull(), F.struct("_pos", name))) if df is not None else None
+        empty = F.array().cast(f"array<{schema.simpleString()}>")
+        gathered[name] = empty if kept is None else F.transform(F.array_sort(kept), _field(name))
+    d = stacked.groupBy("game_id", "part").agg(*[c.alias(n) for n, c in gathered.items() if lists[n][0] is not None])
+    d = d.withColumns({n: c for n, c in gathered.items() if lists[n][0] is None})
+    meta = F.struct("game_id", "date", F.lit("").alias("time"), F.lit("").alias("venue"), "home_team", "away_team",
+                    "home_score", "away_score", F.lit("").alias("scraped_at"), F.lit("driver").alias("source"),
+                    F.col("grp").alias("group"))
+    h = game_headers(players).select("game_id", meta.alias("meta"), "competition", F.col("season").alias("year"),
+                                     F.col("grp").alias("group"))
+    return h.join(d, "game_id").select("meta", "players_home", "players_away", "play_by_play", "shots",
+                                       F.struct(F.col("team").alias("TEAM")).alias("team_stats"),
+                                       "competition", "year", "group")

@@ -41,3 +41,30 @@ GAME = T.StructType([
 RAW_PARTITIONS = T.StructType([T.StructField("competition", S), T.StructField("year", I),
                                T.StructField("group", S)])
 GAME_WITH_PATH = T.StructType(GAME.fields + RAW_PARTITIONS.fields)
+
+# FIXED VALUES: columns and types of the five serving tables, the columns whose
+# NULL becomes 0, and the keys their files are sorted by. Column of ours ->
+# type; a smaller whole number type where the source declares one.
+_BOX = {c: "smallint" for c in ("t2m", "t2a", "t3m", "t3a", "ftm", "fta", "ast", "stl", "blk", "tov", "pf")}
+SERVING = {
+    "games": ({"game_id": "bigint", "competition": "string", "grp": "string", "season": "int", "date": "string",
+               "game_date": "date", "home_team": "string", "away_team": "string", "home_score": "int",
+               "away_score": "int", "total_points": "int", "winner": "string"}, (), ("game_id",)),
+    "players": ({"game_id": "bigint", "competition": "string", "grp": "string", "season": "int", "game_date": "date",
+                 "jersey": "smallint", "player_name": "string", "team": "string", "is_home": "boolean",
+                 "minutes": "float", "points": "int", **_BOX, "reb": "smallint", "plus_minus": "smallint",
+                 "val": "smallint"}, (), ("player_name", "game_date")),
+    "plays": ({"game_id": "bigint", "competition": "string", "season": "int", "quarter": "smallint", "time": "string",
+               "text": "string", "team": "smallint", "action": "string", "scoreA": "int", "scoreB": "int",
+               "player_id": "bigint", "team_id": "bigint", "made": "smallint", "shot_value": "smallint",
+               "foul_type": "string", "sub_direction": "string", "assisted_by_player_id": "bigint",
+               "player_name": "string", "assisted_by_name": "string"}, ("team", "scoreA", "scoreB"),
+              ("game_id", "quarter")),
+    "shots": ({"game_id": "bigint", "competition": "string", "season": "int", "quarter": "smallint", "time": "string",
+               "player": "smallint", "team": "smallint", "made": "smallint", "x": "double", "y": "double",
+               "shot_distance_m": "float", "zone": "string", "is_three": "boolean", "shot_points": "smallint"}, (),
+              ("game_id", "quarter")),
+    "teams": ({"game_id": "bigint", "competition": "string", "season": "int", "team_id": "bigint",
+               "team_name": "string", "points": "int", **_BOX, "off_reb": "smallint", "def_reb": "smallint",
+               "tot_reb": "smallint"}, (), ("game_id", "team_id")),
+}

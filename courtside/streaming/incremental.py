@@ -2,12 +2,14 @@
 
 The reference refreshes a season by re-running a batch job from cron and
 skipping stored games. Here new game documents are picked up by a file
-stream with the declared schema; every micro-batch is turned into bronze
-rows and written under a folder named by its batch id, so a replayed batch
-overwrites its own output and nothing else (exactly once with the stream's
-checkpoint). ``trigger(availableNow=True)`` processes what has arrived and
-stops, which is the cron-style use; a processing-time trigger keeps it
-running.
+stream with the declared schema. Every micro-batch is parsed once into a
+staged table, turned into bronze rows from there and written under folders
+named by its batch id, so a replayed batch overwrites its own output and
+nothing else (exactly once with the stream's checkpoint). A game that is
+delivered again (a corrected document, in a new file) replaces its earlier
+rows when the tables are read: its latest batch wins.
+``trigger(availableNow=True)`` processes what has arrived and stops, which is
+the cron-style use; a processing-time trigger keeps it running.
 """
 from __future__ import annotations
 
@@ -30,13 +32,15 @@ def raw_stream(spark: SparkSession, root: str, max_files: int = 1000) -> DataFra
 
 def load_bronze(spark: SparkSession, raw_root: str, out_root: str, checkpoint: str,
                 once: bool = True, max_files: int = 1000):
-    """Start the incremental bronze load; returns the streaming query."""
+    """Start the incremental bronze load; returns the streaming query. The
+    caller owns ``out_root`` and ``checkpoint``."""
 
     def write_batch(batch: DataFrame, batch_id: int) -> None:
-        docs = batch.withColumn("year", F.col("year").cast("int"))
+        staged = f"{out_root}/documents/batch={batch_id}"
+        batch.withColumn("year", F.col("year").cast("int")).write.mode("overwrite").parquet(staged)
+        docs = batch.sparkSession.read.parquet(staged)
         for name, build in BRONZE.items():
-            (build(docs).write.mode("overwrite")
-             .parquet(f"{out_root}/{name}/batch={batch_id}"))
+            build(docs).write.mode("overwrite").parquet(f"{out_root}/{name}/batch={batch_id}")
 
     writer = (raw_stream(spark, raw_root, max_files).writeStream
               .foreachBatch(write_batch).option("checkpointLocation", checkpoint))
@@ -45,5 +49,11 @@ def load_bronze(spark: SparkSession, raw_root: str, out_root: str, checkpoint: s
 
 
 def read_bronze(spark: SparkSession, out_root: str, name: str) -> DataFrame:
-    """All batches of one bronze table (the batch id is a column)."""
-    return spark.read.option("basePath", f"{out_root}/{name}").parquet(f"{out_root}/{name}/batch=*")
+    """One bronze table over all batches (the batch id is a column), each
+    game from its latest delivery."""
+    def batches(table: str) -> DataFrame:
+        return spark.read.option("basePath", f"{out_root}/{table}").parquet(f"{out_root}/{table}/batch=*")
+
+    latest = batches("games").groupBy("game_id").agg(F.max("batch").alias("batch"))
+    df = batches(name)
+    return df.join(latest, ["game_id", "batch"], "left_semi").select(*df.columns)

@@ -89,3 +89,14 @@ def test_team_names(spark):
 def test_group_slug(spark):
     df = spark.createDataFrame([('Liga Regular "E-A"',), ("Liga Regular Único",), ("Liga Regular",)], "n string")
     assert [r.g for r in df.select(T.group_slug("n").alias("g")).collect()] == ["E-A", "Unico", "ungrouped"]
+
+
+def test_fold_is_the_whole_compatibility_decomposition(spark):
+    import unicodedata
+
+    from courtside.functions import text as T
+    names = ["GARCÍA, Mª JOSÉ", "ﬁnal nº ３", "Ｆｕｌｌ", "Việt Nam", "e\u0301", "ẞ ß ł", "Ⅷ ½ ™", "plain", ""]
+    df = spark.createDataFrame([(i, n) for i, n in enumerate(names)], "i int, n string")
+    got = [r.f for r in df.select("i", T.fold("n").alias("f")).orderBy("i").collect()]
+    assert got == [unicodedata.normalize("NFKD", n).encode("ascii", "ignore").decode() for n in names]
+    assert df.where("i = 0").select(T.slug("n").alias("s")).first().s == "garcia-ma-jose"

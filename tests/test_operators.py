@@ -47,3 +47,47 @@ def test_first_by_is_total(spark):
     # same answer on 1 and many partitions
     again = {r.k: (r.o, r.x) for r in first_by(df.repartition(5), ["k"], ["o"]).collect()}
     assert again == got
+
+
+def test_null_keys_and_values_stay(spark):
+    from pyspark.sql import functions as F
+
+    from courtside.operators import ordered
+    df = spark.createDataFrame([(1, None, 5), (1, 2, 7), (None, 1, 3), (None, None, 4), (1, 9000, 6)], "g int, num int, v int")
+    out = ordered.sequence(df, ["g"], [F.col("num").asc_nulls_first()], ordered.bucket_of(F.col("num")), "pos")
+    assert sorted((r.g or 0, r.pos, r.v) for r in out.collect()) == [(0, 1, 4), (0, 2, 3), (1, 1, 5), (1, 2, 7), (1, 3, 6)]
+    run = ordered.running(df, ["g"], [F.col("num").asc_nulls_first()], ordered.bucket_of(F.col("num")), {"s": F.col("v")}, how="sum")
+    assert sorted((r.g or 0, r.s) for r in run.collect()) == [(0, 4), (0, 7), (1, 5), (1, 12), (1, 18)]
+
+
+def test_carry_over_many_blocks(spark):
+    """Buckets far beyond one carry block, against the plain window."""
+    from pyspark.sql import Window
+    from pyspark.sql import functions as F
+
+    from courtside.operators import ordered
+    df = spark.range(3000).select((F.col("id") % 2).alias("g"), (F.col("id") * 7919 % 100003).alias("t"), "id")
+    out = ordered.sequence(df, ["g"], ["t", "id"], F.col("t") * 1000, "pos")
+    want = df.withColumn("pos", F.row_number().over(Window.partitionBy("g").orderBy("t", "id")).cast("long"))
+    assert out.exceptAll(want).count() == 0 and out.count() == 3000
+
+
+def test_hot_game_is_spread(spark):
+    """A third of all plays in one game: no task of the ordered steps holds more than a few percent of them."""
+    from pyspark.sql import functions as F
+
+    from courtside.plans import playbyplay
+    n = 30000
+    plays = spark.range(n).select(
+        F.when(F.col("id") % 3 == 0, 0).otherwise(F.col("id")).alias("game_id"), F.col("id").cast("int").alias("num"),
+        (1 + F.col("id") % 4).cast("int").alias("quarter"), F.format_string("%02d:%02d", F.col("id") % 10, F.col("id") % 60).alias("time"),
+        (F.col("id") % 50).cast("int").alias("scoreA"), F.lit(0).alias("scoreB"))
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    spark.conf.set("spark.sql.shuffle.partitions", "64")
+    try:
+        parts = playbyplay.running_score(plays).groupBy(F.spark_partition_id().alias("p")).agg(
+            F.count_if(F.col("game_id") == 0).alias("hot")).collect()
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
+        spark.conf.set("spark.sql.shuffle.partitions", "4")
+    assert max(r.hot for r in parts) <= 4096 + 1 and sum(r.hot for r in parts) == n // 3
