@@ -8,6 +8,7 @@ with white space beside a space go through the pattern as a whole.
 """
 from __future__ import annotations
 
+from collections import deque
 from collections.abc import Callable
 
 import regex
@@ -87,8 +88,7 @@ class TextEncoder:
             cut.append(parts if ok and parts[0] and len(parts) > 1 else None)
         for parts in cut:
             if parts:
-                for _ in map(pieces.__getitem__, parts[1:]):
-                    pass
+                deque(map(pieces.__getitem__, parts[1:]), maxlen=0)  # notes the unknown ones
         unknown = pieces.take_unknown()
         unsafe = {p for p in unknown if not p or p[0].isspace() or p[-1].isspace()}
         by_piece = {p: self._tokens(p) for p in unknown if p not in unsafe}
