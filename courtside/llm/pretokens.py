@@ -53,7 +53,7 @@ class TextEncoder:
     ``encode_all`` gives the ids of pre-tokens, each encoded alone.
     """
 
-    def __init__(self, encode_all: Callable[[list[str]], list[bytes]], pattern: str, limit: int = 300_000):
+    def __init__(self, encode_all: Callable[[list[str]], list[bytes]], pattern: str, limit: int = 600_000):
         self.encode_all = encode_all
         self.find = regex.compile(pattern).findall
         self.pieces, self.words = Memory(limit), Memory(limit // 2)
