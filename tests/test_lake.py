@@ -168,7 +168,7 @@ def test_lake_build_scope_and_rebuild(spark, t):
     build_lake(spark, raw, root, Scope((comp,), (season,)))
     after = {r[0]: r[1] for r in open_lake(spark, root).players.groupBy("competition").count().collect()}
     assert after == before
-    build_lake(spark, raw, root, Scope((comp,)), rebuild=True)
+    build_lake(spark, raw, root, Scope((comp,), (season,)), rebuild=True)
     assert [r[0] for r in open_lake(spark, root).players.select("competition").distinct().collect()] == [comp]
     serving = spark.read.parquet(f"{root}/serving/plays")
     assert serving.where("team IS NULL OR scoreA IS NULL OR scoreB IS NULL").count() == 0
