@@ -11,7 +11,9 @@ holds fewer than 400 toxic rows), gives the score.
 
 Training reads a bounded sample of the labelled rows: at most ``sample_rows``
 of either class, those with the smallest hash of their id; near copies (same
-smallest hash of a five-word shingle) count once. Scoring reads every word of
+smallest hash of a five-word shingle) count once. Every word and stem of the
+sample is tested and every one that passes is an entry; every harmless near
+spelling is kept. Only the sample bounds them. Scoring reads every word of
 every text.
 
 Defined cases: null text counts as empty; labels with a null id or a value
@@ -179,6 +181,17 @@ def evidence(t: float, c: float, toxic: int, clean: int) -> float:
     return t * math.log(t / (n * p)) + (c * math.log(c / (n * (1 - p))) if c else 0.0)
 
 
+def _may_be_tied(toxic: int, clean: int, min_odds: float = 3.0, min_evidence: float = 16.0) -> Column:
+    """``choose_entries``' test over columns ``t`` and ``c``, a hair wider (its last digits are decided there)."""
+    if not toxic or not clean:  # evidence is 0 then
+        return F.lit(False)
+    n, p = F.col("t") + F.col("c"), toxic / (toxic + clean)
+    odds = F.log((F.col("t") + .5) / (toxic + 1)) - F.log((F.col("c") + .5) / (clean + 1))
+    ratio = F.col("t") * F.log(F.col("t") / (n * p)) + F.when(
+        F.col("c") > 0, F.col("c") * F.log(F.col("c") / (n * (1 - p)))).otherwise(0.0)
+    return (F.col("t") > 0) & (odds >= min_odds - 1e-6) & (ratio >= min_evidence - 1e-6)
+
+
 def choose_entries(words: list[tuple[str, int, int]], stems: list[tuple[str, int, int, int, int]],
                    toxic: int, clean: int, min_odds: float = 3.0, min_evidence: float = 16.0
                    ) -> list[tuple[str, bool, int]]:
@@ -193,13 +206,17 @@ def choose_entries(words: list[tuple[str, int, int]], stems: list[tuple[str, int
         odds = math.log((t + .5) / (toxic + 1)) - math.log((c + .5) / (clean + 1))
         return odds >= min_odds and evidence(t, c, toxic, clean) >= min_evidence
 
-    kept: list[str] = []
+    kept: set[str] = set()
+
+    def within(w: str) -> bool:
+        return any(w[:k] in kept for k in range(1, len(w) + 1))
+
     for s, t, c, top, n in sorted(stems, key=lambda r: (len(r[0]), r[0])):
-        if n >= 3 and top < 0.8 * t and tied(t, c) and not any(s.startswith(k) for k in kept):
-            kept.append(s)
-    out = [(s, True, 1 if len(s) >= 6 else 0) for s in kept]
+        if n >= 3 and top < 0.8 * t and tied(t, c) and not within(s):
+            kept.add(s)
+    out = [(s, True, 1 if len(s) >= 6 else 0) for s in sorted(kept, key=lambda s: (len(s), s))]
     for w, t, c in sorted(words):
-        if len(w) >= 3 and tied(t, c) and not any(w.startswith(k) for k in kept):
+        if len(w) >= 3 and tied(t, c) and not within(w):
             out.append((w, False, 2 if len(w) >= 8 else 1 if len(w) >= 5 else 0))
     return out
 
@@ -215,8 +232,7 @@ def trusted(entries: list[tuple[str, bool, int]], near: list[tuple[int, int, int
     return [(w, stem, k) for (w, stem, _), k in zip(entries, budget)]
 
 
-def learn(docs: DataFrame, labels: DataFrame, train: Column, sample_rows: int = 10_000,
-          max_terms: int = 2_000) -> Model:
+def learn(docs: DataFrame, labels: DataFrame, train: Column, sample_rows: int = 10_000) -> Model:
     """Lexicon and weights from the training labels (see the module)."""
     bound_batches(docs.sparkSession)
     sample = written(_sample(docs, labels, train, sample_rows), "toxic-distinct")
@@ -229,14 +245,14 @@ def learn(docs: DataFrame, labels: DataFrame, train: Column, sample_rows: int =
         sample = sample.withColumn("half", F.lit(0))
         n = {(0, y): total[y] for y in (0, 1)}
     counts = written(_word_counts(sample.where("half = 0")), "toxic-words")
-    top = counts.where("t >= 2").orderBy(F.desc("t"), "word").limit(max_terms * 5)
+    size = n.get((0, 1), 0), n.get((0, 0), 0)
+    words = counts.where(_may_be_tied(*size))
     stems = counts.where("t >= 1 OR c >= 1").select(
         "t", "c", F.length("word").alias("len"), "word", F.explode(F.array(*[F.lit(k) for k in (4, 5, 6, 7)])).alias("k"))
     stems = stems.where("len > k").groupBy(F.substring("word", F.lit(1), F.col("k")).alias("stem")).agg(
         F.sum("t").alias("t"), F.sum("c").alias("c"), F.max("t").alias("top"), F.sum(F.expr("int(t > 0)")).alias("n"))
-    stems = stems.where("t >= 3 AND n >= 3 AND c <= t").orderBy(F.desc("t"), "stem").limit(max_terms * 5)
-    entries = choose_entries([tuple(r) for r in top.collect()], [tuple(r) for r in stems.collect()],
-                             n.get((0, 1), 0), n.get((0, 0), 0))[:max_terms]
+    stems = stems.where((F.col("n") >= 3) & _may_be_tied(*size))
+    entries = choose_entries([tuple(r) for r in words.collect()], [tuple(r) for r in stems.collect()], *size)
 
     def near(batches):
         lexicon = Lexicon(entries)
@@ -249,11 +265,10 @@ def learn(docs: DataFrame, labels: DataFrame, train: Column, sample_rows: int =
     spelled = written(counts.mapInArrow(near, "word string, t long, c long, entry int, edits int"), "toxic-near")
     # One row per entry and number of edits: at most twice the entries.
     sums = spelled.groupBy("entry", "edits").agg(F.sum("t").alias("t"), F.sum("c").alias("c")).collect()
-    entries = trusted(entries, [tuple(r) for r in sums], n.get((0, 1), 0), n.get((0, 0), 0))
+    entries = trusted(entries, [tuple(r) for r in sums], *size)
     # Near spellings in clean documents at least as often, per document, as in toxic ones.
-    rate = n.get((0, 1), 0) / max(1, n.get((0, 0), 0))
-    used = spelled.where((F.col("c") >= 1) & (F.col("t") <= rate * F.col("c"))).orderBy(
-        F.desc("c"), "word").select("word").limit(max_terms * 5)
+    rate = size[0] / max(1, size[1])
+    used = spelled.where((F.col("c") >= 1) & (F.col("t") <= rate * F.col("c"))).select("word")
     harmless = frozenset(r.word for r in used.collect())
     fitted = Model(entries, harmless)
 

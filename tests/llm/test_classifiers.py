@@ -139,3 +139,24 @@ def test_toxicity_cases(llm_spark):
     kept = toxicity.drop_toxic(docs, labels, F.lit(True))
     assert kept.columns == docs.columns and toxicity.scored(docs.limit(0), m).count() == 0
 
+
+
+def test_lexicon_has_every_word_that_passes(llm_spark):
+    """10,100 common words, 2,100 toxic words in fewer documents, and 10,200 harmless spellings of one of them."""
+    from itertools import combinations, islice, product
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    four = ["".join(w) for w in islice(product(letters[:20], letters[:20], letters[:20], "bdf"), 24_000)]
+    common, toxic = four[:10_100], four[10_100:12_200]
+    near = [w for a, b in combinations(range(10), 2) for x, y in product(letters, letters)
+            for w in ["abominable"[:a] + x + "abominable"[a + 1:b] + y + "abominable"[b + 1:]] if w[a] != "abominable"[a]
+            and w[b] != "abominable"[b]][:10_200]
+    rnd = np.random.default_rng(5)
+    rows = []
+    for i in range(90):
+        words = common + ([] if i % 2 else near) + (toxic + ["abominable"] if i % 2 and i < 80 else [])
+        rows.append((i, " ".join(rnd.permutation(words)), 0.0, 0))
+    docs = llm_spark.createDataFrame(rows, DOCS).repartition(4)
+    labels = llm_spark.createDataFrame([(i, 1, i % 2) for i in range(90)], LABELS)
+    m = toxicity.learn(docs, labels, F.lit(True))
+    assert {e[0] for e in m.entries} == {*toxic, "abominable"} and len(m.entries) == 2_101
+    assert m.harmless >= set(near) and len(near) == 10_200
