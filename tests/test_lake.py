@@ -182,3 +182,15 @@ def test_serving_null_rules(spark):
     df = spark.createDataFrame(rows, ", ".join(f"{c} {k}" for c, k in columns.items()))
     r = lake.to_serving(df, "plays").first()
     assert (r.quarter, r.team, r.scoreA, r.scoreB, r.player_id) == (None, 0, 0, 0, None)
+
+
+def test_published_leaders_beyond_the_first_page(t):
+    from dataclasses import replace
+
+    from courtside.plans.marts import blocks
+    one = t.players.limit(1).crossJoin(t.players.sparkSession.range(60).withColumnRenamed("id", "n"))
+    many = one.withColumns({"player_name": F.concat(F.lit("PLAYER "), F.col("n").cast("string")), "minutes": F.lit(30.0)})
+    games = t.players.sparkSession.range(10).select(F.col("id").alias("game_id"))
+    many = many.drop("game_id", "n").crossJoin(games).select(*t.players.columns)
+    b = blocks(replace(t, players=many))
+    assert b["leaders_total"].first().leaders_total == 60 and b["leaders"].count() == 60
