@@ -763,7 +763,7 @@ SELECT page_id, CAST(row_number() OVER (PARTITION BY page_id ORDER BY grp) AS IN
        'Liga Regular "' || grp || '"' AS label FROM o""")
 def h02_page_options(spark, sf_dir):
     """H02 on match-day pages: the menu of groups (its first option is blank)."""
-    return PG.page_options(_day_pages(spark, sf_dir), "grupos")
+    return PG.page_options(_day_pages(spark, sf_dir).where("first_row = 0"), "grupos")
 
 
 @register("h03_game_page_header", W("games") + """
@@ -771,7 +771,7 @@ SELECT game_id, game_id AS page_id, date, '18:30' AS time, 'Pabellón Norte' AS
        home_score, away_score FROM games""")
 def h03_game_page_header(spark, sf_dir):
     """H03 on game pages written from the games and player tables."""
-    return PG.page_header(_game_pages(spark, sf_dir))
+    return PG.page_header(_game_pages(spark, sf_dir).where("first_row = 0"))
 
 
 H03_SQL = r"""
