@@ -6,7 +6,8 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 
-from . import bpe, packing, quality, quotes, secrets, simhash, topk, toxicity, vptree, warc
+from . import (bpe, packing, quality, quotes, rules, secrets, simhash, spelling, topk, toxicity, vptree, walsh,
+               warc)
 from .common import crc_mod, table, written
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -109,3 +110,19 @@ def op9_vp_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register("op10_simhash")
 def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"), width=3, radius=2, seed=42)
+
+
+@register("op11_spelling_variants")
+def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.variants(table(spark, sf_dir, "documents"), thin=97, min_symbols=5, min_count=3, ratio=2, levels=64)
+
+
+@register("op12_walsh_clusters", sql=walsh.sql(k=40, rounds=5, salt=2))
+def op12_walsh_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return walsh.clustering(table(spark, sf_dir, "embeddings"), k=40, rounds=5, salt=2)
+
+
+@register("op13_quality_rules")
+def op13_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rules.judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), quality_train(),
+                       sample_rows=10_000, min_words=50, max_repeats=50, threshold=0.5)
