@@ -54,7 +54,9 @@ def test_trees_learn_and_flat_arrays_score_like_a_walk():
     x, y = stats_rows(3000, 1)
     model = boosting.fit(x, y, np.ones(len(y)), {}, trees=30)
     hx, hy = stats_rows(1000, 2)
-    assert ((model.score(hx) >= 0.5) == (hy == 1)).mean() > 0.9
+    # As good as the rule that made the labels, which are noisy.
+    rule = (((hx[:, 0] > 0.6) | (hx[:, 1] > 0.7)) == (hy == 1)).mean()
+    assert ((model.score(hx) >= 0.5) == (hy == 1)).mean() > rule - 0.02
     for row, got in zip(hx[:50], model.margin(hx[:50])):
         total = model.base
         for at in model.roots:
