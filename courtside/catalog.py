@@ -9,16 +9,19 @@ takes a subset, a prefix or a row cap unless the cap is the feature
 from __future__ import annotations
 
 from collections.abc import Callable
+import functools
 import hashlib
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .plans.lakehouse import build_lake, open_lake
+from .plans.lakehouse import build_lake, open_lake, update_lake
 from .plans.tables import Tables, build_layers
 from .session import checkpoint_dir
+from .sources import ledger
 from .sources.lake import docs_from_tables, read_table, stored_documents, write_documents
+from .sources.staged import Files
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -43,6 +46,7 @@ def _fs_exists(spark: SparkSession, path: str) -> bool:
     return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p)
 
 
+@functools.cache
 def _code_version() -> str:
     """Hash of the modules that define the layer tables: a code change
     gives new layer folders instead of reusing stale ones."""
@@ -84,10 +88,12 @@ def tables(spark: SparkSession, sf_dir: str, fresh: bool = False) -> Tables:
     loss never forces a rebuild from the raw tables). Only a local session
     without that setting gets a scratch folder of its own.
     """
-    key = (spark.sparkContext.applicationId, sf_dir)
+    # By the files' identity: an input that changes during a session is built again.
+    identity = _fingerprint(spark, sf_dir)
+    key = (spark.sparkContext.applicationId, identity)
     if key in _BUILT and not fresh:
         return _BUILT[key]
-    root = f"{checkpoint_dir(spark)}/courtside-layers/{_fingerprint(spark, sf_dir)}"
+    root = f"{checkpoint_dir(spark)}/courtside-layers/{identity}"
     if fresh:  # a new folder: measure (or redo) the whole build
         root += "-" + uuid.uuid4().hex[:8]
     _BUILT[key] = build_layers(spark, sf_dir, root, lambda p: _fs_exists(spark, p))
@@ -105,9 +111,10 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _lake_root(spark: SparkSession, sf_dir: str) -> str:
     """Raw store and lake of a driver folder, written once per session."""
-    key = (spark.sparkContext.applicationId, sf_dir)
+    identity = _fingerprint(spark, sf_dir)
+    key = (spark.sparkContext.applicationId, identity)
     if key not in _LAKES:
-        root = f"{checkpoint_dir(spark)}/courtside-lake/{_fingerprint(spark, sf_dir)}-{uuid.uuid4().hex[:8]}"
+        root = f"{checkpoint_dir(spark)}/courtside-lake/{identity}-{uuid.uuid4().hex[:8]}"
         docs = documents(spark, sf_dir)
         write_documents(docs, f"{root}/raw")
         # A move begun earlier: some documents also lie under a new key.
@@ -136,6 +143,31 @@ def lake_tables(spark: SparkSession, sf_dir: str) -> Tables:
     return open_lake(spark, f"{_lake_root(spark, sf_dir)}/lake")
 
 
+_UPDATED: dict[tuple[str, str], str] = {}
+
+
+def updated_lake(spark: SparkSession, sf_dir: str) -> str:
+    """Root of a lake that was brought up to date by its ledger: built from a
+    store that lacks one competition and has an outdated one, then updated
+    after the store was put right. ``changes`` holds the ledger's comparison."""
+    identity = _fingerprint(spark, sf_dir)
+    key = (spark.sparkContext.applicationId, identity)
+    if key not in _UPDATED:
+        root = f"{checkpoint_dir(spark)}/courtside-updated/{identity}-{uuid.uuid4().hex[:8]}"
+        docs = documents(spark, sf_dir)
+        late = docs.where("competition = '5-LOW'")
+        write_documents(docs.where("competition <> '5-LOW'").unionByName(
+            late.withColumn("competition", F.lit("9-OLD"))), f"{root}/raw")
+        update_lake(spark, f"{root}/raw", f"{root}/lake")
+        write_documents(late, f"{root}/raw")
+        Files(spark, root).delete(f"{root}/raw/competition=9-OLD")
+        now = ledger.raw_files(spark, f"{root}/raw")
+        ledger.summary(ledger.compare(now, ledger.known_files(spark, f"{root}/lake", now))).write.parquet(f"{root}/changes")
+        update_lake(spark, f"{root}/raw", f"{root}/lake")
+        _UPDATED[key] = root
+    return _UPDATED[key]
+
+
 def load_all() -> None:
     """Import the modules that register queries."""
     from . import queries  # noqa: F401

@@ -88,6 +88,8 @@ class Context:
 @dataclass(frozen=True)
 class Scope:
     """Part of the lake a run works on: lists of competitions and seasons,
-    empty for all of them."""
+    empty for all of them; ``partitions`` names exact (competition, season)
+    pairs, None for all and empty for none."""
     competitions: tuple[str, ...] = ()
     seasons: tuple[int, ...] = ()
+    partitions: tuple[tuple[str, int], ...] | None = None

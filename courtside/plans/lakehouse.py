@@ -1,68 +1,120 @@
 """Raw documents -> bronze -> silver -> gold -> serving, on any Hadoop path.
 
-Every table is partitioned by (competition, season) and written with dynamic
-partition overwrite, so a run over a scope replaces that scope's partitions
-and nothing else; ``rebuild`` replaces the tables. Each step reads the tables
-the previous one wrote (a lost executor never forces a rebuild from the
-raw documents), through the same scope, so unscoped folders are not read.
+Every table is partitioned by (competition, season), written staged and read
+with its declared schema (:func:`contracts`). A run over a scope replaces that
+scope's partitions and nothing else; ``rebuild`` replaces the tables;
+``update_lake`` builds just the partitions whose raw files changed. Each step
+reads the tables the previous one wrote (a lost executor never forces a
+rebuild from the raw documents), through the same scope, so unscoped folders are
+not read.
 """
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.rules import Scope
 from ..operators import clean, model
-from ..sources import lake
-from ..sources.schema import SERVING
+from ..sources import lake, ledger
+from ..sources.schema import GAME_WITH_PATH, SERVING
 from .tables import Tables
 
 BRONZE = {"games": lake.bronze_games, "players": lake.bronze_players, "plays": lake.bronze_plays,
           "shots": lake.bronze_shots, "teams": lake.bronze_teams}
-# Keys a table's files are sorted by.
-SORT = {name: keys for name, (_, _, keys) in SERVING.items()} | {
-    "documents": (), "dim_players": ("player_name",), "dim_teams": ("team_id",), "fact_games": ("game_id",),
-    "fact_team_games": ("game_id",), "fact_shots": ("game_id",)}
-# Bronze and silver rows are looked up by game.
+Load = Callable[[str, str], DataFrame]
+# The steps behind the documents: layer, table, how it is made of tables before it.
+STEPS: list[tuple[str, str, Callable[[Load], DataFrame]]] = [
+    *[("bronze", name, lambda load, make=make: make(load("bronze", "documents").withColumn("year", F.col("season"))))
+      for name, make in BRONZE.items()],
+    ("silver", "games", lambda load: clean.clean_games(load("bronze", "games"))),
+    ("silver", "players", lambda load: clean.clean_players(load("bronze", "players"))),
+    ("silver", "plays", lambda load: clean.clean_plays(load("bronze", "plays"), load("silver", "players"))),
+    ("silver", "shots", lambda load: clean.clean_shots(load("bronze", "shots"))),
+    ("silver", "teams", lambda load: clean.clean_teams(load("bronze", "teams"))),
+    ("gold", "fact_games", lambda load: model.fact_games(load("silver", "players"))),
+    ("gold", "fact_shots", lambda load: model.fact_shots(load("silver", "shots"))),
+    ("gold", "fact_team_games", lambda load: model.fact_team_games(load("silver", "teams"))),
+    ("gold", "dim_players", lambda load: model.dim_players(load("silver", "players"))),
+    ("gold", "dim_teams", lambda load: model.dim_teams(load("silver", "teams"))),
+]
+# Where the questions, and so the serving tables, read from.
+SOURCES = {"games": ("gold", "fact_games"), "players": ("silver", "players"), "plays": ("silver", "plays"),
+           "shots": ("gold", "fact_shots"), "teams": ("silver", "teams")}
+# Keys a table's files are sorted by; bronze and silver rows are looked up by game.
+SORT = {"dim_players": ("player_name",), "dim_teams": ("team_id",)}
 BY_GAME = ("game_id",)
+PARTITION = ("competition", "season")
+
+_CONTRACTS: dict[str, dict[tuple[str, str], T.StructType]] = {}
+
+
+def contracts(spark: SparkSession) -> dict[tuple[str, str], T.StructType]:
+    """The declared schema of every layer table: what the steps make of the
+    declared raw document (plans of empty tables, nothing is run)."""
+    key = spark.sparkContext.applicationId
+    if key not in _CONTRACTS:
+        empty = spark.createDataFrame([], GAME_WITH_PATH)
+        frames = {("bronze", "documents"): empty.withColumn("season", F.col("year"))}
+        for layer, name, make in STEPS:
+            frames[layer, name] = make(lambda x, y: frames[x, y])
+        for name, source in SOURCES.items():
+            frames["serving", name] = lake.to_serving(frames[source], name)
+        _CONTRACTS[key] = {k: lake.contract(df, PARTITION, None) for k, df in frames.items()}
+    return _CONTRACTS[key]
 
 
-def build_lake(spark: SparkSession, raw_root: str, lake_root: str, scope: Scope | None = None,
-               rebuild: bool = False) -> Tables:
+def build_lake(spark: SparkSession, raw_root: str, lake_root: str, scope: Scope | None = None, rebuild: bool = False,
+               report: dict | None = None) -> Tables:
     """Build every layer for ``scope`` (all of it by default) and return the
-    tables the questions read."""
+    tables the questions read. ``report`` receives each table's counts."""
+    declared = contracts(spark)
+    # Exact partitions are replaced even where the store has no document of them any more.
+    replaced = scope.partitions or () if scope else ()
 
     def save(df: DataFrame, layer: str, name: str) -> None:
-        keys = SORT[name] if layer in ("gold", "serving") else BY_GAME if name != "documents" else ()
-        lake.write_table(df, lake_root, layer, name, rebuild=rebuild, sort_by=keys)
+        how = dict(rebuild=rebuild, replaced=replaced)
+        if layer == "serving":
+            counts = lake.write_serving(df, lake_root, layer, name, **how)
+        else:
+            keys = SORT.get(name, BY_GAME) if name != "documents" else ()
+            counts = lake.write_table(df, lake_root, layer, name, sort_by=keys, **how)
+        if report is not None:
+            report[f"{layer}.{name}"] = counts
 
     def load(layer: str, name: str) -> DataFrame:
-        return lake.read_table(spark, lake_root, layer, name, scope)
-
-    docs = lake.read_games(spark, raw_root, scope)
-    # The documents are parsed once; the five bronze tables read their columns from here.
-    save(docs.withColumn("season", F.col("year")), "bronze", "documents")
-    staged = load("bronze", "documents").withColumn("year", F.col("season"))
-    for name, make in BRONZE.items():
-        save(make(staged), "bronze", name)
-    save(clean.clean_games(load("bronze", "games")), "silver", "games")
-    save(clean.clean_players(load("bronze", "players")), "silver", "players")
-    save(clean.clean_plays(load("bronze", "plays"), load("silver", "players")), "silver", "plays")
-    save(clean.clean_shots(load("bronze", "shots")), "silver", "shots")
-    save(clean.clean_teams(load("bronze", "teams")), "silver", "teams")
-    players, teams = load("silver", "players"), load("silver", "teams")
-    for name, df in {"fact_games": model.fact_games(players), "fact_shots": model.fact_shots(load("silver", "shots")),
-                     "fact_team_games": model.fact_team_games(teams), "dim_players": model.dim_players(players),
-                     "dim_teams": model.dim_teams(teams)}.items():
-        save(df, "gold", name)
-    t = open_lake(spark, lake_root, scope)
-    for name in SERVING:
-        save(lake.to_serving(getattr(t, name), name), "serving", name)
-    return t
+        return lake.read_table(spark, lake_root, layer, name, scope, declared=declared[layer, name])
+
+    # The documents are parsed once; the five bronze tables read their columns from there.
+    save(lake.read_games(spark, raw_root, scope).withColumn("season", F.col("year")), "bronze", "documents")
+    for layer, name, make in STEPS:
+        save(make(load), layer, name)
+    for name, source in SOURCES.items():
+        save(load(*source), "serving", name)
+    return open_lake(spark, lake_root, scope)
 
 
 def open_lake(spark: SparkSession, lake_root: str, scope: Scope | None = None) -> Tables:
     """The tables of a lake that the questions read."""
-    load = lambda layer, name: lake.read_table(spark, lake_root, layer, name, scope)
-    return Tables(games=load("gold", "fact_games"), players=load("silver", "players"), plays=load("silver", "plays"),
-                  shots=load("gold", "fact_shots"), teams=load("silver", "teams"))
+    declared = contracts(spark)
+    return Tables(**{name: lake.read_table(spark, lake_root, *source, scope, declared=declared[source])
+                     for name, source in SOURCES.items()})
+
+
+def update_lake(spark: SparkSession, raw_root: str, lake_root: str, report: dict | None = None) -> tuple[tuple[str, int], ...]:
+    """Build the partitions whose raw files are new, changed or gone since the
+    last update, and return them. The ledger takes a partition's files after its
+    tables are there: a run that dies builds the same partitions again."""
+    now = ledger.raw_files(spark, raw_root)
+    stale = ledger.stale_partitions(ledger.compare(now, ledger.known_files(spark, lake_root, now)))
+    if not stale:
+        return ()
+    # Taken before the build, so a file that changes meanwhile is found the next time.
+    scope = Scope(partitions=stale)
+    seen = f"{lake_root}/{ledger.LAYER}/_pending"
+    lake.narrow(now, scope).write.mode("overwrite").parquet(seen)
+    build_lake(spark, raw_root, lake_root, scope, report=report)
+    ledger.record(spark.read.schema(now.schema).parquet(seen), lake_root, stale)
+    return stale

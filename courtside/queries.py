@@ -1096,6 +1096,32 @@ def s13_inventory(spark, sf_dir):
     return LK.inventory(spark, catalog.raw_root(spark, sf_dir)).drop("documents")
 
 
+@register("s02_updated_silver_players", catalog.ORACLE["b06_silver_players"])
+def s02_updated_silver_players(spark, sf_dir):
+    """Silver players of the lake that the ledger brought up to date."""
+    root = catalog.updated_lake(spark, sf_dir)
+    return LK.read_table(spark, f"{root}/lake", "silver", "players").select(*SILVER_PLAYER_COLS)
+
+
+@register("s02_updated_fact_games", catalog.ORACLE["b13_fact_games"])
+def s02_updated_fact_games(spark, sf_dir):
+    """The games of the lake that the ledger brought up to date."""
+    root = catalog.updated_lake(spark, sf_dir)
+    return LK.read_table(spark, f"{root}/lake", "gold", "fact_games").drop("game_date")
+
+
+@register("s13_ledger_changes", W("lines") + """,
+p AS (SELECT DISTINCT competition, season FROM players),
+o AS (SELECT '9-OLD' AS competition, season FROM p WHERE competition = '5-LOW')
+SELECT competition, season, competition IN ('5-LOW', '9-OLD') AS stale, competition = '5-LOW' AS has_new,
+       competition = '9-OLD' AS has_gone, competition NOT IN ('5-LOW', '9-OLD') AS has_same
+FROM (SELECT * FROM p UNION ALL SELECT * FROM o)""")
+def s13_ledger_changes(spark, sf_dir):
+    """Partitions whose raw files changed since the lake was built."""
+    d = spark.read.parquet(f"{catalog.updated_lake(spark, sf_dir)}/changes")
+    return d.select("competition", "season", "stale", *[(F.col(c) > 0).alias(f"has_{c}") for c in ("new", "gone", "same")])
+
+
 # The serving tables, read back from the lake, types as declared.
 from .sources.schema import SERVING  # noqa: E402
 

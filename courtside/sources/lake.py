@@ -5,12 +5,16 @@ one JSON document per game, read with the declared schema.
 """
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from collections.abc import Iterable
+
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions import expr as X
 from ..functions.rules import Context, Scope
-from .schema import GAME, SERVING
+from . import staged
+from .schema import GAME, GAME_WITH_PATH, SERVING
 
 RAW_GLOB = "competition=*/year=*/group=*/*.json"
 
@@ -26,6 +30,10 @@ def narrow(df: DataFrame, scope: Scope | Context | None, season: str = "season",
         wanted = {c: [v] for c, v in one.items() if v is not None and c in df.columns}
     else:
         wanted = {c: list(v) for c, v in (("competition", scope.competitions), (season, scope.seasons)) if v}
+        if scope.partitions is not None:
+            # One value per partition, computed from partition columns only: folders are pruned by it.
+            pair = F.concat_ws("/", "competition", F.col(season).cast("string"))
+            df = df.filter(pair.isin([f"{c}/{y}" for c, y in scope.partitions]))
     for c, values in wanted.items():
         df = df.filter(F.col(c).isin([int(v) for v in values] if c == season else values))
     return df
@@ -34,44 +42,98 @@ def narrow(df: DataFrame, scope: Scope | Context | None, season: str = "season",
 def read_games(spark: SparkSession, root: str, scope: Scope | Context | None = None) -> DataFrame:
     """Partitioned JSON scan with a declared schema; stray files
     outside the pattern are ignored by the glob; scope filters sit on the
-    partition columns, so unscoped folders are never read."""
-    df = (spark.read.schema(GAME).option("basePath", root).option("mode", "PERMISSIVE")
-          .json(f"{root}/{RAW_GLOB}"))
+    partition columns, so unscoped folders are never read; a store without
+    documents has no rows."""
+    if not staged.Files(spark, root).matches(f"{root}/{RAW_GLOB}"):
+        df = spark.createDataFrame([], GAME_WITH_PATH)
+    else:
+        df = (spark.read.schema(GAME).option("basePath", root).option("mode", "PERMISSIVE")
+              .json(f"{root}/{RAW_GLOB}"))
     return narrow(df.withColumn("year", F.col("year").cast("int")), scope, "year", "group")
 
 
+class SchemaChanged(TypeError):
+    """A write whose columns have other types than the stored table's."""
+
+
+def table_path(root: str, layer: str, name: str) -> str:
+    return "/".join(filter(None, (root, layer, name)))
+
+
 def read_table(spark: SparkSession, root: str, layer: str, name: str, scope: Scope | Context | None = None,
-               fmt: str = "parquet", merge_schema: bool = False) -> DataFrame:
-    """A layer table in a configurable format; ``merge_schema``
-    reads files written before an additive column change."""
+               fmt: str = "parquet", merge_schema: bool = False, declared: T.StructType | None = None) -> DataFrame:
+    """A layer table in a configurable file format, read with its
+    declared schema or the one stored with it, so an empty table has its columns
+    too; ``merge_schema`` reads files written before an additive column change.
+    A write that died while its partitions were moved in is carried on first."""
+    path = table_path(root, layer, name)
+    staged.recover(spark, path)
+    schema = declared or staged.stored_schema(spark, path)
     reader = spark.read.format(fmt)
-    if merge_schema:
-        reader = reader.option("mergeSchema", "true")
-    return narrow(reader.load(f"{root}/{layer}/{name}"), scope)
+    if schema is None:  # not written here
+        return narrow((reader.option("mergeSchema", "true") if merge_schema else reader).load(path), scope)
+    return narrow(reader.schema(schema).load(path).select(*schema.names), scope)
 
 
 # --- S04/S05/S08: writes ------------------------------------------------------
 
+def contract(df: DataFrame, partition_by, before: T.StructType | None) -> T.StructType:
+    """Schema of the table after the write: nullable, partition columns last, columns that
+    only earlier files have kept; a column of another type is refused."""
+    now = {f.name: f.dataType for f in df.schema.fields}
+    old = {f.name: f.dataType for f in before.fields} if before else {}
+    changed = [f"{c}: {old[c].simpleString()} -> {t.simpleString()}" for c, t in now.items() if c in old and _nullable(old[c]) != _nullable(t)]
+    if changed:
+        raise SchemaChanged(", ".join(changed))
+    columns = old | now
+    names = [c for c in columns if c not in partition_by] + [c for c in partition_by]
+    return T.StructType([T.StructField(c, _nullable(columns[c])) for c in names])
+
+
+def _nullable(kind: T.DataType) -> T.DataType:
+    """The type as a file gives it back: everything may be NULL."""
+    if isinstance(kind, T.ArrayType):
+        return T.ArrayType(_nullable(kind.elementType), True)
+    if isinstance(kind, T.MapType):
+        return T.MapType(_nullable(kind.keyType), _nullable(kind.valueType), True)
+    if isinstance(kind, T.StructType):
+        return T.StructType([T.StructField(f.name, _nullable(f.dataType)) for f in kind.fields])
+    return kind
+
+
 def write_table(df: DataFrame, root: str, layer: str, name: str, partition_by=("competition", "season"),
-                rebuild: bool = False, fmt: str = "parquet", sort_by: tuple[str, ...] = ()) -> None:
-    """Dynamic partition overwrite (only the partitions present in
-    ``df`` are replaced); S05: ``rebuild`` replaces the whole table;
-    S08: rows sorted inside each file by ``sort_by`` for min/max skipping.
+                rebuild: bool = False, fmt: str = "parquet", sort_by: tuple[str, ...] = (),
+                replaced: Iterable[tuple] = (), counters: dict[str, Column] | None = None,
+                options: dict[str, str] | None = None) -> dict[str, int]:
+    """Partition overwrite (the partitions present in ``df`` are replaced, and
+    those ``replaced`` lists, which go if ``df`` has no row of them); S05:
+    ``rebuild`` replaces the whole table; S08: rows sorted inside each file by
+    ``sort_by`` for min/max skipping. Staged, so a failed run leaves the old table
+    (see ``staged``); an empty table keeps its schema.
 
     With ``sort_by`` rows are first dealt by ranges of (partition, keys): a
     partition gets a few files whatever the number of tasks, and a hot
     partition is cut into several.
 
-    Note: a scope with zero rows replaces nothing under dynamic overwrite.
+    Returns ``rows`` and the ``counters`` (aggregates over ``df``; helper columns that begin
+    with ``_`` are not written), observed by the write itself.
     """
+    spark, path = df.sparkSession, table_path(root, layer, name)
+    staged.recover(spark, path)
+    kept = [c for c in df.columns if not (counters and c.startswith("_"))]
+    schema = contract(df.select(*kept), partition_by, None if rebuild else staged.stored_schema(spark, path))
     if sort_by:
         keys = [*partition_by, *sort_by]
         df = df.repartitionByRange(*keys).sortWithinPartitions(*keys)
-    w = df.write.format(fmt).mode("overwrite").option(
-        "partitionOverwriteMode", "static" if rebuild else "dynamic")
-    if partition_by:
-        w = w.partitionBy(*partition_by)
-    w.save("/".join(filter(None, (root, layer, name))))
+    # Observed behind the sort: the sampling of the ranges is not counted.
+    seen = Observation()
+    df = df.observe(seen, F.count(F.lit(1)).alias("rows"), *[c.alias(n) for n, c in (counters or {}).items()])
+    w = df.select(*kept).write.format(fmt).options(**(options or {}))
+    folder = staged.staging(path)
+    (w.partitionBy(*partition_by) if partition_by else w).save(folder)
+    staged.publish(spark, folder, path, schema, len(partition_by), rebuild,
+                   [staged.partition_folder(spark, partition_by, v) for v in replaced], fmt)
+    return {n: int(v or 0) for n, v in seen.get.items()}
 
 
 def write_documents(docs: DataFrame, root: str) -> None:
@@ -177,23 +239,41 @@ def bronze_teams(docs: DataFrame) -> DataFrame:
 
 # --- S06/S07/S10/S11: exports ---------------------------------------------------
 
-def to_serving(df: DataFrame, name: str) -> DataFrame:
+# Helper columns of a serving row: values that did not fit their type, NULLs made 0.
+SERVING_COUNTERS = {"casts_failed": F.sum, "nulls_replaced": F.sum}
+
+
+def to_serving(df: DataFrame, name: str, counted: bool = False) -> DataFrame:
     """Exactly the serving table's columns and types; a value that
-    does not fit its type is NULL, the contract's NULLs become 0."""
+    does not fit its type is NULL, the contract's NULLs become 0. ``counted``
+    adds how often that happened in the row (``_casts_failed``, ``_nulls_replaced``)."""
     columns, zero, _ = SERVING[name]
     cast = {c: F.col(c).try_cast(t) for c, t in columns.items()}
-    return df.select(*[(F.coalesce(x, F.lit(0).cast(columns[c])) if c in zero else x).alias(c) for c, x in cast.items()])
+    out = [(F.coalesce(x, F.lit(0).cast(columns[c])) if c in zero else x).alias(c) for c, x in cast.items()]
+    if counted:
+        times = lambda marks: sum((m.cast("long") for m in marks), F.lit(0).cast("long"))
+        out += [times(F.col(c).isNotNull() & x.isNull() for c, x in cast.items()).alias("_casts_failed"),
+                times(cast[c].isNull() for c in zero).alias("_nulls_replaced")]
+    return df.select(*out)
+
+
+def write_serving(df: DataFrame, root: str, layer: str, name: str, **how) -> dict[str, int]:
+    """A serving table with its counts: rows, failed casts, NULLs made 0."""
+    return write_table(to_serving(df, name, counted=True), root, layer, name, sort_by=SERVING[name][2],
+                       counters={n: agg(f"_{n}") for n, agg in SERVING_COUNTERS.items()}, **how)
 
 
-def export_flat(tables, root: str) -> None:
-    """The five serving tables as Parquet under ``root`` (full
-    overwrite), partitioned by season and sorted by their keys."""
-    for name, (_, _, keys) in SERVING.items():
+def export_flat(tables, root: str) -> dict[str, dict[str, int]]:
+    """The five serving tables as Parquet under ``root`` (full
+    overwrite), partitioned by season and sorted by their keys; returns each table's counts."""
+    counts = {}
+    for name in SERVING:
         df = getattr(tables, name)
         for c in ("competition", "season"):
             if c not in df.columns:  # plays and shots of flat sources: from their game
                 df = df.join(tables.games.select("game_id", c), "game_id", "left")
-        write_table(to_serving(df, name), root, "", name, ("season",), rebuild=True, sort_by=keys)
+        counts[name] = write_serving(df, root, "", name, partition_by=("season",), rebuild=True)
+    return counts
 
 
 def wide_box_score(docs: DataFrame) -> DataFrame:
