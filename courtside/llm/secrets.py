@@ -1,27 +1,26 @@
 """Secret scans: fixed patterns plus a linear-chain conditional random field.
 
 Base spans come from three patterns over the whole text. A CRF with the tags
-outside, begin and inside reads the text as tokens and adds spans: features
-are a token's shape, length and letter mix, its neighbouring words and marks,
-and facts about the file; Viterbi gives the best tag sequence.
-
-A token is *open* if it could be part of a secret: it has a digit (0-9), or is at
-least 20 characters long, or follows ``=`` or ``:``, or is one of the ``AFTER_NAME``
-tokens behind a credential-like name or tag, or follows a flag (``-p``,
-``--password``). Any other token is tagged outside by definition, in training
-as in decoding. So a text falls into runs of open tokens between known outside
-tags; with the moves from and to these neighbours scored, decoding each run
-alone gives the best sequence of the whole text under that definition. What no
-digit, length, mark, name or flag points at is not found.
-
-The CRF is trained here, by likelihood, on a bounded sample of windows: runs,
-those of more than ``longest`` tokens cut into several. A document gives at most
-``per_document`` windows with a base span and as many without, those with the
-smallest hash of their text; of all documents' the smallest ``sample_windows`` of
-either sort are kept. Tokens inside base spans carry begin and inside. In
-copies of the windows the name before the value is hidden, so values are also
-told by their own look. Base spans stay as they are; a CRF span that touches
-one is dropped.
+outside, begin and inside reads every token of the text and adds spans:
+features are a token's shape, length and letter mix, its neighbouring words and
+marks, whether it is quoted or stands behind a credential-like name, and facts
+about the file; Viterbi gives the best tag sequence of the whole text.
+
+Emissions are sums of parts that depend on one token each (its own look, the
+word before, after, the name before a mark), so a task looks a part up once per
+distinct token and adds whole arrays. Viterbi runs over blocks of a fixed
+length side by side, joined by max-plus products: the exact best sequence, in
+time linear in the text, for texts of any length.
+
+The CRF is trained here, by likelihood, on a bounded sample of windows of
+``longest`` tokens: at most ``sample_windows`` with a base span and as many
+without, at most ``per_document`` of either sort from a document, those with the
+smallest hash of their text. They come from the documents with the smallest
+hashes, about ``sample_docs``; where these hold too few base spans, from eight
+times as many, and so on up to all. Tokens inside base spans carry begin and
+inside. In copies of the windows the name before the value is hidden, or the mark
+between them, so values are also told by their own look or a name alone. Base spans stay as they are; a CRF span that
+touches one is dropped.
 
 Defined cases: null text counts as empty; a table without base spans trains
 nothing and adds nothing; repeated rows keep one output row each; an empty
@@ -31,10 +30,11 @@ from __future__ import annotations
 
 import hashlib
 import re
+from bisect import bisect_left
 from collections import Counter
-from collections.abc import Iterable
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
-from itertools import islice
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
@@ -82,67 +82,31 @@ def listing(spans: Iterable[Span]) -> str:
 
 # A token is a maximal run of characters that are neither white space, quotes,
 # brackets, list signs nor marks; a mark (= or :) is a token of its own.
-SIGNS = r"""\s"'`,;|<>(){}\[\]"""
-TOKEN = re.compile(rf"[=:]|[^{SIGNS}=:]++")
-LOOKS_OPEN = re.compile(rf"(?<![^{SIGNS}=:])(?=[^{SIGNS}=:0-9]*+[0-9]|[^{SIGNS}=:]{{20}})[^{SIGNS}=:]++")
-AFTER_MARK = re.compile(rf"[=:][{SIGNS}]*+([^{SIGNS}=:]++)")
-BETWEEN = re.compile(rf"[{SIGNS}]*+")
-# Credential-like names, inside a token or as a whole one, and flags.
-NAMED = re.compile(rf"""(?:pass(?:word|wd|phrase|code)|pwd|secret|token|credential|(?:api|access|private)[_-]?key
-    |(?<![^{SIGNS}=:])(?:pass|pw|psk|pin|auth)(?![^{SIGNS}=:]))[^{SIGNS}=:]*+""", re.IGNORECASE | re.VERBOSE)
-FLAG = re.compile(rf"(?<![^{SIGNS}])--?[A-Za-z][^{SIGNS}=:]*+(?![=:])")
-AFTER_NAME = 3  # tokens opened behind a name
-NEAR = 200  # characters on either side in which a run's neighbouring tokens are read
-
-
-def named_tokens(text: str) -> set[tuple[int, int]]:
-    """The ``AFTER_NAME`` tokens behind each credential-like name (marks do not count)."""
-    out = set()
-    for m in NAMED.finditer(text):
-        words = (w.span() for w in TOKEN.finditer(text, m.end()) if w.group() not in ("=", ":"))
-        out.update(islice(words, AFTER_NAME))
-    return out
-
-
-def runs(text: str) -> list[list[tuple[int, int]]]:
-    """Runs of open tokens as (start, end): neighbours without another token between them."""
-    found = [m.span() for m in LOOKS_OPEN.finditer(text)]
-    if "=" in text or ":" in text:
-        found += [m.span(1) for m in AFTER_MARK.finditer(text)]
-    found += named_tokens(text)
-    if "-" in text:
-        found += [w.span() for m in FLAG.finditer(text) if (w := TOKEN.search(text, m.end())) and w.group() not in ("=", ":")]
-    found = sorted(set(found))
-    out: list[list[tuple[int, int]]] = []
-    for a, b in found:
-        if out and (m := BETWEEN.match(text, out[-1][-1][1])) and m.end() == a:
-            out[-1].append((a, b))
-        else:
-            out.append([(a, b)])
-    return out
-
-
-def outside(text: str, a: int, b: int) -> tuple[int | None, int | None]:
-    """Tags of the closed tokens before and after the run from a to b; None where the text ends."""
-    return (0 if BETWEEN.match(text).end() < a else None), (0 if BETWEEN.match(text, b).end() < len(text) else None)
-
-
-def run_tokens(text: str, run: list[tuple[int, int]]) -> list[str]:
-    """Two tokens before the run ("" where there is none), its own, one after it."""
-    a, b = run[0][0], run[-1][1]
-    left = ["", "", *TOKEN.findall(text[max(0, a - NEAR):a])][-2:]
-    right = TOKEN.search(text, b, b + NEAR)
-    return [*left, *(text[x:y] for x, y in run), right.group() if right else ""]
+SIGNS = "\"'`,;|<>(){}[]"
+CLASS = np.zeros(0x110000, np.uint8)  # of a code point: 1 between tokens, 2 a mark, 0 in a token
+CLASS[[i for i in range(0x110000) if chr(i).isspace()] + [ord(c) for c in SIGNS]] = 1
+CLASS[[ord("="), ord(":")]] = 2
+# Credential-like names, inside a token or as a whole one.
+NAMED = re.compile(r"""pass(?:word|wd|phrase|code)|pwd|secret|token|credential|(?:api|access|private)[_-]?key
+    |^(?:pass|pw|psk|pin|auth)$""", re.IGNORECASE | re.VERBOSE)
+AFTER_NAME = 3  # tokens behind a name that count as named
+CLOSERS = ".!?#$%&*"  # closing punctuation is no part of a secret
+NO_DIGITS = str.maketrans("", "", "0123456789")
+HEX_SIGNS = "0123456789abcdefABCDEF"
+GROUP_CHARS = 1_000_000  # characters of texts that are tagged together
+KNOWN_TOKENS = 300_000  # distinct tokens whose parts a task remembers
 
 
 def shape(token: str) -> str:
-    """Runs of upper case, lower case, digits and other characters, e.g. ``Aa0``."""
-    out = []
+    """The first eight runs of upper case, lower case, digits and other characters, e.g. ``Aa0``."""
+    out: list[str] = []
     for c in token:
         k = "0" if c.isdigit() else "A" if c.isupper() else "a" if c.isalpha() else c if c in "+/_.-" else "#"
         if not out or out[-1] != k:
+            if len(out) == 8:
+                return "".join(out) + "*"
             out.append(k)
-    return "".join(out[:8]) + ("*" if len(out) > 8 else "")
+    return "".join(out)
 
 
 def file_facts(text: str) -> list[str]:
@@ -153,222 +117,390 @@ def file_facts(text: str) -> list[str]:
             f"file:words:{min(text.count(' '), 1 << 12).bit_length()}", f"file:quotes:{text.count(chr(34)) > 0}"]
 
 
-def token_features(tokens: list[str], i: int, quoted: bool, facts: list[str], hide: bool = False,
-                   named: bool = False) -> list[str]:
-    """Feature names of token i (``tokens`` reach two before and one after it).
-    ``hide`` leaves out the name before it; ``named``: it is behind a credential-like name."""
-    t = tokens[i].rstrip(CLOSERS) or tokens[i]
+def own_look(token: str) -> list[str]:
+    """Feature names of a token's own look ("" where the text ends: none)."""
+    if not token:
+        return []
+    t = token.rstrip(CLOSERS) or token
     n = len(t)
-    digits = len(t) - len(t.translate(NO_DIGITS))
+    digits = n - len(t.translate(NO_DIGITS))
     uppers = sum(map(str.isupper, t))
-    near = [w.lower()[:24] for w in (tokens[i - 2], tokens[i - 1], tokens[i + 1])]
-    near = [shape(w) if any(map(str.isdigit, w)) else w for w in near]
-    mark = near[1] in ("=", ":")
-    name = near[0] if mark and not hide else "?"
     return ["bias", f"shape:{shape(t)}", f"len:{min(n, 48) // 4}", f"digits:{8 * digits // n}", f"upper:{4 * uppers // n}",
-            f"kinds:{len(set(t)) * 8 // n}", f"hex:{not t.strip(HEX_SIGNS)}:{min(n, 48) // 8}",
-            f"alldigits:{digits == n}", f"quoted:{quoted}", f"mark:{mark}", f"name:{name}",
-            f"before:{near[1] if mark else '?' if hide else near[1]}", f"after:{near[2]}",
-            f"mark+quoted:{mark}{quoted}", f"named:{named and not hide}", *facts]
+            f"kinds:{len(set(t)) * 8 // n}", f"hex:{not t.strip(HEX_SIGNS)}:{min(n, 48) // 8}", f"alldigits:{digits == n}"]
 
 
-CLOSERS = ".!?#$%&*"  # closing punctuation is no part of a secret
-NO_DIGITS = str.maketrans("", "", "0123456789")
-HEX_SIGNS = "0123456789abcdefABCDEF"
+def word(token: str) -> str:
+    """A neighbour as its features name it: lower case, or its shape where it has digits."""
+    return shape(token) if any(map(str.isdigit, token)) else token.lower()
 
 
-@dataclass
-class Crf:
-    """Weights per feature and tag (outside, begin, inside), and of tag pairs."""
-    index: dict[str, int] = field(default_factory=dict)
-    weights: np.ndarray = field(default_factory=lambda: np.zeros((0, 3)))
-    moves: np.ndarray = field(default_factory=lambda: np.zeros((3, 3)))
+def signs(mark: bool, quoted: bool, named: int) -> list[str]:
+    return [f"mark:{mark}", f"quoted:{quoted}", f"mark+quoted:{mark}{quoted}", f"named:{named}"]
 
-    def emissions(self, feats: list[list[str]]) -> np.ndarray:
-        get = self.index.get
-        return np.array([self.weights[[j for f in fs if (j := get(f)) is not None]].sum(axis=0) for fs in feats])
 
+VIEWS = ("", "name", "mark")  # what a training copy of a window hides
 
-START = np.array([0.0, 0.0, -np.inf])  # a sequence does not start inside
-FORBIDDEN = np.array([[0.0, 0.0, -np.inf], [0.0, 0.0, 0.0], [0.0, 0.0, 0.0]])  # nor goes from outside to inside
 
+def token_features(tokens: list[str], i: int, quoted: bool, named: int, facts: list[str], hide: str = "") -> list[str]:
+    """Feature names of token i (``tokens`` reach two before and one after it).
+    ``hide``: ``name`` leaves out the name before it, ``mark`` the mark between."""
+    mark = tokens[i - 1] in ("=", ":")
+    before, name = tokens[i - 1], tokens[i - 2] if mark else None
+    if hide == "name":
+        before, name, named = (before if mark else None), None, 0
+    elif hide == "mark" and mark:
+        mark, before, name = False, name, None
+    say = lambda w: "?" if w is None else word(w)
+    return [*own_look(tokens[i]), f"before:{say(before)}", f"after:{word(tokens[i + 1])}", f"name:{say(name)}",
+            *signs(mark, quoted, named), *facts]
 
-def viterbi(e: np.ndarray, moves: np.ndarray, before: int | None = None, after: int | None = None) -> list[int]:
-    """Best tag sequence of one run between tags ``before`` and ``after`` (None: the text's end)."""
-    score = _entry(moves, before) + e[0]
-    back = []
-    for row in e[1:]:
-        m = score[:, None] + moves + FORBIDDEN
-        back.append(m.argmax(axis=0))
-        score = m.max(axis=0) + row
-    tags = [int((score + _exit(moves, after)).argmax())]
-    for b in reversed(back):
-        tags.append(int(b[tags[-1]]))
-    return tags[::-1]
 
+@dataclass
+class Tokens:
+    """All tokens of a group of texts, one after the other."""
+    texts: list[str]
+    of: np.ndarray  # text of each token
+    start: np.ndarray  # within its text, end exclusive
+    end: np.ndarray
+    words: list[str]
+    quoted: np.ndarray
+    first: np.ndarray  # first token of its text
+    named: np.ndarray
+
+    def shifted(self, values: np.ndarray, by: int, fill) -> np.ndarray:
+        """``values`` of the token ``by`` places before (behind, where negative) in the same text."""
+        out = np.full(len(values), fill, dtype=values.dtype)
+        if by > 0 and len(values) > by:
+            out[by:] = np.where(self.of[by:] == self.of[:-by], values[:-by], fill)
+        elif by < 0 and len(values) > -by:
+            out[:by] = np.where(self.of[:by] == self.of[-by:], values[-by:], fill)
+        return out
+
+
+def tokenise(texts: list[str]) -> Tokens:
+    of, start, end, words, quoted = [], [], [], [], []
+    for k, text in enumerate(texts):
+        code = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
+        kind = CLASS[code]
+        # A token begins at a mark, and where a character in a token follows one that is not.
+        begins = np.flatnonzero((kind == 2) | ((kind == 0) & (np.concatenate([[1], kind[:-1]]) != 0)))
+        ends = np.flatnonzero((kind == 2) | ((kind == 0) & (np.concatenate([kind[1:], [1]]) != 0))) + 1
+        of.append(np.full(len(begins), k))
+        start.append(begins)
+        end.append(ends)
+        words += [text[a:b] for a, b in zip(begins.tolist(), ends.tolist())]
+        before = code[np.maximum(begins - 1, 0)]
+        quoted.append((begins > 0) & ((before == 34) | (before == 39) | (before == 96)))
+    cat = lambda parts, kind: np.concatenate(parts).astype(kind) if parts else np.zeros(0, kind)
+    of = cat(of, np.int64)
+    t = Tokens(texts, of, cat(start, np.int64), cat(end, np.int64), words, cat(quoted, bool),
+               np.concatenate([[True], of[1:] != of[:-1]]) if len(of) else np.zeros(0, bool), np.zeros(len(of), np.int64))
+    t.named[:] = _named(t)
+    return t
+
+
+def _named(t: Tokens) -> np.ndarray:
+    """How many tokens (marks not counted) before it stands the nearest credential-like
+    name: 1 to ``AFTER_NAME``, 0 where there is none so near."""
+    out = np.zeros(len(t.words), np.int64)
+    names = {w for w in set(t.words) if NAMED.search(w)}
+    if not names:
+        return out
+    at = np.flatnonzero(np.array([w not in ("=", ":") for w in t.words], dtype=bool))
+    is_name = np.array([t.words[i] in names for i in at], dtype=bool)
+    for by in range(AFTER_NAME, 0, -1):
+        out[at[by:][is_name[:-by] & (t.of[at][by:] == t.of[at][:-by])]] = by
+    return out
 
-def _entry(moves: np.ndarray, before: int | None) -> np.ndarray:
-    return START if before is None else (moves + FORBIDDEN)[before]
 
+@dataclass
+class Crf:
+    """Weights per feature and tag (outside, begin, inside), and of tag pairs."""
+    index: dict[str, int] = field(default_factory=dict)
+    weights: np.ndarray = field(default_factory=lambda: np.zeros((0, 3)))
+    moves: np.ndarray = field(default_factory=lambda: np.zeros((3, 3)))
 
-def _exit(moves: np.ndarray, after: int | None) -> np.ndarray:
-    return np.zeros(3) if after is None else (moves + FORBIDDEN)[:, after]
+    def weight(self, features: list[str]) -> np.ndarray:
+        return self.weights[[j for f in features if (j := self.index.get(f)) is not None]].sum(axis=0)
+
+
+class Tagger:
+    """A CRF at work in a task: remembers the parts of distinct tokens."""
+
+    def __init__(self, crf: Crf):
+        self.crf = crf
+        self.rows: dict[str, int] = {}
+        self.parts = np.zeros((0, 4, 3))  # own look, as the word before, after, as the name
+        self.signs = np.array([crf.weight(signs(bool(i & 1), bool(i & 2), i >> 2)) for i in range(4 * (AFTER_NAME + 1))])
+        self.no_name = crf.weight(["name:?"])
+
+    def _part(self, token: str) -> list[np.ndarray]:
+        w = self.crf.weight
+        near = word(token)
+        return [w(own_look(token)), w([f"before:{near}"]), w([f"after:{near}"]), w([f"name:{near}"])]
+
+    def emissions(self, t: Tokens) -> np.ndarray:
+        if len(self.rows) > KNOWN_TOKENS:
+            self.rows, self.parts = {}, np.zeros((0, 4, 3))
+        new = [w for w in {"", "=", ":", *t.words} if w not in self.rows]
+        if new:
+            for w in new:
+                self.rows[w] = len(self.rows)
+            self.parts = np.concatenate([self.parts, np.array([self._part(w) for w in new])])
+        ids = np.fromiter(map(self.rows.__getitem__, t.words), np.int64, len(t.words))
+        none = self.rows[""]
+        before = t.shifted(ids, 1, none)
+        mark = (before == self.rows["="]) | (before == self.rows[":"])
+        e = self.parts[ids, 0] + self.parts[before, 1] + self.parts[t.shifted(ids, -1, none), 2]
+        e += np.where(mark[:, None], self.parts[t.shifted(ids, 2, none), 3], self.no_name)
+        e += self.signs[mark + 2 * t.quoted + 4 * t.named]
+        return e + np.array([self.crf.weight(file_facts(x)) for x in t.texts])[t.of]
+
+    def spans(self, texts: list[str]) -> list[list[tuple[int, int]]]:
+        """Per text: the spans that the best tag sequence marks, without closing punctuation."""
+        out: list[list[tuple[int, int]]] = [[] for _ in texts]
+        t = tokenise(texts)
+        if not self.crf.index or not len(t.of):
+            return out
+        tags = decode(self.emissions(t), t.first, self.crf.moves)
+        for i in np.flatnonzero(tags):
+            w, a, own = t.words[i], int(t.start[i]), out[t.of[i]]
+            b = a + (len(w.rstrip(CLOSERS)) or len(w))
+            if tags[i] == 1:
+                own.append((a, b))
+            else:
+                own[-1] = (own[-1][0], b)
+        return out
+
+
+NEVER = -1e9
+START = np.array([0.0, 0.0, NEVER])  # a sequence does not start inside
+FORBIDDEN = np.array([[0.0, 0.0, NEVER], [0.0, 0.0, 0.0], [0.0, 0.0, 0.0]])  # nor goes from outside to inside
+
+
+def decode(e: np.ndarray, first: np.ndarray, moves: np.ndarray, block: int = 64) -> np.ndarray:
+    """Viterbi: the best tags of each text's tokens. ``first`` marks where a text begins.
+
+    All texts are one chain, in which the step to a first token forgets the tag
+    before. Blocks of the chain are worked off side by side: their max-plus
+    products give the scores at every block's entry, from there back pointers are
+    set in all blocks at once, and followed back likewise.
+    """
+    n = len(e)
+    rows = -(-n // block)
+    pad = rows * block - n
+    e = np.concatenate([e, np.zeros((pad, 3))]).reshape(rows, block, 3)
+    first = np.concatenate([first, np.ones(pad, bool)]).reshape(rows, block)
+    moves = moves + FORBIDDEN
+    step = lambda i: np.where(first[:, i, None, None], START, moves)  # noqa: E731  [row, from, to]
+    product = np.tile(np.where(np.eye(3, dtype=bool), 0.0, NEVER), (rows, 1, 1))
+    for i in range(block):
+        product = (product[:, :, :, None] + step(i)[:, None]).max(axis=2) + e[:, i, None, :]
+    entry = np.zeros((rows, 3))
+    for r in range(rows - 1):
+        score = (entry[r][:, None] + product[r]).max(axis=0)
+        entry[r + 1] = score - score.max()
+    back = np.zeros((rows, block, 3), np.int8)
+    score = entry
+    for i in range(block):
+        ways = score[:, :, None] + step(i)
+        back[:, i] = ways.argmax(axis=1)
+        score = ways.max(axis=1) + e[:, i]
+    every = np.arange(rows)[:, None]
+    came = np.tile(np.arange(3), (rows, 1))
+    for i in range(block - 1, -1, -1):
+        came = back[every, i, came]
+    last = np.zeros(rows, np.int64)
+    last[-1] = int(score[-1].argmax())
+    for r in range(rows - 1, 0, -1):
+        last[r - 1] = came[r, last[r]]
+    tags = np.zeros((rows, block), np.int8)
+    for i in range(block - 1, -1, -1):
+        tags[:, i] = last
+        last = back[every[:, 0], i, last]
+    return tags.reshape(-1)[:n]
 
 
 def _log_sum(a: np.ndarray, axis: int) -> np.ndarray:
     m = a.max(axis=axis, keepdims=True)
-    m = np.where(np.isfinite(m), m, 0.0)
-    with np.errstate(divide="ignore"):
-        return np.squeeze(m, axis) + np.log(np.exp(a - m).sum(axis=axis))
+    return np.squeeze(m, axis) + np.log(np.exp(a - m).sum(axis=axis))
 
 
-def train(sequences: list[tuple[list[list[str]], list[int | None]]], epochs: int = 30, rate: float = 0.3,
-          ridge: float = 1e-3, min_count: int = 3) -> Crf:
-    """Maximum likelihood by forward-backward gradients (Adagrad, one step per sequence).
-    A sequence's tags begin and end with its neighbours' (None: the text's end)."""
+def train(sequences: list[tuple[list[list[str]], list[int | None]]], epochs: int = 20, rate: float = 0.3,
+          ridge: float = 1e-3, min_count: int = 3, size: int = 64) -> Crf:
+    """Maximum likelihood by forward-backward gradients (Adagrad, ``size`` sequences a
+    step, side by side). A sequence's tags begin and end with its neighbours'
+    (None: the text's end)."""
     counts = Counter(f for feats, _ in sequences for fs in feats for f in fs)
     index = {f: i for i, f in enumerate(sorted(f for f, c in counts.items() if c >= min_count))}
     crf = Crf(index, np.zeros((len(index), 3)), np.zeros((3, 3)))
     seen_w, seen_m = np.full((len(index), 3), 1e-6), np.full((3, 3), 1e-6)
-    data = [([np.array([index[f] for f in fs if f in index], dtype=int) for fs in feats], np.array(tags[1:-1]), tags[0], tags[-1])
-            for feats, tags in sequences]
+    data = []
+    for feats, tags in sequences:
+        cols = [[index[f] for f in fs if f in index] for fs in feats]
+        data.append((np.concatenate([np.array(c, int) for c in cols]), np.repeat(np.arange(len(cols)), [len(c) for c in cols]),
+                     np.array(tags[1:-1]), -1 if tags[0] is None else tags[0], -1 if tags[-1] is None else tags[-1]))
     rnd = np.random.default_rng(7)
     for _ in range(epochs):
-        for s in rnd.permutation(len(data)):
-            cols, tags, before, after = data[s]
-            n = len(cols)
-            e = np.array([crf.weights[c].sum(axis=0) for c in cols])
+        order = rnd.permutation(len(data))
+        for at in range(0, len(order), size):
+            part = [data[i] for i in order[at:at + size]]
+            k, n = len(part), max(len(d[2]) for d in part)
+            cols = np.concatenate([d[0] for d in part])
+            rows = np.concatenate([d[1] + i * n for i, d in enumerate(part)])
+            length = np.array([len(d[2]) for d in part])
+            tags = np.zeros((k, n), int)
+            for i, d in enumerate(part):
+                tags[i, :len(d[2])] = d[2]
+            before, after = (np.array([d[j] for d in part]) for j in (3, 4))
             moves = crf.moves + FORBIDDEN
-            f, b = np.zeros((n, 3)), np.zeros((n, 3))
-            f[0] = _entry(crf.moves, before) + e[0]
-            b[-1] = _exit(crf.moves, after)
+            entry = np.where((before < 0)[:, None], START, moves[before])
+            exit_ = np.where((after < 0)[:, None], 0.0, moves.T[after])
+            e = np.stack([np.bincount(rows, crf.weights[cols, y], k * n) for y in range(3)], axis=1).reshape(k, n, 3)
+            f, b = np.zeros((n, k, 3)), np.zeros((n, k, 3))
+            f[0], b[-1] = entry + e[:, 0], exit_
             for i in range(1, n):
-                f[i] = _log_sum(f[i - 1][:, None] + moves, 0) + e[i]
+                f[i] = np.where((i < length)[:, None], _log_sum(f[i - 1][:, :, None] + moves, 1) + e[:, i], f[i - 1])
             for i in range(n - 2, -1, -1):
-                b[i] = _log_sum(moves + (e[i + 1] + b[i + 1])[None, :], 1)
-            z = _log_sum((f[-1] + b[-1])[None, :], 1)[0]
-            p = np.exp(f + b - z)
-            p[np.arange(n), tags] -= 1  # expected minus observed
-            g = np.zeros((3, 3))
-            for i in range(1, n):
-                with np.errstate(invalid="ignore"):
-                    q = np.exp(f[i - 1][:, None] + moves + (e[i] + b[i])[None, :] - z)
-                g += np.nan_to_num(q)
-                g[tags[i - 1], tags[i]] -= 1
-            if before is not None:
-                g[before] += p[0]
-            if after is not None:
-                g[:, after] += p[-1]
+                b[i] = np.where((i + 1 < length)[:, None], _log_sum(moves + (e[:, i + 1] + b[i + 1])[:, None, :], 2), exit_)
+            z = _log_sum(f[-1] + exit_, 1)
+            live = np.arange(n)[None] < length[:, None]
+            p = np.exp(f + b - z[None, :, None]).transpose(1, 0, 2) * live[:, :, None]  # [sequence, place, tag]
+            q = np.exp(f[:-1, :, :, None] + moves + (e.transpose(1, 0, 2)[1:] + b[1:])[:, :, None, :] - z[None, :, None, None])
+            g = (q * live.T[1:, :, None, None]).sum(axis=(0, 1))
+            pairs = live[:, 1:]
+            np.add.at(g, (tags[:, :-1][pairs], tags[:, 1:][pairs]), -1)
+            p[live] -= np.eye(3)[tags[live]]  # expected minus observed
+            np.add.at(g, before[before >= 0], p[before >= 0, 0])
+            np.add.at(g.T, after[after >= 0], p[after >= 0, length[after >= 0] - 1])
+            flat = p.reshape(-1, 3)
+            gw = np.stack([np.bincount(cols, flat[rows, y], len(index)) for y in range(3)], axis=1) / k
+            g = g / k
             seen_m += g * g
             crf.moves -= rate * (g / np.sqrt(seen_m) + ridge * crf.moves)
-            for c, gp in zip(cols, p):
-                if np.abs(gp).max() > 1e-4:
-                    seen_w[c] += gp * gp
-                    crf.weights[c] -= rate * (gp / np.sqrt(seen_w[c]) + ridge * crf.weights[c])
+            hit = np.unique(cols)
+            seen_w[hit] += gw[hit] ** 2
+            crf.weights[hit] -= rate * (gw[hit] / np.sqrt(seen_w[hit]) + ridge * crf.weights[hit])
     return crf
 
 
-def _quoted(text: str, a: int) -> bool:
-    return a > 0 and text[a - 1] in "\"'`"
-
+def _values(base: list[Span]) -> tuple[np.ndarray, np.ndarray]:
+    """Starts and ends of the base spans' values, overlapping ones as one."""
+    merged: list[list[int]] = []
+    for v, b in sorted((v, b) for _, _, b, v in base):
+        if merged and v < merged[-1][1]:
+            merged[-1][1] = max(b, merged[-1][1])
+        else:
+            merged.append([v, b])
+    return np.array([m[0] for m in merged], int), np.array([m[1] for m in merged], int)
 
-def sequences(text: str, limit: int, longest: int = 64) -> list[tuple[bool, list[list[str]], list[int | None]]]:
-    """Training windows of a text, (has a base span, features, tags with the
-    neighbours' at both ends): of either sort the ``limit`` with the smallest
-    hash of their text, each once as it is and once with hidden names. A
-    window has at most ``longest`` tokens; a longer run has several."""
-    spans = [(v, b) for _, _, b, v in base_spans(text)]
-    found: tuple[dict, dict] = ({}, {})
-    for run in runs(text):
-        of = _spans_at(run, spans)
-        tags = [0 if k < 0 else 2 if i and of[i - 1] == k else 1 for i, k in enumerate(of)]
-        before, after = outside(text, run[0][0], run[-1][1])
-        tags = [before, *tags, after]
-        for i in range(0, len(run), longest):
-            part, own = run[i:i + longest], tags[i:i + longest + 2]
-            key = xxhash.xxh3_64_intdigest(text[part[0][0]:part[-1][1]].encode("utf-8", "surrogatepass"))
-            found[any(own[1:-1])].setdefault(key, (part, own))
-    facts, named, out = file_facts(text), named_tokens(text), []
-    for has in (False, True):
-        for key in sorted(found[has])[:limit]:
-            part, tags = found[has][key]
-            words = run_tokens(text, part)
-            out += [(has, [token_features(words, i + 2, _quoted(text, x[0]), facts, hide, x in named)
-                           for i, x in enumerate(part)], tags) for hide in (False, True)]
-    return out
 
+def true_tags(t: Tokens, base: list[Span]) -> np.ndarray:
+    """Tags of one text's tokens by its base spans."""
+    starts, ends = _values(base)
+    if not len(starts):
+        return np.zeros(len(t.start), int)
+    span = np.searchsorted(ends, t.start, side="right")  # first value that ends behind the token's start
+    inside = (span < len(starts)) & (starts[np.minimum(span, len(starts) - 1)] < t.end)
+    same = np.concatenate([[False], inside[1:] & inside[:-1] & (span[1:] == span[:-1])])
+    return np.where(inside, np.where(same, 2, 1), 0)
 
-def _spans_at(run: list[tuple[int, int]], spans: list[tuple[int, int]]) -> list[int]:
-    """The first span that each token of a run touches, -1 for none."""
-    return [next((k for k, (v, e) in enumerate(spans) if v < b and a < e), -1) for a, b in run]
 
+WINDOW = "has int, key long, tokens array<string>, quoted array<boolean>, named array<int>, tags array<int>, facts array<string>"
 
-def learn(docs: DataFrame, sample_windows: int = 1000, per_document: int = 4) -> Crf:
-    """Train on at most ``sample_windows`` windows with a base span and as many
-    without, at most ``per_document`` of either sort from a document: those with
-    the smallest hash of their content, copies once.
 
-    Every task keeps that many at most, so the sample's cost does not grow
-    with the corpus beyond reading it.
-    """
-    bound_batches(docs.sparkSession)
-    most = 2 * sample_windows  # both views of a window
+def windows(text: str, limit: int, longest: int = 32) -> list[tuple]:
+    """Training windows of a text as rows of ``WINDOW``: of those with a base span
+    and of those without the ``limit`` with the smallest hash of their text. The tokens
+    reach two before and one behind the window, the tags one on either side."""
+    base = base_spans(text)
+    t = tokenise([text])
+    n = len(t.words)
+    tags = true_tags(t, base)
+    found: tuple[dict, dict] = ({}, {})
+    for a in range(0, n, longest):
+        b = min(n, a + longest)
+        key = xxhash.xxh3_64_intdigest(text[t.start[a]:t.end[b - 1]].encode("utf-8", "surrogatepass")) >> 1
+        found[bool(tags[a:b].any())].setdefault(key, (a, b))
+    words, ends = ["", "", *t.words, ""], [None, *tags.tolist(), None]
+    return [(int(has), key, words[a:b + 3], t.quoted[a:b].tolist(), t.named[a:b].tolist(), ends[a:b + 2], file_facts(text))
+            for has in (False, True) for key, (a, b) in sorted(found[has].items())[:limit]]
+
+
+def sample(docs: DataFrame, sample_windows: int, per_document: int, sample_docs: int) -> list:
+    """The windows with the smallest keys, ``sample_windows`` of either sort at most, of
+    the documents with the smallest hashes (see the module's text)."""
     src = docs.select(text_or_empty("text").alias("text"))
-
-    def smallest(kept: dict[int, tuple]) -> dict[int, tuple]:
-        return {k: kept[k] for k in sorted(kept)[:most]}
+    total = src.count()
+    share = sample_docs / total if total else 1.0
 
     def collect(batches):
         kept: tuple[dict, dict] = ({}, {})
         for b in batches:
-            for t in b.column(0).to_pylist():
-                for has, feats, tags in sequences(t, per_document):
-                    row = "\n".join("\t".join(f) for f in feats), "".join("-" if t is None else str(t) for t in tags)
-                    kept[has][xxhash.xxh3_64_intdigest(repr(row)) >> 1] = row
-            kept = tuple(smallest(k) if len(k) > 4 * most else k for k in kept)
-        for has in (0, 1):
-            rows = smallest(kept[has])
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([has] * len(rows), pa.int32()), pa.array(list(rows), pa.int64()),
-                 pa.array([r[0] for r in rows.values()], pa.string()),
-                 pa.array([r[1] for r in rows.values()], pa.string())], names=["has", "key", "feats", "tags"])
-
-    found = written(src.mapInArrow(collect, "has int, key long, feats string, tags string"), "secret-windows")
-    picked = []
-    for has in (0, 1):
-        picked += found.where(F.col("has") == has).dropDuplicates(["key"]).orderBy("key").limit(most).collect()
-    if not any(r.has for r in picked):
+            for text in b.column(0).to_pylist():
+                for row in windows(text, per_document):
+                    kept[row[0]][row[1]] = row
+            for k in kept:
+                for key in sorted(k)[sample_windows:]:
+                    del k[key]
+        yield pa.RecordBatch.from_pylist(
+            [dict(zip(FIELDS, row)) for k in kept for row in k.values()], schema=ARROW)
+
+    while True:
+        few = src if share >= 1 else src.where(F.pmod(F.xxhash64("text"), F.lit(1 << 30)) < int(share * (1 << 30)))
+        found = written(few.mapInArrow(collect, WINDOW), "secret-windows")
+        picked = [found.where(F.col("has") == has).dropDuplicates(["key"]).orderBy("key").limit(sample_windows).collect()
+                  for has in (0, 1)]
+        if len(picked[1]) >= sample_windows or share >= 1:
+            return picked[0] + picked[1]
+        share *= 8
+
+
+FIELDS = ["has", "key", "tokens", "quoted", "named", "tags", "facts"]
+ARROW = pa.schema(list(zip(FIELDS, [pa.int32(), pa.int64(), pa.list_(pa.string()), pa.list_(pa.bool_()), pa.list_(pa.int32()),
+                                    pa.list_(pa.int32()), pa.list_(pa.string())])))
+
+
+def learn(docs: DataFrame, sample_windows: int = 1000, per_document: int = 4, sample_docs: int = 20_000) -> Crf:
+    """Train on at most ``sample_windows`` windows with a base span and as many without."""
+    bound_batches(docs.sparkSession)
+    rows = sample(docs, sample_windows, per_document, sample_docs)
+    if not any(r.has for r in rows):
         return Crf()
-    return train([([f.split("\t") for f in r.feats.split("\n")], [None if c == "-" else int(c) for c in r.tags])
-                  for r in picked])
+    return train([([token_features(r.tokens, i + 2, r.quoted[i], r.named[i], r.facts, hide) for i in range(len(r.quoted))], r.tags)
+                  for r in rows for hide in VIEWS])
 
 
-def crf_spans(text: str, crf: Crf, base: list[Span]) -> list[Span]:
-    """Spans the CRF adds to the base spans."""
-    if not crf.index:
-        return []
-    out: list[Span] = []
-    facts = None
-    for run in runs(text):
-        if facts is None:
-            facts, named = file_facts(text), named_tokens(text)
-        words = run_tokens(text, run)
-        feats = [token_features(words, i + 2, _quoted(text, x[0]), facts, named=x in named) for i, x in enumerate(run)]
-        tags = viterbi(crf.emissions(feats), crf.moves, *outside(text, run[0][0], run[-1][1]))
-        for i, tag in enumerate(tags):
-            a, b = run[i]
-            b = a + (len(text[a:b].rstrip(CLOSERS)) or b - a)
-            if tag == 1:
-                out.append((a, 3, b, a))
-            elif tag == 2:
-                out[-1] = (out[-1][0], 3, b, out[-1][0])
-    return [s for s in out if not any(v < s[2] and s[0] < b for v, _, b, _ in base)]
+def added(spans: list[tuple[int, int]], base: list[Span]) -> list[Span]:
+    """CRF spans that touch no base span's value."""
+    values = sorted((v, b) for _, _, b, v in base)
+    starts, reach = [v for v, _ in values], list(accumulate((b for _, b in values), max))
+    return [(a, 3, b, a) for a, b in spans if not ((k := bisect_left(starts, b)) and reach[k - 1] > a)]
+
+
+def scanned(texts: Iterable[str], tagger: Tagger) -> Iterator[tuple[str, list[Span], list[Span]]]:
+    """Every text with its base spans and all spans, by start, then kind; texts are
+    tagged in groups of about ``GROUP_CHARS`` characters."""
+    group: list[str] = []
+    chars = 0
+
+    def flush():
+        for text, spans in zip(group, tagger.spans(group)):
+            base = base_spans(text)
+            yield text, base, sorted(base + added(spans, base))
+
+    for text in texts:
+        group.append(text)
+        chars += len(text)
+        if chars >= GROUP_CHARS:
+            yield from flush()
+            group, chars = [], 0
+    yield from flush()
 
 
 def spans_of(text: str, crf: Crf) -> tuple[list[Span], list[Span]]:
     """(base spans, all spans), by start, then kind."""
-    base = base_spans(text)
-    return base, sorted(base + crf_spans(text, crf, base))
+    return next(scanned([text], Tagger(crf)))[1:]
 
 
 def scan(docs: DataFrame, crf: Crf) -> DataFrame:
@@ -378,16 +510,16 @@ def scan(docs: DataFrame, crf: Crf) -> DataFrame:
     kind = src.schema["doc_id"].dataType.simpleString()
 
     def run(batches):
+        tagger = Tagger(crf)
         for b in batches:
             n, sha, all_ = [[], [], [], []], [], []
-            for t in b.column(1).to_pylist():
-                base, every = spans_of(t, crf)
+            for _, base, every in scanned(b.column(1).to_pylist(), tagger):
                 for k in range(4):
                     n[k].append(sum(s[1] == k for s in every))
                 sha.append(hashlib.sha256(listing(base).encode()).hexdigest())
                 all_.append(listing(every))
             yield pa.RecordBatch.from_arrays(
-                [b.column(0)] + [pa.array(c, pa.int64()) for c in n] + [pa.array(sha), pa.array(all_)],
+                [b.column(0)] + [pa.array(c, pa.int64()) for c in n] + [pa.array(sha, pa.string()), pa.array(all_, pa.string())],
                 names=["doc_id", "n_assign", "n_access", "n_hex", "n_crf", "base_sha256", "spans"])
 
     return src.mapInArrow(
@@ -412,8 +544,11 @@ def without_secrets(docs: DataFrame, crf: Crf, mark: str = "[SECRET]") -> DataFr
     at = docs.columns.index("text")
 
     def run(batches):
+        tagger = Tagger(crf)
         for b in batches:
-            texts = [None if t is None else redact(t, spans_of(t, crf)[1], mark) for t in b.column(at).to_pylist()]
+            given = b.column(at).to_pylist()
+            clean = (redact(t, every, mark) for t, _, every in scanned((t or "" for t in given), tagger))
+            texts = [None if t is None else c for t, c in zip(given, clean)]
             yield b.set_column(at, b.schema.field(at), pa.array(texts, b.schema.field(at).type))
 
     out = docs.mapInArrow(run, docs.schema)

@@ -1,6 +1,7 @@
 import hashlib
 import re
 
+import numpy as np
 import pytest
 
 from courtside.llm import secrets
@@ -34,30 +35,57 @@ def test_base_spans_are_the_stated_patterns(text):
     assert secrets.listing(secrets.base_spans(text)) == brute_base(text)
 
 
-def test_viterbi_is_the_best_of_all_sequences():
+def best_tags(e, moves):
+    """The best of all sequences of one text."""
     import itertools
 
-    import numpy as np
-    rnd = np.random.default_rng(3)
-    for n in (1, 2, 5):
-        e, moves = rnd.normal(size=(n, 3)), rnd.normal(size=(3, 3))
+    def score(tags):
+        if tags[0] == 2 or any(a == 0 and b == 2 for a, b in zip(tags, tags[1:])):
+            return -np.inf
+        return sum(e[i, t] for i, t in enumerate(tags)) + sum(moves[a, b] for a, b in zip(tags, tags[1:]))
+    return max(itertools.product(range(3), repeat=len(e)), key=score)
+
 
-        def score(tags):
-            if tags[0] == 2 or any(a == 0 and b == 2 for a, b in zip(tags, tags[1:])):
-                return -np.inf
-            return sum(e[i, t] for i, t in enumerate(tags)) + sum(moves[a, b] for a, b in zip(tags, tags[1:]))
-        best = max(itertools.product(range(3), repeat=n), key=score)
-        assert tuple(secrets.viterbi(e, moves)) == best
+def test_viterbi_in_blocks_is_the_best_of_all_sequences():
+    rnd = np.random.default_rng(3)
+    for block in (1, 2, 3, 64):
+        moves = rnd.normal(size=(3, 3))
+        sizes = rnd.integers(1, 7, 40)
+        texts = [3 * rnd.normal(size=(n, 3)) for n in sizes]
+        first = np.concatenate([np.arange(n) == 0 for n in sizes])
+        got = secrets.decode(np.concatenate(texts), first, moves, block)
+        assert tuple(got) == tuple(t for e in texts for t in best_tags(e, moves))
 
 
-def test_runs_are_the_open_tokens():
-    """Open tokens found by the fast patterns are those of a plain tokeniser."""
-    texts = ["a = b c1 d2, e : 'f' g " + "z" * 25 + " h=i=:j", "1", "= =", "x=1:2=3", "a1 b2 \"c3\" = ", "plain words only"]
-    for text in texts:
-        toks = [(m.span(), m.group()) for m in secrets.TOKEN.finditer(text)]
-        want = [s for i, (s, t) in enumerate(toks) if t not in ("=", ":") and (
-            re.search("[0-9]", t) or len(t) >= 20 or (i and toks[i - 1][1] in ("=", ":")))]
-        assert [s for run in secrets.runs(text) for s in run] == want
+def test_viterbi_over_one_long_text():
+    """Plain dynamic programming over 5,000 tokens, with scores of a trained size."""
+    rnd = np.random.default_rng(4)
+    e, moves = 5 * rnd.normal(size=(5000, 3)), 2 * rnd.normal(size=(3, 3))
+    score, back = secrets.START + e[0], []
+    for row in e[1:]:
+        ways = score[:, None] + moves + secrets.FORBIDDEN
+        back.append(ways.argmax(axis=0))
+        score = ways.max(axis=0) + row
+    tags = [int(score.argmax())]
+    for b in reversed(back):
+        tags.append(int(b[tags[-1]]))
+    assert list(secrets.decode(e, np.arange(5000) == 0, moves)) == tags[::-1]
+
+
+def test_tokens_are_those_of_a_plain_tokeniser():
+    texts = ["a = b c1 d2, e : 'f' g " + "z" * 25 + " h=i=:j", "1", "= =", "", "x=1:2=3", "a1\u00a0b2\x1c\"c3\" = ", "\ud800 é=😀", " , "]
+    token = re.compile(r"""[=:]|[^\s"'`,;|<>(){}\[\]=:]+""")
+    t = secrets.tokenise(texts)
+    want = [(k, m.start(), m.end(), m.group()) for k, x in enumerate(texts) for m in token.finditer(x)]
+    assert list(zip(t.of, t.start, t.end, t.words)) == want
+    assert list(t.quoted) == [a > 0 and texts[k][a - 1] in "\"'`" for k, a, _, _ in want]
+    assert list(t.first) == [i == 0 or want[i - 1][0] != w[0] for i, w in enumerate(want)]
+
+
+def test_named_tokens():
+    t = secrets.tokenise(["machine h login u password = hunterTwo a b c", "x secretly pin: 1 2 3 4", "password", "next text"])
+    assert [(w, k) for w, k in zip(t.words, t.named) if k] == [
+        ("hunterTwo", 1), ("a", 2), ("b", 3), ("pin", 1), ("1", 1), ("2", 2), ("3", 3)]
 
 
 def training_rows():
@@ -106,42 +134,71 @@ def test_no_training_spans_and_empty_table(llm_spark):
     assert secrets.learn(plain).index == {}
 
 
-LETTERS = ["<password>correcthorse</password>", "run --password swordfish now", "machine h login u password hunterTwo"]
+def letter_words(n):
+    return ["".join(chr(97 + int(c, 16)) for c in hashlib.md5(str(i).encode()).hexdigest()[:9 + i % 4]) for i in range(n)]
 
 
-def test_letter_only_secrets_are_open_and_found(llm_spark):
-    for text, value in zip(LETTERS, ("correcthorse", "swordfish", "hunterTwo")):
-        assert value in [text[a:b] for run in secrets.runs(text) for a, b in run]
-    words = ["".join(chr(97 + int(c, 16)) for c in hashlib.md5(str(i).encode()).hexdigest()[:9 + i % 4]) for i in range(150)]
+def test_letter_only_secrets_are_found(llm_spark):
+    """Values without digit, length or mark: behind a name, and behind a word the model learned."""
+    words = letter_words(200)
     rows = [(i, f"set password: {w} for all", 1, None) for i, w in enumerate(words)]
     rows += [(1000 + i, f"the page {w} has a: colour of {i} and the: end", 1, None) for i, w in enumerate(words)]
     crf = secrets.learn(llm_spark.createDataFrame(rows, SCHEMA), 300)
-    text = "the password correcthorsebat"
-    assert secrets.listing(secrets.spans_of(text, crf)[1]) == "crf:13:28"
-
-
-def test_windows_are_chosen_from_all_runs():
-    text = " x ".join(f"a{i} b" for i in range(100)) + " x " + " ".join(f"c{i}" for i in range(200))
-    got = secrets.sequences(text, 10_000)
-    assert sum(len(feats) for _, feats, _ in got) == 2 * 300 and max(len(feats) for _, feats, _ in got) == 64
-    # Four runs of a text chosen by hash, not its first four (of 2 to 5 signs).
-    few = secrets.sequences(" x ".join("z" * i + "1" for i in range(1, 60)), 4)
-    sizes = {f for _, feats, _ in few for fs in feats for f in fs if f.startswith("len:")}
-    assert len(few) == 8 and not sizes <= {"len:0", "len:1"}
-    assert all(len(tags) == len(feats) + 2 for _, feats, tags in got) and got[0][2][-1] in (0, None)
-
-
-def test_viterbi_between_neighbours():
-    import itertools
-
-    import numpy as np
-    rnd = np.random.default_rng(4)
-    for n, before, after in ((1, 0, 0), (3, 0, None), (4, 1, 2), (4, None, 0)):
-        e, moves = rnd.normal(size=(n, 3)), 3 * rnd.normal(size=(3, 3))
-
-        def score(tags):
-            seq = [*([] if before is None else [before]), *tags, *([] if after is None else [after])]
-            if (before is None and tags[0] == 2) or any(a == 0 and b == 2 for a, b in zip(seq, seq[1:])):
-                return -np.inf
-            return sum(e[i, t] for i, t in enumerate(tags)) + sum(moves[a, b] for a, b in zip(seq, seq[1:]))
-        assert tuple(secrets.viterbi(e, moves, before, after)) == max(itertools.product(range(3), repeat=n), key=score)
+    assert secrets.listing(secrets.spans_of("the password correcthorsebat", crf)[1]) == "crf:13:28"
+
+
+def test_every_token_is_scored(llm_spark):
+    """No rule keeps a token from the model: with weights for their context the values are found."""
+    for text, word, value in (("the vault code is swordfishhunter ok", "is", "swordfishhunter"),
+                              ("Authorization: Bearer abcdefghijklmnop", "bearer", "abcdefghijklmnop"),
+                              ("key" + " " * 5000 + "abcdefgh", "key", "abcdefgh")):
+        crf = secrets.Crf({f"before:{word}": 0, "bias": 1}, np.array([[0.0, 9.0, 0.0], [3.0, 0.0, 0.0]]))
+        assert [text[a:b] for a, _, b, _ in secrets.spans_of(text, crf)[1]] == [value]
+
+
+def test_emissions_are_the_sums_of_the_named_features(crf):
+    texts = [r[1] for r in training_rows()[::40]] + ["", "token = 'a1' password is x9 next", "= : ="]
+    t = secrets.tokenise(texts)
+    got = secrets.Tagger(crf).emissions(t)
+    for k, text in enumerate(texts):
+        at = np.flatnonzero(t.of == k)
+        words = ["", "", *[t.words[i] for i in at], ""]
+        for j, i in enumerate(at):
+            feats = secrets.token_features(words, j + 2, bool(t.quoted[i]), int(t.named[i]), secrets.file_facts(text))
+            assert np.allclose(got[i], crf.weight(feats))
+
+
+def test_windows_cover_the_text_and_are_chosen_by_hash():
+    text = " x ".join(f"a{i} b" for i in range(100)) + f" token = {HEX40} " + " ".join(f"c{i}" for i in range(200))
+    every = secrets.windows(text, 10_000)
+    tokens = len(secrets.tokenise([text]).words)
+    assert sum(len(w[3]) for w in every) == tokens and max(len(w[3]) for w in every) == 32
+    assert sum(w[0] for w in every) == 1 and all(len(w[2]) == len(w[3]) + 3 and len(w[5]) == len(w[3]) + 2 for w in every)
+    own = next(w for w in every if w[0])
+    assert [t for t, tag in zip(own[2][2:], own[5][1:-1]) if tag == 1] == [HEX40]
+    few = secrets.windows(text, 3)
+    assert [w[1] for w in few if not w[0]] == sorted(w[1] for w in every if not w[0])[:3]
+
+
+def test_sample_widens_until_it_has_enough(llm_spark):
+    rows = [(i, f"plain words number {i}" if i % 50 else f"token = {hashlib.sha1(str(i).encode()).hexdigest()}", 1, None)
+            for i in range(2000)]
+    docs = llm_spark.createDataFrame(rows, SCHEMA)
+    got = secrets.sample(docs, 30, 4, 50)
+    assert sum(r.has for r in got) == 30 and sum(not r.has for r in got) == 30
+    assert sum(r.has for r in secrets.sample(docs, 100, 4, 50)) == 40  # all there are
+
+
+def test_long_texts_take_linear_time(crf):
+    """Twice the assignments, about twice the time: no step compares all spans with all tokens."""
+    import time
+
+    def took(n):
+        text = " ".join(f'token = "{hashlib.sha1(str(i).encode()).hexdigest()}" x{i} credential Zq9{i}Rt7Lm2Kp8' for i in range(n))
+        t0 = time.process_time()
+        base, every = secrets.spans_of(text, crf)
+        assert len(base) >= 2 * n and len(every) >= len(base)
+        return time.process_time() - t0
+    took(500)
+    short, long = min(took(2000) for _ in range(3)), took(32_000)
+    assert long < 16 * short * 2 + 0.5
