@@ -128,12 +128,30 @@ def _rows(windows: Iterator[Window], base: int) -> Iterator[tuple]:
 SPACE_SIGN = "\u0120"
 WORDS_AT_ONCE = 64
 
-_ENCODERS: dict[tuple, TextEncoder] = {}
+_ENCODERS: dict[tuple, JsonEncoder] = {}
 
 
-def json_encoder(path: str, pattern: str) -> TextEncoder:
-    """Encoder of a tokenizers JSON file, one per Python worker. Strings of
-    special tokens in a text are ordinary text, none are added."""
+class JsonEncoder:
+    """Batches of whole texts to ids, as the library's plain call gives them.
+
+    A text that holds the string of one of the file's added tokens goes through that
+    call as a whole; all others through the memory of pieces.
+    """
+
+    def __init__(self, plain, pieces: TextEncoder):
+        self.plain, self.pieces = plain, pieces
+        self.added = [t.content for t in plain.get_added_tokens_decoder().values()]
+
+    def __call__(self, texts: list[str]) -> list[bytes]:
+        whole = {i for i, t in enumerate(texts) if any(a in t for a in self.added)}
+        rest = iter(self.pieces([t for i, t in enumerate(texts) if i not in whole]))
+        return [np.array(self.plain.encode(t, add_special_tokens=False).ids, dtype="<u4").tobytes() if i in whole else next(rest)
+                for i, t in enumerate(texts)]
+
+
+def json_encoder(path: str, pattern: str) -> JsonEncoder:
+    """Encoder of a tokenizers JSON file, one per Python worker. Strings of the
+    file's added tokens in a text become their ids, none are put around it."""
     if (path, pattern) not in _ENCODERS:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # one core per task
         os.environ["RAYON_NUM_THREADS"] = "1"
@@ -166,7 +184,7 @@ def json_encoder(path: str, pattern: str) -> TextEncoder:
             found.update(zip(rest, one_by_one(rest)))
             return [found[t] for t in tokens]
 
-        _ENCODERS[path, pattern] = TextEncoder(encode_all, pattern)
+        _ENCODERS[path, pattern] = JsonEncoder(Tokenizer.from_file(path), TextEncoder(encode_all, pattern))
     return _ENCODERS[path, pattern]
 
 

@@ -106,14 +106,17 @@ def links(fps: DataFrame, radius: int = 2) -> DataFrame:
 
 
 def _groups(docs: DataFrame, width: int, radius: int, seed: int) -> tuple[DataFrame, DataFrame]:
-    """``(doc_id, fp)`` per row and ``(fp, component, component_id)`` per distinct fingerprint."""
+    """``(doc_id, fp)`` per row and ``(fp, component, component_id, keeper)`` per distinct
+    fingerprint; keeper: the smallest fingerprint of the component that component_id has."""
     fp = written(fingerprints(docs, width, seed), "fingerprints")
     classes = written(fp.groupBy("fp").agg(F.min("doc_id").alias("first_id")), "fp-classes")
     comp = connected_components(links(classes.select("fp"), radius))
     member = classes.join(comp, classes.fp == comp.node, "left").select(
         "fp", "first_id", F.coalesce("component", "fp").alias("component"))
-    label = member.groupBy("component").agg(F.min("first_id").alias("component_id"))
-    return fp, member.join(label, "component").select("fp", "component", "component_id")
+    best = F.min(F.when(F.col("first_id").isNotNull(), F.struct("first_id", "fp")))
+    label = member.groupBy("component").agg(best.alias("best"))
+    return fp, member.join(label, "component").select(
+        "fp", "component", F.col("best.first_id").alias("component_id"), F.col("best.fp").alias("keeper"))
 
 
 def near_duplicates(docs: DataFrame, width: int = 3, radius: int = 2, seed: int = 42) -> DataFrame:
@@ -125,16 +128,23 @@ def near_duplicates(docs: DataFrame, width: int = 3, radius: int = 2, seed: int
 
 
 def drop_near_duplicates(docs: DataFrame, width: int = 3, radius: int = 2, seed: int = 42) -> DataFrame:
-    """The document with the smallest doc_id of each component, columns as in ``docs``.
+    """One document of each component, columns as in ``docs``: that with the smallest
+    (doc_id, fingerprint), of several such rows the smallest row.
 
-    Repeated rows of that id keep one row; of a component whose rows all
-    have a null doc_id one row stays.
+    One doc_id may have different texts; each component keeps its own. Of a
+    component whose rows all have a null doc_id one row stays.
     """
     fp, groups = _groups(docs, width, radius, seed)
     groups = written(groups, "fp-groups")
-    ids = groups.where("component_id IS NOT NULL").select(F.col("component_id").alias("doc_id")).distinct()
-    named = docs.join(ids, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    nameless = fingerprints(docs.where("doc_id IS NULL").withColumn("_row", F.struct(*docs.columns)),
-                            width, seed, keep=("_row",))
-    lone = nameless.join(groups.where("component_id IS NULL"), "fp").dropDuplicates(["component"])
-    return named.select(*docs.columns).unionByName(lone.select("_row.*"))
+    kept = groups.where("component_id IS NOT NULL").select(
+        F.col("component_id").alias("doc_id"), F.col("keeper").alias("fp"), "component").distinct()
+    repeated = written(fp.where("doc_id IS NOT NULL").groupBy("doc_id").count().where("count > 1").select("doc_id"), "fp-repeated")
+    out = docs.join(kept.select("doc_id").distinct(), "doc_id", "left_semi")
+    whole = lambda d: fingerprints(d.withColumn("_row", F.struct(*docs.columns)), width, seed, keep=("doc_id", "_row"))
+    if repeated.limit(1).count():  # an id alone does not say which row
+        several = whole(out.join(repeated, "doc_id", "left_semi")).join(kept, ["doc_id", "fp"])
+        several = several.groupBy("component").agg(F.min("_row").alias("_row")).select("_row.*")
+        out = out.join(repeated, "doc_id", "left_anti").select(*docs.columns).unionByName(several)
+    lone = whole(docs.where("doc_id IS NULL")).join(groups.where("component_id IS NULL"), "fp").groupBy("component").agg(
+        F.min("_row").alias("_row"))
+    return out.select(*docs.columns).unionByName(lone.select("_row.*"))

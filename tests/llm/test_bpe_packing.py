@@ -72,8 +72,9 @@ def test_encode_decode_job(llm_spark, reference):
 @pytest.mark.parametrize("partitions,merge,open_windows", [(1, 64, 32), (7, 3, 2), (20, 4, 1)])
 def test_packing_loses_no_id(llm_spark, partitions, merge, open_windows):
     tok = Tokenizer.from_file(JSON)
-    tok.encode_special_tokens = True
-    texts = TEXTS + ["thing and more " * (i % 60) for i in range(150)]
+    added = [t.content for t in tok.get_added_tokens_decoder().values()]
+    assert added
+    texts = TEXTS + [f"x {a} y{a}" for a in added] + [f"{added[0]}", f" {added[0][:-1]} {added[0]}\n"] + ["thing and more " * (i % 60) for i in range(150)]
     want = [tok.encode(t or "", add_special_tokens=False).ids + [1] for t in texts]
     d = docs(llm_spark, texts).repartition(partitions, "doc_id")
     rows = packing.pack(d, JSON, P.PATTERN, window=256, open_windows=open_windows, merge_partitions=merge).collect()

@@ -75,7 +75,6 @@ def test_secrets_are_gone_and_all_documents_stay(stages):
 
 def test_packed_ids_are_the_documents(stages):
     tok = Tokenizer.from_file(P.path("byte_bpe_50k.json"))
-    tok.encode_special_tokens = True
     want = {r.doc_id: tok.encode(r.text, add_special_tokens=False).ids + [1] for r in stages["secrets"].collect()}
     got = {}
     for r in stages["packing"].orderBy("doc_id", "start").collect():

@@ -91,3 +91,12 @@ def test_null_ids_and_empty(llm_spark):
     kept = simhash.drop_near_duplicates(d).collect()
     assert sorted((r.doc_id or 0, r.text) for r in kept) == [(0, "quite different one"), (3, "SOME words in here")]
     assert simhash.near_duplicates(d.limit(0)).count() == 0 and simhash.drop_near_duplicates(d.limit(0)).count() == 0
+
+
+def test_one_id_with_different_texts(llm_spark):
+    """Every component keeps a document, also where its smallest id has another text elsewhere."""
+    a, b, x, y = ("one two three four five six", "seven eight nine ten eleven", "red green blue black white", "up down left right back")
+    rows = [(1, a), (1, b), (3, x), (5, x), (5, y), (5, y), (7, a)]
+    docs = llm_spark.createDataFrame([(i, t, "e", "s", len(t)) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    got = sorted((r.doc_id, r.text) for r in simhash.drop_near_duplicates(docs).collect())
+    assert got == sorted([(1, a), (1, b), (3, x), (5, y)])
