@@ -16,8 +16,8 @@ The CRF is trained here, by likelihood, on a bounded sample of windows of
 ``longest`` tokens: at most ``sample_windows`` with a base span and as many
 without, at most ``per_document`` of either sort from a document, those with the
 smallest hash of their text. They come from the documents with the smallest
-hashes, about ``sample_docs``; where these hold too few base spans, from eight
-times as many, and so on up to all. Tokens inside base spans carry begin and
+hashes, about ``sample_docs``; where these hold too few base spans, windows with one
+come from eight times as many, and so on up to all. Tokens inside base spans carry begin and
 inside. In copies of the windows the name before the value is hidden, or the mark
 between them, so values are also told by their own look or a name alone. Base spans stay as they are; a CRF span that
 touches one is dropped.
@@ -117,21 +117,47 @@ def file_facts(text: str) -> list[str]:
             f"file:words:{min(text.count(' '), 1 << 12).bit_length()}", f"file:quotes:{text.count(chr(34)) > 0}"]
 
 
-def own_look(token: str) -> list[str]:
-    """Feature names of a token's own look ("" where the text ends: none)."""
+Look = tuple[str, int, int, int, int, bool, bool, int]
+
+
+def look(token: str) -> Look | None:
+    """What a token looks like: shape, length, shares of digits, upper case and different
+    characters, hexadecimal, digits only ("" where the text ends: None)."""
     if not token:
-        return []
+        return None
     t = token.rstrip(CLOSERS) or token
     n = len(t)
+    size = min(n, 48)
+    kinds = len(set(t)) * 8 // n
+    is_hex = not t.strip(HEX_SIGNS)
+    if t.isalpha():  # words, capitalised or not, as the general way below has them
+        upper = n > 1 and t[0].isupper() and t[1:].islower()
+        if upper or t.islower():
+            return "Aa" if upper else "a", size // 4, 0, 4 * upper // n, kinds, is_hex, False, size // 8
     digits = n - len(t.translate(NO_DIGITS))
     uppers = sum(map(str.isupper, t))
-    return ["bias", f"shape:{shape(t)}", f"len:{min(n, 48) // 4}", f"digits:{8 * digits // n}", f"upper:{4 * uppers // n}",
-            f"kinds:{len(set(t)) * 8 // n}", f"hex:{not t.strip(HEX_SIGNS)}:{min(n, 48) // 8}", f"alldigits:{digits == n}"]
+    return shape(t), size // 4, 8 * digits // n, 4 * uppers // n, kinds, is_hex, digits == n, size // 8
+
+
+LOOK_FEATURES = 8
+
+
+def own_look(token: str) -> list[str]:
+    """Feature names of a token's own look."""
+    return _look_names(look(token))
+
+
+def _look_names(seen: Look | None) -> list[str]:
+    if seen is None:
+        return []
+    form, size, digits, uppers, kinds, is_hex, all_digits, wide = seen
+    return ["bias", f"shape:{form}", f"len:{size}", f"digits:{digits}", f"upper:{uppers}", f"kinds:{kinds}",
+            f"hex:{is_hex}:{wide}", f"alldigits:{all_digits}"]
 
 
 def word(token: str) -> str:
     """A neighbour as its features name it: lower case, or its shape where it has digits."""
-    return shape(token) if any(map(str.isdigit, token)) else token.lower()
+    return token.lower() if token.isalpha() or not any(map(str.isdigit, token)) else shape(token)
 
 
 def signs(mark: bool, quoted: bool, named: int) -> list[str]:
@@ -165,7 +191,6 @@ class Tokens:
     words: list[str]
     quoted: np.ndarray
     first: np.ndarray  # first token of its text
-    named: np.ndarray
 
     def shifted(self, values: np.ndarray, by: int, fill) -> np.ndarray:
         """``values`` of the token ``by`` places before (behind, where negative) in the same text."""
@@ -193,23 +218,23 @@ def tokenise(texts: list[str]) -> Tokens:
         quoted.append((begins > 0) & ((before == 34) | (before == 39) | (before == 96)))
     cat = lambda parts, kind: np.concatenate(parts).astype(kind) if parts else np.zeros(0, kind)
     of = cat(of, np.int64)
-    t = Tokens(texts, of, cat(start, np.int64), cat(end, np.int64), words, cat(quoted, bool),
-               np.concatenate([[True], of[1:] != of[:-1]]) if len(of) else np.zeros(0, bool), np.zeros(len(of), np.int64))
-    t.named[:] = _named(t)
-    return t
+    return Tokens(texts, of, cat(start, np.int64), cat(end, np.int64), words, cat(quoted, bool),
+                  np.concatenate([[True], of[1:] != of[:-1]]) if len(of) else np.zeros(0, bool))
+
+
+def is_name(token: str) -> bool:
+    return NAMED.search(token) is not None
 
 
-def _named(t: Tokens) -> np.ndarray:
-    """How many tokens (marks not counted) before it stands the nearest credential-like
+def named_after(t: Tokens, mark: np.ndarray, name: np.ndarray) -> np.ndarray:
+    """How many tokens (marks not counted) before each stands the nearest credential-like
     name: 1 to ``AFTER_NAME``, 0 where there is none so near."""
     out = np.zeros(len(t.words), np.int64)
-    names = {w for w in set(t.words) if NAMED.search(w)}
-    if not names:
-        return out
-    at = np.flatnonzero(np.array([w not in ("=", ":") for w in t.words], dtype=bool))
-    is_name = np.array([t.words[i] in names for i in at], dtype=bool)
-    for by in range(AFTER_NAME, 0, -1):
-        out[at[by:][is_name[:-by] & (t.of[at][by:] == t.of[at][:-by])]] = by
+    if name.any():
+        at = np.flatnonzero(~mark)
+        of, name = t.of[at], name[at]
+        for by in range(AFTER_NAME, 0, -1):
+            out[at[by:][name[:-by] & (of[by:] == of[:-by])]] = by
     return out
 
 
@@ -225,35 +250,57 @@ class Crf:
 
 
 class Tagger:
-    """A CRF at work in a task: remembers the parts of distinct tokens."""
+    """A CRF at work in a task. For each distinct token it remembers which rows of the
+    weight tables it takes: of its own look, and as the word before, after, and as the
+    name (row 0 has no weight), and whether it is a credential-like name."""
 
     def __init__(self, crf: Crf):
         self.crf = crf
         self.rows: dict[str, int] = {}
-        self.parts = np.zeros((0, 4, 3))  # own look, as the word before, after, as the name
+        self.takes = np.zeros((0, 5), np.int32)
         self.signs = np.array([crf.weight(signs(bool(i & 1), bool(i & 2), i >> 2)) for i in range(4 * (AFTER_NAME + 1))])
         self.no_name = crf.weight(["name:?"])
-
-    def _part(self, token: str) -> list[np.ndarray]:
-        w = self.crf.weight
-        near = word(token)
-        return [w(own_look(token)), w([f"before:{near}"]), w([f"after:{near}"]), w([f"name:{near}"])]
+        self.looks: dict[Look | None, int] = {}
+        self.own = np.zeros((0, 3))
+        self.weights = np.concatenate([crf.weights, np.zeros((1, 3))])  # the last row: no such feature
+        self.near = []
+        self.tables = []
+        for kind in ("before:", "after:", "name:"):
+            known = [(f[len(kind):], j) for f, j in crf.index.items() if f.startswith(kind)]
+            self.near.append({w: k for k, (w, _) in enumerate(known, 1)})
+            self.tables.append(np.concatenate([np.zeros((1, 3)), crf.weights[[j for _, j in known]].reshape(-1, 3)]))
+
+    def _remember(self, tokens: list[str]) -> None:
+        looks, (before, after, name), fresh, found = self.looks, self.near, [], []
+        for t in tokens:
+            self.rows[t] = len(self.rows)
+            seen, near = look(t), word(t)
+            if seen not in looks:
+                looks[seen] = len(looks)
+                fresh.append([self.crf.index.get(f, -1) for f in _look_names(seen)] or [-1] * LOOK_FEATURES)
+            found.append((looks[seen], before.get(near, 0), after.get(near, 0), name.get(near, 0), is_name(t)))
+        if fresh:
+            self.own = np.concatenate([self.own, self.weights[np.array(fresh)].sum(axis=1)])
+        if found:
+            self.takes = np.concatenate([self.takes, np.array(found, np.int32)])
 
     def emissions(self, t: Tokens) -> np.ndarray:
         if len(self.rows) > KNOWN_TOKENS:
-            self.rows, self.parts = {}, np.zeros((0, 4, 3))
-        new = [w for w in {"", "=", ":", *t.words} if w not in self.rows]
-        if new:
-            for w in new:
-                self.rows[w] = len(self.rows)
-            self.parts = np.concatenate([self.parts, np.array([self._part(w) for w in new])])
+            self.rows, self.takes = {}, np.zeros((0, 5), np.int32)
+        self._remember([w for w in {"", "=", ":", *t.words} if w not in self.rows])
         ids = np.fromiter(map(self.rows.__getitem__, t.words), np.int64, len(t.words))
         none = self.rows[""]
         before = t.shifted(ids, 1, none)
         mark = (before == self.rows["="]) | (before == self.rows[":"])
-        e = self.parts[ids, 0] + self.parts[before, 1] + self.parts[t.shifted(ids, -1, none), 2]
-        e += np.where(mark[:, None], self.parts[t.shifted(ids, 2, none), 3], self.no_name)
-        e += self.signs[mark + 2 * t.quoted + 4 * t.named]
+        e = self.own[self.takes[ids, 0]]
+        e += self.tables[0][self.takes[before, 1]]
+        e += self.tables[1][self.takes[t.shifted(ids, -1, none), 2]]
+        e += self.no_name
+        at = np.flatnonzero(mark)
+        e[at] += self.tables[2][self.takes[t.shifted(ids, 2, none)[at], 3]] - self.no_name
+        is_mark = (ids == self.rows["="]) | (ids == self.rows[":"])
+        named = named_after(t, is_mark, self.takes[ids, 4] > 0)
+        e += self.signs[mark + 2 * t.quoted + 4 * named]
         return e + np.array([self.crf.weight(file_facts(x)) for x in t.texts])[t.of]
 
     def spans(self, texts: list[str]) -> list[list[tuple[int, int]]]:
@@ -289,35 +336,41 @@ def decode(e: np.ndarray, first: np.ndarray, moves: np.ndarray, block: int = 64)
     n = len(e)
     rows = -(-n // block)
     pad = rows * block - n
-    e = np.concatenate([e, np.zeros((pad, 3))]).reshape(rows, block, 3)
-    first = np.concatenate([first, np.ones(pad, bool)]).reshape(rows, block)
-    moves = moves + FORBIDDEN
-    step = lambda i: np.where(first[:, i, None, None], START, moves)  # noqa: E731  [row, from, to]
-    product = np.tile(np.where(np.eye(3, dtype=bool), 0.0, NEVER), (rows, 1, 1))
+    # Rows last: every step is plain arithmetic on long arrays, [tag, row] or [from, to, row].
+    e = np.ascontiguousarray(np.concatenate([e, np.zeros((pad, 3))]).reshape(rows, block, 3).transpose(1, 2, 0))
+    first = np.ascontiguousarray(np.concatenate([first, np.ones(pad, bool)]).reshape(rows, block).T)
+    moves = (moves + FORBIDDEN)[:, :, None]
+    start = np.broadcast_to(START, (3, 3))[:, :, None]
+    step = lambda i: np.where(first[i], start, moves)
+    product = np.tile(np.where(np.eye(3, dtype=bool), 0.0, NEVER)[:, :, None], (1, 1, rows))
     for i in range(block):
-        product = (product[:, :, :, None] + step(i)[:, None]).max(axis=2) + e[:, i, None, :]
-    entry = np.zeros((rows, 3))
+        s = step(i)
+        ways = [product[:, k, None] + s[None, k] for k in range(3)]
+        product = np.maximum(np.maximum(ways[0], ways[1]), ways[2]) + e[i]
+    entry = np.zeros((3, rows))
     for r in range(rows - 1):
-        score = (entry[r][:, None] + product[r]).max(axis=0)
-        entry[r + 1] = score - score.max()
-    back = np.zeros((rows, block, 3), np.int8)
+        score = (entry[:, r, None] + product[:, :, r]).max(axis=0)
+        entry[:, r + 1] = score - score.max()
+    back = np.zeros((block, 3, rows), np.int8)
     score = entry
     for i in range(block):
-        ways = score[:, :, None] + step(i)
-        back[:, i] = ways.argmax(axis=1)
-        score = ways.max(axis=1) + e[:, i]
-    every = np.arange(rows)[:, None]
-    came = np.tile(np.arange(3), (rows, 1))
+        s = step(i)
+        ways = [score[k] + s[k] for k in range(3)]
+        best = np.maximum(np.maximum(ways[0], ways[1]), ways[2])
+        back[i] = np.where(ways[0] == best, 0, np.where(ways[1] == best, 1, 2))
+        score = best + e[i]
+    every = np.arange(rows)
+    came = np.repeat(np.arange(3)[:, None], rows, axis=1)
     for i in range(block - 1, -1, -1):
-        came = back[every, i, came]
+        came = back[i][came, every]
     last = np.zeros(rows, np.int64)
-    last[-1] = int(score[-1].argmax())
+    last[-1] = int(score[:, -1].argmax())
     for r in range(rows - 1, 0, -1):
-        last[r - 1] = came[r, last[r]]
+        last[r - 1] = came[last[r], r]
     tags = np.zeros((rows, block), np.int8)
     for i in range(block - 1, -1, -1):
         tags[:, i] = last
-        last = back[every[:, 0], i, last]
+        last = back[i][last, every]
     return tags.reshape(-1)[:n]
 
 
@@ -422,38 +475,47 @@ def windows(text: str, limit: int, longest: int = 32) -> list[tuple]:
         b = min(n, a + longest)
         key = xxhash.xxh3_64_intdigest(text[t.start[a]:t.end[b - 1]].encode("utf-8", "surrogatepass")) >> 1
         found[bool(tags[a:b].any())].setdefault(key, (a, b))
+    named = named_after(t, np.array([w in ("=", ":") for w in t.words], dtype=bool), np.array([is_name(w) for w in t.words], dtype=bool))
     words, ends = ["", "", *t.words, ""], [None, *tags.tolist(), None]
-    return [(int(has), key, words[a:b + 3], t.quoted[a:b].tolist(), t.named[a:b].tolist(), ends[a:b + 2], file_facts(text))
+    return [(int(has), key, words[a:b + 3], t.quoted[a:b].tolist(), named[a:b].tolist(), ends[a:b + 2], file_facts(text))
             for has in (False, True) for key, (a, b) in sorted(found[has].items())[:limit]]
 
 
 def sample(docs: DataFrame, sample_windows: int, per_document: int, sample_docs: int) -> list:
     """The windows with the smallest keys, ``sample_windows`` of either sort at most, of
-    the documents with the smallest hashes (see the module's text)."""
+    the documents with the smallest hashes (see the module's text). A wider round only
+    reads the tokens of documents with a base span."""
     src = docs.select(text_or_empty("text").alias("text"))
     total = src.count()
     share = sample_docs / total if total else 1.0
 
-    def collect(batches):
-        kept: tuple[dict, dict] = ({}, {})
-        for b in batches:
-            for text in b.column(0).to_pylist():
-                for row in windows(text, per_document):
-                    kept[row[0]][row[1]] = row
-            for k in kept:
-                for key in sorted(k)[sample_windows:]:
-                    del k[key]
-        yield pa.RecordBatch.from_pylist(
-            [dict(zip(FIELDS, row)) for k in kept for row in k.values()], schema=ARROW)
-
-    while True:
+    def collect(wider: bool):
+        def run(batches):
+            kept: tuple[dict, dict] = ({}, {})
+            for b in batches:
+                for text in b.column(0).to_pylist():
+                    if wider and not base_spans(text):
+                        continue
+                    for row in windows(text, per_document):
+                        if row[0] or not wider:
+                            kept[row[0]][row[1]] = row
+                for k in kept:
+                    for key in sorted(k)[sample_windows:]:
+                        del k[key]
+            yield pa.RecordBatch.from_pylist([dict(zip(FIELDS, row)) for k in kept for row in k.values()], schema=ARROW)
+        return run
+
+    def picked(share: float, wider: bool) -> list[list]:
         few = src if share >= 1 else src.where(F.pmod(F.xxhash64("text"), F.lit(1 << 30)) < int(share * (1 << 30)))
-        found = written(few.mapInArrow(collect, WINDOW), "secret-windows")
-        picked = [found.where(F.col("has") == has).dropDuplicates(["key"]).orderBy("key").limit(sample_windows).collect()
-                  for has in (0, 1)]
-        if len(picked[1]) >= sample_windows or share >= 1:
-            return picked[0] + picked[1]
+        found = written(few.mapInArrow(collect(wider), WINDOW), "secret-windows")
+        return [found.where(F.col("has") == has).dropDuplicates(["key"]).orderBy("key").limit(sample_windows).collect()
+                for has in (0, 1)]
+
+    without, having = picked(share, False)
+    while len(having) < sample_windows and share < 1:
         share *= 8
+        having = picked(share, True)[1]
+    return without + having
 
 
 FIELDS = ["has", "key", "tokens", "quoted", "named", "tags", "facts"]

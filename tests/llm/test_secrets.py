@@ -84,7 +84,8 @@ def test_tokens_are_those_of_a_plain_tokeniser():
 
 def test_named_tokens():
     t = secrets.tokenise(["machine h login u password = hunterTwo a b c", "x secretly pin: 1 2 3 4", "password", "next text"])
-    assert [(w, k) for w, k in zip(t.words, t.named) if k] == [
+    named = secrets.named_after(t, np.array([w in "=:" for w in t.words]), np.array([secrets.is_name(w) for w in t.words]))
+    assert [(w, k) for w, k in zip(t.words, named) if k] == [
         ("hunterTwo", 1), ("a", 2), ("b", 3), ("pin", 1), ("1", 1), ("2", 2), ("3", 3)]
 
 
@@ -160,14 +161,29 @@ def test_emissions_are_the_sums_of_the_named_features(crf):
     texts = [r[1] for r in training_rows()[::40]] + ["", "token = 'a1' password is x9 next", "= : ="]
     t = secrets.tokenise(texts)
     got = secrets.Tagger(crf).emissions(t)
+    named = secrets.named_after(t, np.array([w in "=:" for w in t.words]), np.array([secrets.is_name(w) for w in t.words]))
     for k, text in enumerate(texts):
         at = np.flatnonzero(t.of == k)
         words = ["", "", *[t.words[i] for i in at], ""]
         for j, i in enumerate(at):
-            feats = secrets.token_features(words, j + 2, bool(t.quoted[i]), int(t.named[i]), secrets.file_facts(text))
+            feats = secrets.token_features(words, j + 2, bool(t.quoted[i]), int(named[i]), secrets.file_facts(text))
             assert np.allclose(got[i], crf.weight(feats))
 
 
+def test_looks_of_words_are_those_of_the_general_way():
+    for token in ("word", "Word", "W", "w", "WORD", "wOrd", "Éa", "éA", "ßa", "日本", "ǅa", "deadbeef", "Deadbeef", "face", "a1", "12", "", "..."):
+        names = secrets.own_look(token)
+        if token:
+            t = token.rstrip(secrets.CLOSERS) or token
+            n, digits = len(t), sum(c in "0123456789" for c in t)
+            assert names == ["bias", f"shape:{secrets.shape(t)}", f"len:{min(n, 48) // 4}", f"digits:{8 * digits // n}",
+                             f"upper:{4 * sum(map(str.isupper, t)) // n}", f"kinds:{len(set(t)) * 8 // n}",
+                             f"hex:{not t.strip(secrets.HEX_SIGNS)}:{min(n, 48) // 8}", f"alldigits:{digits == n}"]
+            assert len(names) == secrets.LOOK_FEATURES
+        else:
+            assert names == []
+
+
 def test_windows_cover_the_text_and_are_chosen_by_hash():
     text = " x ".join(f"a{i} b" for i in range(100)) + f" token = {HEX40} " + " ".join(f"c{i}" for i in range(200))
     every = secrets.windows(text, 10_000)
