@@ -17,6 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .plans.lakehouse import build_lake, open_lake, update_lake
+from .plans.nested import ANSWERS, publish_snapshot
 from .plans.tables import Tables, build_layers
 from .session import checkpoint_dir
 from .sources import ledger
@@ -168,6 +169,24 @@ def updated_lake(spark: SparkSession, sf_dir: str) -> str:
     return _UPDATED[key]
 
 
+_ANSWERS: dict[tuple[str, str], str] = {}
+
+
+def answers(spark: SparkSession, sf_dir: str, name: str, published: bool = False) -> DataFrame:
+    """Whole player or team answers of a driver folder, written once a session; ``published``:
+    as the snapshot's JSON holds them."""
+    identity = _fingerprint(spark, sf_dir)
+    key = (spark.sparkContext.applicationId, identity)
+    if key not in _ANSWERS:
+        root = f"{checkpoint_dir(spark)}/courtside-answers/{identity}-{uuid.uuid4().hex[:8]}"
+        publish_snapshot(tables(spark, sf_dir), f"{root}/snapshot")
+        for kind, make in ANSWERS.items():
+            make(tables(spark, sf_dir)).write.parquet(f"{root}/{kind}")
+        _ANSWERS[key] = root
+    d = spark.read.parquet(f"{_ANSWERS[key]}/{name}")
+    return spark.read.schema(d.schema).json(f"{_ANSWERS[key]}/snapshot/{name}") if published else d
+
+
 def load_all() -> None:
     """Import the modules that register queries."""
     from . import queries  # noqa: F401

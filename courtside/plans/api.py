@@ -17,6 +17,7 @@ from . import compare as C
 from . import context as CX
 from . import explore as E
 from . import league as L
+from . import nested as N
 from . import playbyplay as P
 from . import sheets as S
 
@@ -39,6 +40,16 @@ def _players(t, ctx):
     return _scoped(t.players, t.games, ctx)
 
 
+class NotFound(LookupError):
+    """The context holds no such player or team."""
+
+
+def _named(lookup: DataFrame, slug: str | None) -> None:
+    """A slug must name somebody of the context (one driver-side check)."""
+    if slug is not None and not lookup.where(F.col("slug") == slug).limit(1).count():
+        raise NotFound(slug)
+
+
 def has_data(t, ctx: Context | None = None) -> bool:
     """The one driver-side check: does the context hold any game?"""
     return _games(t, ctx).limit(1).count() > 0
@@ -65,16 +76,37 @@ def standings(t, ctx: Context | None = None) -> DataFrame:
 
 def player_sheet(t, ctx: Context | None = None, slug: str | None = None) -> dict:
     p = _players(t, ctx)
+    _named(S.player_lookup(p), slug)
     if slug is not None:
         p = p.filter(T.slug(F.col("player_name")) == slug)
     return {"sheet": S.player_sheet(p), "game_log": S.game_log(p, t.games),
             "zones": S.zone_map(p, t.shots), "shots": S.player_shots(p, t.shots)}
 
 
+def player_answer(t, ctx: Context | None = None, slug: str | None = None) -> DataFrame:
+    """One nested row (or part) per player of the context, or of the player ``slug`` names."""
+    from dataclasses import replace
+    p = _players(t, ctx)
+    _named(S.player_lookup(p), slug)
+    if slug is not None:
+        p = p.filter(T.slug(F.col("player_name")) == slug)
+    return N.player_answers(replace(t, players=p))
+
+
+def team_answer(t, ctx: Context | None = None, slug: str | None = None) -> DataFrame:
+    """One nested row (or part) per team of the context, or of the team ``slug`` names."""
+    from dataclasses import replace
+    scoped = replace(t, games=_games(t, ctx), players=_players(t, ctx))
+    _named(S.team_lookup(scoped.players), slug)
+    d = N.team_answers(scoped)
+    return d if slug is None else d.filter(F.col("team_key") == slug)
+
+
 def team_sheet(t, ctx: Context | None = None, slug: str | None = None) -> dict:
     from .tables import Tables
     scoped = Tables(games=_games(t, ctx), players=_players(t, ctx), plays=t.plays, shots=t.shots,
                     teams=t.teams)
+    _named(S.team_lookup(scoped.players), slug)
     return S.team_sheet(scoped, None, slug)
 
 

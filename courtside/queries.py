@@ -1205,6 +1205,7 @@ def f24_half_court(spark, sf_dir):
 # --- ad-hoc SQL over the serving tables, presentation --------------------------
 
 from .catalog import ORACLE as ORACLE_OF  # noqa: E402
+from .plans import marts as MARTS, nested as NESTED  # noqa: E402
 from .plans import present as PR  # noqa: E402
 
 
@@ -1291,6 +1292,47 @@ def f30_player_sheet_json(spark, sf_dir):
         *keys, "a.*")
 
 
+def _flat(d, keys, child):
+    """Rows of one list of the answers, all parts."""
+    return d.select(*keys, F.explode(child).alias("x")).select(*keys, "x.*")
+
+
+@register("f30_player_answer_log", ORACLE_OF["j06_game_log"])
+def f30_player_answer_log(spark, sf_dir):
+    """the game logs inside the nested player answers."""
+    return _flat(catalog.answers(spark, sf_dir, "players"), NESTED.PLAYER, "game_log")
+
+
+@register("f30_player_answer_shots", ORACLE_OF["j07_player_shots"])
+def f30_player_answer_shots(spark, sf_dir):
+    """the shots inside the nested player answers."""
+    return _flat(catalog.answers(spark, sf_dir, "players"), NESTED.PLAYER, "shots")
+
+
+@register("f30_player_answer_fields", ORACLE_OF["a13_player_sheet"])
+def f30_player_answer_fields(spark, sf_dir):
+    """the answers' own fields (of every player's first part), opened again."""
+    d = catalog.answers(spark, sf_dir, "players").where("part = 0")
+    fields = [F.col(f"{part}.{c}").alias(prefix + c) for part, (prefix, cols) in MARTS.PARTS.items() for c in cols]
+    shooting = [F.col(f"shooting.{c}").alias(f"{c}_pct") for c in MARTS.SHOOTING]
+    counters = S.player_sheet(tables(spark, sf_dir).players).columns
+    found = d.select(*NESTED.PLAYER, "slug", "team", "grp", "jersey", "games", *fields, *shooting,
+                     F.col("per_game.plus_minus").alias("avg_plus_minus"))
+    return found.select(*[c for c in counters])
+
+
+@register("f30_team_answer_log", ORACLE_OF["j08_pace_log"])
+def f30_team_answer_log(spark, sf_dir):
+    """the game logs inside the nested team answers."""
+    return _flat(catalog.answers(spark, sf_dir, "teams"), NESTED.TEAM, "game_log")
+
+
+@register("s15_snapshot_log", ORACLE_OF["j06_game_log"])
+def s15_snapshot_log(spark, sf_dir):
+    """The game logs of the published snapshot, read back from its JSON."""
+    return _flat(catalog.answers(spark, sf_dir, "players", published=True), NESTED.PLAYER, "game_log")
+
+
 QUALITY_SQL = W("games", "teams", "shots") + """,
 sides AS (SELECT competition, season, home_team AS team, home_score AS pf, away_score AS pa FROM games
           UNION ALL SELECT competition, season, away_team, away_score, home_score FROM games),
