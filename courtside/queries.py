@@ -1315,10 +1315,10 @@ def f30_player_answer_fields(spark, sf_dir):
     d = catalog.answers(spark, sf_dir, "players").where("part = 0")
     fields = [F.col(f"{part}.{c}").alias(prefix + c) for part, (prefix, cols) in MARTS.PARTS.items() for c in cols]
     shooting = [F.col(f"shooting.{c}").alias(f"{c}_pct") for c in MARTS.SHOOTING]
-    counters = S.player_sheet(tables(spark, sf_dir).players).columns
+    columns = S.player_sheet(tables(spark, sf_dir).players).columns
     found = d.select(*NESTED.PLAYER, "slug", "team", "grp", "jersey", "games", *fields, *shooting,
                      F.col("per_game.plus_minus").alias("avg_plus_minus"))
-    return found.select(*[c for c in counters])
+    return found.select(*columns)
 
 
 @register("f30_team_answer_log", ORACLE_OF["j08_pace_log"])
