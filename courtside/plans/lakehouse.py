@@ -11,6 +11,7 @@ not read.
 from __future__ import annotations
 
 from collections.abc import Callable
+from concurrent.futures import ThreadPoolExecutor
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -87,12 +88,20 @@ def build_lake(spark: SparkSession, raw_root: str, lake_root: str, scope: Scope
     def load(layer: str, name: str) -> DataFrame:
         return lake.read_table(spark, lake_root, layer, name, scope, declared=declared[layer, name])
 
+    def together(jobs: list) -> None:
+        """Tables that do not need each other share the executors."""
+        with ThreadPoolExecutor(max_workers=len(jobs)) as pool:
+            for done in [pool.submit(job) for job in jobs]:
+                done.result()
+
     # The documents are parsed once; the five bronze tables read their columns from there.
     save(lake.read_games(spark, raw_root, scope).withColumn("season", F.col("year")), "bronze", "documents")
-    for layer, name, make in STEPS:
-        save(make(load), layer, name)
-    for name, source in SOURCES.items():
-        save(load(*source), "serving", name)
+    # Silver plays need silver players; all else needs the layer before it only.
+    wave = lambda layer, plays=None: [
+        lambda s=s: save(s[2](load), s[0], s[1]) for s in STEPS if s[0] == layer and plays in (None, s[1] == "plays")]
+    for jobs in (wave("bronze"), wave("silver", False), wave("silver", True), wave("gold")):
+        together(jobs)
+    together([lambda n=n, s=s: save(load(*s), "serving", n) for n, s in SOURCES.items()])
     return open_lake(spark, lake_root, scope)
 
 
