@@ -45,6 +45,8 @@ sagte sagt nannte schrieb zitat zitiert dit disait écrit cité appelle citation
 ADDRESS = frozenset("you your youre u ur du dich dir dein deine ihr tu toi ton vous votre tú tu usted eres bist".split())
 OPENING, CLOSING = "“«„‹", "”»“›"
 LEET = str.maketrans("013457", "oieast")
+MARKS = re.compile(f'["{OPENING}{CLOSING}]')
+FIRST = re.compile(r"\s*(.?)", re.DOTALL)
 WORD = re.compile(r"\w+")
 KINDS = ["plain", "near", "quoted", "aimed"]
 WINDOW = 5
@@ -81,14 +83,14 @@ def hits(text: str, lexicon: Lexicon, harmless: frozenset[str]) -> list[tuple[in
     if not found:
         return []
     all_words = [(m.start(), m.end(), m.group()) for m in WORD.finditer(text)]
+    at = [i for i, x in enumerate(all_words) if x[2] in found]
     out = []
-    for i, (a, b, w) in enumerate(all_words):
-        if w not in found:
-            continue
+    for i, cited in zip(at, quoted(text, [all_words[i][:2] for i in at])):
+        a, b, w = all_words[i]
         edits, entry = found[w]
         before = [x[2] for x in all_words[max(0, i - WINDOW):i]]
         after = [x[2] for x in all_words[i + 1:i + 1 + WINDOW]]
-        if quoted(text, a, b) or not REPORTING.isdisjoint(before):
+        if cited or not REPORTING.isdisjoint(before):
             kind = "quoted"
         elif not ADDRESS.isdisjoint(before) or not ADDRESS.isdisjoint(after):
             kind = "aimed"
@@ -98,19 +100,33 @@ def hits(text: str, lexicon: Lexicon, harmless: frozenset[str]) -> list[tuple[in
     return out
 
 
-def quoted(text: str, a: int, b: int) -> bool:
-    """Whether the span lies in a quotation of its line: behind an opening
-    mark, before a closing one, or in a line that starts with ``>``."""
-    start = text.rfind("\n", 0, a) + 1
-    end = text.find("\n", b)
-    line, at = text[start:end if end >= 0 else len(text)], a - start
-    if line.lstrip().startswith(">"):
-        return True
-    if line.count('"', 0, at) % 2 and '"' in line[at:]:
-        return True
-    opened = max(line.rfind(c, 0, at) for c in OPENING)
-    return opened >= 0 and max(line.rfind(c, opened + 1, at) for c in CLOSING) < 0 and any(
-        c in line[at:] for c in CLOSING)
+def quoted(text: str, spans: list[tuple[int, int]]) -> list[bool]:
+    """Whether each span (ascending, none over a line's end) lies in a
+    quotation of its line: behind an opening mark that nothing closed and
+    before a closing one, or in a line that starts with ``>``. One sweep over
+    the marks of every line that holds a span."""
+    out: list[bool] = []
+    i = 0
+    while i < len(spans):
+        start = text.rfind("\n", 0, spans[i][0]) + 1
+        end = text.find("\n", spans[i][1])
+        end = end if end >= 0 else len(text)
+        marks = [(m.start(), m.group()) for m in MARKS.finditer(text, start, end)]
+        cited = FIRST.match(text, start, end).group(1) == ">"
+        last = {c: max((p for p, m in marks if m in c), default=-1) for c in ('"', CLOSING)}
+        straight, opened, closed, k = 0, -1, -1, 0
+        while i < len(spans) and spans[i][0] < end:
+            a = spans[i][0]
+            while k < len(marks) and marks[k][0] < a:
+                p, m = marks[k]
+                straight += m == '"'
+                opened = p if m in OPENING else opened
+                closed = p if m in CLOSING else closed
+                k += 1
+            out.append(cited or (straight % 2 == 1 and last['"'] >= a)
+                       or (opened >= 0 and closed <= opened and last[CLOSING] >= a))
+            i += 1
+    return out
 
 
 def features(text: str, lexicon: Lexicon, harmless: frozenset[str]) -> list[float]:

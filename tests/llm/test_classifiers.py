@@ -1,3 +1,4 @@
+import time
 import zlib
 
 import numpy as np
@@ -117,6 +118,36 @@ def test_contexts_of_hits():
     assert toxicity.hits("the idiott", lexicon, frozenset(["idiott"])) == []
 
 
+def quoted_plainly(text, a, b):
+    start, end = text.rfind("\n", 0, a) + 1, text.find("\n", b)
+    line, at = text[start:end if end >= 0 else len(text)], a - start
+    if line.lstrip().startswith(">") or (line.count('"', 0, at) % 2 and '"' in line[at:]):
+        return True
+    opened = max(line.rfind(c, 0, at) for c in toxicity.OPENING)
+    return opened >= 0 and max(line.rfind(c, opened + 1, at) for c in toxicity.CLOSING) < 0 and any(
+        c in line[at:] for c in toxicity.CLOSING)
+
+
+def test_quotations_against_plain_rule():
+    rnd = np.random.default_rng(3)
+    signs = ["wort", "x", " ", " ", "\n", '"', ">", "“", "”", "«", "»", "„", "‹", "›", "\t"]
+    for _ in range(3000):
+        text = "".join(rnd.choice(signs, size=rnd.integers(1, 40)))
+        spans = [m.span() for m in toxicity.WORD.finditer(text)]
+        assert toxicity.quoted(text, spans) == [quoted_plainly(text, a, b) for a, b in spans], text
+
+
+def test_time_of_one_long_line_is_linear():
+    def seconds(n):
+        text = 'say "scum" and “scum then ' * n
+        spans = [m.span() for m in toxicity.WORD.finditer(text) if m.group() == "scum"]
+        begin = time.perf_counter()
+        assert len(toxicity.quoted(text, spans)) == 2 * n
+        return time.perf_counter() - begin
+
+    assert min(seconds(40_000) for _ in range(3)) < 40 * min(seconds(2_500) for _ in range(3))
+
+
 def test_toxicity_cases(llm_spark):
     texts = ["", None, "you worthless idiot", "fine words here", "x " * 50_000, "worthless idiots, you are idiot"]
     docs = llm_spark.createDataFrame([(i, t, 0.5, 9) for i, t in enumerate(texts)] + [(None, "t", 0.1, 1)] * 2, DOCS)
