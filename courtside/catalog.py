@@ -17,6 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .plans.lakehouse import build_lake, open_lake, update_lake
+from .plans.migrate import migrate
 from .plans.nested import ANSWERS, publish_snapshot
 from .plans.tables import Tables, build_layers
 from .session import checkpoint_dir
@@ -169,6 +170,22 @@ def updated_lake(spark: SparkSession, sf_dir: str) -> str:
     return _UPDATED[key]
 
 
+_MIGRATED: dict[tuple[str, str], dict[str, str]] = {}
+
+
+def migrated(spark: SparkSession, sf_dir: str, renames: dict[str, str], invalid: list[str], bad_groups: list[str]) -> dict[str, str]:
+    """A migration carried out on a copy of a driver folder's documents: ``raw``
+    is the store afterwards, ``backup`` the store of what was dropped."""
+    identity = _fingerprint(spark, sf_dir)
+    key = (spark.sparkContext.applicationId, identity)
+    if key not in _MIGRATED:
+        root = f"{checkpoint_dir(spark)}/courtside-migrated/{identity}-{uuid.uuid4().hex[:8]}"
+        write_documents(documents(spark, sf_dir), f"{root}/raw")
+        done = migrate(spark, f"{root}/raw", f"{root}/backup", renames, invalid, bad_groups)
+        _MIGRATED[key] = {"raw": f"{root}/raw", "backup": done["backup"]}
+    return _MIGRATED[key]
+
+
 _ANSWERS: dict[tuple[str, str], str] = {}
 
 

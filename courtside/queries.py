@@ -905,6 +905,56 @@ def h14_backup_needed(spark, sf_dir):
         "competition", "season", "grp", "game_id", "action")
 
 
+def _migrated(spark, sf_dir, store):
+    """Player rows per document header of a store that the migration left."""
+    stores = catalog.migrated(spark, sf_dir, AUDIT_RENAMES, AUDIT_INVALID, AUDIT_BAD_GROUPS)
+    docs = LK.read_games(spark, stores[store])
+    return LK.bronze_players(docs).groupBy("competition", "season", "grp", "game_id").agg(F.count(F.lit(1)).alias("lines"))
+
+
+MIGRATED_SQL = W("lines") + """
+SELECT CASE WHEN {moved} THEN 'LOW' ELSE competition END AS competition, season, grp, game_id, count(*) AS lines
+FROM players WHERE {kept} GROUP BY ALL"""
+KEPT_SQL = "competition <> '3-MEDIUM' AND grp <> 'P'"
+
+
+@register("h16_migrated_store", MIGRATED_SQL.format(moved="competition = '5-LOW'", kept=KEPT_SQL))
+def h16_migrated_store(spark, sf_dir):
+    """Games of the raw store after a migration was carried out on it."""
+    return _migrated(spark, sf_dir, "raw")
+
+
+@register("h14_backups", MIGRATED_SQL.format(moved="false", kept=f"NOT ({KEPT_SQL})"))
+def h14_backups(spark, sf_dir):
+    """Games that the same migration dropped, read back from its backups."""
+    return _migrated(spark, sf_dir, "backup")
+
+
+def _entries(headers):
+    """A catalogue in the job's schema: the (competition, group) pairs of the
+    games with eras of two seasons, each open for a third one."""
+    era = F.floor(F.col("season") / 2).cast("int")
+    e = headers.select("competition", F.col("grp"), era.alias("era")).distinct()
+    return e.select("competition", "grp", F.when(F.col("era") % 2 == 0, "senior").otherwise("youth").alias("category"),
+                    (F.col("era") * 2 + 1).alias("valid_from"), (F.col("era") * 2 + 3).alias("valid_to"))
+
+
+@register("h11_catalogue", W("headers") + """,
+e0 AS (SELECT DISTINCT competition, grp, CAST(floor(season / 2) AS INTEGER) AS era FROM hdr),
+e1 AS (SELECT competition, grp, CASE WHEN era % 2 = 0 THEN 'senior' ELSE 'youth' END AS category,
+              era * 2 + 1 AS valid_from, era * 2 + 3 AS valid_to FROM e0),
+e AS (SELECT competition, grp, category, valid_from,
+             least(valid_to, coalesce(lead(valid_from) OVER (PARTITION BY competition, grp ORDER BY valid_from) - 1, valid_to)) AS valid_to
+      FROM e1)
+SELECT h.game_id, h.competition, h.season, h.grp, e.category, e.valid_from, e.valid_to,
+       CASE WHEN e.category = 'senior' THEN 'listed' WHEN e.category IS NOT NULL THEN 'other_category' ELSE 'gap' END AS catalogue_status
+FROM hdr h LEFT JOIN e ON e.competition = h.competition AND e.grp = h.grp AND h.season BETWEEN e.valid_from AND e.valid_to""")
+def h11_catalogue(spark, sf_dir):
+    """Every game with the catalogue entry in force in its season."""
+    h = D.headers(spark, sf_dir).select("game_id", "competition", "season", "grp")
+    return I.in_catalogue(h, _entries(h))
+
+
 # --- presentation and nested forms ----------------------------------------------
 
 
@@ -1342,8 +1392,12 @@ ps AS (SELECT p.competition, p.season, p.player_name, s.zone, s.made
        FROM players p JOIN fshots s ON p.game_id = s.game_id AND p.jersey = s.player
         AND s.team = CASE WHEN p.is_home THEN 0 ELSE 1 END),
 zs AS (SELECT competition, season, player_name, sum(n) AS z FROM
-         (SELECT competition, season, player_name, zone, count(*) AS n FROM ps GROUP BY ALL) GROUP BY ALL),
-ns AS (SELECT competition, season, player_name, count(*) AS n FROM ps GROUP BY ALL),
+         (SELECT competition, season, player_name, zone, count(*) AS n FROM ps WHERE zone IS NOT NULL GROUP BY ALL) GROUP BY ALL),
+sc AS (SELECT game_id, team, player, count(*) AS n FROM fshots GROUP BY ALL),
+ns AS (SELECT p.competition, p.season, p.player_name, sum(sc.n) AS n
+       FROM (SELECT DISTINCT competition, season, game_id, player_name, jersey, is_home FROM players) p
+       JOIN sc ON p.game_id = sc.game_id AND p.jersey = sc.player AND sc.team = CASE WHEN p.is_home THEN 0 ELSE 1 END
+       GROUP BY ALL),
 summ AS (SELECT competition, season, count(DISTINCT team) AS teams FROM players
          WHERE (competition, season) IN (SELECT competition, season FROM games) GROUP BY ALL),
 stc AS (SELECT competition, season, count(*) AS st FROM st GROUP BY ALL),
@@ -1413,9 +1467,10 @@ UNION ALL SELECT 'q02_required_values', (SELECT count(*) FROM players WHERE game
   + (SELECT count(*) FROM games WHERE game_id IS NULL OR competition IS NULL OR season IS NULL OR home_team IS NULL
     OR away_team IS NULL OR home_score IS NULL OR away_score IS NULL)
 UNION ALL SELECT 'q09_group_does_not_shrink', count(*) FROM (
-  SELECT competition, season, grp, count(*) AS n, sum(count(*)) OVER c AS whole, count(*) OVER c AS groups
-  FROM games GROUP BY competition, season, grp WINDOW c AS (PARTITION BY competition, season))
-  WHERE groups > 1 AND n >= whole
+  SELECT a.n, b.whole, b.groups FROM
+    (SELECT competition, season, grp, count(DISTINCT game_id) AS n FROM games GROUP BY ALL) a JOIN
+    (SELECT competition, season, count(DISTINCT game_id) AS whole, count(DISTINCT grp) AS groups FROM games GROUP BY ALL) b
+    ON a.competition = b.competition AND a.season = b.season) WHERE groups > 1 AND n >= whole
 UNION ALL SELECT 'q10_pages_overlap', count(*) FROM (
   SELECT competition, season, player_name FROM lead2 WHERE position BETWEEN 1 AND 20
   GROUP BY competition, season, player_name HAVING count(*) > 1)
