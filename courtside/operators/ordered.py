@@ -49,12 +49,12 @@ def _same(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "in
     return left.join(right, on, how).drop(*[f"__r_{k}" for k in keys])
 
 
-def _before(per_bucket: DataFrame, keys: list[str], parts: dict[str, str], agg) -> DataFrame:
+def _before(per_bucket: DataFrame, keys: list[str], parts: dict[str, str], agg, carry: int = CARRY) -> DataFrame:
     """Per (keys, bucket): ``agg`` of each part over all earlier buckets, NULL
     where there is none. Buckets (whole numbers) are cut into blocks of
-    ``CARRY``; only blocks meet in a key-wide window."""
+    ``carry``; only blocks meet in a key-wide window."""
     # A NULL bucket is the smallest.
-    block = F.coalesce(F.floor(F.col(_B) / CARRY).cast("long"), F.lit(-(1 << 62)))
+    block = F.coalesce(F.col(_B) - F.pmod(F.col(_B), F.lit(carry)), F.lit(-(1 << 63)))
     d = per_bucket.withColumn("__block", block)
     inner = Window.partitionBy(*keys, "__block").orderBy(_B).rowsBetween(Window.unboundedPreceding, -1)
     d = d.select("*", *[agg(c).over(inner).alias(f"__in_{o}") for o, c in parts.items()])
@@ -93,10 +93,11 @@ def sequence(df: DataFrame, keys: Sequence[str], order: Sequence, bucket: Column
 
 
 def running(df: DataFrame, keys: Sequence[str], order: Sequence, bucket: Column,
-            values: dict[str, Column], how: str = "max") -> DataFrame:
+            values: dict[str, Column], how: str = "max", carry: int = CARRY) -> DataFrame:
     """Running aggregate from the first row to the current row (inclusive).
 
-    ``values`` maps output name -> input column; ``how`` is 'max' or 'sum'.
+    ``values`` maps output name -> input column; ``how`` is 'max' or 'sum';
+    ``carry`` is the width of a block of bucket numbers, where these are not dense.
     """
     keys = list(keys)
     agg = {"max": F.max, "sum": F.sum}[how]
@@ -104,7 +105,7 @@ def running(df: DataFrame, keys: Sequence[str], order: Sequence, bucket: Column,
     for out, col in values.items():
         d = d.withColumn("__v_" + out, col)
     per_bucket = d.groupBy(*keys, _B).agg(*[agg("__v_" + o).alias("__b_" + o) for o in values])
-    d = _same(d, _before(per_bucket, keys, {"__c_" + o: "__b_" + o for o in values}, agg), keys + [_B])
+    d = _same(d, _before(per_bucket, keys, {"__c_" + o: "__b_" + o for o in values}, agg, carry), keys + [_B])
     within = Window.partitionBy(*keys, _B).orderBy(*_cols(order)).rowsBetween(
         Window.unboundedPreceding, Window.currentRow)
     d = d.withColumns({o: _merge(F.col("__c_" + o), agg("__v_" + o).over(within), agg) for o in values})

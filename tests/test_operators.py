@@ -95,3 +95,23 @@ def test_hot_game_is_spread(spark, monkeypatch):
         for k, v in before.items():
             spark.conf.set(k, v)
     assert max(r.hot for r in parts) <= n // 3 // 4 and sum(r.hot for r in parts) == n // 3
+
+
+def test_running_score_with_missing_order_values(spark):
+    """Missing periods, clocks and numbers come first in their level; bad clocks and large numbers keep the order."""
+    from pyspark.sql import Window
+    from pyspark.sql import functions as F
+
+    from courtside.functions import expr as X
+    from courtside.plans import playbyplay
+    rows = [(q, t, n, (7 * i) % 90, (11 * i) % 80) for i, (q, t, n) in enumerate(
+        (q, t, n) for q in (None, 1, 2, 5) for t in (None, "bad", "10:00", "09:59", "00:00", "25:00")
+        for n in (None, -5000, 1, 4095, 4096, 2_000_000_000))]
+    plays = spark.createDataFrame([(1, *r) for r in rows],
+                                  "game_id long, quarter int, time string, num int, scoreA int, scoreB int").distinct()
+    d = playbyplay.running_score(plays).withColumn("e", F.lit(X.COURT.period_s) - X.clock_seconds("time"))
+    # Rows equal in the order may come in any order: compare what is fixed, the maximum up to their last.
+    keys = ["quarter", "e", "num"]
+    w = Window.partitionBy("game_id").orderBy(*[F.col(k).asc_nulls_first() for k in keys])
+    got = d.withColumn("want", F.max("scoreA").over(w)).groupBy(*keys).agg(F.max("score_home").alias("got"), F.max("want").alias("want"))
+    assert got.where("NOT got <=> want").count() == 0 and got.count() == 4 * 4 * 6  # NULL and unreadable clocks are one
