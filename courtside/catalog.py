@@ -16,6 +16,8 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .plans import nameindex
+from .plans.colocated import Colocated, write_colocated
 from .plans.lakehouse import build_lake, open_lake, update_lake
 from .plans.migrate import migrate
 from .plans.nested import ANSWERS, publish_snapshot
@@ -102,6 +104,34 @@ def tables(spark: SparkSession, sf_dir: str, fresh: bool = False) -> Tables:
     return _BUILT[key]
 
 
+_COLOCATED: dict[tuple[str, str], Colocated] = {}
+
+
+def colocated(spark: SparkSession, sf_dir: str) -> Colocated:
+    """Plays, players and games of a driver folder, bucketed by game; written once a session."""
+    identity = _fingerprint(spark, sf_dir)
+    key = (spark.sparkContext.applicationId, identity)
+    if key not in _COLOCATED:
+        t = tables(spark, sf_dir)
+        root = f"{checkpoint_dir(spark)}/courtside-colocated/{identity}-{uuid.uuid4().hex[:8]}"
+        _COLOCATED[key] = write_colocated(t.plays, t.players, t.games, root)
+    return _COLOCATED[key]
+
+
+_NAMES: dict[tuple[str, str], str] = {}
+
+
+def name_index(spark: SparkSession, sf_dir: str) -> str:
+    """Root of the name index of a driver folder, written once a session."""
+    identity = _fingerprint(spark, sf_dir)
+    key = (spark.sparkContext.applicationId, identity)
+    if key not in _NAMES:
+        root = f"{checkpoint_dir(spark)}/courtside-names/{identity}-{uuid.uuid4().hex[:8]}"
+        nameindex.build(tables(spark, sf_dir).players, root)
+        _NAMES[key] = root
+    return _NAMES[key]
+
+
 _LAKES: dict[tuple[str, str], str] = {}
 
 

@@ -85,9 +85,14 @@ def search(pool: DataFrame, text: str, exclude: list[str] | None = None, limit:
         return pool.limit(0)
     key = F.lower(T.fold(F.lit(needle)))
     d = pool.filter(T.search_key(F.col("player_name")).contains(key) | T.search_key(F.col("team")).contains(key))
+    return found_page(d, exclude, limit)
+
+
+def found_page(found: DataFrame, exclude: list[str] | None, limit: int) -> DataFrame:
+    """What a search found, without ``exclude``, in the leaders order."""
     if exclude:
-        d = d.filter(~F.col("slug").isin(exclude))
-    return page(d, [F.desc("avg_val"), F.asc("player_name")], limit=limit, partition=CTX)
+        found = found.filter(~F.col("slug").isin(exclude))
+    return page(found, [F.desc("avg_val"), F.asc("player_name")], limit=limit, partition=CTX)
 
 
 def leader_pool(players: DataFrame, ctx: Context | None = None) -> DataFrame:

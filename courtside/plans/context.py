@@ -14,6 +14,17 @@ from ..functions.rules import Context
 from ..sources.lake import narrow
 
 CTX = ["competition", "season"]
+PIECE = "game_piece"  # part of a hot game in bucketed tables (see colocated)
+
+
+def game_key(rows: DataFrame, games: DataFrame) -> list[str]:
+    """Columns that join rows to their game: of bucketed tables also the piece, which
+    makes the join follow their buckets."""
+    if PIECE not in games.columns:
+        return ["game_id"]
+    if PIECE not in rows.columns:
+        raise ValueError("games by piece only join rows by piece")
+    return ["game_id", PIECE]
 
 
 def in_context(df: DataFrame, ctx: Context | None) -> DataFrame:

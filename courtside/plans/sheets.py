@@ -9,7 +9,7 @@ from ..functions import text as T
 from ..functions.metrics import Line, aggregates, measures
 from ..functions.rules import Context
 from ..operators.model import latest
-from .context import CTX, in_context
+from .context import CTX, game_key, in_context
 from .league import player_lines, standings
 
 
@@ -45,10 +45,11 @@ def game_log(players: DataFrame, games: DataFrame, ctx: Context | None = None) -
     A player's games in a context are bounded by the season's length, so the
     best is a window over them instead of a second aggregate and a join.
     """
-    p = in_context(players, ctx).select(*CTX, "player_name", "game_id", "is_home", "minutes",
+    key = game_key(players, games)
+    p = in_context(players, ctx).select(*CTX, "player_name", *key, "is_home", "minutes",
                                         "points", "reb", "ast", "val")
-    g = games.select("game_id", "date", "game_date", "home_team", "away_team", "home_score", "away_score")
-    d = p.join(g, "game_id")
+    g = games.select(*key, "date", "game_date", "home_team", "away_team", "home_score", "away_score")
+    d = p.join(g, key)
     best = F.max("points").over(Window.partitionBy(*CTX, "player_name"))
     home = F.col("is_home")
     return d.select(

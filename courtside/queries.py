@@ -9,7 +9,9 @@ from .oracle.adapters import with_layers as W
 from .plans import league
 from .functions import expr as X
 from .functions.rules import Context
+from .plans import nameindex as NX
 from .plans.context import catalogue, describe_context
+from .sources.lake import read_table as lake_read
 
 
 def slug_sql(x: str) -> str:
@@ -1500,3 +1502,49 @@ def s01_stream_bronze_players(spark, sf_dir):
     q = INC.load_bronze(spark, catalog.raw_root(spark, sf_dir), f"{root}/bronze", f"{root}/checkpoint", once=True)
     q.awaitTermination()
     return INC.read_bronze(spark, f"{root}/bronze", "players").drop("batch")
+
+
+# --- joins without a shuffle ---------------------------------------------------
+
+@register("j09_bucketed_assist_edges", ORACLE_OF["a19_assist_edges"])
+def j09_bucketed_assist_edges(spark, sf_dir):
+    """Assist edges over plays and games bucketed by game."""
+    c = catalog.colocated(spark, sf_dir)
+    return PBP.assist_edges(c.plays, c.games)
+
+
+@register("j10_bucketed_player_fouls", ORACLE_OF["a21_player_fouls"])
+def j10_bucketed_player_fouls(spark, sf_dir):
+    """Fouls over plays, games and players bucketed by game."""
+    c = catalog.colocated(spark, sf_dir)
+    return PBP.player_fouls(c.plays, c.games, c.players)
+
+
+@register("j06_bucketed_game_log", ORACLE_OF["j06_game_log"])
+def j06_bucketed_game_log(spark, sf_dir):
+    """Game logs over players and games bucketed by game."""
+    c = catalog.colocated(spark, sf_dir)
+    return S.game_log(c.players, c.games)
+
+
+# --- search by index -------------------------------------------------------------
+
+@register("p14_indexed_search", ORACLE_OF["p14_search"])
+def p14_indexed_search(spark, sf_dir):
+    """The search answered by the inverted index of names."""
+    pool = C.leader_pool(tables(spark, sf_dir).players)
+    return NX.search(pool, catalog.name_index(spark, sf_dir), SEARCH_TEXT)
+
+
+@register("p14_index_names", W("lines") + f""",
+n AS (SELECT coalesce(player_name, '') AS name FROM players UNION SELECT coalesce(team, '') FROM players),
+k AS (SELECT DISTINCT {_fold_sql('name')} AS key FROM n),
+g AS (SELECT DISTINCT key, substr(key, CAST(i AS BIGINT), CAST(s AS BIGINT)) AS gram
+      FROM k, LATERAL (SELECT unnest(range(1, length(key) + 1)) AS i), (SELECT unnest([1, 2, 3]) AS s)
+      WHERE i + s - 1 <= length(key))
+SELECT gram, count(*) AS keys, min(key) AS first_key, max(key) AS last_key FROM g GROUP BY gram""")
+def p14_index_names(spark, sf_dir):
+    """The index itself: how many different names hold each part."""
+    grams = lake_read(spark, catalog.name_index(spark, sf_dir), NX.LAYER, "grams")
+    return grams.groupBy("gram").agg(F.count(F.lit(1)).alias("keys"), F.min("key").alias("first_key"),
+                                     F.max("key").alias("last_key"))
