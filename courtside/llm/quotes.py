@@ -13,8 +13,12 @@ linked within the conversation; threads follow these replies to their root,
 and a conversation is ordered by (turn of the root, turn). All built-in
 DataFrame functions: lines are arrays, originals are map-side combined
 minima per hash, threads double their pointers per round, positions are
-ranked per range of 64 roots and shifted by the counts before it, so no task
-gathers a conversation.
+ranked per (root, 1,024 turns) and shifted by the counts before, summed per 64
+roots and then per conversation, so no task gathers a conversation or a thread.
+
+``conversations(partial=True)`` also links passages that no message said as a
+whole, paragraph or line: to the earliest earlier message of the conversation
+that holds all of the passage's lines, or all of its sentences (see ``held``).
 
 Defined cases: null text counts as empty, null role as ``unknown``; rows with
 a null conv_id or turn are kept without links, thread or position; repeated
@@ -33,7 +37,9 @@ from pyspark.sql import functions as F
 from .common import text_or_empty, written
 
 LEAD = r"^((?:[ \t]*>)+)"
-RANGE = 64  # root turns per ranked range
+RANGE = 64  # root turns per range
+TURNS = 1024  # turns of a thread per ranked block
+SENTENCE = r"[.!?\u2026]+(?=\s|$)"
 
 
 def normalised(text: Column) -> Column:
@@ -42,7 +48,8 @@ def normalised(text: Column) -> Column:
 
 def parse(messages: DataFrame) -> DataFrame:
     """``conv_id, turn, role, text, content, passages`` per row; ``passages`` is
-    an array of (level, quote), in order, and ``content`` the unquoted text."""
+    an array of (level, quote, said), in order, ``said`` its lines as they
+    are, and ``content`` the unquoted text."""
     m = messages.select("conv_id", "turn", F.coalesce("role", F.lit("unknown")).alias("role"),
                         text_or_empty("text").alias("text"))
     lines = F.split(F.replace("text", F.lit("\r\n"), F.lit("\n")), "\n", -1)
@@ -58,10 +65,11 @@ def parse(messages: DataFrame) -> DataFrame:
     starts = F.filter(F.sequence(F.lit(0), F.greatest(n - 1, F.lit(0))),
                       lambda i: (i < n) & ((i == 0) | (level(i) != level(i - 1))))
     m = m.withColumn("starts", F.when(n > 0, starts).otherwise(F.array().cast("array<int>")))
-    runs = F.transform("starts", lambda s, j: F.struct(
-        level(s).alias("level"),
-        normalised(F.array_join(F.transform(
-            F.slice("l", s + 1, F.coalesce(F.get("starts", j + 1), n) - s), lambda x: x["body"]), " ")).alias("quote")))
+    def run(s: Column, j: Column) -> Column:
+        bodies = F.transform(F.slice("l", s + 1, F.coalesce(F.get("starts", j + 1), n) - s), lambda x: x["body"])
+        return F.struct(level(s).alias("level"), normalised(F.array_join(bodies, " ")).alias("quote"),
+                        F.array_join(bodies, "\n").alias("said"))
+    runs = F.transform("starts", run)
     own = F.array_join(F.transform(F.filter("l", lambda x: x["level"] == 0), lambda x: x["line"]), "\n")
     return m.select("conv_id", "turn", "role", "text",
                     F.when(F.col("quoted"), F.trim(own, F.lit(" \n\t"))).otherwise(F.col("text")).alias("content"),
@@ -76,13 +84,58 @@ def originals(parsed: DataFrame) -> DataFrame:
     return said.where("part <> ''").groupBy("conv_id", F.sha2("part", 256).alias("key")).agg(F.min("turn").alias("turn"))
 
 
-def links(parsed: DataFrame) -> DataFrame:
+def _units(pieces: Column) -> Column:
+    """Sorted different hashes of the pieces with letters or digits."""
+    return F.array_sort(F.array_distinct(F.transform(
+        F.filter(F.transform(pieces, normalised), lambda p: p != ""), lambda p: F.sha2(p, 256))))
+
+
+def held(parsed: DataFrame, passages: DataFrame) -> DataFrame:
+    """``conv_id, turn, said, part_turn``: the earliest message of the conversation before ``turn``
+    that holds every line of ``said``, or every sentence of it (line breaks within
+    a sentence do not count); a message holds its lines, their sentences and those of its paragraphs.
+
+    Different sets of parts are looked up once each, messages of the same parts as one, through
+    the part of the set that the fewest messages hold; the others are verified by equi-joins.
+    A set of one part needs the part's first message only."""
+    blank, sentences = r"\n[ \t]*\n", lambda x: F.split(x, SENTENCE)
+    lines = F.split("content", "\n")
+    paragraphs = F.transform(F.split("content", blank), lambda x: F.replace(x, F.lit("\n"), F.lit(" ")))
+    parts = F.concat(lines, F.flatten(F.transform(lines, sentences)), F.flatten(F.transform(paragraphs, sentences)))
+    flat = F.replace("said", F.lit("\n"), F.lit(" "))
+    asked = passages.select("conv_id", "turn", "said").distinct().select("*", F.explode(F.array(
+        _units(F.split("said", "\n")), _units(sentences(flat)))).alias("units")).where("size(units) > 0")
+    asked = written(asked.withColumn("set", F.sha2(F.concat_ws(",", "units"), 256)), "asked")
+    sets = asked.select("conv_id", "set", "units").distinct()
+    keys = sets.select("conv_id", "set", F.size("units").alias("n_units"), F.explode("units").alias("key"))
+    messages = parsed.where("conv_id IS NOT NULL AND turn IS NOT NULL").select(
+        "conv_id", "turn", _units(parts).alias("units")).groupBy("conv_id", "units").agg(F.min("turn").alias("first"))
+    postings = messages.select("conv_id", "first", F.sha2(F.concat_ws(",", "units"), 256).alias("message"),
+                               F.explode("units").alias("key"))
+    postings = written(postings.join(keys.select("conv_id", "key").distinct(), ["conv_id", "key"], "left_semi"), "postings")
+    spread = postings.groupBy("conv_id", "key").agg(F.count(F.lit(1)).alias("n"), F.min("first").alias("first"))
+    rarest = written(keys.join(spread, ["conv_id", "key"]).groupBy("conv_id", "set", "n_units").agg(
+        F.count(F.lit(1)).alias("known"), F.min_by("key", F.struct("n", "key")).alias("key"),
+        F.min("first").alias("first")).where("known = n_units"), "rarest")  # a part nobody said: no message holds the set
+    one = rarest.where("n_units = 1").select("conv_id", "set", "first")
+    candidates = rarest.where("n_units > 1").select("conv_id", "set", "n_units", "key").join(postings, ["conv_id", "key"])
+    others = keys.join(rarest.select("conv_id", "set", F.col("key").alias("rare")), ["conv_id", "set"]).where("key <> rare")
+    many = (candidates.drop("key").join(others.select("conv_id", "set", "key"), ["conv_id", "set"])
+            .join(postings, ["conv_id", "key", "message", "first"], "left_semi")
+            .groupBy("conv_id", "set", "message", "first", "n_units").count().where("count = n_units - 1"))
+    found = one.unionByName(many.select("conv_id", "set", "first")).groupBy("conv_id", "set").agg(F.min("first").alias("first"))
+    return asked.join(found, ["conv_id", "set"]).where("first < turn").groupBy("conv_id", "turn", "said").agg(
+        F.min("first").alias("part_turn"))
+
+
+def links(parsed: DataFrame, partial: bool = False) -> DataFrame:
     """One row per quoted passage with letters or digits: ``conv_id, turn, role, text, seq,
     level, linked_conv, linked_turn`` (null where no message said it).
-    Repeated rows count once."""
+    Repeated rows count once. With ``partial`` a passage that no earlier message of the
+    conversation said as one goes to the earliest that holds all its parts."""
     quotes = parsed.where("size(passages) > 0 AND conv_id IS NOT NULL AND turn IS NOT NULL").select(
         "conv_id", "turn", "role", "text", F.posexplode("passages").alias("seq", "p")).select(
-        "conv_id", "turn", "role", "text", "seq", "p.level", F.sha2("p.quote", 256).alias("key"),
+        "conv_id", "turn", "role", "text", "seq", "p.level", F.sha2("p.quote", 256).alias("key"), "p.said",
         (F.col("p.quote") != "").alias("speaks")).where("speaks").drop("speaks").distinct()
     quotes = written(quotes, "quotes")
     said = originals(parsed).join(quotes.select("key").distinct(), "key", "left_semi")  # only what is quoted
@@ -94,6 +147,11 @@ def links(parsed: DataFrame) -> DataFrame:
         "key").agg(F.min(F.struct("conv_id", "turn")).alias("o2"))
     q = quotes.join(here, ["conv_id", "key"], "left").join(anywhere, "key", "left").join(runner, "key", "left")
     inside = F.col("first_turn") < F.col("turn")
+    if partial:
+        q = written(q, "whole")
+        parts = held(parsed, q.where(~F.coalesce(inside, F.lit(False))))
+        q = q.join(parts, ["conv_id", "turn", "said"], "left")
+        q = q.withColumn("first_turn", F.when(inside, F.col("first_turn")).otherwise(F.col("part_turn")))
     other = F.when(F.col("o.conv_id") != F.col("conv_id"), F.col("o")).otherwise(F.col("o2"))
     return q.select("conv_id", "turn", "role", "text", "seq", "level",
                     F.when(inside, F.col("conv_id")).otherwise(other["conv_id"]).alias("linked_conv"),
@@ -113,12 +171,13 @@ def _roots(replies: DataFrame) -> DataFrame:
             return r
 
 
-def conversations(messages: DataFrame) -> DataFrame:
+def conversations(messages: DataFrame, partial: bool = False) -> DataFrame:
     """One row per message: ``conv_id, turn, role, position`` (from 0, in reply order),
     ``thread_turn``, ``reply_to`` (turn), ``n_quotes`` (passages), ``n_linked``,
-    ``content`` and ``formatted`` (``<|role|>``, line break, content, line break)."""
+    ``content`` and ``formatted`` (``<|role|>``, line break, content, line break).
+    ``partial``: passages also link by their lines or sentences."""
     parsed = written(parse(messages), "messages")
-    found = written(links(parsed), "links")
+    found = written(links(parsed, partial), "links")
     # A turn's links are those of its first row (by role and text) that has any.
     inner = found.where("level = 1 AND linked_conv = conv_id")
     reply = inner.groupBy("conv_id", "turn").agg(
@@ -128,15 +187,20 @@ def conversations(messages: DataFrame) -> DataFrame:
     placed = (parsed.join(reply, ["conv_id", "turn"], "left").join(roots, ["conv_id", "turn"], "left")
               .join(counts, ["conv_id", "turn", "role", "text"], "left")
               .withColumn("thread_turn", F.when(F.col("conv_id").isNotNull(), F.coalesce("root", "turn")))
-              .withColumn("rng", F.floor(F.col("thread_turn") / RANGE)))
-    sizes = placed.groupBy("conv_id", "rng").count()
-    before = sizes.withColumn("before", F.coalesce(F.sum("count").over(
-        W.partitionBy("conv_id").orderBy("rng").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))).drop("count")
-    w = W.partitionBy("conv_id", "rng").orderBy("thread_turn", "turn", "role", "text")
+              .withColumn("rng", F.floor(F.col("thread_turn") / RANGE)).withColumn("block", F.floor(F.col("turn") / TURNS)))
     named = placed.where("conv_id IS NOT NULL AND turn IS NOT NULL")
     nameless = placed.where("conv_id IS NULL OR turn IS NULL").withColumn("position", F.lit(None).cast("long"))
-    ranked = named.withColumn("rn", F.row_number().over(w)).join(before, ["conv_id", "rng"]).withColumn(
-        "position", F.col("before") + F.col("rn") - 1)
+    # Rows before: of earlier ranges, of the range's earlier blocks, of the block itself.
+    earlier = lambda *keys: W.partitionBy(*keys).rowsBetween(W.unboundedPreceding, -1)
+    blocks = named.groupBy("conv_id", "rng", "thread_turn", "block").agg(F.count(F.lit(1)).alias("n"))
+    ranges = blocks.groupBy("conv_id", "rng").agg(F.sum("n").alias("n")).select(
+        "conv_id", "rng", F.coalesce(F.sum("n").over(earlier("conv_id").orderBy("rng")), F.lit(0)).alias("outer"))
+    inner = F.sum("n").over(earlier("conv_id", "rng").orderBy("thread_turn", "block"))
+    before = blocks.withColumn("inner", F.coalesce(inner, F.lit(0))).join(ranges, ["conv_id", "rng"]).select(
+        "conv_id", "rng", "thread_turn", "block", (F.col("outer") + F.col("inner")).alias("before"))
+    w = W.partitionBy("conv_id", "rng", "thread_turn", "block").orderBy("turn", "role", "text")
+    ranked = named.withColumn("rn", F.row_number().over(w)).join(
+        before, ["conv_id", "rng", "thread_turn", "block"]).withColumn("position", F.col("before") + F.col("rn") - 1)
     cols = ["conv_id", "turn", "role", "position", "thread_turn", "reply_to",
             F.size("passages").cast("long").alias("n_quotes"),
             F.coalesce("n_linked", F.lit(0)).cast("long").alias("n_linked"), "content",

@@ -73,3 +73,78 @@ def test_long_conversation_positions(llm_spark, oracle):
 def test_no_python_in_the_plan(llm_spark):
     plan = quotes.conversations(frame(llm_spark, ROWS))._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Arrow" not in plan and "Pandas" not in plan
+
+
+PARTS = [
+    (1, 0, "a", "First line here.\nSecond line there.\nThird one. And a tail!\n\nOther paragraph"),
+    (1, 1, "b", "Second line there.\nThird one."),
+    (1, 2, "c", "> Second line there.\n> Third one. And a tail!\nlines of a paragraph"),
+    (1, 3, "d", "> And a tail\nsentence of a line"),
+    (1, 4, "e", "> Third one. And a\n> tail! Other\n> paragraph\nwrapped, over paragraphs"),
+    (1, 5, "f", "> Second line there.\n> nobody said this\nhalf of it"),
+    (1, 6, "g", "> And a tail\n> lines of a paragraph\nfrom two messages"),
+    (1, 7, "h", "> Third one. Second line there.\nsaid by 0 and 1: the earliest"),
+    (1, 8, "i", ">> Third one. And a tail!\n> sentence of a line\nnested"),
+    (1, 9, "j", "> future words now\nnot yet said"),
+    (1, 9, "k", "future words. now later"),
+    (1, 10, "l", "later"),
+    (2, 0, "m", "> And a tail\nanother conversation"),
+]
+
+
+def test_parts_of_messages_link(llm_spark):
+    out = {(r.conv_id, r.role): r for r in quotes.conversations(frame(llm_spark, PARTS), partial=True).collect()}
+    assert [out[1, c].reply_to for c in "abcdefghijkl"] == [None, None, 0, 0, 0, None, None, 0, 3, None, None, None]
+    assert out[1, "i"].n_linked == 2 and out[1, "f"].n_linked == 0 and out[2, "m"].reply_to is None
+    assert out[1, "c"].content == "lines of a paragraph" and out[1, "i"].thread_turn == 0
+    plain = {(r.conv_id, r.role): r for r in quotes.conversations(frame(llm_spark, PARTS)).collect()}
+    assert plain[1, "c"].reply_to is None and plain[1, "i"].reply_to == 3  # a whole line links without it
+
+
+def _held(rows, conv, turn, said):
+    """Brute force of ``held``."""
+    import re
+    norm = lambda t: re.sub(r"[\W_]+", " ", t).strip().lower()
+    cut = lambda t: re.split(r"[.!?…]+(?=\s|$)", t)
+    unit = lambda ps: {norm(p) for p in ps} - {""}
+    best = None
+    for c, t, _, text in rows:
+        if c == conv and t < turn and not text.startswith(">"):
+            has = unit(text.split("\n")) | unit(s for l in text.split("\n") for s in cut(l)) | unit(
+                s for p in re.split(r"\n[ \t]*\n", text) for s in cut(p.replace("\n", " ")))
+            for want in (unit(said.split("\n")), unit(cut(said.replace("\n", " ")))):
+                if want and want <= has and (best is None or t < best):
+                    best = t
+    return best
+
+
+def test_parts_against_brute_force(llm_spark):
+    import random
+    rnd = random.Random(5)
+    words = ["yes", "no way", "it is so", "maybe", "thanks a lot"]
+    def text(n):
+        return "".join(rnd.choice(words) + rnd.choice([". ", "! ", "\n", ".\n", "\n\n"]) for _ in range(n)).strip()
+    rows = [(rnd.randrange(3), t, "u", text(rnd.randrange(1, 6))) for t in range(60)]
+    asked = [(c, 60 + i, text(rnd.randrange(1, 4)).replace("\n\n", "\n")) for i, c in enumerate([0, 1, 2] * 12)]
+    asked += [(c, 5 + i, text(2).replace("\n\n", "\n")) for i, c in enumerate([0, 1, 2] * 4)]
+    parsed = quotes.parse(frame(llm_spark, rows))
+    got = quotes.held(parsed, llm_spark.createDataFrame(asked, "conv_id long, turn long, said string"))
+    got = {(r.conv_id, r.turn, r.said): r.part_turn for r in got.collect()}
+    want = {a: _held(rows, *a) for a in asked}
+    assert got == {a: t for a, t in want.items() if t is not None} and 5 < len(got) < len(want)
+
+
+def test_partial_is_native_and_defined_on_odd_rows(llm_spark):
+    out = quotes.conversations(frame(llm_spark, ROWS), partial=True)
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "Python" not in plan and "Arrow" not in plan and out.count() == len(ROWS)
+    assert quotes.conversations(frame(llm_spark, []), partial=True).count() == 0
+    assert {r.turn: r.reply_to for r in out.where("conv_id = 1").collect()}[4] == 2  # 'Next' is a sentence of turn 2
+
+
+def test_one_long_thread_is_ranked_in_blocks(llm_spark, oracle, monkeypatch):
+    monkeypatch.setattr(quotes, "TURNS", 32)
+    rows = [(9, t, "u", f"> line {t - 1}\nline {t}" if t else "line 0") for t in range(300)]
+    out = quotes.conversations(frame(llm_spark, rows))
+    assert {r.thread_turn for r in out.collect()} == {0}
+    assert rows_of(out) == oracle(quotes.SQL, conversations=arrow(rows))
