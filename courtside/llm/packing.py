@@ -19,6 +19,7 @@ table; extra columns are ignored.
 """
 from __future__ import annotations
 
+import functools
 import os
 import zlib
 from collections.abc import Iterator
@@ -138,12 +139,18 @@ class JsonEncoder:
     call as a whole; all others through the memory of pieces.
     """
 
-    def __init__(self, plain, pieces: TextEncoder):
-        self.plain, self.pieces = plain, pieces
-        self.added = [t.content for t in plain.get_added_tokens_decoder().values()]
+    def __init__(self, path: str, added: list[str], pieces: TextEncoder):
+        self.path, self.added, self.pieces = path, added, pieces
+        self.sign = os.path.commonprefix(added)  # what every added token starts with
+
+    @functools.cached_property
+    def plain(self):
+        """The library's tokenizer as the file says; loaded when a text needs it."""
+        from tokenizers import Tokenizer
+        return Tokenizer.from_file(self.path)
 
     def __call__(self, texts: list[str]) -> list[bytes]:
-        whole = {i for i, t in enumerate(texts) if any(a in t for a in self.added)}
+        whole = {i for i, t in enumerate(texts) if self.added and self.sign in t and any(a in t for a in self.added)}
         rest = iter(self.pieces([t for i, t in enumerate(texts) if i not in whole]))
         return [np.array(self.plain.encode(t, add_special_tokens=False).ids, dtype="<u4").tobytes() if i in whole else next(rest)
                 for i, t in enumerate(texts)]
@@ -170,7 +177,7 @@ def json_encoder(path: str, pattern: str) -> JsonEncoder:
         def encode_all(tokens: list[str]) -> list[bytes]:
             """Plain words (a space, then letters) go through the library many at a
             time: in " one two" a token that starts with a space starts a word."""
-            plain = [t for t in tokens if t[0] == " " and t[1:].isalpha() and max(t) < PLAIN_BELOW]
+            plain = [t for t in tokens if t[0] == " " and t[1:].isalpha() and (t.isascii() or max(t) < PLAIN_BELOW)]
             groups = [plain[i:i + WORDS_AT_ONCE] for i in range(0, len(plain), WORDS_AT_ONCE)]
             found: dict[str, bytes] = {}
             for words, e in zip(groups, tok.encode_batch_fast(["".join(g) for g in groups], add_special_tokens=False)):
@@ -184,7 +191,8 @@ def json_encoder(path: str, pattern: str) -> JsonEncoder:
             found.update(zip(rest, one_by_one(rest)))
             return [found[t] for t in tokens]
 
-        _ENCODERS[path, pattern] = JsonEncoder(Tokenizer.from_file(path), TextEncoder(encode_all, pattern))
+        _ENCODERS[path, pattern] = JsonEncoder(
+            path, [t.content for t in tok.get_added_tokens_decoder().values()], TextEncoder(encode_all, pattern))
     return _ENCODERS[path, pattern]
 
 

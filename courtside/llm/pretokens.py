@@ -8,7 +8,6 @@ with white space beside a space go through the pattern as a whole.
 """
 from __future__ import annotations
 
-from collections import deque
 from collections.abc import Callable
 
 import regex
@@ -58,12 +57,6 @@ class TextEncoder:
         self.find = regex.compile(pattern).findall
         self.pieces, self.words = Memory(limit), Memory(limit // 2)
 
-    def _tokens(self, piece: str) -> list[str]:
-        """Pre-tokens of a piece after a space."""
-        if piece.isalpha() and max(piece) < PLAIN_BELOW:
-            return [" " + piece]
-        return self.find(" " + piece)
-
     def _encode_words(self, tokens: list[str], known: dict[str, bytes]) -> None:
         missing = []
         for t in dict.fromkeys(tokens):
@@ -80,21 +73,45 @@ class TextEncoder:
 
     def __call__(self, texts: list[str]) -> list[bytes]:
         pieces = self.pieces
+        get = pieces.get
         cut: list[list[str] | None] = []
+        ids: list[list[bytes | None] | None] = []  # of a text's parts; None: not known yet
+        holes: list[list[int]] = []  # where a text's parts are not known
         for text in texts:
             parts = text.split(" ")
             # A part with white space at an end, or an empty one, is no safe cut.
             ok = not parts[0] or not parts[0][-1].isspace()
-            cut.append(parts if ok and parts[0] and len(parts) > 1 else None)
-        for parts in cut:
-            if parts:
-                deque(map(pieces.__getitem__, parts[1:]), maxlen=0)  # notes the unknown ones
+            if ok and parts[0] and len(parts) > 1:
+                rest = iter(parts)
+                next(rest)
+                found = [b"", *map(get, rest)]
+                gaps, at = [], 0
+                if None in found:
+                    for _ in range(found.count(None)):
+                        at = found.index(None, at + 1)
+                        gaps.append(at)
+                        pieces[parts[at]]  # noted, or moved up from the old generation
+                cut.append(parts)
+                ids.append(found)
+                holes.append(gaps)
+            else:
+                cut.append(None)
+                ids.append(None)
+                holes.append([])
         unknown = pieces.take_unknown()
-        unsafe = {p for p in unknown if not p or p[0].isspace() or p[-1].isspace()}
-        by_piece = {p: self._tokens(p) for p in unknown if p not in unsafe}
-        single = [p for p, ts in by_piece.items() if len(ts) == 1]
-        for p, ids in zip(single, self.encode_all([by_piece[p][0] for p in single]) if single else []):
-            pieces[p] = ids
+        by_piece: dict[str, list[str]] = {}
+        unsafe: set[str] = set()
+        single: dict[str, str] = {}  # pieces of one token
+        for p in unknown:
+            if p.isalpha() and (p.isascii() or max(p) < PLAIN_BELOW):
+                single[p] = " " + p
+            elif not p or p[0].isspace() or p[-1].isspace():
+                unsafe.add(p)
+            else:
+                by_piece[p] = self.find(" " + p)
+        single.update((p, ts[0]) for p, ts in by_piece.items() if len(ts) == 1)
+        if single:
+            pieces.update(zip(single, self.encode_all(list(single.values()))))
         known: dict[str, bytes] = {}
         several = [p for p, ts in by_piece.items() if len(ts) > 1]
         self._encode_words([t for p in several for t in by_piece[p]], known)
@@ -102,16 +119,21 @@ class TextEncoder:
             pieces[p] = b"".join([known[t] for t in by_piece[p]])
         whole: dict[int, list[str]] = {}
         for i, (text, parts) in enumerate(zip(texts, cut)):
-            if parts and unsafe and not unsafe.isdisjoint(parts[1:]):
-                parts = cut[i] = None
+            # Only pieces that were not known are looked up again.
+            for at in holes[i]:
+                if parts[at] in unsafe:
+                    parts = ids[i] = None
+                    break
+                ids[i][at] = pieces[parts[at]]
             whole[i] = self.find(parts[0] if parts else text)
         self._encode_words([t for ts in whole.values() for t in ts], known)
         out = []
-        for i, parts in enumerate(cut):
-            head = [known[t] for t in whole[i]]
-            if parts:
-                head.extend(map(pieces.__getitem__, parts[1:]))
-            out.append(b"".join(head))
+        for i, found in enumerate(ids):
+            head = b"".join([known[t] for t in whole[i]])
+            if found:
+                found[0] = head
+                head = b"".join(found)
+            out.append(head)
         pieces.age()
         self.words.age()
         return out
