@@ -45,3 +45,15 @@ def test_same_layers_with_many_games(spark, monkeypatch):
         assert a.schema.names == b.schema.names
         assert a.count() == b.count() > 0 and a.exceptAll(b).count() == 0, name
     assert few.plays.where(F.col("player_name").isNotNull()).count() > 0
+
+
+def test_score_of_a_game_with_two_headers(spark, tmp_path):
+    """An order that comes twice gives its plays twice, and both are in the running score."""
+    from courtside.sources import driver
+    for name in ("lineitem", "events", "orders"):
+        d = spark.read.parquet(f"{SF}/{name}.parquet")
+        (d.unionByName(d) if name == "orders" else d).write.parquet(f"{tmp_path}/{name}.parquet")
+    once, twice = (driver.plays(spark, d).groupBy("game_id", "num", "player_id").agg(
+        F.count(F.lit(1)).alias("n"), F.max(F.col("scoreA") + F.col("scoreB")).alias("score")) for d in (SF, str(tmp_path)))
+    both = once.withColumnsRenamed({"n": "n1", "score": "s1"}).join(twice, ["game_id", "num", "player_id"]).where("n = 2 * n1")
+    assert both.count() > 0 and both.where("score > s1").count() > 0
