@@ -115,3 +115,24 @@ def test_running_score_with_missing_order_values(spark):
     w = Window.partitionBy("game_id").orderBy(*[F.col(k).asc_nulls_first() for k in keys])
     got = d.withColumn("want", F.max("scoreA").over(w)).groupBy(*keys).agg(F.max("score_home").alias("got"), F.max("want").alias("want"))
     assert got.where("NOT got <=> want").count() == 0 and got.count() == 4 * 4 * 6  # NULL and unreadable clocks are one
+
+
+def test_next_row_over_buckets_and_blocks(spark):
+    """The next row is the plain window's, across empty buckets, blocks of buckets, NULL keys and a NULL order."""
+    rows = [(g, n, f"{g}-{n}") for g in (1, 2, None) for n in (None, 1, 2, 9, 10, 11, 40, 41, 1000, 5000)] + [(3, 7, "3-7")]
+    df = spark.createDataFrame(rows, "g int, n int, v string")
+    d = ordered.next_row(df, ["g"], ["n"], ordered.bucket_of(F.col("n"), 5), ["v"], carry=4)
+    want = df.withColumn("w", F.lead("v").over(Window.partitionBy("g").orderBy("n")))
+    assert sorted(map(str, d.select("g", "n", "v", "_next.v").collect())) == sorted(
+        map(str, want.select("g", "n", "v", F.col("w").alias("v")).collect()))
+
+
+def test_rows_are_dealt_once(spark):
+    """Numbering and running sums deal the rows by (key, bucket) once: a bucket's carry comes as a row of it."""
+    df = spark.range(100).select((F.col("id") % 3).alias("g"), F.col("id").alias("n"), F.lit("x").alias("wide"))
+    for d in (ordered.sequence(df, ["g"], ["n"], ordered.bucket_of(F.col("n"), 8), total="all"),
+              ordered.running(df, ["g"], ["n"], ordered.bucket_of(F.col("n"), 8), {"s": F.col("n")}, how="sum"),
+              ordered.next_row(df, ["g"], ["n"], ordered.bucket_of(F.col("n"), 8), ["n"])):
+        plan = d._jdf.queryExecution().optimizedPlan().toString()
+        above = plan.split("Union")[0]
+        assert plan.count("Union") == 1 and "Join" not in above and d.count() == 100, plan
