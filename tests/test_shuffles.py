@@ -104,3 +104,37 @@ def test_shared_label_names_nobody(spark):
     assert [tuple(r) for r in d.collect()] == [(1, 8, "SANZ, EVA")]
     # the sheet's rows are not sorted and reduced before they meet a play
     assert not re.search(r"Aggregate\(key=\[game_id#\d+L?, is_home", _plan(d))
+
+
+def test_documents_gathered_where_rows_lie(spark, t):
+    """Players and teams that are bucketed by game make the same documents, and none of their rows is dealt again."""
+    assert t.dealt and t.players.count() > 0
+    plain = lake.docs_from_tables(t.players, t.plays, t.shots, t.teams)
+    here = lake.docs_from_tables(t.players, t.plays, t.shots, t.teams, dealt=t.dealt)
+    text = lambda d: sorted(r[0] for r in d.select(F.to_json(F.struct("*"))).collect())
+    assert text(here) == text(plain)
+    assert text(lake.docs_from_tables(t.players, dealt=t.dealt)) == text(lake.docs_from_tables(t.players))
+    cut = [lake.docs_from_tables(t.players, t.plays, t.shots, t.teams, max_rows=3, dealt=n) for n in (None, t.dealt)]
+    assert text(cut[0]) == text(cut[1])  # large games go the other way
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = _plan(lake.wide_box_score(here)).split("== Initial Plan ==")[-1]
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert "Exchange" not in plan, plan
+
+
+def test_lake_tables_are_made_when_asked_for(spark, t):
+    """A table of the lake is written with what it is made of, the others when they are asked for; rows as in a whole lake."""
+    catalog._LAKE_TABLES.clear()
+    games = catalog.lake(spark, SF, "bronze", "games")
+    root, there = next(iter(catalog._LAKE_TABLES.values()))
+    assert there == {("bronze", "documents"), ("bronze", "games")}
+    players = catalog.lake(spark, SF, "silver", "players")
+    assert there == {("bronze", "documents"), ("bronze", "games"), ("bronze", "players"), ("silver", "players")}
+    whole = tempfile.mkdtemp(prefix="cs-lake-")
+    from courtside.plans.lakehouse import build_lake
+    build_lake(spark, catalog.raw_root(spark, SF), whole)
+    for layer, name, d in (("bronze", "games", games), ("silver", "players", players)):
+        other = lake.read_table(spark, whole, layer, name)
+        assert d.schema == other.schema and d.count() == other.count() > 0 and d.exceptAll(other).count() == 0
