@@ -57,3 +57,43 @@ def test_score_of_a_game_with_two_headers(spark, tmp_path):
         F.count(F.lit(1)).alias("n"), F.max(F.col("scoreA") + F.col("scoreB")).alias("score")) for d in (SF, str(tmp_path)))
     both = once.withColumnsRenamed({"n": "n1", "score": "s1"}).join(twice, ["game_id", "num", "player_id"]).where("n = 2 * n1")
     assert both.count() > 0 and both.where("score > s1").count() > 0
+
+
+def test_plays_dealt_by_game(spark, tmp_path):
+    """Dealt by game once the plays are the same rows, also without a game, with doubled events and
+    orders; only events, lines and headers are dealt, and names come without dealing plays again."""
+    from courtside.sources import driver
+    for name in ("lineitem", "events", "orders"):
+        d = spark.read.parquet(f"{SF}/{name}.parquet")
+        if name == "events":
+            d = d.withColumn("user_id", F.when(F.col("event_id") % 50 > 0, F.col("user_id"))).withColumn(
+                "ts", F.when(F.col("event_id") % 41 > 0, F.col("ts")))
+        key = {"lineitem": "l_orderkey", "events": "event_id", "orders": "o_orderkey"}[name]
+        d.unionByName(d.where(f"{key} % 3 = 0")).write.parquet(f"{tmp_path}/{name}.parquet")
+    sf = str(tmp_path)
+    plain = driver.plays(spark, sf)
+    dealt = driver.plays(spark, sf, lines=driver.lines(spark, sf, 3), tasks=3)
+    assert plain.dtypes == dealt.dtypes and plain.count() == dealt.count() > 0
+    assert plain.exceptAll(dealt).count() == 0 and dealt.where("game_id IS NULL").count() > 0
+    link = lambda d, whole: clean.link_assists(clean.classify_plays(d), whole=whole)
+    players = clean.clean_players(driver.box_scores(spark, sf))
+    named = clean.resolve_names(link(dealt, True), players, dealt=3)
+    other = clean.resolve_names(link(plain, False), players)
+    assert named.dtypes == other.dtypes and named.count() == other.count()
+    assert named.exceptAll(other).count() == 0 and named.where("assisted_by_name IS NOT NULL").count() > 0
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = _plan(link(driver.plays(spark, sf, lines=driver.lines(spark, sf, 3), tasks=3), True)).split("== Initial Plan ==")[-1]
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert plan.count("Exchange hashpartitioning") == 3, plan
+
+
+def test_large_game_goes_by_buckets(spark, monkeypatch):
+    """With a game of too many plays for one task the plays are dealt by bucket, and are the same."""
+    few = tables.build_layers(spark, SF, tempfile.mkdtemp(prefix="cs-layers-"), _exists)
+    monkeypatch.setattr(tables, "LARGE_GAME", 3)
+    large = tables.build_layers(spark, SF, tempfile.mkdtemp(prefix="cs-layers-"), _exists)
+    for name in ("plays", "shots"):
+        a, b = getattr(few, name), getattr(large, name)
+        assert a.dtypes == b.dtypes and a.count() == b.count() > 0 and a.exceptAll(b).count() == 0, name
