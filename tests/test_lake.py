@@ -194,3 +194,14 @@ def test_published_leaders_beyond_the_first_page(t):
     many = many.drop("game_id", "n").crossJoin(games).select(*t.players.columns)
     b = blocks(replace(t, players=many))
     assert b["leaders_total"].first().leaders_total == 60 and b["leaders"].count() == 60
+
+
+def test_parquet_tables_are_packed(spark, tmp_path):
+    """Layer tables are written with zstd unless the caller names another codec."""
+    import pyarrow.parquet as pq
+    df = spark.range(50).selectExpr("id", "'a' AS competition", "1 AS season")
+    for name, options, codec in (("x", None, "ZSTD"), ("y", {"compression": "snappy"}, "SNAPPY")):
+        lake.write_table(df, str(tmp_path), "silver", name, sort_by=("id",), options=options)
+        found = list(tmp_path.joinpath("silver", name).rglob("*.parquet"))
+        assert found and all(pq.ParquetFile(f).metadata.row_group(0).column(0).compression == codec for f in found)
+        assert lake.read_table(spark, str(tmp_path), "silver", name).count() == 50
