@@ -43,6 +43,12 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def shuffled(df: DataFrame) -> DataFrame:
+    """A side of a join that is never broadcast by its estimated size: Spark takes the bytes of compressed
+    files for it and does not count the rows an explode adds, so millions of rows may look small."""
+    return df.hint("merge")
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

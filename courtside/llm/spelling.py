@@ -35,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import bound_batches, text_or_empty, written
+from .common import bound_batches, shuffled, text_or_empty, written
 
 RUN = re.compile("[a-zÀ-ÿ]+")
 PRIME = (1 << 61) - 1  # modulus of the rolling hash of long words
@@ -147,8 +147,8 @@ def first_edits(rows: DataFrame, table: DataFrame, levels: int, most: int) -> Da
         F.col("parts").isNotNull(), F.pmod(F.xxhash64("s"), F.col("parts")).cast("int")).otherwise(0)).drop("parts")
     right = table.join(hot, "node", "left").withColumn("part", F.explode(F.sequence(
         F.lit(0), F.coalesce(F.col("parts"), F.lit(1)) - 1))).drop("parts")
-    d = left.join(right.select("node", "part", F.col("ch").alias("other"), F.col("child").alias("to"), "lens", "nexts"),
-                  ["node", "part"]).where("other <> ch")
+    right = right.select("node", "part", F.col("ch").alias("other"), F.col("child").alias("to"), "lens", "nexts")
+    d = left.join(shuffled(right), ["node", "part"]).where("other <> ch")
     # Inserting a symbol before its like is the same word as behind it: tried only where the next one differs.
     # Of a replaced pair either word finds the other; the smaller symbol looks.
     put = F.struct((F.col("len") + 1).alias("tlen"), F.col("pos").alias("pos"),
@@ -160,10 +160,10 @@ def first_edits(rows: DataFrame, table: DataFrame, levels: int, most: int) -> Da
     return d.select("side", "s", "len", "x.tlen", "x.pos", F.col("to").alias("node"))
 
 
-def advance(states: DataFrame, table: DataFrame) -> DataFrame:
-    """Open states read their next symbol along the edge table."""
+def advance(states: DataFrame, table: DataFrame, few: bool = False) -> DataFrame:
+    """Open states read their next symbol along the edge table; ``few`` of them are broadcast."""
     d = states.withColumn("ch", _symbol("s", F.col("pos")))
-    d = d.join(table, ["node", "ch"]).withColumn("pos", F.col("pos") + 1)
+    d = (F.broadcast(d) if few else shuffled(d)).join(table, ["node", "ch"]).withColumn("pos", F.col("pos") + 1)
     return d.where(_open(F.col("tlen"), _symbol("s", F.col("pos")))).select(
         "side", "s", "len", "tlen", "pos", F.col("child").alias("node"))
 
@@ -206,14 +206,14 @@ def _long_pairs(words: DataFrame, levels: int) -> DataFrame:
     rows = written(src.mapInArrow(less, schema), "spelling-long")
     whole, cut = rows.where("p < 0"), rows.where("p >= 0")
     b = cut.select(F.col("id").alias("other"), "len", "p", "key")
-    swaps = cut.join(b, ["len", "p", "key"]).where("id < other").select("id", "other")
+    swaps = cut.join(shuffled(b), ["len", "p", "key"]).where("id < other").select("id", "other")
     puts = cut.select("id", "len", "key").distinct().join(
-        whole.select(F.col("id").alias("other"), (F.col("len") + 1).alias("len"), "key"), ["len", "key"]).select("id", "other")
+        shuffled(whole.select(F.col("id").alias("other"), (F.col("len") + 1).alias("len"), "key")), ["len", "key"]).select("id", "other")
     # The ids are those of the words' own rows, made the same way.
     names = _named(words.where(F.length("word") >= levels))
     return (swaps.unionByName(puts).distinct()
-            .join(names.select("id", F.col("word").alias("a")), "id")
-            .join(names.select(F.col("id").alias("other"), F.col("word").alias("b")), "other").select("a", "b"))
+            .join(shuffled(names.select("id", F.col("word").alias("a"))), "id")
+            .join(shuffled(names.select(F.col("id").alias("other"), F.col("word").alias("b"))), "other").select("a", "b"))
 
 
 def _named(words: DataFrame) -> DataFrame:
@@ -231,7 +231,8 @@ def neighbours(words: DataFrame, levels: int = 64, small: int = 100_000) -> Data
     """Pairs ``(a, b)`` of different words one edit apart, each pair once.
 
     ``words`` is a written table. A frontier of at most ``small`` states (words
-    of at most ``levels`` symbols) is broadcast, a larger one shuffled.
+    of at most ``levels`` symbols) is broadcast, a larger one shuffled; nothing is
+    broadcast by an estimate.
     """
     rows = prefixes(words.where(F.length("word") <= levels))
     table = written(edges(rows), "spelling-edges")
@@ -240,10 +241,10 @@ def neighbours(words: DataFrame, levels: int = 64, small: int = 100_000) -> Data
     found = level.where("pos = len")
     while (n := level.where("pos < len").count()) > 0:
         front = level.where("pos < len")
-        level = written(advance(F.broadcast(front) if n <= small else front, table), "spelling-frontier")
+        level = written(advance(front, table, few=n <= small), "spelling-frontier")
         found = found.unionByName(level.where("pos = len"))
     ends = rows.where("pos = len").select("node", F.col("s").alias("near"))
-    d = found.join(ends, "node").where(F.levenshtein("s", "near", 1) == 1)
+    d = found.join(shuffled(ends), "node").where(F.levenshtein("s", "near", 1) == 1)
     turned = lambda c: F.when(F.col("side") == 0, F.col(c)).otherwise(F.reverse(c))
     pairs = d.select(turned("s").alias("a"), turned("near").alias("b"))
     if words.where(F.length("word") > levels).limit(1).count():
@@ -258,7 +259,7 @@ def roots(forms: DataFrame) -> DataFrame:
     at = written(forms.select("word", F.col("form").alias("root")), "spelling-roots")
     while True:
         step = at.select(F.col("word").alias("root"), F.col("root").alias("next"))
-        moved = written(at.join(step, "root", "left").select(
+        moved = written(at.join(shuffled(step), "root", "left").select(
             "word", F.coalesce("next", "root").alias("root"), F.col("next").isNotNull().alias("moved")), "spelling-roots")
         at = moved.select("word", "root")
         if not moved.where("moved").limit(1).count():
@@ -276,13 +277,13 @@ def variants(docs: DataFrame, thin: int = 97, min_symbols: int = 5, min_count: i
     pairs = written(neighbours(words, levels), "spelling-pairs")
     both = pairs.select(F.col("a").alias("word"), F.col("b").alias("near")).unionByName(
         pairs.select(F.col("b").alias("word"), F.col("a").alias("near")))
-    best = both.join(words.select(F.col("word").alias("near"), F.col("n").alias("near_n")), "near").groupBy("word").agg(
+    best = both.join(shuffled(words.select(F.col("word").alias("near"), F.col("n").alias("near_n"))), "near").groupBy("word").agg(
         F.count(F.lit(1)).alias("n_near"), F.min(F.struct((-F.col("near_n")).alias("less"), "near")).alias("best"))
-    d = words.join(best, "word", "left")
+    d = words.join(shuffled(best), "word", "left")
     taken = -F.col("best.less") >= ratio * F.col("n")
     d = written(d.select("word", "n", F.coalesce("n_near", F.lit(0)).cast("long").alias("n_near"),
                          F.when(taken, F.col("best.near")).alias("form"),
                          F.when(taken, -F.col("best.less")).alias("form_n")), "spelling-forms")
     last = roots(d.where("form IS NOT NULL").select("word", "form"))
-    return d.join(last, "word", "left").select(
+    return d.join(shuffled(last), "word", "left").select(
         "word", "form", F.coalesce("root", "word").alias("root"), "n", "n_near", "form_n")

@@ -116,3 +116,16 @@ def test_whole_table(llm_spark):
     sf = "/root/testdata/sf0.001"
     docs = llm_spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text").collect()
     assert got(QUERIES["op11_spelling_variants"](llm_spark, sf)) == brute([tuple(r) for r in docs])
+
+
+def test_no_join_is_broadcast_by_its_estimate(llm_spark):
+    """A trie's rows are many times its words' files: only the two joins that are counted first are broadcast."""
+    words = written(llm_spark.createDataFrame([(f"word{i:04d}",) for i in range(300)], "word string"), "test-words")
+    rows = spelling.prefixes(words)
+    table = written(spelling.edges(rows), "test-edges")
+    plan = lambda d: d._jdf.queryExecution().executedPlan().toString()
+    first = spelling.first_edits(rows, table, 64, 2000)
+    assert plan(first).count("BroadcastHashJoin") == 2 and "SortMergeJoin" in plan(first)
+    assert "BroadcastHashJoin" not in plan(spelling.advance(first, table)).replace(plan(first), "").split("SortMergeJoin")[0]
+    assert "BroadcastHashJoin" in plan(spelling.advance(written(first, "test-front"), table, few=True))
+    assert "BroadcastHashJoin" not in plan(spelling.neighbours(words)).replace("Scan", "")
