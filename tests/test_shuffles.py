@@ -138,3 +138,25 @@ def test_lake_tables_are_made_when_asked_for(spark, t):
     for layer, name, d in (("bronze", "games", games), ("silver", "players", players)):
         other = lake.read_table(spark, whole, layer, name)
         assert d.schema == other.schema and d.count() == other.count() > 0 and d.exceptAll(other).count() == 0
+
+
+def test_game_pages_are_written_where_players_lie(t):
+    """Only the games' headers are dealt; the pages are those of the way by numbers."""
+    from courtside.sources import pages, site
+
+    assert t.dealt
+    here = site.game_pages(t.players, t.games, dealt=t.dealt)
+    plan = _plan(here)
+    assert plan.count("Exchange ") == 1 and "Broadcast" not in plan and "Window" not in plan
+    dealt = site.game_pages(t.players, t.games)
+    assert here.schema.names == dealt.schema.names and here.exceptAll(dealt).count() == 0 and here.count() == dealt.count() > 0
+    cut = site.game_pages(t.players, t.games, 2, dealt=t.dealt)  # games that fill several pages are numbered
+    assert "Window" in _plan(cut) and pages.page_box_scores(cut).exceptAll(pages.page_box_scores(here)).count() == 0
+
+
+def test_lake_tables_of_a_question_only(spark):
+    catalog._LAKE_TABLES.clear()
+    t = catalog.lake_tables(spark, SF, "games")
+    there = next(iter(catalog._LAKE_TABLES.values()))[1]
+    assert t.plays is None and t.games.count() > 0 and ("gold", "fact_games") in there
+    assert not {("silver", "plays"), ("silver", "teams"), ("gold", "fact_shots")} & there
