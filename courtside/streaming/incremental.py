@@ -22,6 +22,8 @@ from ..sources.schema import GAME_WITH_PATH
 BRONZE = {"games": lake.bronze_games, "players": lake.bronze_players, "plays": lake.bronze_plays,
           "shots": lake.bronze_shots, "teams": lake.bronze_teams}
 
+FEW_GAMES = 100_000  # games delivered again that every executor may hold
+
 
 def raw_stream(spark: SparkSession, root: str, max_files: int = 1000) -> DataFrame:
     """New documents under the raw layout, partition columns from the path."""
@@ -50,10 +52,18 @@ def load_bronze(spark: SparkSession, raw_root: str, out_root: str, checkpoint: s
 
 def read_bronze(spark: SparkSession, out_root: str, name: str) -> DataFrame:
     """One bronze table over all batches (the batch id is a column), each
-    game from its latest delivery."""
+    game from its latest delivery. Rows meet only the games that were delivered again."""
     def batches(table: str) -> DataFrame:
         return spark.read.option("basePath", f"{out_root}/{table}").parquet(f"{out_root}/{table}/batch=*")
 
-    latest = batches("games").groupBy("game_id").agg(F.max("batch").alias("batch"))
-    df = batches(name)
-    return df.join(latest, ["game_id", "batch"], "left_semi").select(*df.columns)
+    df = batches(name).where("game_id IS NOT NULL")
+    times = batches("games").where("game_id IS NOT NULL").groupBy("game_id").agg(
+        F.max("batch").alias("_latest"), F.min("batch").alias("_first"))
+    again = times.where("_latest > _first").select(F.col("game_id").alias("_again"), "_latest")
+    found = again.count()
+    if not found:
+        return df
+    # By their number: their size is estimated from compressed files, so millions of games may look small.
+    again = F.broadcast(again) if found <= FEW_GAMES else again.hint("merge")
+    d = df.join(again, F.col("game_id") == F.col("_again"), "left")
+    return d.where("_again IS NULL OR batch = _latest").select(*df.columns)

@@ -205,3 +205,18 @@ def test_parquet_tables_are_packed(spark, tmp_path):
         found = list(tmp_path.joinpath("silver", name).rglob("*.parquet"))
         assert found and all(pq.ParquetFile(f).metadata.row_group(0).column(0).compression == codec for f in found)
         assert lake.read_table(spark, str(tmp_path), "silver", name).count() == 50
+
+
+def test_only_games_delivered_again_are_joined(spark, tmp_path):
+    out = str(tmp_path)
+    for batch, games in enumerate([[1, 2, None], [3, 2], [4]]):
+        spark.createDataFrame([(g,) for g in games], "game_id long").write.parquet(f"{out}/games/batch={batch}")
+        spark.createDataFrame([(g, f"{g}-{batch}") for g in games], "game_id long, name string").write.parquet(f"{out}/players/batch={batch}")
+    got = incremental.read_bronze(spark, out, "players")
+    assert got.columns == ["game_id", "name", "batch"]
+    assert sorted(r.name for r in got.collect()) == ["1-0", "2-1", "3-1", "4-2"]
+    once = f"{out}/once"
+    spark.createDataFrame([(1,), (2,)], "game_id long").write.parquet(f"{once}/games/batch=0")
+    spark.createDataFrame([(1, "a"), (2, "b")], "game_id long, name string").write.parquet(f"{once}/players/batch=0")
+    got = incremental.read_bronze(spark, once, "players")
+    assert "Join" not in got._jdf.queryExecution().executedPlan().toString() and got.count() == 2
