@@ -136,3 +136,18 @@ def test_rows_are_dealt_once(spark):
         plan = d._jdf.queryExecution().optimizedPlan().toString()
         above = plan.split("Union")[0]
         assert plan.count("Union") == 1 and "Join" not in above and d.count() == 100, plan
+
+
+def test_first_of_few_is_first_by(spark, monkeypatch):
+    """Only rows whose key has several are compared; NULL keys are one key."""
+    from courtside.operators import dedupe
+
+    rows = [(1, "a", 3), (1, "a", 2), (2, None, 5), (2, None, 4), (None, None, 1), (None, None, 0), (3, "c", 9), (4, "c", 9)]
+    d = spark.createDataFrame(rows, "g long, k string, v int")
+    wanted = sorted(map(str, dedupe.first_by(d, ["g", "k"], ["v"]).collect()))
+    got = dedupe.first_of_few(d, ["g", "k"], ["v"])
+    assert got.columns == d.columns and sorted(map(str, got.collect())) == wanted and len(wanted) == 5
+    once = dedupe.first_of_few(d.where("v IN (3, 9)"), ["g", "k"], ["v"])
+    assert "Exchange" not in once._jdf.queryExecution().executedPlan().toString() and once.count() == 3
+    monkeypatch.setattr(dedupe, "FEW_KEYS", 1)
+    assert sorted(map(str, dedupe.first_of_few(d, ["g", "k"], ["v"]).collect())) == wanted
