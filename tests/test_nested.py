@@ -67,3 +67,11 @@ def test_unknown_slugs_are_errors(t):
         slug = sheets.player_lookup(t.players.where(F.col("player_name") == name[0])).first().slug
         with pytest.raises(api.NotFound):
             api.player_sheet(t, ctx, slug)
+
+
+def test_games_are_dealt_to_players(t):
+    """The logs of player answers: players are not dealt to meet their games."""
+    answers = nested.player_answers(t)
+    plan = answers._jdf.queryExecution().optimizedPlan().toString()
+    assert t.dealt and f"RepartitionByExpression [game_id" in plan
+    assert answers.select(*nested.PLAYER, F.explode("game_log.game_id")).count() == t.players.join(t.games, "game_id").count()
